@@ -106,3 +106,6 @@ MISSING_COLUMN_MSG = "Missing required column: '{}'"
 SCHEMA_FAIL_MSG = "Schema validation errors — see logs for details"
 REVENUE_FAIL_MSG = "Revenue computation failed — unit_price type invalid"
 PK_FAIL_MSG = "PK constraint violation: {} duplicate transaction_ids (e.g. {})"
+
+# declared rule sets by dataset name
+RULES_BY_DATASET = {"sales": SALES_RULES, "customers": CUSTOMER_RULES, "products": PRODUCT_RULES}

@@ -1,32 +1,4 @@
-"""Registered queries (one per operator of the inventory) and their oracle SQL."""
+"""Importing this module registers every query (see ``catalog``)."""
 
-from __future__ import annotations
-
-from pyspark.sql import functions as F
-
-from ..operators import transform as tr
-from ..sources import views as V
-from .catalog import register
-from .oracle_views import with_views
-
-# ---------------------------------------------------------------------------
-# transform: P1, P2, J1, J3, A2
-# ---------------------------------------------------------------------------
-
-_FX_SQL = ("CASE currency WHEN 'USD' THEN 1.0 WHEN 'EUR' THEN 1.08 WHEN 'GBP' THEN 1.27 "
-           "WHEN 'CAD' THEN 0.74 WHEN 'AUD' THEN 0.65 ELSE 1.0 END")
-
-
-@register("daily_revenue", with_views(f"""
-SELECT strftime(transaction_date, '%Y-%m-%d') AS transaction_date,
-       coalesce(cast(sum(rev) AS double), 0.0) AS total_revenue,
-       count(DISTINCT transaction_id) AS transaction_count,
-       cast(sum(rev) AS double) / count(rev) AS avg_order_value
-FROM (SELECT transaction_date, transaction_id,
-             unit_price * cast({_FX_SQL} AS decimal(8,4)) * cast(quantity AS decimal(10,0)) AS rev
-      FROM sales_nr) s
-WHERE transaction_date IS NOT NULL
-GROUP BY transaction_date""", "sales_nr"))
-def daily_revenue(spark, d):
-    """Flagship: FX conversion + daily revenue / transaction count / mean."""
-    return tr.daily_aggregation(tr.fx_convert(V.sales(spark, d, with_region=False)))
+from . import transform_queries  # noqa: F401
+from . import quality_queries  # noqa: F401
