@@ -176,3 +176,32 @@ def all_datasets_schema(spark: SparkSession, variants: dict[str, tuple[str, Data
         st = schema_table(spark, {name: df}).withColumn("contract_dataset", F.lit(cds))
         tables.append(st)
     return reduce(lambda a, b: a.unionByName(b), tables)
+
+
+def mistyped_columns(df: DataFrame) -> list[str]:
+    """Pinned columns whose actual type family differs from the pinned one."""
+    want = {"int64": "integer", "float64": "float"}
+    return [c for c, t in DRIFT_TYPES.items()
+            if c in df.columns and type_family(df.schema[c].dataType) != want[t]]
+
+
+def type_issue_samples(variants: dict[str, tuple[str, DataFrame]], order_by: list[str],
+                       n: int = 3) -> DataFrame | None:
+    """C4 samples: the first ``n`` values of each mistyped column, per variant.
+
+    Each sample is a bounded top-``n`` (no full sort, no collect).
+    Returns ``(dataset, sample_values)``.
+    """
+    parts = []
+    for name, (_cds, df) in variants.items():
+        for col in mistyped_columns(df):
+            keys = [c for c in order_by if c in df.columns]
+            top = (df.select(*keys, F.col(col).cast("string").alias("_v"))
+                   .orderBy(*keys, "_v").limit(n))
+            parts.append(top.agg(F.concat_ws(", ", F.transform(
+                F.array_sort(F.collect_list(F.struct(*keys, "_v"))), lambda s: s["_v"]))
+                .alias("sample_values")).select(F.lit(name).alias("dataset"), "sample_values"))
+    if not parts:
+        spark = next(iter(variants.values()))[1].sparkSession
+        return spark.createDataFrame([], "dataset string, sample_values string")
+    return reduce(lambda a, b: a.unionByName(b), parts)

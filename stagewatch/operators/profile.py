@@ -142,3 +142,35 @@ def row_counts(frames: dict[str, DataFrame]) -> DataFrame:
     parts = [df.agg(F.lit(name).alias("dataset"), F.count(F.lit(1)).alias("row_count"))
              for name, df in frames.items()]
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def quality_flags(metrics: DataFrame) -> DataFrame:
+    """Any nulls, duplicates, schema violations, type mismatches or
+    out-of-range values flag a run.  Extra columns alone do not."""
+    nv, nt = F.size("schema_violations"), F.size("type_mismatches")
+    flag = ((F.col("null_count") > 0) | (F.col("duplicate_count") > 0) | (nv > 0) | (nt > 0)
+            | (F.col("out_of_range_count") > 0))
+    return metrics.select("run_id", flag.alias("has_quality_issues"), "null_count", "duplicate_count",
+                          nv.cast("bigint").alias("n_schema_violations"),
+                          nt.cast("bigint").alias("n_type_mismatches"),
+                          F.size("extra_columns").cast("bigint").alias("n_extra_columns"))
+
+
+def reconcile(source: DataFrame, target: DataFrame, key: str) -> DataFrame:
+    """Key-level reconciliation of a source and a processed table.
+
+    Both sides are reduced to per-key counts first (map-side combine), so
+    the full outer join sees at most one row per key per side.
+    """
+    s = key_counts(source, key).withColumnRenamed("n", "sn")
+    t = key_counts(target, key).withColumnRenamed("n", "tn")
+    j = s.join(t, s[key].eqNullSafe(t[key]), "full_outer")
+    sn, tn = F.col("sn"), F.col("tn")
+    return j.agg(
+        F.coalesce(F.sum(sn), F.lit(0)).cast("bigint").alias("source_rows"),
+        F.coalesce(F.sum(tn), F.lit(0)).cast("bigint").alias("target_rows"),
+        F.count(sn).alias("source_keys"), F.count(tn).alias("target_keys"),
+        F.sum(F.when(tn.isNull(), 1).otherwise(0)).cast("bigint").alias("missing_in_target"),
+        F.sum(F.when(sn.isNull(), 1).otherwise(0)).cast("bigint").alias("extra_in_target"),
+        F.sum(F.when(sn.isNotNull() & tn.isNotNull() & (sn != tn), 1).otherwise(0)).cast("bigint")
+        .alias("count_mismatch_keys"))

@@ -307,3 +307,201 @@ FROM r LEFT JOIN r f ON r.rd <= 5 AND f.ra = 6 - r.rd""", "sales_nr"))
 def inject_pk_violation(spark, d):
     """The last five rows take the keys of the first five."""
     return I.inject_pk_violation(V.sales(spark, d, with_region=False), "transaction_id")
+
+
+# ---------------------------------------------------------------------------
+# contracts C1-C5, C11-C13; sources S4, J8, L2
+# ---------------------------------------------------------------------------
+
+def _drift_variants(spark, d):
+    s = V.sales(spark, d)
+    return {
+        "sales": ("sales", s),
+        "sales_new_column": ("sales", I.inject_new_column(s)),
+        "sales_type_change": ("sales", I.inject_type_change(s)),
+        "sales_missing_column": ("sales", I.inject_missing_column(s)),
+        "customers": ("customers", V.customers(spark, d)),
+        "products": ("products", V.products(spark, d)),
+    }
+
+
+@register("schema_drift", with_views("""
+WITH summary(dataset, missing_columns, extra_columns, type_issue_columns, n_missing, n_extra, n_type_issues) AS (
+  VALUES ('sales', '', '', '', 0, 0, 0),
+         ('sales_new_column', '', 'loyalty_points', '', 0, 1, 0),
+         ('sales_type_change', '', '', 'unit_price', 0, 0, 1),
+         ('sales_missing_column', 'region', '', '', 1, 0, 0),
+         ('customers', '', '', '', 0, 0, 0),
+         ('products', '', '', '', 0, 0, 0)),
+samples AS (
+  SELECT 'sales_type_change' AS dataset,
+         string_agg(v, ', ' ORDER BY transaction_id, product_id, v) AS sample_values
+  FROM (SELECT transaction_id, product_id, cast(unit_price AS varchar) || '_USD' AS v
+        FROM sales ORDER BY transaction_id, product_id, v LIMIT 3) t)
+SELECT s.dataset, s.missing_columns, s.extra_columns, s.type_issue_columns,
+       cast(s.n_missing AS bigint) AS n_missing, cast(s.n_extra AS bigint) AS n_extra,
+       cast(s.n_type_issues AS bigint) AS n_type_issues,
+       (s.n_missing + s.n_extra + s.n_type_issues) > 0 AS drift_detected,
+       CASE WHEN (s.n_missing + s.n_extra + s.n_type_issues) > 0 THEN 'Apply schema fix to handle drift'
+            ELSE 'Schema matches expected definition' END AS recommendation,
+       p.sample_values
+FROM summary s LEFT JOIN samples p ON s.dataset = p.dataset""", "sales"))
+def schema_drift(spark, d):
+    """Drift of each dataset variant against its contract,
+    with the first three values of each mistyped column."""
+    variants = _drift_variants(spark, d)
+    summary = C.schema_drift(C.all_datasets_schema(spark, variants), C.contract_table(spark))
+    samples = C.type_issue_samples(variants, order_by=["transaction_id", "product_id"])
+    return summary.join(samples, "dataset", "left")
+
+
+@register("range_violations", with_views("""
+SELECT 'sales' AS dataset, 'quantity' AS column_name, 'range' AS rule,
+       cast(sum(CASE WHEN quantity IS NOT NULL AND (quantity < 1 OR quantity > 10000) THEN 1 ELSE 0 END) AS bigint) AS violations,
+       count(*) AS total_rows FROM sales_nr
+UNION ALL SELECT 'sales', 'unit_price', 'range',
+       cast(sum(CASE WHEN unit_price IS NOT NULL AND (cast(unit_price AS double) < 0.01 OR cast(unit_price AS double) > 100000.0) THEN 1 ELSE 0 END) AS bigint),
+       count(*) FROM sales_nr
+UNION ALL SELECT 'customers', 'lifetime_value', 'range',
+       cast(sum(CASE WHEN lifetime_value IS NOT NULL AND lifetime_value < 0.0 THEN 1 ELSE 0 END) AS bigint),
+       count(*) FROM customers
+UNION ALL SELECT 'products', 'unit_price', 'range',
+       cast(sum(CASE WHEN p_retailprice IS NOT NULL AND p_retailprice < 0.01 THEN 1 ELSE 0 END) AS bigint), count(*) FROM part
+UNION ALL SELECT 'products', 'cost_price', 'range',
+       cast(sum(CASE WHEN p_retailprice IS NOT NULL AND round(p_retailprice * 0.6, 2) < 0.0 THEN 1 ELSE 0 END) AS bigint), count(*) FROM part
+UNION ALL SELECT 'products', 'stock_quantity', 'range',
+       cast(sum(CASE WHEN p_size IS NOT NULL AND p_size < 0 THEN 1 ELSE 0 END) AS bigint), count(*) FROM part
+UNION ALL SELECT 'products', 'weight_kg', 'range',
+       cast(sum(CASE WHEN p_size IS NOT NULL AND p_size / 10.0 < 0.0 THEN 1 ELSE 0 END) AS bigint), count(*) FROM part""",
+    "sales_nr", "customers"))
+def range_violations(spark, d):
+    """C13 min/max rules, one aggregate per dataset."""
+    from functools import reduce
+    parts = [C.rule_violations(V.sales(spark, d, with_region=False), "sales", kinds=("range",)),
+             C.rule_violations(V.customers(spark, d), "customers", kinds=("range",)),
+             C.rule_violations(V.products(spark, d), "products", kinds=("range",))]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@register("allowed_value_violations", with_views("""
+SELECT 'sales' AS dataset, 'currency' AS column_name, 'allowed' AS rule,
+       cast(sum(CASE WHEN currency IS NOT NULL AND currency NOT IN ('USD', 'EUR', 'GBP', 'CAD', 'AUD') THEN 1 ELSE 0 END) AS bigint) AS violations,
+       count(*) AS total_rows FROM sales
+UNION ALL SELECT 'sales', 'region', 'allowed',
+       cast(sum(CASE WHEN region IS NOT NULL AND region NOT IN ('North', 'South', 'East', 'West') THEN 1 ELSE 0 END) AS bigint), count(*) FROM sales
+UNION ALL SELECT 'sales', 'status', 'allowed',
+       cast(sum(CASE WHEN status IS NOT NULL AND status NOT IN ('completed', 'refunded', 'pending', 'failed') THEN 1 ELSE 0 END) AS bigint), count(*) FROM sales
+UNION ALL SELECT 'customers', 'tier', 'allowed',
+       cast(sum(CASE WHEN tier IS NOT NULL AND tier NOT IN ('bronze', 'silver', 'gold', 'platinum') THEN 1 ELSE 0 END) AS bigint), count(*) FROM customers
+UNION ALL SELECT 'products', 'category', 'allowed',
+       cast(sum(CASE WHEN category IS NOT NULL AND category NOT IN ('Hardware', 'Electronics', 'Software', 'Consumables', 'Accessories', 'Services') THEN 1 ELSE 0 END) AS bigint), count(*) FROM products""",
+    "sales", "customers", "products"))
+def allowed_value_violations(spark, d):
+    """C13 allowed-value rules, one aggregate per dataset."""
+    from functools import reduce
+    parts = [C.rule_violations(V.sales(spark, d), "sales", kinds=("allowed",)),
+             C.rule_violations(V.customers(spark, d), "customers", kinds=("allowed",)),
+             C.rule_violations(V.products(spark, d), "products", kinds=("allowed",))]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _uniq_sql(table, dataset, col):
+    return (f"SELECT '{dataset}' AS dataset, '{col}' AS column_name, cast(sum(n - 1) AS bigint) AS violations, "
+            f"cast(sum(n) AS bigint) AS total_rows FROM (SELECT {col}, count(*) AS n FROM {table} GROUP BY {col}) k")
+
+
+@register("uniqueness_violations", with_views(" UNION ALL ".join([
+    _uniq_sql("sales_nr", "sales", "transaction_id"), _uniq_sql("customers", "customers", "customer_id"),
+    _uniq_sql("customers", "customers", "email"), _uniq_sql("products", "products", "product_id")]),
+    "sales_nr", "customers", "products"))
+def uniqueness_violations(spark, d):
+    """C13 unique rules: rows beyond the first per declared-unique column."""
+    from functools import reduce
+    s, c, p = V.sales(spark, d, with_region=False), V.customers(spark, d), V.products(spark, d)
+    parts = [C.uniqueness_violations(s, C.unique_columns("sales", s), "sales"),
+             C.uniqueness_violations(c, C.unique_columns("customers", c), "customers"),
+             C.uniqueness_violations(p, C.unique_columns("products", p), "products")]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@register("ingestion_metrics", with_views("""
+WITH s AS (SELECT count(*) AS sales_rows,
+                  cast(sum((CASE WHEN transaction_id IS NULL THEN 1 ELSE 0 END) + (CASE WHEN customer_id IS NULL THEN 1 ELSE 0 END)
+                     + (CASE WHEN product_id IS NULL THEN 1 ELSE 0 END) + (CASE WHEN quantity IS NULL THEN 1 ELSE 0 END)
+                     + (CASE WHEN unit_price IS NULL THEN 1 ELSE 0 END) + (CASE WHEN currency IS NULL THEN 1 ELSE 0 END)
+                     + (CASE WHEN transaction_date IS NULL THEN 1 ELSE 0 END) + (CASE WHEN region IS NULL THEN 1 ELSE 0 END)
+                     + (CASE WHEN status IS NULL THEN 1 ELSE 0 END)) AS bigint) AS sales_null_cells
+           FROM sales),
+k AS (SELECT cast(sum(n - 1) AS bigint) AS duplicate_count FROM (SELECT transaction_id, count(*) AS n FROM sales GROUP BY 1) t),
+c AS (SELECT count(*) AS customer_rows, cast(sum(CASE WHEN email IS NULL THEN 1 ELSE 0 END) AS bigint) AS email_nulls FROM customers),
+p AS (SELECT count(*) AS product_rows FROM part)
+SELECT sales_rows, customer_rows, product_rows, sales_rows + customer_rows + product_rows AS total_rows_in,
+       cast(0 AS bigint) AS n_missing_columns, cast(0 AS bigint) AS n_type_mismatches,
+       sales_null_cells, email_nulls, duplicate_count, 'success' AS status,
+       sales_rows + customer_rows + product_rows AS rows_out
+FROM s, k, c, p""", "sales", "customers"))
+def ingestion_metrics(spark, d):
+    """A1/C11: the ingestion stage's metrics row and verdict for the sources."""
+    from ..plans import jobs
+    return jobs.ingestion_metrics(jobs.Sources.from_views(spark, d))
+
+
+@register("quality_flags", with_views("""
+SELECT run_id,
+       (null_count > 0 OR duplicate_count > 0 OR n_schema_violations > 0 OR n_type_mismatches > 0
+        OR out_of_range_count > 0) AS has_quality_issues,
+       cast(null_count AS bigint) AS null_count, cast(duplicate_count AS bigint) AS duplicate_count,
+       cast(n_schema_violations AS bigint) AS n_schema_violations,
+       cast(n_type_mismatches AS bigint) AS n_type_mismatches,
+       cast(n_extra_columns AS bigint) AS n_extra_columns
+FROM quality_metrics""", "quality_metrics"))
+def quality_flags(spark, d):
+    """The has-issues flag per run (extra columns alone do not count)."""
+    return Q.quality_flags(V.quality_metrics(spark, d))
+
+
+@register("missing_sources", """
+SELECT * FROM (VALUES ('sales_lines', true, (SELECT count(*) FROM lineitem), 'success', NULL),
+                      ('sales_orders', true, (SELECT count(*) FROM orders), 'success', NULL),
+                      ('customers', true, (SELECT count(*) FROM customer), 'success', NULL),
+                      ('products', true, (SELECT count(*) FROM part), 'success', NULL),
+                      ('product_catalog', false, 0, 'failed',
+                       'Source file for ''product_catalog'' not found in data lake.'))
+  t(source, landed, row_count, status, message)""")
+def missing_sources(spark, d):
+    """Arrival check of the expected sources (one is absent)."""
+    from ..sources.files import source_arrival
+    from ..sources.tables import table_path
+    expected = {"sales_lines": table_path(d, "lineitem"), "sales_orders": table_path(d, "orders"),
+                "customers": table_path(d, "customer"), "products": table_path(d, "part"),
+                "product_catalog": table_path(d, "product_catalog")}
+    return source_arrival(spark, expected)
+
+
+@register("source_target_reconcile", with_views("""
+WITH src AS (SELECT transaction_id, count(*) AS n FROM sales GROUP BY 1),
+tgt AS (SELECT transaction_id, count(*) AS n FROM (SELECT DISTINCT transaction_id FROM sales) t GROUP BY 1),
+j AS (SELECT coalesce(s.transaction_id, t.transaction_id) AS k, s.n AS sn, t.n AS tn
+      FROM src s FULL OUTER JOIN tgt t ON s.transaction_id = t.transaction_id)
+SELECT cast(coalesce(sum(sn), 0) AS bigint) AS source_rows, cast(coalesce(sum(tn), 0) AS bigint) AS target_rows,
+       count(sn) AS source_keys, count(tn) AS target_keys,
+       cast(sum(CASE WHEN tn IS NULL THEN 1 ELSE 0 END) AS bigint) AS missing_in_target,
+       cast(sum(CASE WHEN sn IS NULL THEN 1 ELSE 0 END) AS bigint) AS extra_in_target,
+       cast(sum(CASE WHEN sn IS NOT NULL AND tn IS NOT NULL AND sn <> tn THEN 1 ELSE 0 END) AS bigint) AS count_mismatch_keys
+FROM j""", "sales"))
+def source_target_reconcile(spark, d):
+    """Source sales vs the de-duplicated, enriched target, by key."""
+    from ..operators import transform as tr
+    src = V.sales(spark, d)
+    tgt = tr.enrich_customers(R.dedup_first(src, "transaction_id", DEDUP_ORDER), V.customers(spark, d))
+    return Q.reconcile(src, tgt, "transaction_id")
+
+
+@register("sample_rows", with_views(f"""
+SELECT {_sales_sql_cols()} FROM sales
+ORDER BY transaction_id, customer_id, product_id, quantity, unit_price, currency, transaction_date,
+         region NULLS FIRST, status LIMIT 5""", "sales"))
+def sample_rows(spark, d):
+    """L2: the first five rows in an explicit total order (top-k)."""
+    s = V.sales(spark, d)
+    return s.orderBy(*[F.col(c).asc_nulls_first() for c in s.columns]).limit(5)
