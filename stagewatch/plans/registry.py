@@ -2,3 +2,4 @@
 
 from . import transform_queries  # noqa: F401
 from . import quality_queries  # noqa: F401
+from . import run_queries  # noqa: F401
