@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from ..functions.constants import (MISSING_COLUMN_MSG, MISSING_SOURCE_MSG, REVENUE_FAIL_MSG,
                                    SALES_COLUMNS, SCHEMA_FAIL_MSG)
 from ..functions.exprs import is_null, is_numeric
-from ..operators import contracts as C
 from ..operators import profile as Q
 from ..operators import transform as tr
 from ..sources import views as V
@@ -265,5 +264,3 @@ def record_run(spark: SparkSession, run: RunResult, base: str) -> None:
                               "run_id string, seq bigint, action string") \
             .write.mode("append").parquet(f"{base}/remediations")
 
-
-_ = (C,)
