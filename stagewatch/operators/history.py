@@ -22,11 +22,12 @@ DURATION_TYPE = "decimal(38,9)"   # exact, order-independent sums of durations
 
 
 def _ts(as_of) -> Column:
+    """A TIMESTAMP_NTZ literal parsed from text (independent of any time zone)."""
     if isinstance(as_of, Column):
         return as_of
-    if isinstance(as_of, str):
-        as_of = _dt.datetime.fromisoformat(as_of)
-    return F.lit(as_of).cast("timestamp_ntz")
+    if isinstance(as_of, _dt.datetime):
+        as_of = as_of.isoformat(sep=" ")
+    return F.lit(str(as_of)).cast("timestamp_ntz")
 
 
 def within(history: DataFrame, as_of, hours: int | None = LOOKBACK_HOURS, ts_col: str = "ts") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app_name: str = "stagewatch") -> SparkSession:
+                  app_name: str = "stagewatch", time_zone: str = "UTC") -> SparkSession:
     """A local session tuned for small test data (not used on a cluster)."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -25,7 +25,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.session.timeZone", time_zone)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
