@@ -65,9 +65,17 @@ def ingestion_metrics(src: Sources) -> DataFrame:
         sa = s.agg(F.count(F.lit(1)).alias("sales_rows"),
                    F.coalesce(F.sum(null_cells), F.lit(0)).cast("bigint").alias("sales_null_cells"),
                    F.lit(0).cast("bigint").alias("duplicate_count"))
-    email = (F.sum(F.when(is_null(c, "email"), 1).otherwise(0)) if "email" in c.columns else F.lit(0))
-    ca = c.agg(F.count(F.lit(1)).alias("customer_rows"),
-               F.coalesce(email, F.lit(0)).cast("bigint").alias("email_nulls"))
+    email = F.when(is_null(c, "email"), 1).otherwise(0) if "email" in c.columns else F.lit(0)
+    if "customer_id" in c.columns:
+        # the lookup side must be unique on customer_id (J2): same one-shuffle shape
+        ck = c.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"), F.sum(email).alias("en"))
+        ca = ck.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("customer_rows"),
+                    F.coalesce(F.sum("en"), F.lit(0)).cast("bigint").alias("email_nulls"),
+                    F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("customer_duplicates"))
+    else:
+        ca = c.agg(F.count(F.lit(1)).alias("customer_rows"),
+                   F.coalesce(F.sum(email), F.lit(0)).cast("bigint").alias("email_nulls"),
+                   F.lit(0).cast("bigint").alias("customer_duplicates"))
     pa = p.agg(F.count(F.lit(1)).alias("product_rows"))
     failed = len(missing) + len(mistyped) > 0
     total = F.col("sales_rows") + F.col("customer_rows") + F.col("product_rows")
@@ -75,7 +83,7 @@ def ingestion_metrics(src: Sources) -> DataFrame:
         "sales_rows", "customer_rows", "product_rows", total.alias("total_rows_in"),
         F.lit(len(missing)).cast("bigint").alias("n_missing_columns"),
         F.lit(len(mistyped)).cast("bigint").alias("n_type_mismatches"),
-        "sales_null_cells", "email_nulls", "duplicate_count",
+        "sales_null_cells", "email_nulls", "duplicate_count", "customer_duplicates",
         F.lit("failed" if failed else "success").alias("status"),
         (F.lit(0) if failed else total).cast("bigint").alias("rows_out"))
 
@@ -176,6 +184,12 @@ def run_transform(src: Sources | None, run: RunResult) -> None:
         return
     t0 = _now()
     n = run.metrics.get("sales_rows", 0)
+    if run.metrics.get("customer_duplicates", 0):
+        msg = (f"Transform error: customer lookup is not unique "
+               f"({run.metrics['customer_duplicates']} duplicate customer_id rows)")
+        run.log("error", "transform", msg)
+        run.set_stage("transform", 2, "failed", n, 0, msg, t0)
+        return
     try:
         enriched = tr.enrich_customers(tr.fx_convert(src.sales), src.customers)
     except tr.TransformError:

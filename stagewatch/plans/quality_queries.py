@@ -433,11 +433,12 @@ WITH s AS (SELECT count(*) AS sales_rows,
                      + (CASE WHEN status IS NULL THEN 1 ELSE 0 END)) AS bigint) AS sales_null_cells
            FROM sales),
 k AS (SELECT cast(sum(n - 1) AS bigint) AS duplicate_count FROM (SELECT transaction_id, count(*) AS n FROM sales GROUP BY 1) t),
-c AS (SELECT count(*) AS customer_rows, cast(sum(CASE WHEN email IS NULL THEN 1 ELSE 0 END) AS bigint) AS email_nulls FROM customers),
+c AS (SELECT count(*) AS customer_rows, cast(sum(CASE WHEN email IS NULL THEN 1 ELSE 0 END) AS bigint) AS email_nulls,
+             count(*) - count(DISTINCT customer_id) AS customer_duplicates FROM customers),
 p AS (SELECT count(*) AS product_rows FROM part)
 SELECT sales_rows, customer_rows, product_rows, sales_rows + customer_rows + product_rows AS total_rows_in,
        cast(0 AS bigint) AS n_missing_columns, cast(0 AS bigint) AS n_type_mismatches,
-       sales_null_cells, email_nulls, duplicate_count, 'success' AS status,
+       sales_null_cells, email_nulls, duplicate_count, customer_duplicates, 'success' AS status,
        sales_rows + customer_rows + product_rows AS rows_out
 FROM s, k, c, p""", "sales", "customers"))
 def ingestion_metrics(spark, d):

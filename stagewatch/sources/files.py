@@ -53,6 +53,36 @@ def read_json(spark: SparkSession, path: str, multiline: bool = True,
     return r.json(path)
 
 
+_CONTRACT_RULE = ("struct<type:string, required:boolean, unique:boolean, min:double, max:double, "
+                  "allowed_values:array<string>>")
+_SPARK_TYPES = {"string": T.StringType(), "integer": T.LongType(), "float": T.DoubleType(),
+                "date": T.DateType(), "boolean": T.BooleanType(), "timestamp": T.TimestampNTZType()}
+
+
+def read_contract(spark: SparkSession, path: str, dataset: str) -> DataFrame:
+    """A JSON contract file (``{"name":..., "columns": {col: {rules}}}``)
+    as contract rows ``(dataset, column_name, expected_type, required,
+    is_unique, min_value, max_value, allowed_values, ordinal)``.
+
+    The file text is parsed straight into a map (schema inference would sort
+    the columns), so any column set works and the position is the
+    declaration order.
+    """
+    raw = spark.read.text(path, wholetext=True)
+    doc = F.from_json(F.col("value"), f"struct<name:string, columns:map<string, {_CONTRACT_RULE}>>")
+    return raw.select(F.posexplode(doc["columns"]).alias("ordinal", "column_name", "r")).select(
+        F.lit(dataset).alias("dataset"), "column_name", F.col("r.type").alias("expected_type"),
+        F.coalesce("r.required", F.lit(False)).alias("required"),
+        F.coalesce("r.unique", F.lit(False)).alias("is_unique"),
+        F.col("r.min").alias("min_value"), F.col("r.max").alias("max_value"),
+        F.col("r.allowed_values").alias("allowed_values"), F.col("ordinal").cast("int").alias("ordinal"))
+
+
+def contract_schema(rules: list) -> T.StructType:
+    """A typed read schema from rule tuples ``(column, type, ...)``."""
+    return T.StructType([T.StructField(r[0], _SPARK_TYPES.get(r[1], T.StringType())) for r in rules])
+
+
 def try_read(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
     """The table at ``path``, or None when the path does not exist."""
     try:
@@ -63,6 +93,22 @@ def try_read(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame
         raise
 
 
+def resolve_sources(spark: SparkSession, supplied: dict[str, DataFrame | None],
+                    defaults: dict[str, tuple[str, str]]) -> tuple[dict[str, DataFrame], list[str]]:
+    """S3: each dataset is the supplied table, else its default location
+    ``(path, format)``; datasets found nowhere are returned as missing."""
+    found, missing = {}, []
+    for name, (path, fmt) in defaults.items():
+        df = supplied.get(name)
+        if df is None:
+            df = try_read(spark, path, fmt)
+        if df is None:
+            missing.append(name)
+        else:
+            found[name] = df
+    return found, missing
+
+
 def source_arrival(spark: SparkSession, expected: dict[str, str], fmt: str = "parquet") -> DataFrame:
     """One row per expected source: landed or not, rows, status, message.
 

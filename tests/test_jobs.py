@@ -93,3 +93,10 @@ def test_type_change_repaired_then_rerun(sources, tmp_path):
     assert run.stage("load")["status"] == "skipped"
     with pytest.raises(ValueError):
         jobs.rollback_stage(run, "ingestion")
+
+
+def test_duplicate_lookup_keys_fail_transform(sources):
+    dup_c = sources.customers.unionByName(sources.customers.limit(1))
+    run = jobs.run_pipeline(sources.replace(customers=dup_c))
+    assert statuses(run) == ["success", "failed", "skipped"]
+    assert "not unique" in run.stage("transform")["error_message"]
