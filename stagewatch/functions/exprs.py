@@ -69,6 +69,13 @@ def micros_since_epoch(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), ts)
 
 
+def ts_text(c: Column) -> Column:
+    """``yyyy-MM-dd HH:mm:ss.ffffff`` for a TIMESTAMP_NTZ without any time-zone
+    conversion (the string cast trims trailing fraction zeros; pad them back)."""
+    s = c.cast("string")
+    return F.when(F.instr(s, ".") > 0, F.rpad(s, 26, "0")).otherwise(F.concat(s, F.lit(".000000")))
+
+
 def present(df: DataFrame) -> DataFrame:
     """Final projection for reports: dates and times as ISO text, decimals as
     double, small integers as bigint.  Applied once at the end of a query."""
@@ -77,8 +84,10 @@ def present(df: DataFrame) -> DataFrame:
         c = F.col(f"`{f.name}`")
         t = f.dataType
         if isinstance(t, T.DateType):
-            c = F.date_format(c, "yyyy-MM-dd")
-        elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+            c = c.cast("string")
+        elif isinstance(t, T.TimestampNTZType):
+            c = ts_text(c)
+        elif isinstance(t, T.TimestampType):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         elif isinstance(t, T.DecimalType):
             c = c.cast("double")

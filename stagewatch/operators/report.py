@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import (REC_ARRIVAL, REC_DUPES, REC_NONE, REC_NULLS, REC_SCHEMA, REC_TYPES,
                                    STATUS_ICONS)
-from ..functions.exprs import is_error_level, ordered_text
+from ..functions.exprs import is_error_level, ordered_text, ts_text
 from . import history as H
 from . import runlog as L
 
@@ -241,7 +241,7 @@ def incident_report_text(runs, stages, logs, calls, metrics) -> DataFrame:
     text = F.concat_ws(
         "\n", F.lit(bar), F.lit("  ETL PIPELINE INCIDENT REPORT"),
         F.concat(F.lit("  Report ID : "), F.col("report_id")),
-        F.concat(F.lit("  Generated : "), F.col("finished_at").cast("string")), F.lit(bar), F.lit(""),
+        F.concat(F.lit("  Generated : "), ts_text(F.col("finished_at"))), F.lit(bar), F.lit(""),
         F.concat(F.lit("PIPELINE     : "), F.col("pipeline_name")),
         F.concat(F.lit("RUN ID       : "), F.col("run_id").cast("string")),
         F.concat(F.lit("SCENARIO     : "), F.col("scenario_name")),
@@ -249,8 +249,8 @@ def incident_report_text(runs, stages, logs, calls, metrics) -> DataFrame:
         F.concat(F.lit("SEVERITY     : "), F.col("severity")),
         F.concat(F.lit("FAILURE TYPE : "), F.coalesce("failure_type", F.lit("N/A"))),
         F.concat(F.lit("OUTCOME      : "), F.col("final_outcome")), F.lit(""),
-        F.lit("TIMELINE"), F.concat(F.lit("  Started  : "), F.col("started_at").cast("string")),
-        F.concat(F.lit("  Finished : "), F.col("finished_at").cast("string")), F.lit(""),
+        F.lit("TIMELINE"), F.concat(F.lit("  Started  : "), ts_text(F.col("started_at"))),
+        F.concat(F.lit("  Finished : "), ts_text(F.col("finished_at"))), F.lit(""),
         F.lit("STAGE SUMMARY"), F.coalesce("stage_lines", F.lit("")),
         section("ERRORS DETECTED", F.col("error_lines")),
         section("WARNINGS", F.col("warning_lines")),

@@ -311,7 +311,46 @@ def incident_report(spark, d):
     return K.incident_report(*_run_tables(spark, d))
 
 
-@register("incident_report_text")
+_TEXT_SQL = _facts_sql(f"""
+, rep AS (SELECT run_id, 'INC-' || cast(run_id AS varchar) AS report_id, pipeline_name, scenario_name,
+          CASE WHEN nf = 0 AND ne = 0 THEN 'HEALTHY' WHEN nf > 0 THEN 'FAILED' ELSE 'DEGRADED' END AS health_status,
+          CASE WHEN nf = 0 AND ne = 0 THEN 'NONE' WHEN nf > 1 THEN 'HIGH' WHEN nf > 0 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+          failure_type, {_REP_OUT} AS final_outcome, started_at, finished_at,
+          {_recs_sql('coalesce(n_schema_violations, 0)', 'coalesce(n_type_mismatches, 0)', 'coalesce(m_duplicate_count, 0)', 'coalesce(m_null_count, 0)', 'failure_type')} AS recommendations
+        FROM facts),
+sl AS (SELECT run_id, string_agg('  ' || ICONS || ' ' || rpad(stage_name, 12, ' ') || ' | '
+              || rpad(status, 12, ' ') || ' | ' || printf('in=%5d out=%5d', rows_in, rows_out)
+              || coalesce(' | ERR: ' || error_message, ''), chr(10) ORDER BY stage_ordinal) AS stage_lines
+       FROM la GROUP BY run_id),
+ll AS (SELECT run_id,
+              string_agg('  [' || upper(level) || '] [' || stage || '] ' || message, chr(10) ORDER BY seq)
+                FILTER (WHERE level IN ('error', 'critical')) AS error_lines,
+              string_agg('  [WARN] [' || stage || '] ' || message, chr(10) ORDER BY seq)
+                FILTER (WHERE level = 'warning') AS warning_lines
+       FROM log_entries GROUP BY run_id),
+fc AS (SELECT run_id, action, min(seq) AS seq FROM remediations GROUP BY run_id, action),
+rl AS (SELECT run_id, string_agg('  ' || cast(rn AS varchar) || '. ' || action, chr(10) ORDER BY seq) AS remediation_lines
+       FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS rn FROM fc) t GROUP BY run_id)
+SELECT rep.report_id, rep.run_id, concat_ws(chr(10),
+  repeat('=', 70), '  ETL PIPELINE INCIDENT REPORT', '  Report ID : ' || rep.report_id,
+  '  Generated : ' || strftime(rep.finished_at, {TS}), repeat('=', 70), '',
+  'PIPELINE     : ' || rep.pipeline_name, 'RUN ID       : ' || cast(rep.run_id AS varchar),
+  'SCENARIO     : ' || rep.scenario_name, 'HEALTH       : ' || rep.health_status,
+  'SEVERITY     : ' || rep.severity, 'FAILURE TYPE : ' || coalesce(rep.failure_type, 'N/A'),
+  'OUTCOME      : ' || rep.final_outcome, '', 'TIMELINE',
+  '  Started  : ' || strftime(rep.started_at, {TS}), '  Finished : ' || strftime(rep.finished_at, {TS}), '',
+  'STAGE SUMMARY', coalesce(sl.stage_lines, ''),
+  CASE WHEN coalesce(ll.error_lines, '') <> '' THEN chr(10) || 'ERRORS DETECTED' || chr(10) || ll.error_lines END,
+  CASE WHEN coalesce(ll.warning_lines, '') <> '' THEN chr(10) || 'WARNINGS' || chr(10) || ll.warning_lines END,
+  chr(10) || 'REMEDIATION APPLIED' || chr(10) || coalesce(nullif(rl.remediation_lines, ''), '  None required'),
+  chr(10) || 'RECOMMENDATIONS' || chr(10) || array_to_string(list_transform(string_split(rep.recommendations, ' | '),
+      lambda r: '  • ' || r), chr(10)),
+  '', repeat('=', 70)) AS report_text
+FROM rep LEFT JOIN sl ON rep.run_id = sl.run_id LEFT JOIN ll ON rep.run_id = ll.run_id
+LEFT JOIN rl ON rep.run_id = rl.run_id""".replace("ICONS", "CASE la.status WHEN 'success' THEN '✓' WHEN 'failed' THEN '✗' WHEN 'skipped' THEN '↷' WHEN 'remediated' THEN '⟳' WHEN 'pending' THEN '?' WHEN 'running' THEN '►' ELSE '?' END"))
+
+
+@register("incident_report_text", _TEXT_SQL)
 def incident_report_text(spark, d):
     """The readable report text of every run (rows-only check)."""
     return K.incident_report_text(*_run_tables(spark, d))
