@@ -130,8 +130,10 @@ def triage_route(history: DataFrame, known: DataFrame) -> DataFrame:
 def run_facts(runs: DataFrame, stages: DataFrame, logs: DataFrame, calls: DataFrame,
               metrics: DataFrame) -> DataFrame:
     """One row per run with everything the rules need (all joins 1:1 on run_id)."""
-    st = L.overall_status(stages)
-    roll = L.stage_status_rollup(stages)
+    st = L.stage_facts(stages).select(
+        "run_id", F.when(F.col("first_failed"), "failed").otherwise("success").alias("overall_status"),
+        F.when(F.col("current_failed"), "failed").otherwise("success").alias("current_status"),
+        "failed_stages", "skipped_stages", "remediated_stages", "n_failed")
     lc = L.error_counts(logs)
     led = L.remediation_ledger(calls)
     m = metrics.select("run_id", F.col("total_rows").alias("m_total_rows"),
@@ -139,7 +141,7 @@ def run_facts(runs: DataFrame, stages: DataFrame, logs: DataFrame, calls: DataFr
                        F.col("duplicate_count").alias("m_duplicate_count"),
                        F.col("schema_violations").alias("m_schema_violations"),
                        F.col("type_mismatches").alias("m_type_mismatches"))
-    j = (runs.join(st, "run_id", "left").join(roll, "run_id", "left").join(lc, "run_id", "left")
+    j = (runs.join(st, "run_id", "left").join(lc, "run_id", "left")
          .join(led, "run_id", "left").join(m, "run_id", "left"))
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     return j.select("*", z("n_failed").alias("_nf"), z("error_count").alias("_ne"),

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.constants import STAGES
+from ..functions.constants import STAGE_STATUSES, STAGES
 from ..functions.exprs import is_error_level, ordered_text
 
 
@@ -95,19 +95,43 @@ def stage_gate(stages: DataFrame) -> DataFrame:
                     t_ok.alias("transform_allowed"), l_ok.alias("load_allowed"), gate_ok.alias("gate_ok"))
 
 
+def _status_code(c):
+    """Status as a small int (1-based position in the status list) so the
+    per-stage aggregates keep fixed-width buffers (hash aggregation)."""
+    return F.array_position(F.array(*[F.lit(x) for x in STAGE_STATUSES]), c).cast("int")
+
+
+def stage_facts(stages: DataFrame) -> DataFrame:
+    """Per run, from ONE two-level aggregate over all attempts:
+    first-pass and current failure flags and the ordered stage lists.
+
+    Level 1 groups by (run, stage) and keeps the status of the earliest and
+    of the latest attempt (``min_by``/``max_by`` on int codes, map-side
+    combined); level 2 groups by run.  Two shuffles, no window.
+    """
+    code = _status_code(F.col("status"))
+    per = stages.groupBy("run_id", "stage_name").agg(
+        F.min_by(code, F.col("attempt")).alias("_first"), F.max_by(code, F.col("attempt")).alias("_last"),
+        F.max("stage_ordinal").alias("_ord"))
+    failed, skipped, remediated = (STAGE_STATUSES.index(x) + 1 for x in ("failed", "skipped", "remediated"))
+
+    def names(c: int):
+        return F.concat_ws(",", F.transform(F.array_sort(F.collect_list(
+            F.when(F.col("_last") == c, F.struct(F.col("_ord"), F.col("stage_name"))))),
+            lambda x: x["stage_name"]))
+    return per.groupBy("run_id").agg(
+        F.max(F.col("_first") == failed).alias("first_failed"),
+        F.max(F.col("_last") == failed).alias("current_failed"),
+        names(failed).alias("failed_stages"), names(skipped).alias("skipped_stages"),
+        names(remediated).alias("remediated_stages"),
+        F.sum(F.when(F.col("_last") == failed, 1).otherwise(0)).cast("bigint").alias("n_failed"))
+
+
 def stage_status_rollup(stages: DataFrame) -> DataFrame:
     """failed / skipped / remediated stages per run (latest attempts),
     as ordered text lists."""
-    la = latest_attempt(stages)
-
-    def names(status: str):
-        return F.concat_ws(",", F.transform(F.array_sort(F.collect_list(
-            F.when(F.col("status") == status, F.struct("stage_ordinal", "stage_name")))),
-            lambda s: s["stage_name"]))
-    return la.groupBy("run_id").agg(
-        names("failed").alias("failed_stages"), names("skipped").alias("skipped_stages"),
-        names("remediated").alias("remediated_stages"),
-        F.sum(F.when(F.col("status") == "failed", 1).otherwise(0)).cast("bigint").alias("n_failed"))
+    return stage_facts(stages).select("run_id", "failed_stages", "skipped_stages", "remediated_stages",
+                                      "n_failed")
 
 
 def stage_metrics(stages: DataFrame, metrics: DataFrame) -> DataFrame:
@@ -126,17 +150,14 @@ def stage_metrics(stages: DataFrame, metrics: DataFrame) -> DataFrame:
                     z("n_schema_violations"), z("n_type_mismatches"))
 
 
-def overall_status(stages: DataFrame) -> DataFrame:
+def overall_status(stages: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """K1/A10: FAILED if any first-pass stage failed, else SUCCESS; plus the
     current status from the latest attempts (the first stays as it was)."""
-    first = first_attempt(stages).groupBy("run_id").agg(
-        F.max(F.col("status") == "failed").alias("_first_failed"))
-    cur = latest_attempt(stages).groupBy("run_id").agg(
-        F.max(F.col("status") == "failed").alias("_cur_failed"))
-    return first.join(cur, "run_id").select(
+    f = stage_facts(stages) if facts is None else facts
+    return f.select(
         "run_id",
-        F.when(F.col("_first_failed"), "failed").otherwise("success").alias("overall_status"),
-        F.when(F.col("_cur_failed"), "failed").otherwise("success").alias("current_status"))
+        F.when(F.col("first_failed"), "failed").otherwise("success").alias("overall_status"),
+        F.when(F.col("current_failed"), "failed").otherwise("success").alias("current_status"))
 
 
 def run_inspection(runs: DataFrame, stages: DataFrame, logs: DataFrame) -> DataFrame:
