@@ -63,8 +63,9 @@ def inject_pk_violation(df: DataFrame, key: str = "transaction_id", order_by: li
     """The last ``n`` rows take the keys of the first ``n`` rows.
 
     "First/last" follow an explicit total order (``order_by`` then all
-    other columns).  Both ends are top-``n`` selections (bounded), and the
-    ``n``-row key map is broadcast back onto the table.  The ``k``-th of
+    other columns).  Both ends are bounded top-``n`` selections (each a
+    per-partition top-n merged in one small step), and the ``n``-row key
+    map is broadcast back onto the table: three scans, no global sort.  The ``k``-th of
     the last ``n`` rows receives the ``k``-th first key.  Needs more than
     ``n`` rows, otherwise the input is returned unchanged.
     """
@@ -73,12 +74,14 @@ def inject_pk_violation(df: DataFrame, key: str = "transaction_id", order_by: li
     asc = [F.col(c).asc_nulls_first() for c in cols]
     desc = [F.col(c).desc_nulls_last() for c in cols]
     ident = F.struct(*[F.col(c) for c in cols])
-    first = (df.orderBy(*asc).limit(n).select(F.col(key).alias("_new_key"),
-                                              F.row_number().over(_w(asc)).alias("_pos")))
+    # n+1 first rows: their count also tells whether the table has more than n rows
+    head = df.orderBy(*asc).limit(n + 1).select(F.col(key).alias("_new_key"),
+                                                F.row_number().over(_w(asc)).alias("_pos"))
+    enough = head.agg((F.count(F.lit(1)) > n).alias("_enough"))
+    first = head.where(F.col("_pos") <= n)
     last = (df.orderBy(*desc).limit(n).select(ident.alias("_ident"),
                                               (F.lit(n + 1) - F.row_number().over(_w(desc))).alias("_pos")))
-    enough = df.limit(n + 1).agg(F.count(F.lit(1)).alias("_cnt"))
-    remap = last.join(first, "_pos").crossJoin(enough).where(F.col("_cnt") > n).select("_ident", "_new_key")
+    remap = last.join(first, "_pos").crossJoin(enough).where(F.col("_enough")).select("_ident", "_new_key")
     j = df.join(F.broadcast(remap), ident.eqNullSafe(F.col("_ident")), "left")
     return j.select(*[F.coalesce(F.col("_new_key"), F.col(key)).alias(key) if c == key else F.col(c)
                       for c in df.columns])

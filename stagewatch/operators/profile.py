@@ -174,3 +174,14 @@ def reconcile(source: DataFrame, target: DataFrame, key: str) -> DataFrame:
         F.sum(F.when(sn.isNull(), 1).otherwise(0)).cast("bigint").alias("extra_in_target"),
         F.sum(F.when(sn.isNotNull() & tn.isNotNull() & (sn != tn), 1).otherwise(0)).cast("bigint")
         .alias("count_mismatch_keys"))
+
+
+def select_present(df: DataFrame, wanted: list[str]) -> DataFrame:
+    """Project the wanted columns that exist, in the wanted order."""
+    return df.select(*[c for c in wanted if c in df.columns])
+
+
+def first_rows(df: DataFrame, n: int = 5, order_by: list[str] | None = None) -> DataFrame:
+    """L2: the first ``n`` rows under an explicit total order (bounded top-n)."""
+    cols = list(order_by or []) + [c for c in df.columns if c not in (order_by or [])]
+    return df.orderBy(*[F.col(c).asc_nulls_first() for c in cols]).limit(n)

@@ -506,3 +506,29 @@ def sample_rows(spark, d):
     """L2: the first five rows in an explicit total order (top-k)."""
     s = V.sales(spark, d)
     return s.orderBy(*[F.col(c).asc_nulls_first() for c in s.columns]).limit(5)
+
+
+PROCESSED_SAMPLE_COLUMNS = ["transaction_id", "customer_id", "unit_price", "unit_price_usd", "revenue_usd",
+                            "customer_tier"]
+
+
+@register("processed_sample", with_views("""
+WITH d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY
+             product_id ASC NULLS FIRST, quantity ASC NULLS FIRST, unit_price ASC NULLS FIRST,
+             customer_id ASC NULLS FIRST, currency ASC NULLS FIRST, transaction_date ASC NULLS FIRST,
+             region ASC NULLS FIRST, status ASC NULLS FIRST) AS rn FROM sales) t WHERE rn = 1),
+e AS (SELECT d.transaction_id, d.customer_id, cast(d.unit_price AS double) AS unit_price,
+             cast(d.unit_price * cast(CASE d.currency WHEN 'USD' THEN 1.0 WHEN 'EUR' THEN 1.08 WHEN 'GBP' THEN 1.27
+               WHEN 'CAD' THEN 0.74 WHEN 'AUD' THEN 0.65 ELSE 1.0 END AS decimal(8,4)) AS double) AS unit_price_usd,
+             cast(d.unit_price * cast(CASE d.currency WHEN 'USD' THEN 1.0 WHEN 'EUR' THEN 1.08 WHEN 'GBP' THEN 1.27
+               WHEN 'CAD' THEN 0.74 WHEN 'AUD' THEN 0.65 ELSE 1.0 END AS decimal(8,4))
+               * cast(d.quantity AS decimal(10,0)) AS double) AS revenue_usd,
+             CASE WHEN c.customer_id IS NULL THEN 'unknown' ELSE c.tier END AS customer_tier
+      FROM d LEFT JOIN customers c ON d.customer_id = c.customer_id)
+SELECT * FROM e ORDER BY transaction_id LIMIT 5""", "sales", "customers"))
+def processed_sample(spark, d):
+    """The first five processed rows, projected to the columns present."""
+    from ..operators import transform as tr
+    target = tr.enrich_customers(tr.fx_convert(R.dedup_first(V.sales(spark, d), "transaction_id", DEDUP_ORDER)),
+                                 V.customers(spark, d))
+    return Q.first_rows(Q.select_present(target, PROCESSED_SAMPLE_COLUMNS), 5, ["transaction_id"])
