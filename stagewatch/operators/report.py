@@ -208,41 +208,24 @@ def incident_report(runs, stages, logs, calls, metrics) -> DataFrame:
         F.when(F.size(rec) > 0, F.concat_ws(" | ", rec)).otherwise(F.lit(REC_NONE)).alias("recommendations"))
 
 
-def incident_report_text(runs, stages, logs, calls, metrics) -> DataFrame:
-    """The readable text report per run, assembled with built-ins
-    (format_string / lpad / rpad / ordered collect_list)."""
+def incident_report_lines(runs, stages, logs, calls, metrics) -> DataFrame:
+    """The readable report as ``(run_id, section, item, line)`` rows.
+
+    Ordering by (section, item) inside a run gives the report text.  Every
+    part is built row-wise (log lines keep their own rows, ordered by their
+    sequence number), so no run's log is gathered into one task; only the
+    bounded parts (distinct repair actions, recommendations) are collected.
+    """
     rep = incident_report(runs, stages, logs, calls, metrics)
-    la = L.latest_attempt(stages)
-    icon = F.create_map(*[x for k, v in STATUS_ICONS.items() for x in (F.lit(k), F.lit(v))])
-    sline = F.concat(
-        F.lit("  "), F.coalesce(F.try_element_at(icon, F.col("status")), F.lit("?")), F.lit(" "),
-        F.rpad("stage_name", 12, " "), F.lit(" | "), F.rpad("status", 12, " "), F.lit(" | "),
-        F.format_string("in=%5d out=%5d", F.col("rows_in"), F.col("rows_out")),
-        F.when(F.col("error_message").isNotNull(), F.concat(F.lit(" | ERR: "), F.col("error_message")))
-        .otherwise(F.lit("")))
-    stage_txt = la.groupBy("run_id").agg(ordered_text(sline, F.col("stage_ordinal"), "\n").alias("stage_lines"))
-    lv = F.col("level")
-    err_line = F.when(is_error_level(lv), F.concat(F.lit("  ["), F.upper(lv), F.lit("] ["), F.col("stage"),
-                                                   F.lit("] "), F.col("message")))
-    warn_line = F.when(lv == "warning", F.concat(F.lit("  [WARN] ["), F.col("stage"), F.lit("] "), F.col("message")))
-    log_txt = logs.groupBy("run_id").agg(
-        ordered_text(err_line, F.col("seq"), "\n").alias("error_lines"),
-        ordered_text(warn_line, F.col("seq"), "\n").alias("warning_lines"))
-    first_calls = calls.groupBy("run_id", "action").agg(F.min("seq").alias("seq"))
-    rem_txt = first_calls.groupBy("run_id").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "action"))).alias("_acts")).select(
-        "run_id", F.concat_ws("\n", F.transform("_acts", lambda a, i: F.concat(
-            F.lit("  "), (i + 1).cast("string"), F.lit(". "), a["action"]))).alias("remediation_lines"))
-    j = (rep.join(stage_txt, "run_id", "left").join(log_txt, "run_id", "left")
-         .join(rem_txt, "run_id", "left"))
     bar = "=" * 70
 
-    def section(title: str, body: Column) -> Column:
-        return F.when(F.coalesce(body, F.lit("")) != "", F.concat(F.lit(f"\n{title}\n"), body))
+    def rows(df: DataFrame, section: int, lines: list) -> DataFrame:
+        return df.select("run_id", F.lit(section).alias("section"),
+                         F.posexplode(F.array(*lines)).alias("item", "line")) \
+            .select("run_id", "section", F.col("item").cast("bigint").alias("item"), "line")
 
-    text = F.concat_ws(
-        "\n", F.lit(bar), F.lit("  ETL PIPELINE INCIDENT REPORT"),
-        F.concat(F.lit("  Report ID : "), F.col("report_id")),
+    header = rows(rep, 0, [
+        F.lit(bar), F.lit("  ETL PIPELINE INCIDENT REPORT"), F.concat(F.lit("  Report ID : "), F.col("report_id")),
         F.concat(F.lit("  Generated : "), ts_text(F.col("finished_at"))), F.lit(bar), F.lit(""),
         F.concat(F.lit("PIPELINE     : "), F.col("pipeline_name")),
         F.concat(F.lit("RUN ID       : "), F.col("run_id").cast("string")),
@@ -250,15 +233,58 @@ def incident_report_text(runs, stages, logs, calls, metrics) -> DataFrame:
         F.concat(F.lit("HEALTH       : "), F.col("health_status")),
         F.concat(F.lit("SEVERITY     : "), F.col("severity")),
         F.concat(F.lit("FAILURE TYPE : "), F.coalesce("failure_type", F.lit("N/A"))),
-        F.concat(F.lit("OUTCOME      : "), F.col("final_outcome")), F.lit(""),
-        F.lit("TIMELINE"), F.concat(F.lit("  Started  : "), ts_text(F.col("started_at"))),
-        F.concat(F.lit("  Finished : "), ts_text(F.col("finished_at"))), F.lit(""),
-        F.lit("STAGE SUMMARY"), F.coalesce("stage_lines", F.lit("")),
-        section("ERRORS DETECTED", F.col("error_lines")),
-        section("WARNINGS", F.col("warning_lines")),
-        F.concat(F.lit("\nREMEDIATION APPLIED\n"), F.coalesce(F.nullif("remediation_lines", F.lit("")),
-                                                              F.lit("  None required"))),
-        F.concat(F.lit("\nRECOMMENDATIONS\n"), F.concat_ws("\n", F.transform(
-            F.split("recommendations", r" \| "), lambda r: F.concat(F.lit("  • "), r)))),
-        F.lit(""), F.lit(bar))
-    return j.select("report_id", "run_id", text.alias("report_text"))
+        F.concat(F.lit("OUTCOME      : "), F.col("final_outcome")), F.lit(""), F.lit("TIMELINE"),
+        F.concat(F.lit("  Started  : "), ts_text(F.col("started_at"))),
+        F.concat(F.lit("  Finished : "), ts_text(F.col("finished_at"))), F.lit(""), F.lit("STAGE SUMMARY")])
+    icon = F.create_map(*[x for k, v in STATUS_ICONS.items() for x in (F.lit(k), F.lit(v))])
+    stage_rows = L.latest_attempt(stages).select(
+        "run_id", F.lit(1).alias("section"), F.col("stage_ordinal").cast("bigint").alias("item"),
+        F.concat(F.lit("  "), F.coalesce(F.try_element_at(icon, F.col("status")), F.lit("?")), F.lit(" "),
+                 F.rpad("stage_name", 12, " "), F.lit(" | "), F.rpad("status", 12, " "), F.lit(" | "),
+                 F.format_string("in=%5d out=%5d", F.col("rows_in"), F.col("rows_out")),
+                 F.when(F.col("error_message").isNotNull(),
+                        F.concat(F.lit(" | ERR: "), F.col("error_message"))).otherwise(F.lit("")))
+        .alias("line"))
+    lv = F.col("level")
+    err = logs.where(is_error_level(lv)).select(
+        "run_id", F.lit(2).alias("section"), F.col("seq").cast("bigint").alias("item"),
+        F.concat(F.lit("  ["), F.upper(lv), F.lit("] ["), F.col("stage"), F.lit("] "), F.col("message")).alias("line"))
+    warn = logs.where(lv == "warning").select(
+        "run_id", F.lit(3).alias("section"), F.col("seq").cast("bigint").alias("item"),
+        F.concat(F.lit("  [WARN] ["), F.col("stage"), F.lit("] "), F.col("message")).alias("line"))
+    # section headers only where the section has lines (counts are map-side combined)
+    present = logs.groupBy("run_id").agg(
+        F.max(is_error_level(lv)).alias("_e"), F.max(lv == "warning").alias("_w"))
+    heads = rows(present.where("_e"), 2, [F.lit(""), F.lit("ERRORS DETECTED")]).withColumn("item", F.col("item") - 2) \
+        .unionByName(rows(present.where("_w"), 3, [F.lit(""), F.lit("WARNINGS")]).withColumn("item", F.col("item") - 2))
+    first_calls = calls.groupBy("run_id", "action").agg(F.min("seq").alias("seq"))
+    acts = first_calls.groupBy("run_id").agg(                      # distinct actions: bounded
+        F.transform(F.array_sort(F.collect_list(F.struct("seq", "action"))), lambda a: a["action"]).alias("_a"))
+    ra = rep.select("run_id").join(acts, "run_id", "left")
+    numbered = F.transform(F.coalesce("_a", F.array().cast("array<string>")),
+                           lambda a, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), a))
+    rem = rows(ra, 4, [F.lit(""), F.lit("REMEDIATION APPLIED")]).unionByName(
+        ra.select("run_id", F.lit(4).alias("section"),
+                  F.posexplode(F.when(F.size(numbered) > 0, numbered).otherwise(F.array(F.lit("  None required"))))
+                  .alias("item", "line")).select("run_id", "section", (F.col("item") + 2).cast("bigint").alias("item"), "line"))
+    recs = rows(rep, 5, [F.lit(""), F.lit("RECOMMENDATIONS")]).unionByName(
+        rep.select("run_id", F.lit(5).alias("section"), F.posexplode(F.transform(
+            F.split("recommendations", r" \| "), lambda r: F.concat(F.lit("  • "), r))).alias("item", "line"))
+        .select("run_id", "section", (F.col("item") + 2).cast("bigint").alias("item"), "line"))
+    footer = rows(rep, 6, [F.lit(""), F.lit(bar)])
+    parts = [header, stage_rows, heads, err, warn, rem, recs, footer]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.join(rep.select("run_id", "report_id"), "run_id")
+
+
+def incident_report_text(runs, stages, logs, calls, metrics) -> DataFrame:
+    """The report as one text value per run, assembled from the lines.
+
+    A report is one value, so each run's lines meet in one task; use
+    ``incident_report_lines`` where a run's log may be very large.
+    """
+    lines = incident_report_lines(runs, stages, logs, calls, metrics)
+    return lines.groupBy("report_id", "run_id").agg(F.concat_ws("\n", F.transform(
+        F.array_sort(F.collect_list(F.struct("section", "item", "line"))), lambda x: x["line"])).alias("report_text"))

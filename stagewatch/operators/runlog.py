@@ -177,18 +177,22 @@ def run_inspection(runs: DataFrame, stages: DataFrame, logs: DataFrame) -> DataF
 
 
 def error_chain(stages: DataFrame, logs: DataFrame) -> DataFrame:
-    """Per run and stage (latest attempt), status, error and its error
-    log messages in order.  Logs are aggregated per (run, stage) before the
-    join, so each stage row meets at most one log row."""
+    """Per run and stage (latest attempt): status, error, and one row per
+    error log line of that stage (stages without error logs keep one row with
+    empty log fields).
+
+    Long form on purpose: a run with very many log lines is spread over rows,
+    never gathered into one value.  The per-stage count is a map-side
+    combined aggregate joined back 1:1.
+    """
     la = latest_attempt(stages)
-    el = error_logs(logs).groupBy("run_id", F.col("stage").alias("stage_name")).agg(
-        ordered_text(F.concat(F.upper("level"), F.lit(": "), F.col("message")), F.col("seq"))
-        .alias("error_logs"),
-        F.count(F.lit(1)).alias("n_error_logs"))
-    return la.join(el, ["run_id", "stage_name"], "left").select(
-        "run_id", "stage_name", "stage_ordinal", "status", "error_message",
-        F.coalesce("error_logs", F.lit("")).alias("error_logs"),
-        F.coalesce("n_error_logs", F.lit(0)).alias("n_error_logs"))
+    el = error_logs(logs).select("run_id", F.col("stage").alias("stage_name"), F.col("seq").alias("log_seq"),
+                                 F.col("level").alias("log_level"), F.col("message").alias("log_message"))
+    cnt = el.groupBy("run_id", "stage_name").agg(F.count(F.lit(1)).alias("n_error_logs"))
+    return (la.join(cnt, ["run_id", "stage_name"], "left").join(el, ["run_id", "stage_name"], "left")
+            .select("run_id", "stage_name", "stage_ordinal", "status", "error_message",
+                    F.coalesce("n_error_logs", F.lit(0)).alias("n_error_logs"),
+                    "log_seq", "log_level", "log_message"))
 
 
 def root_cause(stages: DataFrame, logs: DataFrame) -> DataFrame:

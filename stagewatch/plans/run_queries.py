@@ -164,14 +164,15 @@ def run_inspection(spark, d):
 
 @register("error_chain", with_views(f"""
 WITH {LA},
-el AS (SELECT run_id, stage AS stage_name,
-              string_agg(upper(level) || ': ' || message, '; ' ORDER BY seq) AS error_logs, count(*) AS n_error_logs
-       FROM log_entries WHERE level IN ('error', 'critical') GROUP BY run_id, stage)
+el AS (SELECT run_id, stage AS stage_name, seq AS log_seq, level AS log_level, message AS log_message
+       FROM log_entries WHERE level IN ('error', 'critical')),
+cnt AS (SELECT run_id, stage_name, count(*) AS n FROM el GROUP BY run_id, stage_name)
 SELECT la.run_id, la.stage_name, cast(la.stage_ordinal AS bigint) AS stage_ordinal, la.status, la.error_message,
-       coalesce(el.error_logs, '') AS error_logs, coalesce(el.n_error_logs, 0) AS n_error_logs
-FROM la LEFT JOIN el ON la.run_id = el.run_id AND la.stage_name = el.stage_name""", "stage_results", "log_entries"))
+       coalesce(cnt.n, 0) AS n_error_logs, el.log_seq, el.log_level, el.log_message
+FROM la LEFT JOIN cnt ON la.run_id = cnt.run_id AND la.stage_name = cnt.stage_name
+LEFT JOIN el ON la.run_id = el.run_id AND la.stage_name = el.stage_name""", "stage_results", "log_entries"))
 def error_chain(spark, d):
-    """Per run and stage, status, error and the stage's error logs."""
+    """Per run and stage, status, error and one row per error log line."""
     return L.error_chain(V.stage_results(spark, d), V.log_entries(spark, d))
 
 
@@ -354,3 +355,51 @@ LEFT JOIN rl ON rep.run_id = rl.run_id""".replace("ICONS", "CASE la.status WHEN
 def incident_report_text(spark, d):
     """The readable report text of every run (rows-only check)."""
     return K.incident_report_text(*_run_tables(spark, d))
+
+_LINES_SQL = _facts_sql(f"""
+, rep AS (SELECT run_id, 'INC-' || cast(run_id AS varchar) AS report_id, pipeline_name, scenario_name,
+          CASE WHEN nf = 0 AND ne = 0 THEN 'HEALTHY' WHEN nf > 0 THEN 'FAILED' ELSE 'DEGRADED' END AS health_status,
+          CASE WHEN nf = 0 AND ne = 0 THEN 'NONE' WHEN nf > 1 THEN 'HIGH' WHEN nf > 0 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+          failure_type, {_REP_OUT} AS final_outcome, started_at, finished_at,
+          {_recs_sql('coalesce(n_schema_violations, 0)', 'coalesce(n_type_mismatches, 0)', 'coalesce(m_duplicate_count, 0)', 'coalesce(m_null_count, 0)', 'failure_type')} AS recommendations
+        FROM facts),
+lists AS (
+  SELECT run_id, 0 AS section, [repeat('=', 70), '  ETL PIPELINE INCIDENT REPORT', '  Report ID : ' || report_id,
+      '  Generated : ' || strftime(finished_at, {TS}), repeat('=', 70), '',
+      'PIPELINE     : ' || pipeline_name, 'RUN ID       : ' || cast(run_id AS varchar),
+      'SCENARIO     : ' || scenario_name, 'HEALTH       : ' || health_status, 'SEVERITY     : ' || severity,
+      'FAILURE TYPE : ' || coalesce(failure_type, 'N/A'), 'OUTCOME      : ' || final_outcome, '', 'TIMELINE',
+      '  Started  : ' || strftime(started_at, {TS}), '  Finished : ' || strftime(finished_at, {TS}), '',
+      'STAGE SUMMARY'] AS l, 0 AS base FROM rep
+  UNION ALL SELECT run_id, 4, ['', 'REMEDIATION APPLIED'], 0 FROM rep
+  UNION ALL SELECT run_id, 5, ['', 'RECOMMENDATIONS'], 0 FROM rep
+  UNION ALL SELECT run_id, 5, list_transform(string_split(recommendations, ' | '), lambda r: '  • ' || r), 2 FROM rep
+  UNION ALL SELECT run_id, 6, ['', repeat('=', 70)], 0 FROM rep
+  UNION ALL SELECT run_id, 2, ['', 'ERRORS DETECTED'], -2 FROM log_entries GROUP BY run_id
+    HAVING bool_or(level IN ('error', 'critical'))
+  UNION ALL SELECT run_id, 3, ['', 'WARNINGS'], -2 FROM log_entries GROUP BY run_id HAVING bool_or(level = 'warning')),
+fc AS (SELECT run_id, action, min(seq) AS seq FROM remediations GROUP BY run_id, action),
+acts AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS rn, action FROM fc),
+lines AS (
+  SELECT run_id, section, base + unnest(range(len(l))) AS item, unnest(l) AS line FROM lists
+  UNION ALL
+  SELECT la.run_id, 1, la.stage_ordinal, '  ' || ICONS || ' ' || rpad(la.stage_name, 12, ' ') || ' | '
+         || rpad(la.status, 12, ' ') || ' | ' || printf('in=%5d out=%5d', la.rows_in, la.rows_out)
+         || coalesce(' | ERR: ' || la.error_message, '') FROM la
+  UNION ALL
+  SELECT run_id, 2, seq, '  [' || upper(level) || '] [' || stage || '] ' || message FROM log_entries
+  WHERE level IN ('error', 'critical')
+  UNION ALL
+  SELECT run_id, 3, seq, '  [WARN] [' || stage || '] ' || message FROM log_entries WHERE level = 'warning'
+  UNION ALL
+  SELECT run_id, 4, rn + 1, '  ' || cast(rn AS varchar) || '. ' || action FROM acts
+  UNION ALL
+  SELECT r.run_id, 4, 2, '  None required' FROM rep r WHERE NOT EXISTS (SELECT 1 FROM acts a WHERE a.run_id = r.run_id))
+SELECT lines.run_id, cast(section AS bigint) AS section, cast(item AS bigint) AS item, line, rep.report_id
+FROM lines JOIN rep ON lines.run_id = rep.run_id""".replace("ICONS", "CASE la.status WHEN 'success' THEN '✓' WHEN 'failed' THEN '✗' WHEN 'skipped' THEN '↷' WHEN 'remediated' THEN '⟳' WHEN 'pending' THEN '?' WHEN 'running' THEN '►' ELSE '?' END"))
+
+
+@register("incident_report_lines", _LINES_SQL)
+def incident_report_lines(spark, d):
+    """The readable report of every run as ordered lines (distributed form)."""
+    return K.incident_report_lines(*_run_tables(spark, d))
