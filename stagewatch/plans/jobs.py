@@ -219,7 +219,7 @@ def run_load(run: RunResult, target: str | None = None) -> None:
     if target:
         from ..sources.files import write_partitioned
         write_partitioned(run.enriched.withColumn("run_id", F.lit(run.run_id)), target,
-                          ["run_id", "transaction_date"])
+                          ["run_id", "transaction_date"], cluster_by=["transaction_id"])
     run.set_stage("load", 3, "success", n, n, None, t0)
     run.log("info", "load", f"Load complete: {n} rows written to sales_fact_table")
 

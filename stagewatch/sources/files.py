@@ -130,15 +130,21 @@ def source_arrival(spark: SparkSession, expected: dict[str, str], fmt: str = "pa
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def write_partitioned(df: DataFrame, path: str, partition_by: list[str], fmt: str = "parquet") -> None:
+def write_partitioned(df: DataFrame, path: str, partition_by: list[str], cluster_by: list[str] | None = None,
+                      fmt: str = "parquet") -> None:
     """Publish a table, replacing only the partitions present in ``df``.
 
     Dynamic partition overwrite makes a re-run of one day idempotent and
-    leaves other days untouched; rows are clustered by the partition keys
-    first so each task writes few files.
+    leaves other days untouched.  With ``cluster_by`` the rows are
+    range-partitioned on (partition columns, cluster columns): each task
+    writes few partition folders, and a hot partition value is split over
+    several tasks by the cluster columns instead of landing in one.
+    Without it the write keeps the input partitioning (no shuffle).
     """
-    (df.repartition(*[F.col(c) for c in partition_by]).write
-     .mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out = df
+    if cluster_by:
+        out = df.repartitionByRange(*[F.col(c) for c in partition_by + list(cluster_by)])
+    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partition_by).format(fmt).save(path))
 
 

@@ -68,7 +68,7 @@ def test_partitioned_write_replaces_only_its_partitions(spark, tmp_path):
     out = str(tmp_path / "fact")
     d1, d2 = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
     S.write_partitioned(spark.createDataFrame([(1, d1), (2, d2)], "v int, day date"), out, ["day"])
-    S.write_partitioned(spark.createDataFrame([(9, d1)], "v int, day date"), out, ["day"])
+    S.write_partitioned(spark.createDataFrame([(9, d1)], "v int, day date"), out, ["day"], cluster_by=["v"])
     got = sorted((r["v"], str(r["day"])) for r in spark.read.parquet(out).collect())
     assert got == [(2, "2024-01-02"), (9, "2024-01-01")]
 
