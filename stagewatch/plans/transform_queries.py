@@ -29,7 +29,8 @@ WHERE transaction_date IS NOT NULL
 GROUP BY transaction_date""", "sales_nr"))
 def daily_revenue(spark, d):
     """Flagship: FX conversion + daily revenue / transaction count / mean."""
-    return tr.daily_aggregation(tr.fx_convert(V.sales(spark, d, with_region=False)))
+    s = V.sales(spark, d, with_region=False, with_keys=True).drop("transaction_id")
+    return tr.daily_aggregation(tr.fx_convert(s), distinct_on=["order_key", "line_no"])
 
 
 def _fx_usd_sql(price="unit_price"):

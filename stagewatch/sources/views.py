@@ -56,8 +56,10 @@ def customer_region(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("c_custkey", pick(REGIONS, F.col("n_regionkey")).alias("region")))
 
 
-def sales(spark: SparkSession, sf_dir: str, with_region: bool = True) -> DataFrame:
-    """The ``sales`` table.  ``with_region=False`` skips the customer join.
+def sales(spark: SparkSession, sf_dir: str, with_region: bool = True, with_keys: bool = False) -> DataFrame:
+    """The ``sales`` table.  ``with_region=False`` skips the customer join;
+    ``with_keys=True`` also keeps the numeric parts of ``transaction_id``
+    (``order_key``, ``line_no``) for operators that only need identity.
 
     The order side is enriched first (orders are a quarter of line items),
     so the line items are shuffled once, on ``l_orderkey``.
@@ -71,8 +73,8 @@ def sales(spark: SparkSession, sf_dir: str, with_region: bool = True) -> DataFra
         o = o.join(geo, o.o_custkey == geo.c_custkey, "left").drop("c_custkey")
     s = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
     cols = [
-        F.concat_ws("-", F.col("l_orderkey").cast("string"),
-                    F.col("l_linenumber").cast("string")).alias("transaction_id"),
+        F.concat(F.col("l_orderkey").cast("string"), F.lit("-"),
+                 F.col("l_linenumber").cast("string")).alias("transaction_id"),
         F.col("o_custkey").alias("customer_id"),
         F.col("l_partkey").alias("product_id"),
         F.col("l_quantity").cast("int").alias("quantity"),
@@ -83,6 +85,8 @@ def sales(spark: SparkSession, sf_dir: str, with_region: bool = True) -> DataFra
     if with_region:
         cols.append(F.col("region"))
     cols.append(_case(F.col("o_orderstatus"), STATUS_BY_CODE).alias("status"))
+    if with_keys:
+        cols += [F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line_no")]
     return s.select(*cols)
 
 
