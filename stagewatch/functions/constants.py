@@ -107,5 +107,61 @@ SCHEMA_FAIL_MSG = "Schema validation errors — see logs for details"
 REVENUE_FAIL_MSG = "Revenue computation failed — unit_price type invalid"
 PK_FAIL_MSG = "PK constraint violation: {} duplicate transaction_ids (e.g. {})"
 
+# ---------------------------------------------------------------------------
+# Log message texts, in stage order ({} = run-specific value)
+# ---------------------------------------------------------------------------
+LOG_MESSAGES = {
+    "missing_columns": "Schema validation failed: missing columns {}",
+    "extra_columns": "Unexpected columns detected: {}",
+    "price_type": "Type mismatch: 'unit_price' expected float, got string",
+    "null_emails": "Null emails in customer_profiles: {}/{}",
+    "duplicates": "Duplicate transaction_ids detected: {} rows",
+    "ingestion_done": "Ingestion complete: {} rows loaded",
+    "transform_skipped": "Transform skipped — ingestion stage failed",
+    "revenue_type": "Cannot compute revenue: unit_price has wrong type",
+    "transform_done": "Transform complete: {} records enriched",
+    "load_skipped": "Load skipped — transform stage did not succeed",
+    "load_done": "Load complete: {} rows written to sales_fact_table",
+    "rerun": "Re-running stage: {}",
+    "rolled_back": "Stage '{}' rolled back to SKIPPED state",
+}
+
+# The pattern that finds the number inside a drifted text price
+NUMBER_PATTERN = r"([\d.]+)"
+
+# ---------------------------------------------------------------------------
+# Incident report layout, top to bottom
+# ---------------------------------------------------------------------------
+REPORT_RULE = "=" * 70
+REPORT_TITLE = "  ETL PIPELINE INCIDENT REPORT"
+REPORT_LABELS = {
+    "report_id": "  Report ID : ",
+    "generated": "  Generated : ",
+    "pipeline": "PIPELINE     : ",
+    "run_id": "RUN ID       : ",
+    "scenario": "SCENARIO     : ",
+    "health": "HEALTH       : ",
+    "severity": "SEVERITY     : ",
+    "failure_type": "FAILURE TYPE : ",
+    "outcome": "OUTCOME      : ",
+    "started": "  Started  : ",
+    "finished": "  Finished : ",
+}
+REPORT_SECTIONS = {
+    "timeline": "TIMELINE",
+    "stages": "STAGE SUMMARY",
+    "errors": "ERRORS DETECTED",
+    "warnings": "WARNINGS",
+    "remediation": "REMEDIATION APPLIED",
+    "recommendations": "RECOMMENDATIONS",
+}
+REPORT_NO_REMEDIATION = "  None required"
+REPORT_NO_FAILURE_TYPE = "N/A"
+REPORT_BULLET = "  • "
+REPORT_WARN_TAG = "WARN"
+REPORT_STAGE_WIDTH = 12
+REPORT_COUNT_FORMAT = "in=%5d out=%5d"
+REPORT_ERR_PREFIX = " | ERR: "
+
 # declared rule sets by dataset name
 RULES_BY_DATASET = {"sales": SALES_RULES, "customers": CUSTOMER_RULES, "products": PRODUCT_RULES}

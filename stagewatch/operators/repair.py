@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.constants import FILL_DEFAULT, RULES_BY_DATASET
+from ..functions.constants import FILL_DEFAULT, NUMBER_PATTERN, RULES_BY_DATASET
 from ..functions.exprs import is_null
 
 _SPARK_TYPE = {"string": "string", "integer": "bigint", "float": "double", "date": "date",
@@ -38,7 +38,7 @@ def extract_number(c: Column) -> Column:
     ``regexp_extract`` returns '' when nothing matches, hence the ``nullif``;
     ``try_cast`` keeps ANSI mode from failing on values like ``1.2.3``.
     """
-    return F.nullif(F.regexp_extract(c, r"([\d.]+)", 1), F.lit("")).try_cast("double")
+    return F.nullif(F.regexp_extract(c, NUMBER_PATTERN, 1), F.lit("")).try_cast("double")
 
 
 def fix_type_cast(df: DataFrame, column: str = "unit_price") -> DataFrame:

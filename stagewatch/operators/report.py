@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import (REC_ARRIVAL, REC_DUPES, REC_NONE, REC_NULLS, REC_SCHEMA, REC_TYPES,
-                                   STATUS_ICONS)
+                                   REPORT_BULLET, REPORT_COUNT_FORMAT, REPORT_ERR_PREFIX, REPORT_LABELS,
+                                   REPORT_NO_FAILURE_TYPE, REPORT_NO_REMEDIATION, REPORT_RULE, REPORT_SECTIONS,
+                                   REPORT_STAGE_WIDTH, REPORT_TITLE, REPORT_WARN_TAG, STATUS_ICONS)
 from ..functions.exprs import is_error_level, ordered_text, ts_text
 from . import history as H
 from . import runlog as L
@@ -217,33 +219,35 @@ def incident_report_lines(runs, stages, logs, calls, metrics) -> DataFrame:
     bounded parts (distinct repair actions, recommendations) are collected.
     """
     rep = incident_report(runs, stages, logs, calls, metrics)
-    bar = "=" * 70
+    lab, sec = REPORT_LABELS, REPORT_SECTIONS
 
     def rows(df: DataFrame, section: int, lines: list) -> DataFrame:
         return df.select("run_id", F.lit(section).alias("section"),
                          F.posexplode(F.array(*lines)).alias("item", "line")) \
             .select("run_id", "section", F.col("item").cast("bigint").alias("item"), "line")
 
+    def labelled(key: str, value) -> Column:
+        return F.concat(F.lit(lab[key]), value)
+
     header = rows(rep, 0, [
-        F.lit(bar), F.lit("  ETL PIPELINE INCIDENT REPORT"), F.concat(F.lit("  Report ID : "), F.col("report_id")),
-        F.concat(F.lit("  Generated : "), ts_text(F.col("finished_at"))), F.lit(bar), F.lit(""),
-        F.concat(F.lit("PIPELINE     : "), F.col("pipeline_name")),
-        F.concat(F.lit("RUN ID       : "), F.col("run_id").cast("string")),
-        F.concat(F.lit("SCENARIO     : "), F.col("scenario_name")),
-        F.concat(F.lit("HEALTH       : "), F.col("health_status")),
-        F.concat(F.lit("SEVERITY     : "), F.col("severity")),
-        F.concat(F.lit("FAILURE TYPE : "), F.coalesce("failure_type", F.lit("N/A"))),
-        F.concat(F.lit("OUTCOME      : "), F.col("final_outcome")), F.lit(""), F.lit("TIMELINE"),
-        F.concat(F.lit("  Started  : "), ts_text(F.col("started_at"))),
-        F.concat(F.lit("  Finished : "), ts_text(F.col("finished_at"))), F.lit(""), F.lit("STAGE SUMMARY")])
+        F.lit(REPORT_RULE), F.lit(REPORT_TITLE), labelled("report_id", F.col("report_id")),
+        labelled("generated", ts_text(F.col("finished_at"))), F.lit(REPORT_RULE), F.lit(""),
+        labelled("pipeline", F.col("pipeline_name")), labelled("run_id", F.col("run_id").cast("string")),
+        labelled("scenario", F.col("scenario_name")), labelled("health", F.col("health_status")),
+        labelled("severity", F.col("severity")),
+        labelled("failure_type", F.coalesce("failure_type", F.lit(REPORT_NO_FAILURE_TYPE))),
+        labelled("outcome", F.col("final_outcome")), F.lit(""), F.lit(sec["timeline"]),
+        labelled("started", ts_text(F.col("started_at"))), labelled("finished", ts_text(F.col("finished_at"))),
+        F.lit(""), F.lit(sec["stages"])])
     icon = F.create_map(*[x for k, v in STATUS_ICONS.items() for x in (F.lit(k), F.lit(v))])
     stage_rows = L.latest_attempt(stages).select(
         "run_id", F.lit(1).alias("section"), F.col("stage_ordinal").cast("bigint").alias("item"),
         F.concat(F.lit("  "), F.coalesce(F.try_element_at(icon, F.col("status")), F.lit("?")), F.lit(" "),
-                 F.rpad("stage_name", 12, " "), F.lit(" | "), F.rpad("status", 12, " "), F.lit(" | "),
-                 F.format_string("in=%5d out=%5d", F.col("rows_in"), F.col("rows_out")),
+                 F.rpad("stage_name", REPORT_STAGE_WIDTH, " "), F.lit(" | "),
+                 F.rpad("status", REPORT_STAGE_WIDTH, " "), F.lit(" | "),
+                 F.format_string(REPORT_COUNT_FORMAT, F.col("rows_in"), F.col("rows_out")),
                  F.when(F.col("error_message").isNotNull(),
-                        F.concat(F.lit(" | ERR: "), F.col("error_message"))).otherwise(F.lit("")))
+                        F.concat(F.lit(REPORT_ERR_PREFIX), F.col("error_message"))).otherwise(F.lit("")))
         .alias("line"))
     lv = F.col("level")
     err = logs.where(is_error_level(lv)).select(
@@ -251,27 +255,28 @@ def incident_report_lines(runs, stages, logs, calls, metrics) -> DataFrame:
         F.concat(F.lit("  ["), F.upper(lv), F.lit("] ["), F.col("stage"), F.lit("] "), F.col("message")).alias("line"))
     warn = logs.where(lv == "warning").select(
         "run_id", F.lit(3).alias("section"), F.col("seq").cast("bigint").alias("item"),
-        F.concat(F.lit("  [WARN] ["), F.col("stage"), F.lit("] "), F.col("message")).alias("line"))
+        F.concat(F.lit(f"  [{REPORT_WARN_TAG}] ["), F.col("stage"), F.lit("] "), F.col("message")).alias("line"))
     # section headers only where the section has lines (counts are map-side combined)
     present = logs.groupBy("run_id").agg(
         F.max(is_error_level(lv)).alias("_e"), F.max(lv == "warning").alias("_w"))
-    heads = rows(present.where("_e"), 2, [F.lit(""), F.lit("ERRORS DETECTED")]).withColumn("item", F.col("item") - 2) \
-        .unionByName(rows(present.where("_w"), 3, [F.lit(""), F.lit("WARNINGS")]).withColumn("item", F.col("item") - 2))
+    heads = rows(present.where("_e"), 2, [F.lit(""), F.lit(sec["errors"])]).withColumn("item", F.col("item") - 2) \
+        .unionByName(rows(present.where("_w"), 3, [F.lit(""), F.lit(sec["warnings"])])
+                     .withColumn("item", F.col("item") - 2))
     first_calls = calls.groupBy("run_id", "action").agg(F.min("seq").alias("seq"))
     acts = first_calls.groupBy("run_id").agg(                      # distinct actions: bounded
         F.transform(F.array_sort(F.collect_list(F.struct("seq", "action"))), lambda a: a["action"]).alias("_a"))
     ra = rep.select("run_id").join(acts, "run_id", "left")
     numbered = F.transform(F.coalesce("_a", F.array().cast("array<string>")),
                            lambda a, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), a))
-    rem = rows(ra, 4, [F.lit(""), F.lit("REMEDIATION APPLIED")]).unionByName(
+    rem = rows(ra, 4, [F.lit(""), F.lit(sec["remediation"])]).unionByName(
         ra.select("run_id", F.lit(4).alias("section"),
-                  F.posexplode(F.when(F.size(numbered) > 0, numbered).otherwise(F.array(F.lit("  None required"))))
+                  F.posexplode(F.when(F.size(numbered) > 0, numbered).otherwise(F.array(F.lit(REPORT_NO_REMEDIATION))))
                   .alias("item", "line")).select("run_id", "section", (F.col("item") + 2).cast("bigint").alias("item"), "line"))
-    recs = rows(rep, 5, [F.lit(""), F.lit("RECOMMENDATIONS")]).unionByName(
+    recs = rows(rep, 5, [F.lit(""), F.lit(sec["recommendations"])]).unionByName(
         rep.select("run_id", F.lit(5).alias("section"), F.posexplode(F.transform(
-            F.split("recommendations", r" \| "), lambda r: F.concat(F.lit("  • "), r))).alias("item", "line"))
+            F.split("recommendations", r" \| "), lambda r: F.concat(F.lit(REPORT_BULLET), r))).alias("item", "line"))
         .select("run_id", "section", (F.col("item") + 2).cast("bigint").alias("item"), "line"))
-    footer = rows(rep, 6, [F.lit(""), F.lit(bar)])
+    footer = rows(rep, 6, [F.lit(""), F.lit(REPORT_RULE)])
     parts = [header, stage_rows, heads, err, warn, rem, recs, footer]
     out = parts[0]
     for p in parts[1:]:

@@ -15,8 +15,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.constants import (MISSING_COLUMN_MSG, MISSING_SOURCE_MSG, REVENUE_FAIL_MSG,
-                                   SALES_COLUMNS, SCHEMA_FAIL_MSG)
+from ..functions.constants import (LOG_MESSAGES as MSG, MISSING_COLUMN_MSG, MISSING_SOURCE_MSG,
+                                   REVENUE_FAIL_MSG, SALES_COLUMNS, SCHEMA_FAIL_MSG)
 from ..functions.exprs import is_null, is_numeric
 from ..operators import profile as Q
 from ..operators import transform as tr
@@ -152,26 +152,26 @@ def run_ingestion(src: Sources, run: RunResult) -> Sources | None:
     missing = [c for c in SALES_COLUMNS if c not in src.sales.columns]
     extra = [c for c in src.sales.columns if c not in SALES_COLUMNS]
     for c in missing:
-        run.log("error", "ingestion", f"Schema validation failed: missing columns {{'{c}'}}",
+        run.log("error", "ingestion", MSG["missing_columns"].format({c}),
                 missing_columns=[c])
     m["schema_violations"] = [MISSING_COLUMN_MSG.format(c) for c in missing]
     m["extra_columns"] = extra
     if extra:
-        run.log("warning", "ingestion", f"Unexpected columns detected: {set(extra)}", extra_columns=extra)
+        run.log("warning", "ingestion", MSG["extra_columns"].format(set(extra)), extra_columns=extra)
     if m["n_type_mismatches"]:
-        run.log("error", "ingestion", "Type mismatch: 'unit_price' expected float, got string",
+        run.log("error", "ingestion", MSG["price_type"],
                 column="unit_price")
     if m["email_nulls"]:
-        run.log("warning", "ingestion", f"Null emails in customer_profiles: {m['email_nulls']}/{m['customer_rows']}",
+        run.log("warning", "ingestion", MSG["null_emails"].format(m["email_nulls"], m["customer_rows"]),
                 null_count=m["email_nulls"])
     if m["duplicate_count"]:
-        run.log("warning", "ingestion", f"Duplicate transaction_ids detected: {m['duplicate_count']} rows",
+        run.log("warning", "ingestion", MSG["duplicates"].format(m["duplicate_count"]),
                 duplicate_count=m["duplicate_count"])
     if m["status"] == "failed":
         run.set_stage("ingestion", 1, "failed", m["total_rows_in"], 0, SCHEMA_FAIL_MSG, t0)
         return src
     run.set_stage("ingestion", 1, "success", m["total_rows_in"], m["total_rows_in"], None, t0)
-    run.log("info", "ingestion", f"Ingestion complete: {m['total_rows_in']} rows loaded")
+    run.log("info", "ingestion", MSG["ingestion_done"].format(m["total_rows_in"]))
     return src
 
 
@@ -180,7 +180,7 @@ def run_transform(src: Sources | None, run: RunResult) -> None:
     ing = run.stage("ingestion")
     if src is None or ing is None or ing["status"] == "failed":
         run.set_stage("transform", 2, "skipped")
-        run.log("warning", "transform", "Transform skipped — ingestion stage failed")
+        run.log("warning", "transform", MSG["transform_skipped"])
         return
     t0 = _now()
     n = run.metrics.get("sales_rows", 0)
@@ -193,13 +193,13 @@ def run_transform(src: Sources | None, run: RunResult) -> None:
     try:
         enriched = tr.enrich_customers(tr.fx_convert(src.sales), src.customers)
     except tr.TransformError:
-        run.log("error", "transform", "Cannot compute revenue: unit_price has wrong type")
+        run.log("error", "transform", MSG["revenue_type"])
         run.set_stage("transform", 2, "failed", n, 0, REVENUE_FAIL_MSG, t0)
         return
     run.enriched = enriched
     run.daily = tr.daily_aggregation(enriched)
     run.set_stage("transform", 2, "success", n, n, None, t0)
-    run.log("info", "transform", f"Transform complete: {n} records enriched")
+    run.log("info", "transform", MSG["transform_done"].format(n))
 
 
 def run_load(run: RunResult, target: str | None = None) -> None:
@@ -207,7 +207,7 @@ def run_load(run: RunResult, target: str | None = None) -> None:
     tr_stage = run.stage("transform")
     if tr_stage is None or tr_stage["status"] in ("failed", "skipped") or run.enriched is None:
         run.set_stage("load", 3, "skipped")
-        run.log("warning", "load", "Load skipped — transform stage did not succeed")
+        run.log("warning", "load", MSG["load_skipped"])
         return
     t0 = _now()
     n = run.metrics.get("sales_rows", 0)
@@ -221,7 +221,7 @@ def run_load(run: RunResult, target: str | None = None) -> None:
         write_partitioned(run.enriched.withColumn("run_id", F.lit(run.run_id)), target,
                           ["run_id", "transaction_date"], cluster_by=["transaction_id"])
     run.set_stage("load", 3, "success", n, n, None, t0)
-    run.log("info", "load", f"Load complete: {n} rows written to sales_fact_table")
+    run.log("info", "load", MSG["load_done"].format(n))
 
 
 def run_pipeline(src: Sources, scenario_name: str = "healthy", failure_type: str | None = None,
@@ -239,7 +239,7 @@ def rerun_stage(src: Sources, run: RunResult, stage: str, target: str | None = N
     """Re-execute one stage on repaired inputs; appends a new attempt."""
     if stage not in ("ingestion", "transform", "load"):
         raise ValueError(f"Invalid stage '{stage}'. Must be one of: ingestion, transform, load")
-    run.log("info", "remediation", f"Re-running stage: {stage}")
+    run.log("info", "remediation", MSG["rerun"].format(stage))
     if stage == "ingestion":
         run_ingestion(src, run)
     elif stage == "transform":
@@ -260,7 +260,7 @@ def rollback_stage(run: RunResult, stage: str) -> RunResult:
         run.enriched, run.daily = None, None
     ordinal = {"transform": 2, "load": 3}[stage]
     run.set_stage(stage, ordinal, "skipped")
-    run.log("warning", "remediation", f"Stage '{stage}' rolled back to SKIPPED state")
+    run.log("warning", "remediation", MSG["rolled_back"].format(stage))
     action = f"rollback_stage({stage})"
     if action not in run.remediations:
         run.remediations.append(action)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.constants import REC_ARRIVAL, REC_DUPES, REC_NONE, REC_NULLS, REC_SCHEMA, REC_TYPES
+from ..functions.constants import (REC_ARRIVAL, REC_DUPES, REC_NONE, REC_NULLS, REC_SCHEMA, REC_TYPES,
+                                   REPORT_BULLET, REPORT_COUNT_FORMAT, REPORT_ERR_PREFIX, REPORT_LABELS,
+                                   REPORT_NO_FAILURE_TYPE, REPORT_NO_REMEDIATION, REPORT_RULE, REPORT_SECTIONS,
+                                   REPORT_STAGE_WIDTH, REPORT_TITLE, REPORT_WARN_TAG)
 from ..operators import history as H
 from ..operators import report as K
 from ..operators import runlog as L
@@ -312,6 +315,18 @@ def incident_report(spark, d):
     return K.incident_report(*_run_tables(spark, d))
 
 
+def _sql_lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_L = {k: _sql_lit(v) for k, v in REPORT_LABELS.items()}
+_L.update({k: _sql_lit(v) for k, v in REPORT_SECTIONS.items()})
+_L.update(rule=_sql_lit(REPORT_RULE), title=_sql_lit(REPORT_TITLE), no_failure_type=_sql_lit(REPORT_NO_FAILURE_TYPE),
+          no_remediation=_sql_lit(REPORT_NO_REMEDIATION), bullet=_sql_lit(REPORT_BULLET),
+          warn_open=_sql_lit(f"  [{REPORT_WARN_TAG}] ["), counts=_sql_lit(REPORT_COUNT_FORMAT),
+          err_prefix=_sql_lit(REPORT_ERR_PREFIX))
+
+
 _TEXT_SQL = _facts_sql(f"""
 , rep AS (SELECT run_id, 'INC-' || cast(run_id AS varchar) AS report_id, pipeline_name, scenario_name,
           CASE WHEN nf = 0 AND ne = 0 THEN 'HEALTHY' WHEN nf > 0 THEN 'FAILED' ELSE 'DEGRADED' END AS health_status,
@@ -319,34 +334,34 @@ _TEXT_SQL = _facts_sql(f"""
           failure_type, {_REP_OUT} AS final_outcome, started_at, finished_at,
           {_recs_sql('coalesce(n_schema_violations, 0)', 'coalesce(n_type_mismatches, 0)', 'coalesce(m_duplicate_count, 0)', 'coalesce(m_null_count, 0)', 'failure_type')} AS recommendations
         FROM facts),
-sl AS (SELECT run_id, string_agg('  ' || ICONS || ' ' || rpad(stage_name, 12, ' ') || ' | '
-              || rpad(status, 12, ' ') || ' | ' || printf('in=%5d out=%5d', rows_in, rows_out)
-              || coalesce(' | ERR: ' || error_message, ''), chr(10) ORDER BY stage_ordinal) AS stage_lines
+sl AS (SELECT run_id, string_agg('  ' || ICONS || ' ' || rpad(stage_name, {REPORT_STAGE_WIDTH}, ' ') || ' | '
+              || rpad(status, {REPORT_STAGE_WIDTH}, ' ') || ' | ' || printf({_L['counts']}, rows_in, rows_out)
+              || coalesce({_L['err_prefix']} || error_message, ''), chr(10) ORDER BY stage_ordinal) AS stage_lines
        FROM la GROUP BY run_id),
 ll AS (SELECT run_id,
               string_agg('  [' || upper(level) || '] [' || stage || '] ' || message, chr(10) ORDER BY seq)
                 FILTER (WHERE level IN ('error', 'critical')) AS error_lines,
-              string_agg('  [WARN] [' || stage || '] ' || message, chr(10) ORDER BY seq)
+              string_agg({_L['warn_open']} || stage || '] ' || message, chr(10) ORDER BY seq)
                 FILTER (WHERE level = 'warning') AS warning_lines
        FROM log_entries GROUP BY run_id),
 fc AS (SELECT run_id, action, min(seq) AS seq FROM remediations GROUP BY run_id, action),
 rl AS (SELECT run_id, string_agg('  ' || cast(rn AS varchar) || '. ' || action, chr(10) ORDER BY seq) AS remediation_lines
        FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS rn FROM fc) t GROUP BY run_id)
 SELECT rep.report_id, rep.run_id, concat_ws(chr(10),
-  repeat('=', 70), '  ETL PIPELINE INCIDENT REPORT', '  Report ID : ' || rep.report_id,
-  '  Generated : ' || strftime(rep.finished_at, {TS}), repeat('=', 70), '',
-  'PIPELINE     : ' || rep.pipeline_name, 'RUN ID       : ' || cast(rep.run_id AS varchar),
-  'SCENARIO     : ' || rep.scenario_name, 'HEALTH       : ' || rep.health_status,
-  'SEVERITY     : ' || rep.severity, 'FAILURE TYPE : ' || coalesce(rep.failure_type, 'N/A'),
-  'OUTCOME      : ' || rep.final_outcome, '', 'TIMELINE',
-  '  Started  : ' || strftime(rep.started_at, {TS}), '  Finished : ' || strftime(rep.finished_at, {TS}), '',
-  'STAGE SUMMARY', coalesce(sl.stage_lines, ''),
-  CASE WHEN coalesce(ll.error_lines, '') <> '' THEN chr(10) || 'ERRORS DETECTED' || chr(10) || ll.error_lines END,
-  CASE WHEN coalesce(ll.warning_lines, '') <> '' THEN chr(10) || 'WARNINGS' || chr(10) || ll.warning_lines END,
-  chr(10) || 'REMEDIATION APPLIED' || chr(10) || coalesce(nullif(rl.remediation_lines, ''), '  None required'),
-  chr(10) || 'RECOMMENDATIONS' || chr(10) || array_to_string(list_transform(string_split(rep.recommendations, ' | '),
-      lambda r: '  • ' || r), chr(10)),
-  '', repeat('=', 70)) AS report_text
+  {_L['rule']}, {_L['title']}, {_L['report_id']} || rep.report_id,
+  {_L['generated']} || strftime(rep.finished_at, {TS}), {_L['rule']}, '',
+  {_L['pipeline']} || rep.pipeline_name, {_L['run_id']} || cast(rep.run_id AS varchar),
+  {_L['scenario']} || rep.scenario_name, {_L['health']} || rep.health_status,
+  {_L['severity']} || rep.severity, {_L['failure_type']} || coalesce(rep.failure_type, {_L['no_failure_type']}),
+  {_L['outcome']} || rep.final_outcome, '', {_L['timeline']},
+  {_L['started']} || strftime(rep.started_at, {TS}), {_L['finished']} || strftime(rep.finished_at, {TS}), '',
+  {_L['stages']}, coalesce(sl.stage_lines, ''),
+  CASE WHEN coalesce(ll.error_lines, '') <> '' THEN chr(10) || {_L['errors']} || chr(10) || ll.error_lines END,
+  CASE WHEN coalesce(ll.warning_lines, '') <> '' THEN chr(10) || {_L['warnings']} || chr(10) || ll.warning_lines END,
+  chr(10) || {_L['remediation']} || chr(10) || coalesce(nullif(rl.remediation_lines, ''), {_L['no_remediation']}),
+  chr(10) || {_L['recommendations']} || chr(10) || array_to_string(list_transform(string_split(rep.recommendations, ' | '),
+      lambda r: {_L['bullet']} || r), chr(10)),
+  '', {_L['rule']}) AS report_text
 FROM rep LEFT JOIN sl ON rep.run_id = sl.run_id LEFT JOIN ll ON rep.run_id = ll.run_id
 LEFT JOIN rl ON rep.run_id = rl.run_id""".replace("ICONS", "CASE la.status WHEN 'success' THEN '✓' WHEN 'failed' THEN '✗' WHEN 'skipped' THEN '↷' WHEN 'remediated' THEN '⟳' WHEN 'pending' THEN '?' WHEN 'running' THEN '►' ELSE '?' END"))
 
@@ -364,37 +379,37 @@ _LINES_SQL = _facts_sql(f"""
           {_recs_sql('coalesce(n_schema_violations, 0)', 'coalesce(n_type_mismatches, 0)', 'coalesce(m_duplicate_count, 0)', 'coalesce(m_null_count, 0)', 'failure_type')} AS recommendations
         FROM facts),
 lists AS (
-  SELECT run_id, 0 AS section, [repeat('=', 70), '  ETL PIPELINE INCIDENT REPORT', '  Report ID : ' || report_id,
-      '  Generated : ' || strftime(finished_at, {TS}), repeat('=', 70), '',
-      'PIPELINE     : ' || pipeline_name, 'RUN ID       : ' || cast(run_id AS varchar),
-      'SCENARIO     : ' || scenario_name, 'HEALTH       : ' || health_status, 'SEVERITY     : ' || severity,
-      'FAILURE TYPE : ' || coalesce(failure_type, 'N/A'), 'OUTCOME      : ' || final_outcome, '', 'TIMELINE',
-      '  Started  : ' || strftime(started_at, {TS}), '  Finished : ' || strftime(finished_at, {TS}), '',
-      'STAGE SUMMARY'] AS l, 0 AS base FROM rep
-  UNION ALL SELECT run_id, 4, ['', 'REMEDIATION APPLIED'], 0 FROM rep
-  UNION ALL SELECT run_id, 5, ['', 'RECOMMENDATIONS'], 0 FROM rep
-  UNION ALL SELECT run_id, 5, list_transform(string_split(recommendations, ' | '), lambda r: '  • ' || r), 2 FROM rep
-  UNION ALL SELECT run_id, 6, ['', repeat('=', 70)], 0 FROM rep
-  UNION ALL SELECT run_id, 2, ['', 'ERRORS DETECTED'], -2 FROM log_entries GROUP BY run_id
+  SELECT run_id, 0 AS section, [{_L['rule']}, {_L['title']}, {_L['report_id']} || report_id,
+      {_L['generated']} || strftime(finished_at, {TS}), {_L['rule']}, '',
+      {_L['pipeline']} || pipeline_name, {_L['run_id']} || cast(run_id AS varchar),
+      {_L['scenario']} || scenario_name, {_L['health']} || health_status, {_L['severity']} || severity,
+      {_L['failure_type']} || coalesce(failure_type, {_L['no_failure_type']}), {_L['outcome']} || final_outcome, '', {_L['timeline']},
+      {_L['started']} || strftime(started_at, {TS}), {_L['finished']} || strftime(finished_at, {TS}), '',
+      {_L['stages']}] AS l, 0 AS base FROM rep
+  UNION ALL SELECT run_id, 4, ['', {_L['remediation']}], 0 FROM rep
+  UNION ALL SELECT run_id, 5, ['', {_L['recommendations']}], 0 FROM rep
+  UNION ALL SELECT run_id, 5, list_transform(string_split(recommendations, ' | '), lambda r: {_L['bullet']} || r), 2 FROM rep
+  UNION ALL SELECT run_id, 6, ['', {_L['rule']}], 0 FROM rep
+  UNION ALL SELECT run_id, 2, ['', {_L['errors']}], -2 FROM log_entries GROUP BY run_id
     HAVING bool_or(level IN ('error', 'critical'))
-  UNION ALL SELECT run_id, 3, ['', 'WARNINGS'], -2 FROM log_entries GROUP BY run_id HAVING bool_or(level = 'warning')),
+  UNION ALL SELECT run_id, 3, ['', {_L['warnings']}], -2 FROM log_entries GROUP BY run_id HAVING bool_or(level = 'warning')),
 fc AS (SELECT run_id, action, min(seq) AS seq FROM remediations GROUP BY run_id, action),
 acts AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS rn, action FROM fc),
 lines AS (
   SELECT run_id, section, base + unnest(range(len(l))) AS item, unnest(l) AS line FROM lists
   UNION ALL
-  SELECT la.run_id, 1, la.stage_ordinal, '  ' || ICONS || ' ' || rpad(la.stage_name, 12, ' ') || ' | '
-         || rpad(la.status, 12, ' ') || ' | ' || printf('in=%5d out=%5d', la.rows_in, la.rows_out)
-         || coalesce(' | ERR: ' || la.error_message, '') FROM la
+  SELECT la.run_id, 1, la.stage_ordinal, '  ' || ICONS || ' ' || rpad(la.stage_name, {REPORT_STAGE_WIDTH}, ' ') || ' | '
+         || rpad(la.status, {REPORT_STAGE_WIDTH}, ' ') || ' | ' || printf({_L['counts']}, la.rows_in, la.rows_out)
+         || coalesce({_L['err_prefix']} || la.error_message, '') FROM la
   UNION ALL
   SELECT run_id, 2, seq, '  [' || upper(level) || '] [' || stage || '] ' || message FROM log_entries
   WHERE level IN ('error', 'critical')
   UNION ALL
-  SELECT run_id, 3, seq, '  [WARN] [' || stage || '] ' || message FROM log_entries WHERE level = 'warning'
+  SELECT run_id, 3, seq, {_L['warn_open']} || stage || '] ' || message FROM log_entries WHERE level = 'warning'
   UNION ALL
   SELECT run_id, 4, rn + 1, '  ' || cast(rn AS varchar) || '. ' || action FROM acts
   UNION ALL
-  SELECT r.run_id, 4, 2, '  None required' FROM rep r WHERE NOT EXISTS (SELECT 1 FROM acts a WHERE a.run_id = r.run_id))
+  SELECT r.run_id, 4, 2, {_L['no_remediation']} FROM rep r WHERE NOT EXISTS (SELECT 1 FROM acts a WHERE a.run_id = r.run_id))
 SELECT lines.run_id, cast(section AS bigint) AS section, cast(item AS bigint) AS item, line, rep.report_id
 FROM lines JOIN rep ON lines.run_id = rep.run_id""".replace("ICONS", "CASE la.status WHEN 'success' THEN '✓' WHEN 'failed' THEN '✗' WHEN 'skipped' THEN '↷' WHEN 'remediated' THEN '⟳' WHEN 'pending' THEN '?' WHEN 'running' THEN '►' ELSE '?' END"))
 
