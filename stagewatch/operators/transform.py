@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import UNKNOWN_NAME, UNKNOWN_TIER
 from ..functions.exprs import fx_rate, is_numeric
-from .joins import lookup_join
+from .joins import broadcast_if_bounded, lookup_join
+
+MAX_RATE_ROWS = 100_000          # rates tables are per currency (and perhaps per day)
 
 
 class TransformError(ValueError):
@@ -27,15 +29,15 @@ def fx_convert(sales: DataFrame, rates: dict[str, float] | DataFrame | None = No
     """``unit_price_usd`` and ``revenue_usd``.
 
     ``rates`` is a dict (inline CASE, no join) or a DataFrame
-    ``(currency, rate)`` of currency codes; a rates table is bounded by the
-    number of currency codes, so it is broadcast.  Unknown or null currency
+    ``(currency, rate)``; it is broadcast after a row-count check
+    (``MAX_RATE_ROWS``), otherwise joined by the planner.  Unknown or null currency
     uses rate 1.0; an absent currency column means USD.
     """
     check_price_type(sales)
     cur = F.col("currency") if "currency" in sales.columns else F.lit("USD")
     if isinstance(rates, DataFrame):
         r = rates.select(F.col("currency").alias("_fx_cur"), F.col("rate").cast("decimal(8,4)").alias("_fx_rate"))
-        df = sales.join(F.broadcast(r), cur == F.col("_fx_cur"), "left")
+        df = sales.join(broadcast_if_bounded(r, MAX_RATE_ROWS), cur == F.col("_fx_cur"), "left")
         rate = F.coalesce(F.col("_fx_rate"), F.lit(1).cast("decimal(8,4)"))
     else:
         df, rate = sales, fx_rate(cur, rates)

@@ -20,6 +20,7 @@ from ..functions.constants import (LOG_MESSAGES as MSG, MISSING_COLUMN_MSG, MISS
 from ..functions.exprs import is_null, is_numeric
 from ..operators import profile as Q
 from ..operators import transform as tr
+from ..session import cut_lineage
 from ..sources import views as V
 
 
@@ -211,6 +212,10 @@ def run_load(run: RunResult, target: str | None = None) -> None:
         return
     t0 = _now()
     n = run.metrics.get("sales_rows", 0)
+    if target:
+        # the PK check and the write both read the enriched table: materialise it
+        # once in the shared checkpoint folder instead of recomputing the joins
+        run.enriched = cut_lineage(run.enriched)
     pk = Q.pk_violations(run.enriched, "transaction_id").first()   # one row
     if pk["violated"]:
         run.set_stage("load", 3, "failed", n, 0, pk["message"], t0)
