@@ -221,24 +221,40 @@ def incident_report_lines(runs, stages, logs, calls, metrics) -> DataFrame:
     rep = incident_report(runs, stages, logs, calls, metrics)
     lab, sec = REPORT_LABELS, REPORT_SECTIONS
 
-    def rows(df: DataFrame, section: int, lines: list) -> DataFrame:
-        return df.select("run_id", F.lit(section).alias("section"),
-                         F.posexplode(F.array(*lines)).alias("item", "line")) \
-            .select("run_id", "section", F.col("item").cast("bigint").alias("item"), "line")
+    def line(section: int, item, text) -> Column:
+        item = item if isinstance(item, Column) else F.lit(item)
+        return F.struct(F.lit(section).alias("section"), item.cast("bigint").alias("item"),
+                        (text if isinstance(text, Column) else F.lit(text)).alias("line"))
 
     def labelled(key: str, value) -> Column:
         return F.concat(F.lit(lab[key]), value)
 
-    header = rows(rep, 0, [
-        F.lit(REPORT_RULE), F.lit(REPORT_TITLE), labelled("report_id", F.col("report_id")),
-        labelled("generated", ts_text(F.col("finished_at"))), F.lit(REPORT_RULE), F.lit(""),
-        labelled("pipeline", F.col("pipeline_name")), labelled("run_id", F.col("run_id").cast("string")),
-        labelled("scenario", F.col("scenario_name")), labelled("health", F.col("health_status")),
-        labelled("severity", F.col("severity")),
-        labelled("failure_type", F.coalesce("failure_type", F.lit(REPORT_NO_FAILURE_TYPE))),
-        labelled("outcome", F.col("final_outcome")), F.lit(""), F.lit(sec["timeline"]),
-        labelled("started", ts_text(F.col("started_at"))), labelled("finished", ts_text(F.col("finished_at"))),
-        F.lit(""), F.lit(sec["stages"])])
+    first_calls = calls.groupBy("run_id", "action").agg(F.min("seq").alias("seq"))
+    acts = first_calls.groupBy("run_id").agg(                      # distinct actions: bounded
+        F.transform(F.array_sort(F.collect_list(F.struct("seq", "action"))), lambda a: a["action"]).alias("_a"))
+    header = [F.lit(REPORT_RULE), F.lit(REPORT_TITLE), labelled("report_id", F.col("report_id")),
+              labelled("generated", ts_text(F.col("finished_at"))), F.lit(REPORT_RULE), F.lit(""),
+              labelled("pipeline", F.col("pipeline_name")), labelled("run_id", F.col("run_id").cast("string")),
+              labelled("scenario", F.col("scenario_name")), labelled("health", F.col("health_status")),
+              labelled("severity", F.col("severity")),
+              labelled("failure_type", F.coalesce("failure_type", F.lit(REPORT_NO_FAILURE_TYPE))),
+              labelled("outcome", F.col("final_outcome")), F.lit(""), F.lit(sec["timeline"]),
+              labelled("started", ts_text(F.col("started_at"))), labelled("finished", ts_text(F.col("finished_at"))),
+              F.lit(""), F.lit(sec["stages"])]
+    actions = F.coalesce("_a", F.array().cast("array<string>"))
+    numbered = F.transform(actions, lambda a, i: line(4, i + 2, F.concat(
+        F.lit("  "), (i + 1).cast("string"), F.lit(". "), a)))
+    bullets = F.transform(F.split("recommendations", r" \| "),
+                          lambda r, i: line(5, i + 2, F.concat(F.lit(REPORT_BULLET), r)))
+    # every line that depends only on the run's report row, built as ONE array and exploded once
+    per_run = F.concat(
+        F.array(*[line(0, i, h) for i, h in enumerate(header)]),
+        F.array(line(4, 0, ""), line(4, 1, sec["remediation"])),
+        F.when(F.size(actions) > 0, numbered).otherwise(F.array(line(4, 2, REPORT_NO_REMEDIATION))),
+        F.array(line(5, 0, ""), line(5, 1, sec["recommendations"])), bullets,
+        F.array(line(6, 0, ""), line(6, 1, REPORT_RULE)))
+    rep_lines = rep.join(acts, "run_id", "left").select("run_id", F.explode(per_run).alias("l")) \
+        .select("run_id", "l.section", "l.item", "l.line")
     icon = F.create_map(*[x for k, v in STATUS_ICONS.items() for x in (F.lit(k), F.lit(v))])
     stage_rows = L.latest_attempt(stages).select(
         "run_id", F.lit(1).alias("section"), F.col("stage_ordinal").cast("bigint").alias("item"),
@@ -259,29 +275,15 @@ def incident_report_lines(runs, stages, logs, calls, metrics) -> DataFrame:
     # section headers only where the section has lines (counts are map-side combined)
     present = logs.groupBy("run_id").agg(
         F.max(is_error_level(lv)).alias("_e"), F.max(lv == "warning").alias("_w"))
-    heads = rows(present.where("_e"), 2, [F.lit(""), F.lit(sec["errors"])]).withColumn("item", F.col("item") - 2) \
-        .unionByName(rows(present.where("_w"), 3, [F.lit(""), F.lit(sec["warnings"])])
-                     .withColumn("item", F.col("item") - 2))
-    first_calls = calls.groupBy("run_id", "action").agg(F.min("seq").alias("seq"))
-    acts = first_calls.groupBy("run_id").agg(                      # distinct actions: bounded
-        F.transform(F.array_sort(F.collect_list(F.struct("seq", "action"))), lambda a: a["action"]).alias("_a"))
-    ra = rep.select("run_id").join(acts, "run_id", "left")
-    numbered = F.transform(F.coalesce("_a", F.array().cast("array<string>")),
-                           lambda a, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), a))
-    rem = rows(ra, 4, [F.lit(""), F.lit(sec["remediation"])]).unionByName(
-        ra.select("run_id", F.lit(4).alias("section"),
-                  F.posexplode(F.when(F.size(numbered) > 0, numbered).otherwise(F.array(F.lit(REPORT_NO_REMEDIATION))))
-                  .alias("item", "line")).select("run_id", "section", (F.col("item") + 2).cast("bigint").alias("item"), "line"))
-    recs = rows(rep, 5, [F.lit(""), F.lit(sec["recommendations"])]).unionByName(
-        rep.select("run_id", F.lit(5).alias("section"), F.posexplode(F.transform(
-            F.split("recommendations", r" \| "), lambda r: F.concat(F.lit(REPORT_BULLET), r))).alias("item", "line"))
-        .select("run_id", "section", (F.col("item") + 2).cast("bigint").alias("item"), "line"))
-    footer = rows(rep, 6, [F.lit(""), F.lit(REPORT_RULE)])
-    parts = [header, stage_rows, heads, err, warn, rem, recs, footer]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.join(rep.select("run_id", "report_id"), "run_id")
+    heads = present.select("run_id", F.explode(F.filter(
+        F.array(line(2, -2, ""), line(2, -1, sec["errors"]), line(3, -2, ""), line(3, -1, sec["warnings"])),
+        lambda x: ((x["section"] == 2) & F.col("_e")) | ((x["section"] == 3) & F.col("_w")))).alias("l")) \
+        .select("run_id", "l.section", "l.item", "l.line")
+    # stage and log lines only for runs that have a report (a semi-join on the run ids)
+    other = stage_rows.unionByName(heads).unionByName(err).unionByName(warn) \
+        .join(runs.select("run_id"), "run_id", "left_semi")
+    out = rep_lines.unionByName(other)
+    return out.withColumn("report_id", F.concat(F.lit("INC-"), F.col("run_id").cast("string")))
 
 
 def incident_report_text(runs, stages, logs, calls, metrics) -> DataFrame:
