@@ -55,3 +55,46 @@ def start_quality_stream(spark: SparkSession, source_dir: str, schema: T.StructT
     w = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
+
+
+HISTORY_RECORD_SCHEMA = ("run_id string, scenario_name string, failure_type string, ts timestamp, "
+                         "outcome string, duration_seconds double")
+
+
+def trend_windows(records: DataFrame, window_hours: int = 24, slide_hours: int = 1,
+                  late_hours: int = 24) -> DataFrame:
+    """Sliding-window failure trend over a stream of run-history records.
+
+    The batch trend (A5) looks back ``window_hours`` from one moment; the
+    stream keeps that look-back for every hour.  The watermark bounds the
+    state: records later than ``late_hours`` are dropped from their window,
+    and a window is emitted once the watermark passes its end.
+    """
+    from ..operators.history import DURATION_TYPE, failure_label
+    dur_ok = ((F.col("outcome") == "RESOLVED") & F.col("duration_seconds").isNotNull()
+              & (F.col("duration_seconds") != 0))
+    d = F.when(dur_ok, F.col("duration_seconds").cast(DURATION_TYPE))
+    return (records.withWatermark("ts", f"{late_hours} hours")
+            .groupBy(F.window("ts", f"{window_hours} hours", f"{slide_hours} hours"),
+                     failure_label(F.col("failure_type")).alias("failure_type"))
+            .agg(F.count(F.lit(1)).alias("total_runs"),
+                 F.sum(F.when(F.col("outcome").isin("FAILED", "UNRESOLVED"), 1).otherwise(0)).alias("failed_count"),
+                 F.sum(F.when(F.col("outcome") == "RESOLVED", 1).otherwise(0)).alias("resolved_count"),
+                 F.sum(d).alias("_dsum"), F.count(d).alias("_dn"))
+            .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
+                    "failure_type", "total_runs", "failed_count", "resolved_count",
+                    F.try_divide(F.col("_dsum").cast("double"), F.col("_dn").cast("double")).alias("mttr_seconds")))
+
+
+def start_trend_stream(spark: SparkSession, history_dir: str, out_path: str, checkpoint: str,
+                       window_hours: int = 24, slide_hours: int = 1, late_hours: int = 24,
+                       available_now: bool = True) -> StreamingQuery:
+    """Run ``trend_windows`` over history files landing in ``history_dir``
+    into a Parquet sink (append mode: each window is written once, when final;
+    the file sink with a checkpoint is exactly-once)."""
+    records = spark.readStream.schema(HISTORY_RECORD_SCHEMA).parquet(history_dir)
+    w = (trend_windows(records, window_hours, slide_hours, late_hours).writeStream
+         .outputMode("append").format("parquet").option("path", out_path)
+         .option("checkpointLocation", checkpoint))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return w.start()
