@@ -167,9 +167,10 @@ HISTORY_SCHEMA = T.StructType([
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """The run history; a missing or unreadable store is an empty history."""
+    """The run history; a missing store is an empty history and
+    unreadable files are skipped."""
     try:
-        return spark.read.schema(HISTORY_SCHEMA).parquet(path)
+        return spark.read.schema(HISTORY_SCHEMA).option("ignoreCorruptFiles", "true").parquet(path)
     except AnalysisException:
         return spark.createDataFrame([], HISTORY_SCHEMA)
 

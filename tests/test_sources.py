@@ -82,3 +82,7 @@ def test_history_store(spark, tmp_path):
     S.append_history(rec.withColumn("run_id", F.lit("r2")), path)
     h = S.read_history(spark, path)
     assert h.count() == 2 and h.first()["data_quality"]["total_rows"] == 200
+    bad = tmp_path / "broken"
+    (bad / "run_date=2024-01-01").mkdir(parents=True)
+    (bad / "run_date=2024-01-01" / "part-0.parquet").write_bytes(b"not a parquet file")
+    assert S.read_history(spark, str(bad)).count() == 0
