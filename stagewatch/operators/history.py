@@ -35,7 +35,11 @@ def within(history: DataFrame, as_of, hours: int | None = LOOKBACK_HOURS, ts_col
     if hours is None:
         return history.where(F.col(ts_col).isNotNull())
     cutoff = _ts(as_of) - F.make_dt_interval(hours=F.lit(hours))
-    return history.where(F.col(ts_col) >= cutoff)
+    out = history.where(F.col(ts_col) >= cutoff)
+    if "run_date" in history.columns:
+        # the history store is partitioned by run_date: prune whole date folders
+        out = out.where(F.col("run_date") >= F.to_date(cutoff))
+    return out
 
 
 def failure_label(c: Column) -> Column:

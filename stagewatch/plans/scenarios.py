@@ -169,8 +169,10 @@ def read_run_tables(spark: SparkSession, base: str) -> dict[str, DataFrame]:
     except Exception:  # noqa: BLE001  (no run needed a repair yet)
         t["remediations"] = spark.createDataFrame([], "run_id string, seq bigint, action string")
     h = S.read_history(spark, f"{base}/run_history")
-    t["run_history"] = h.select("run_id", "scenario_name", "failure_type", "ts", "outcome", "duration_seconds",
-                                F.col("data_quality.total_rows").alias("total_rows"),
+    cols = ["run_id", "scenario_name", "failure_type", "ts", "outcome", "duration_seconds"]
+    if "run_date" in h.columns:
+        cols.append("run_date")                 # partition column: look-back filters prune on it
+    t["run_history"] = h.select(*cols, F.col("data_quality.total_rows").alias("total_rows"),
                                 F.col("data_quality.total_nulls").alias("total_nulls"),
                                 F.col("data_quality.duplicate_count").alias("duplicate_count"))
     return t

@@ -86,3 +86,21 @@ def test_history_store(spark, tmp_path):
     (bad / "run_date=2024-01-01").mkdir(parents=True)
     (bad / "run_date=2024-01-01" / "part-0.parquet").write_bytes(b"not a parquet file")
     assert S.read_history(spark, str(bad)).count() == 0
+
+
+def test_history_lookback_prunes_date_partitions(spark, tmp_path):
+    import contextlib
+    import io
+
+    from stagewatch.operators import history as H
+    path = str(tmp_path / "h")
+    recs = [(f"r{i}", "s", None, dt.datetime(2024, 1, 1 + i, 12), "HEALTHY", 1.0, [], [], (10, 0, 0, []))
+            for i in range(5)]
+    S.append_history(spark.createDataFrame(recs, S.HISTORY_SCHEMA), path)
+    h = S.read_history(spark, path)
+    win = H.within(h, "2024-01-05 18:00:00", 24)
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        win.explain()
+    assert "PartitionFilters: [isnotnull(run_date" in buf.getvalue()
+    assert [r["run_id"] for r in win.collect()] == ["r4"]
