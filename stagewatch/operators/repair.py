@@ -140,3 +140,29 @@ def dedup_effect(df: DataFrame, key: str | None, dataset: str) -> DataFrame:
                   F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("rows_before"),
                   F.count(F.lit(1)).alias("rows_after")) \
         .withColumn("rows_removed", F.col("rows_before") - F.col("rows_after"))
+
+
+def dedup_conflicts(df: DataFrame, key: str, order_by: list[str] | None = None,
+                    dataset: str = "sales") -> DataFrame:
+    """What a keep-first de-duplication would really remove.
+
+    Splits the removed rows into exact copies of their key's survivor and
+    rows that differ from it (genuine data lost, e.g. after key overwrites).
+    Every row is joined to its key's single survivor (no fan-out), then
+    counted per key with map-side combine.
+    """
+    cols = df.columns
+    surv = dedup_first(df, key, order_by).select(
+        F.col(key).alias("_sk"), F.struct(*[F.col(c) for c in cols]).alias("_s"))
+    j = df.join(surv, F.col(key).eqNullSafe(F.col("_sk")), "inner")
+    same = F.struct(*[F.col(c) for c in cols]).eqNullSafe(F.col("_s"))
+    per_key = j.groupBy(key).agg(F.count(F.lit(1)).alias("n"),
+                                 F.sum(F.when(same, 1).otherwise(0)).alias("eq"))
+    return per_key.agg(
+        F.lit(dataset).alias("dataset"),
+        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("rows_before"),
+        F.count(F.lit(1)).alias("rows_after"),
+        F.coalesce(F.sum(F.col("eq") - 1), F.lit(0)).cast("bigint").alias("removed_identical"),
+        F.coalesce(F.sum(F.col("n") - F.col("eq")), F.lit(0)).cast("bigint").alias("removed_conflicting"),
+        F.coalesce(F.sum(F.when(F.col("n") > F.col("eq"), 1).otherwise(0)), F.lit(0)).cast("bigint")
+        .alias("conflicting_keys"))

@@ -532,3 +532,29 @@ def processed_sample(spark, d):
     target = tr.enrich_customers(tr.fx_convert(R.dedup_first(V.sales(spark, d), "transaction_id", DEDUP_ORDER)),
                                  V.customers(spark, d))
     return Q.first_rows(Q.select_present(target, PROCESSED_SAMPLE_COLUMNS), 5, ["transaction_id"])
+
+
+def _conflicts_sql(source_sql: str) -> str:
+    cols = ["transaction_id", "customer_id", "product_id", "quantity", "unit_price", "currency",
+            "transaction_date", "region", "status"]
+    order = ", ".join(f"{c} ASC NULLS FIRST" for c in ["product_id", "quantity", "unit_price", "customer_id",
+                                                      "currency", "transaction_date", "region", "status"])
+    same = " AND ".join(f"r.{c} IS NOT DISTINCT FROM s.{c}" for c in cols)
+    return f"""
+WITH r AS ({source_sql}),
+s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY {order}) AS rn FROM r) t
+      WHERE rn = 1),
+k AS (SELECT r.transaction_id, count(*) AS n, sum(CASE WHEN {same} THEN 1 ELSE 0 END) AS eq
+      FROM r JOIN s ON r.transaction_id IS NOT DISTINCT FROM s.transaction_id GROUP BY r.transaction_id)
+SELECT 'sales' AS dataset, cast(sum(n) AS bigint) AS rows_before, count(*) AS rows_after,
+       cast(sum(eq - 1) AS bigint) AS removed_identical, cast(sum(n - eq) AS bigint) AS removed_conflicting,
+       cast(sum(CASE WHEN n > eq THEN 1 ELSE 0 END) AS bigint) AS conflicting_keys
+FROM k"""
+
+
+@register("dedup_conflicts", with_views(_conflicts_sql(
+    f"SELECT * FROM sales UNION ALL SELECT * FROM sales WHERE {_DUP_SEL_SQL}"), "sales"))
+def dedup_conflicts(spark, d):
+    """Removed rows split into exact copies (injected) and genuine conflicts (natural id clashes)."""
+    s = V.sales(spark, d)
+    return R.dedup_conflicts(I.inject_duplicates(s, selector=_sales_dup_selector()), "transaction_id", DEDUP_ORDER)

@@ -142,3 +142,10 @@ def test_rule_violations(spark):
     assert got[("quantity", "range")] == 1
     assert got[("currency", "allowed")] == 1
     assert got[("quantity", "required")] == 1
+
+
+def test_dedup_conflicts_separates_copies_from_lost_rows(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 5)], "k string, v int")
+    r = R.dedup_conflicts(df, "k", ["v"], "t").first()
+    assert (r["rows_before"], r["rows_after"]) == (4, 2)
+    assert (r["removed_identical"], r["removed_conflicting"], r["conflicting_keys"]) == (1, 1, 1)
