@@ -58,10 +58,6 @@ def type_family(dt: T.DataType) -> str:
     return "string"
 
 
-PANDAS_NAME = {"integer": "int64", "float": "float64", "string": "object", "boolean": "bool",
-               "date": "object", "timestamp": "datetime64[ns]"}
-
-
 def schema_table(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFrame:
     """Actual schemas as rows ``(dataset, column_name, actual_type, ordinal)``."""
     rows = [(name, f.name, type_family(f.dataType), i)

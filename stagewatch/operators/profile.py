@@ -17,10 +17,6 @@ from pyspark.sql import functions as F
 from ..functions.exprs import is_null, pct
 
 
-def _stack(df: DataFrame, ids: list[str], values: list[str], var: str, val: str) -> DataFrame:
-    return df.unpivot(ids, values, var, val)
-
-
 def null_profile(df: DataFrame, dataset: str, prefix: str = "", nonzero_only: bool = True) -> DataFrame:
     """Per-column null counts (NaN counts as null) in one aggregate.
 
@@ -33,7 +29,7 @@ def null_profile(df: DataFrame, dataset: str, prefix: str = "", nonzero_only: bo
     aggs += [F.sum(F.when(is_null(df, c), 1).otherwise(0)).cast("bigint").alias(f"n{i}")
              for i, c in enumerate(cols)]
     wide = df.agg(*aggs)
-    # name each count column after its source column via a literal map
+    # one (column name, count) struct per column, exploded to long form
     long = wide.select(
         F.col("__rows").alias("total_rows"),
         F.explode(F.array(*[F.struct(F.lit(prefix + c).alias("column_name"),

@@ -14,7 +14,7 @@ from ..functions.constants import (REC_ARRIVAL, REC_DUPES, REC_NONE, REC_NULLS,
                                    REPORT_BULLET, REPORT_COUNT_FORMAT, REPORT_ERR_PREFIX, REPORT_LABELS,
                                    REPORT_NO_FAILURE_TYPE, REPORT_NO_REMEDIATION, REPORT_RULE, REPORT_SECTIONS,
                                    REPORT_STAGE_WIDTH, REPORT_TITLE, REPORT_WARN_TAG, STATUS_ICONS)
-from ..functions.exprs import is_error_level, ordered_text, ts_text
+from ..functions.exprs import is_error_level, ts_text
 from . import history as H
 from . import runlog as L
 
