@@ -134,12 +134,16 @@ def stage_status_rollup(stages: DataFrame) -> DataFrame:
                                       "n_failed")
 
 
-def stage_metrics(stages: DataFrame, metrics: DataFrame) -> DataFrame:
+def stage_metrics(stages: DataFrame, metrics: DataFrame, stage: str | None = None) -> DataFrame:
     """Each stage's latest record with its quality metrics.
 
     Only ingestion records quality metrics; other stages report zeros.
+    ``stage`` narrows to one stage; an unknown name is an error that lists
+    the known stages.
     """
-    la = latest_attempt(stages)
+    if stage is not None and stage not in STAGES:
+        raise ValueError(f"Stage '{stage}' not found; available stages: {STAGES}")
+    la = latest_attempt(stages if stage is None else stages.where(F.col("stage_name") == stage))
     m = metrics.select("run_id", F.lit("ingestion").alias("stage_name"), "total_rows", "null_count",
                        "duplicate_count", F.size("schema_violations").alias("n_schema_violations"),
                        F.size("type_mismatches").alias("n_type_mismatches"))

@@ -129,3 +129,12 @@ def test_text_report_is_the_ordered_lines(tables):
     i = lines.index("ERRORS DETECTED")
     assert lines[i + 1:i + 3] == ["  [ERROR] [ingestion] missing region", "  [CRITICAL] [ingestion] stop"]
     assert lines[lines.index("REMEDIATION APPLIED") + 1] == "  None required"
+
+
+def test_stage_metrics_one_stage_and_unknown_name(tables):
+    _, stages, _, _, metrics = tables
+    m = L.stage_metrics(stages, metrics, "load")
+    assert {r["stage_name"] for r in m.collect()} == {"load"} and m.count() == 4
+    assert L.stage_metrics(stages, metrics, "ingestion").where("run_id = 'ok'").first()["total_rows"] == 10
+    with pytest.raises(ValueError, match="available stages"):
+        L.stage_metrics(stages, metrics, "publish")
