@@ -175,3 +175,44 @@ def recent_runs(history: DataFrame, limit: int = 10, scenario: str | None = None
 def duration_seconds(start: Column, end: Column) -> Column:
     """P10: seconds between two timestamps; null if either is missing."""
     return F.timestamp_diff("MICROSECOND", start, end).cast("double") / 1e6
+
+
+_UNSET = object()
+
+
+def filter_history(history: DataFrame, scenario: str | None = None, failure_type=_UNSET,
+                   outcomes: list[str] | None = None, with_quality: bool = False) -> DataFrame:
+    """history filters.  ``failure_type`` compares null-safely (passing
+    None selects runs without a failure type); ``outcomes`` is a set test;
+    ``with_quality`` keeps records that carry quality metrics."""
+    h = history
+    if scenario:
+        h = h.where(F.col("scenario_name") == scenario)
+    if failure_type is not _UNSET:
+        h = h.where(F.col("failure_type").eqNullSafe(F.lit(failure_type).cast("string")))
+    if outcomes is not None:
+        h = h.where(F.col("outcome").isin(*outcomes))
+    if with_quality:
+        h = h.where(F.col("total_rows").isNotNull())
+    return h
+
+
+def history_summary(history: DataFrame, as_of, hours: int = LOOKBACK_HOURS) -> DataFrame:
+    """One row per scenario for the history view: runs, failures and
+    resolutions in the look-back, MTTR, and the latest run (``max_by`` on
+    the timestamp, ties by run id) — one aggregate with map-side combine."""
+    h = history.where(F.col("ts").isNotNull())
+    cutoff = _ts(as_of) - F.make_dt_interval(hours=F.lit(hours))
+    recent = F.col("ts") >= cutoff
+    order = F.struct(F.col("ts"), F.col("run_id"))
+    return h.groupBy("scenario_name").agg(
+        F.count(F.lit(1)).alias("total_runs"),
+        F.sum(F.when(recent, 1).otherwise(0)).cast("bigint").alias("runs_in_window"),
+        F.sum(F.when(recent & F.col("outcome").isin(*FAILED_OUTCOMES), 1).otherwise(0)).cast("bigint")
+        .alias("failed_in_window"),
+        F.sum(F.when(recent & (F.col("outcome") == "RESOLVED"), 1).otherwise(0)).cast("bigint")
+        .alias("resolved_in_window"),
+        mttr(F.when(recent, F.col("outcome")), F.col("duration_seconds")).alias("mttr_in_window"),
+        F.max("ts").alias("last_run_ts"),
+        F.max_by(F.col("outcome"), order).alias("last_outcome"),
+        F.max_by(F.col("run_id"), order).alias("last_run_id"))

@@ -121,3 +121,18 @@ def triage_route(spark, d):
     """K7/K8: repair known recurring failures, diagnose other issues, report the rest."""
     h = V.run_history(spark, d)
     return K.triage_route(h, H.known_failures(h))
+
+
+@register("history_summary", with_views(f"""
+SELECT scenario_name, count(*) AS total_runs,
+       cast(sum(CASE WHEN ts >= {CUTOFF} THEN 1 ELSE 0 END) AS bigint) AS runs_in_window,
+       cast(sum(CASE WHEN ts >= {CUTOFF} AND outcome IN ('FAILED', 'UNRESOLVED') THEN 1 ELSE 0 END) AS bigint) AS failed_in_window,
+       cast(sum(CASE WHEN ts >= {CUTOFF} AND outcome = 'RESOLVED' THEN 1 ELSE 0 END) AS bigint) AS resolved_in_window,
+       cast(sum(CASE WHEN ts >= {CUTOFF} AND {_DUR_OK} THEN cast(duration_seconds AS decimal(38,9)) END) AS double)
+         / count(CASE WHEN ts >= {CUTOFF} AND {_DUR_OK} THEN 1 END) AS mttr_in_window,
+       strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_run_ts,
+       arg_max(outcome, (ts, run_id)) AS last_outcome, arg_max(run_id, (ts, run_id)) AS last_run_id
+FROM run_history WHERE ts IS NOT NULL GROUP BY scenario_name""", "run_history"))
+def history_summary(spark, d):
+    """Per-scenario history view (window counts, MTTR, latest run)."""
+    return H.history_summary(V.run_history(spark, d), AS_OF)

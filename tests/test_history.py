@@ -90,3 +90,20 @@ def test_prior_counts_match_brute_force_with_a_hot_key(spark):
                                                          num_partitions=8).collect()}
     brute_all = {rid: sum(1 for _, k2, t2, _m in rows if k2 == k and t2 < t) for rid, k, t, _ in rows}
     assert sums == brute_all
+
+
+def test_filter_history_null_safe_failure_type(spark):
+    h = spark.createDataFrame([rec("a", "FAILED", "s", None), rec("b", "FAILED", "s", "schema_drift"),
+                               rec("c", "HEALTHY", "t", None)], SCHEMA)
+    assert [r["run_id"] for r in H.filter_history(h, scenario="s", failure_type=None).collect()] == ["a"]
+    assert H.filter_history(h, failure_type="schema_drift").count() == 1
+    assert H.filter_history(h, outcomes=["FAILED"]).count() == 2
+    assert H.filter_history(h).count() == 3
+
+
+def test_history_summary_latest_run(spark):
+    h = spark.createDataFrame([rec("a", "FAILED", "s", hours=3), rec("b", "RESOLVED", "s", hours=1, dur=30.0),
+                               rec("c", "HEALTHY", "s", hours=50)], SCHEMA)
+    r = H.history_summary(h, NOW).first()
+    assert (r["total_runs"], r["runs_in_window"], r["failed_in_window"]) == (3, 2, 1)
+    assert (r["last_run_id"], r["last_outcome"], r["mttr_in_window"]) == ("b", "RESOLVED", 30.0)
