@@ -107,3 +107,23 @@ def test_history_summary_latest_run(spark):
     r = H.history_summary(h, NOW).first()
     assert (r["total_runs"], r["runs_in_window"], r["failed_in_window"]) == (3, 2, 1)
     assert (r["last_run_id"], r["last_outcome"], r["mttr_in_window"]) == ("b", "RESOLVED", 30.0)
+
+
+def test_prior_counts_property(spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    row = st.tuples(st.sampled_from(["a", "b", None]), st.integers(0, 300), st.booleans())
+
+    @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(row, min_size=1, max_size=60), st.integers(1, 120), st.integers(1, 6))
+    def check(rows, lookback, parts):
+        data = [(i, k, t, m) for i, (k, t, m) in enumerate(rows)]
+        df = spark.createDataFrame(data, "id long, k string, t long, m boolean") \
+            .withColumn("ts", F.timestamp_seconds("t").cast("timestamp_ntz"))
+        got = {r["id"]: r["prior_count"] for r in
+               prior_counts(df, "id", ["k"], "ts", F.col("m"), lookback_us=lookback * 1_000_000,
+                            num_partitions=parts).collect()}
+        assert got == _brute(data, lookback)
+
+    check()
