@@ -166,3 +166,29 @@ def dedup_conflicts(df: DataFrame, key: str, order_by: list[str] | None = None,
         F.coalesce(F.sum(F.col("n") - F.col("eq")), F.lit(0)).cast("bigint").alias("removed_conflicting"),
         F.coalesce(F.sum(F.when(F.col("n") > F.col("eq"), 1).otherwise(0)), F.lit(0)).cast("bigint")
         .alias("conflicting_keys"))
+
+
+SCHEMA_FIXES = ("drop_extra_columns", "fix_type_cast", "add_missing_column_default")
+DEDUP_KEYS = {"sales": "transaction_id", "customers": "customer_id"}
+
+
+def apply_schema_fix(df: DataFrame, fix_type: str, dataset: str = "sales") -> DataFrame:
+    """P4/P5/P6 by name; an unknown fix type is an error naming the valid ones."""
+    if fix_type == "drop_extra_columns":
+        return drop_extra_columns(df, dataset)
+    if fix_type == "fix_type_cast":
+        return fix_type_cast(df)
+    if fix_type == "add_missing_column_default":
+        return add_missing_columns(df, dataset)
+    raise RepairError(f"Unknown fix_type: '{fix_type}'. Use one of {', '.join(SCHEMA_FIXES)}.")
+
+
+def deduplicate(df: DataFrame, dataset: str, order_by: list[str] | None = None) -> DataFrame:
+    """W1-W3 by dataset: keep-first on the dataset's key, or whole-row
+    de-duplication when the key column is absent."""
+    if dataset not in DEDUP_KEYS:
+        raise RepairError(f"Unknown dataset: '{dataset}'")
+    key = DEDUP_KEYS[dataset]
+    if key not in df.columns:
+        return dedup_full_row(df)
+    return dedup_first(df, key, order_by or [key])

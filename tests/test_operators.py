@@ -149,3 +149,18 @@ def test_dedup_conflicts_separates_copies_from_lost_rows(spark):
     r = R.dedup_conflicts(df, "k", ["v"], "t").first()
     assert (r["rows_before"], r["rows_after"]) == (4, 2)
     assert (r["removed_identical"], r["removed_conflicting"], r["conflicting_keys"]) == (1, 1, 1)
+
+
+def test_repair_dispatchers(spark):
+    df = spark.createDataFrame([("t1", "1.5_USD", 9), ("t1", "2.0_USD", 9)],
+                               "transaction_id string, unit_price string, loyalty_points int")
+    assert R.apply_schema_fix(df, "fix_type_cast").schema["unit_price"].dataType.simpleString() == "double"
+    assert "loyalty_points" not in R.apply_schema_fix(df, "drop_extra_columns").columns
+    assert "region" in R.apply_schema_fix(df, "add_missing_column_default").columns
+    with pytest.raises(R.RepairError, match="Unknown fix_type"):
+        R.apply_schema_fix(df, "rename")
+    assert R.deduplicate(df, "sales").count() == 1
+    no_key = df.drop("transaction_id")
+    assert R.deduplicate(no_key.unionByName(no_key), "sales").count() == 2      # whole-row fallback
+    with pytest.raises(R.RepairError):
+        R.deduplicate(df, "orders")
