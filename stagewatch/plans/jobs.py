@@ -272,19 +272,19 @@ def rollback_stage(run: RunResult, stage: str) -> RunResult:
     return run
 
 
-def record_run(spark: SparkSession, run: RunResult, base: str) -> None:
+def record_run(spark: SparkSession, run: RunResult, base: str, bucketed: bool = False) -> None:
     """Append the run's stage attempts, logs and remediations to the run tables."""
+    from ..sources.files import append_run_table
     if run.stages:
-        spark.createDataFrame(run.stages, schema=(
+        append_run_table(spark.createDataFrame(run.stages, schema=(
             "run_id string, stage_name string, stage_ordinal int, attempt int, status string, "
             "rows_in bigint, rows_out bigint, started_at timestamp_ntz, finished_at timestamp_ntz, "
-            "error_message string")).write.mode("append").parquet(f"{base}/stage_results")
+            "error_message string")), base, "stage_results", bucketed)
     if run.logs:
-        spark.createDataFrame(run.logs, schema=(
+        append_run_table(spark.createDataFrame(run.logs, schema=(
             "run_id string, seq bigint, ts timestamp_ntz, level string, stage string, message string, "
-            "details string")).write.mode("append").parquet(f"{base}/log_entries")
+            "details string")), base, "log_entries", bucketed)
     if run.remediations:
-        spark.createDataFrame([(run.run_id, i, a) for i, a in enumerate(run.remediations)],
-                              "run_id string, seq bigint, action string") \
-            .write.mode("append").parquet(f"{base}/remediations")
-
+        append_run_table(spark.createDataFrame([(run.run_id, i, a) for i, a in enumerate(run.remediations)],
+                                               "run_id string, seq bigint, action string"),
+                         base, "remediations", bucketed)

@@ -123,29 +123,31 @@ def history_outcome(run: jobs.RunResult) -> str:
     return "FAILED" if run.has_failures else "HEALTHY"
 
 
-def record_runs(spark: SparkSession, runs: list[jobs.RunResult], base: str) -> None:
+def record_runs(spark: SparkSession, runs: list[jobs.RunResult], base: str, bucketed: bool = False) -> None:
     """Append a batch of runs to the run tables under ``base`` (B8 included).
 
     The records are run metadata (a few rows per run) built in the driver;
-    every table is appended, never rewritten.
+    every table is appended, never rewritten.  ``bucketed`` writes the
+    run_id-keyed tables bucketed by run_id (co-located joins).
     """
     for r in runs:
-        jobs.record_run(spark, r, base)
+        jobs.record_run(spark, r, base, bucketed)
     header = [(r.run_id, "sales_etl", r.scenario_name, r.started_at, r.finished_at,
                r.failure_type is not None, r.failure_type) for r in runs]
-    spark.createDataFrame(header, "run_id string, pipeline_name string, scenario_name string, "
-                                  "started_at timestamp_ntz, finished_at timestamp_ntz, "
-                                  "failure_injected boolean, failure_type string") \
-        .write.mode("append").parquet(f"{base}/runs")
+    S.append_run_table(spark.createDataFrame(header, "run_id string, pipeline_name string, scenario_name string, "
+                                                     "started_at timestamp_ntz, finished_at timestamp_ntz, "
+                                                     "failure_injected boolean, failure_type string"),
+                       base, "runs", bucketed)
     metrics = [(r.run_id, int(r.metrics.get("sales_rows", 0)),
                 int(r.metrics.get("sales_null_cells", 0)) + int(r.metrics.get("email_nulls", 0)),
                 int(r.metrics.get("duplicate_count", 0)), 0, list(r.metrics.get("schema_violations", [])),
                 {"unit_price": "expected float, got string"} if r.metrics.get("n_type_mismatches") else {},
                 list(r.metrics.get("extra_columns", []))) for r in runs]
-    spark.createDataFrame(metrics, "run_id string, total_rows bigint, null_count bigint, duplicate_count bigint, "
-                                   "out_of_range_count bigint, schema_violations array<string>, "
-                                   "type_mismatches map<string,string>, extra_columns array<string>") \
-        .write.mode("append").parquet(f"{base}/quality_metrics")
+    S.append_run_table(spark.createDataFrame(
+        metrics, "run_id string, total_rows bigint, null_count bigint, duplicate_count bigint, "
+                 "out_of_range_count bigint, schema_violations array<string>, "
+                 "type_mismatches map<string,string>, extra_columns array<string>"),
+        base, "quality_metrics", bucketed)
     hist = []
     for r in runs:
         latest = {}
@@ -160,12 +162,12 @@ def record_runs(spark: SparkSession, runs: list[jobs.RunResult], base: str) -> N
     S.append_history(spark.createDataFrame(hist, S.HISTORY_SCHEMA), f"{base}/run_history")
 
 
-def read_run_tables(spark: SparkSession, base: str) -> dict[str, DataFrame]:
+def read_run_tables(spark: SparkSession, base: str, bucketed: bool = False) -> dict[str, DataFrame]:
     """The recorded run tables, in the shapes the analytics operators take."""
-    t = {n: spark.read.parquet(f"{base}/{n}")
+    t = {n: S.read_run_table(spark, base, n, bucketed)
          for n in ("runs", "stage_results", "log_entries", "quality_metrics")}
     try:
-        t["remediations"] = spark.read.parquet(f"{base}/remediations")
+        t["remediations"] = S.read_run_table(spark, base, "remediations", bucketed)
     except Exception:  # noqa: BLE001  (no run needed a repair yet)
         t["remediations"] = spark.createDataFrame([], "run_id string, seq bigint, action string")
     h = S.read_history(spark, f"{base}/run_history")

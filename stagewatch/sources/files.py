@@ -148,6 +148,37 @@ def write_partitioned(df: DataFrame, path: str, partition_by: list[str], cluster
      .partitionBy(*partition_by).format(fmt).save(path))
 
 
+RUN_TABLE_BUCKETS = 64
+
+
+def run_table_name(base: str, name: str) -> str:
+    """Catalog name of a bucketed run table stored under ``base``."""
+    import hashlib
+    return f"stagewatch_{name}_{hashlib.sha1(base.encode()).hexdigest()[:10]}"
+
+
+def append_run_table(df: DataFrame, base: str, name: str, bucketed: bool = False,
+                     buckets: int = RUN_TABLE_BUCKETS) -> None:
+    """Append rows to one run table (``base/name``).
+
+    With ``bucketed`` the table is an external catalog table bucketed and
+    sorted by ``run_id``; all run tables then share the bucketing, so joins
+    between them on ``run_id`` need no shuffle.
+    """
+    w = df.write.mode("append").format("parquet").option("path", f"{base}/{name}")
+    if bucketed:
+        w.bucketBy(buckets, "run_id").sortBy("run_id").saveAsTable(run_table_name(base, name))
+    else:
+        w.save()
+
+
+def read_run_table(spark: SparkSession, base: str, name: str, bucketed: bool = False) -> DataFrame:
+    """Read one run table written by ``append_run_table``."""
+    if bucketed:
+        return spark.table(run_table_name(base, name))
+    return spark.read.parquet(f"{base}/{name}")
+
+
 HISTORY_SCHEMA = T.StructType([
     T.StructField("run_id", T.StringType()),
     T.StructField("scenario_name", T.StringType()),

@@ -59,3 +59,26 @@ def test_recorded_tables_feed_the_analytics(spark, runs, tmp_path):
                                   t["quality_metrics"])
     miss = text.join(t["runs"].where(F.col("scenario_name") == "missing_source_file"), "run_id").first()
     assert "product_catalog" in miss["report_text"] and "OUTCOME      : UNRESOLVED" in miss["report_text"]
+
+
+def test_bucketed_run_tables_join_without_shuffle(spark, runs, tmp_path):
+    import contextlib
+    import io
+    base = str(tmp_path / "bucketed")
+    SC.record_runs(spark, list(runs.values()), base, bucketed=True)
+    t = SC.read_run_tables(spark, base, bucketed=True)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = t["stage_results"].join(t["quality_metrics"], "run_id")
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            j.explain()
+        assert "SortMergeJoin" in buf.getvalue() and "Exchange" not in buf.getvalue()
+        assert j.count() == t["stage_results"].count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    outcome = {r["scenario_name"]: r["history_outcome"] for r in
+               K.run_outcome(t["runs"], t["stage_results"], t["log_entries"], t["remediations"],
+                             t["quality_metrics"]).collect()}
+    assert outcome == {n: SC.history_outcome(r) for n, r in runs.items()}
