@@ -37,10 +37,11 @@ def normalise_na(df: DataFrame) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """CSV with a header.  With ``schema`` the read is typed (no inference
-    pass); without it every column is text (for drift profiling)."""
+    pass); without it every column is text (for drift profiling).  Either
+    way the usual missing-value tokens in text columns become nulls."""
     r = spark.read.option("header", True).option("mode", "PERMISSIVE")
     if schema is not None:
-        return r.schema(schema).csv(path)
+        return normalise_na(r.schema(schema).csv(path))
     return normalise_na(r.option("inferSchema", False).csv(path))
 
 

@@ -29,6 +29,7 @@ def test_csv_text_read_normalises_na_tokens(spark, tmp_path):
     typed = S.read_csv(spark, str(p), S.contract_schema(SALES_RULES))
     assert typed.schema["quantity"].dataType.simpleString() == "bigint"
     assert typed.where("transaction_id = 'TXN003'").first()["unit_price"] is None
+    assert typed.where("transaction_id = 'TXN003'").first()["region"] is None
 
 
 def test_json_array_needs_multiline(spark, tmp_path):
