@@ -43,3 +43,23 @@ def test_dedup_is_limited_before_the_shuffle(spark):
 def test_scan_reads_only_needed_columns(spark):
     p = plan(E.queries()["daily_revenue"](spark, SF))
     assert "l_tax" not in p and "l_shipdate" not in p and "o_totalprice" not in p
+
+
+def test_history_lookback_is_pushed_to_the_scan(spark):
+    p = plan(E.queries()["recurrence"](spark, SF))
+    assert "GreaterThanOrEqual(ts,2024-01-30T00:00)" in p
+    assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string>" in p
+
+
+def test_report_joins_reuse_run_id_partitioning(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        p = plan(E.queries()["incident_report"](spark, SF))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # one exchange per input aggregate level; none added by the join chain
+    assert p.count("SortMergeJoin") == 4
+    assert p.count("Exchange hashpartitioning") == 7
