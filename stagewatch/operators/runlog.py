@@ -187,16 +187,25 @@ def error_chain(stages: DataFrame, logs: DataFrame) -> DataFrame:
 
     Long form on purpose: a run with very many log lines is spread over rows,
     never gathered into one value.  The per-stage count is a map-side
-    combined aggregate joined back 1:1.
+    combined aggregate joined back 1:1; the fan-out to log lines is an inner
+    join (skew-splittable on both sides).
     """
     la = latest_attempt(stages)
     el = error_logs(logs).select("run_id", F.col("stage").alias("stage_name"), F.col("seq").alias("log_seq"),
                                  F.col("level").alias("log_level"), F.col("message").alias("log_message"))
     cnt = el.groupBy("run_id", "stage_name").agg(F.count(F.lit(1)).alias("n_error_logs"))
-    return (la.join(cnt, ["run_id", "stage_name"], "left").join(el, ["run_id", "stage_name"], "left")
-            .select("run_id", "stage_name", "stage_ordinal", "status", "error_message",
-                    F.coalesce("n_error_logs", F.lit(0)).alias("n_error_logs"),
-                    "log_seq", "log_level", "log_message"))
+    stage_rows = la.join(cnt, ["run_id", "stage_name"], "left").select(
+        "run_id", "stage_name", "stage_ordinal", "status", "error_message",
+        F.coalesce("n_error_logs", F.lit(0)).alias("n_error_logs"))
+    # stages with error lines: an INNER join, so AQE can split a run with a huge
+    # log on either side; stages without any: straight from the 1:1 counts
+    with_logs = stage_rows.where(F.col("n_error_logs") > 0).join(el, ["run_id", "stage_name"], "inner")
+    without = stage_rows.where(F.col("n_error_logs") == 0).select(
+        "*", F.lit(None).cast("bigint").alias("log_seq"), F.lit(None).cast("string").alias("log_level"),
+        F.lit(None).cast("string").alias("log_message"))
+    cols = ["run_id", "stage_name", "stage_ordinal", "status", "error_message", "n_error_logs",
+            "log_seq", "log_level", "log_message"]
+    return with_logs.select(*cols).unionByName(without.select(*cols))
 
 
 def root_cause(stages: DataFrame, logs: DataFrame) -> DataFrame:
