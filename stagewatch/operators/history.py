@@ -199,13 +199,17 @@ def filter_history(history: DataFrame, scenario: str | None = None, failure_type
 
 def history_summary(history: DataFrame, as_of, hours: int = LOOKBACK_HOURS) -> DataFrame:
     """One row per scenario for the history view: runs, failures and
-    resolutions in the look-back, MTTR, and the latest run (``max_by`` on
-    the timestamp, ties by run id) — one aggregate with map-side combine."""
+    resolutions in the look-back, MTTR, and the latest run.
+
+    The counts and the latest timestamp are one hash aggregate (fixed-width
+    buffers, map-side combine).  The latest run is then picked only among
+    the rows at that timestamp (ties by the largest run id), so the
+    string-valued arg-max never runs over the whole history.
+    """
     h = history.where(F.col("ts").isNotNull())
     cutoff = _ts(as_of) - F.make_dt_interval(hours=F.lit(hours))
     recent = F.col("ts") >= cutoff
-    order = F.struct(F.col("ts"), F.col("run_id"))
-    return h.groupBy("scenario_name").agg(
+    agg = h.groupBy("scenario_name").agg(
         F.count(F.lit(1)).alias("total_runs"),
         F.sum(F.when(recent, 1).otherwise(0)).cast("bigint").alias("runs_in_window"),
         F.sum(F.when(recent & F.col("outcome").isin(*FAILED_OUTCOMES), 1).otherwise(0)).cast("bigint")
@@ -213,6 +217,9 @@ def history_summary(history: DataFrame, as_of, hours: int = LOOKBACK_HOURS) -> D
         F.sum(F.when(recent & (F.col("outcome") == "RESOLVED"), 1).otherwise(0)).cast("bigint")
         .alias("resolved_in_window"),
         mttr(F.when(recent, F.col("outcome")), F.col("duration_seconds")).alias("mttr_in_window"),
-        F.max("ts").alias("last_run_ts"),
-        F.max_by(F.col("outcome"), order).alias("last_outcome"),
-        F.max_by(F.col("run_id"), order).alias("last_run_id"))
+        F.max("ts").alias("last_run_ts"))
+    at_last = h.join(agg.select("scenario_name", F.col("last_run_ts").alias("ts")), ["scenario_name", "ts"])
+    last = at_last.groupBy("scenario_name").agg(
+        F.max_by(F.col("outcome"), F.col("run_id")).alias("last_outcome"),
+        F.max("run_id").alias("last_run_id"))
+    return agg.join(last, "scenario_name")
