@@ -97,3 +97,26 @@ def present(df: DataFrame) -> DataFrame:
             c = c.cast("double")
         out.append(c.alias(f.name))
     return df.select(*out)
+
+
+def merge_rows(frames: list[DataFrame], key: str | None = None) -> DataFrame:
+    """Combine small results that each hold some of the columns of one row
+    (per ``key``, or a single row without one) — a union plus a
+    ``first(ignorenulls)`` aggregate instead of a cross or nested-loop join."""
+    cols: list[str] = []
+    for f in frames:
+        cols += [c for c in f.columns if c != key and c not in cols]
+    types = {}
+    for f in frames:
+        for fld in f.schema.fields:
+            types.setdefault(fld.name, fld.dataType)
+
+    def widen(f: DataFrame) -> DataFrame:
+        sel = ([F.col(key)] if key else []) + [
+            (F.col(c) if c in f.columns else F.lit(None).cast(types[c])).alias(c) for c in cols]
+        return f.select(*sel)
+    u = widen(frames[0])
+    for f in frames[1:]:
+        u = u.unionByName(widen(f))
+    aggs = [F.first(c, ignorenulls=True).alias(c) for c in cols]
+    return u.groupBy(key).agg(*aggs) if key else u.agg(*aggs)

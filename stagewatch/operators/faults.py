@@ -76,12 +76,12 @@ def inject_pk_violation(df: DataFrame, key: str = "transaction_id", order_by: li
     ident = F.struct(*[F.col(c) for c in cols])
     # n+1 first rows: their count also tells whether the table has more than n rows
     head = df.orderBy(*asc).limit(n + 1).select(F.col(key).alias("_new_key"),
-                                                F.row_number().over(_w(asc)).alias("_pos"))
-    enough = head.agg((F.count(F.lit(1)) > n).alias("_enough"))
-    first = head.where(F.col("_pos") <= n)
+                                                F.row_number().over(_w(asc)).alias("_pos"),
+                                                F.count(F.lit(1)).over(_all()).alias("_head_rows"))
+    first = head.where((F.col("_pos") <= n) & (F.col("_head_rows") > n))
     last = (df.orderBy(*desc).limit(n).select(ident.alias("_ident"),
                                               (F.lit(n + 1) - F.row_number().over(_w(desc))).alias("_pos")))
-    remap = last.join(first, "_pos").crossJoin(enough).where(F.col("_enough")).select("_ident", "_new_key")
+    remap = last.join(first, "_pos").select("_ident", "_new_key")
     j = df.join(F.broadcast(remap), ident.eqNullSafe(F.col("_ident")), "left")
     return j.select(*[F.coalesce(F.col("_new_key"), F.col(key)).alias(key) if c == key else F.col(c)
                       for c in df.columns])
@@ -89,7 +89,12 @@ def inject_pk_violation(df: DataFrame, key: str = "transaction_id", order_by: li
 
 def _w(order):
     from pyspark.sql import Window
-    return Window.orderBy(*order)
+    return Window.orderBy(*order)          # over at most n+1 rows (after a limit)
+
+
+def _all():
+    from pyspark.sql import Window
+    return Window.partitionBy()            # the whole (n+1)-row head
 
 
 def drop_source(sources: dict[str, DataFrame], name: str) -> dict[str, DataFrame]:

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import is_null, pct
+from ..functions.exprs import is_null, merge_rows, pct
 
 
 def null_profile(df: DataFrame, dataset: str, prefix: str = "", nonzero_only: bool = True) -> DataFrame:
@@ -89,7 +89,7 @@ def pk_violations(df: DataFrame, key: str = "transaction_id", samples: int = 3)
         .alias("ids")))
     ids_text = F.concat(F.lit("["), F.concat_ws(", ", F.transform(
         F.col("ids"), lambda x: F.concat(F.lit("'"), x, F.lit("'")))), F.lit("]"))
-    return total.crossJoin(sample).select(
+    return merge_rows([total, sample]).select(
         F.lit(key).alias("key_column"),
         "duplicate_count",
         (F.col("duplicate_count") > 0).alias("violated"),

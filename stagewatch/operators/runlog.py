@@ -75,8 +75,12 @@ def first_attempt(stages: DataFrame) -> DataFrame:
     return stages.where(F.col("attempt") == 1)
 
 
-def _status_of(stage: str):
-    return F.max(F.when(F.col("stage_name") == stage, F.col("status")))
+def _status_code_of(stage: str):
+    return F.max(F.when(F.col("stage_name") == stage, _status_code(F.col("status"))))
+
+
+def _status_name(code):
+    return F.try_element_at(F.array(*[F.lit(x) for x in STAGE_STATUSES]), code)
 
 
 def stage_gate(stages: DataFrame) -> DataFrame:
@@ -85,8 +89,9 @@ def stage_gate(stages: DataFrame) -> DataFrame:
     Transform may run only if ingestion did not fail; load only if
     transform neither failed nor was skipped (remediated passes).
     """
-    p = first_attempt(stages).groupBy("run_id").agg(
-        *[_status_of(s).alias(f"{s}_status") for s in STAGES])
+    codes = first_attempt(stages).groupBy("run_id").agg(          # int codes: hash aggregation
+        *[_status_code_of(s).alias(f"_{s}") for s in STAGES])
+    p = codes.select("run_id", *[_status_name(F.col(f"_{s}")).alias(f"{s}_status") for s in STAGES])
     t_ok = F.coalesce(F.col("ingestion_status"), F.lit("")) != "failed"
     l_ok = ~F.coalesce(F.col("transform_status"), F.lit("")).isin("failed", "skipped")
     gate_ok = ((t_ok | (F.col("transform_status") == "skipped"))
@@ -213,10 +218,13 @@ def root_cause(stages: DataFrame, logs: DataFrame) -> DataFrame:
     the root cause; downstream impact = the stages after it."""
     la = latest_attempt(stages)
     has_err = F.col("error_message").isNotNull()
-    rc = la.groupBy("run_id").agg(
-        F.min_by(F.when(has_err, F.col("stage_name")), F.when(has_err, F.col("stage_ordinal"))).alias("root_stage"),
-        F.min(F.when(has_err, F.col("stage_ordinal"))).alias("_ord"),
-        F.min_by(F.when(has_err, F.col("error_message")), F.when(has_err, F.col("stage_ordinal"))).alias("root_error"))
+    # the first erroring ordinal per run (an int: hash aggregation), then that
+    # stage's own row by an equi-join (one stage row per run and ordinal)
+    first = la.groupBy("run_id").agg(F.min(F.when(has_err, F.col("stage_ordinal"))).alias("_ord"))
+    named = la.where(has_err).select("run_id", F.col("stage_ordinal").alias("_ord"),
+                                     F.col("stage_name").alias("root_stage"),
+                                     F.col("error_message").alias("root_error"))
+    rc = first.join(named, ["run_id", "_ord"], "left")
     stages_arr = F.array(*[F.struct(F.lit(i + 1).alias("o"), F.lit(s).alias("s")) for i, s in enumerate(STAGES)])
     downstream = F.when(F.col("_ord").isNotNull(), F.concat_ws(",", F.transform(
         F.filter(stages_arr, lambda x: x["o"] > F.col("_ord")), lambda x: x["s"])))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import (LOG_MESSAGES as MSG, MISSING_COLUMN_MSG, MISSING_SOURCE_MSG,
                                    REVENUE_FAIL_MSG, SALES_COLUMNS, SCHEMA_FAIL_MSG)
-from ..functions.exprs import is_null, is_numeric
+from ..functions.exprs import is_null, is_numeric, merge_rows
 from ..operators import profile as Q
 from ..operators import transform as tr
 from ..session import cut_lineage
@@ -49,7 +49,7 @@ def ingestion_metrics(src: Sources) -> DataFrame:
     Sales rows, null cells and duplicate keys come from ONE key-count
     aggregate (a single shuffle with map-side combine); customers and
     products are one aggregate each; schema checks are metadata.  The
-    single-row results are cross-joined (1 x 1 rows).
+    single-row results are merged by a union and a one-row aggregate.
     """
     s, c, p = src.sales, src.customers, src.products
     missing = [col for col in SALES_COLUMNS if col not in s.columns]
@@ -80,7 +80,7 @@ def ingestion_metrics(src: Sources) -> DataFrame:
     pa = p.agg(F.count(F.lit(1)).alias("product_rows"))
     failed = len(missing) + len(mistyped) > 0
     total = F.col("sales_rows") + F.col("customer_rows") + F.col("product_rows")
-    return sa.crossJoin(ca).crossJoin(pa).select(
+    return merge_rows([sa, ca, pa]).select(
         "sales_rows", "customer_rows", "product_rows", total.alias("total_rows_in"),
         F.lit(len(missing)).cast("bigint").alias("n_missing_columns"),
         F.lit(len(mistyped)).cast("bigint").alias("n_type_mismatches"),

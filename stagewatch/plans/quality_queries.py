@@ -11,6 +11,7 @@ from ..operators import repair as R
 from ..sources import views as V
 from .catalog import register
 from .oracle_views import with_views
+from ..functions.exprs import merge_rows
 
 SALES_NR_COLS = ["transaction_id", "customer_id", "product_id", "quantity", "unit_price",
                  "currency", "transaction_date", "status"]
@@ -352,7 +353,7 @@ def schema_drift(spark, d):
     variants = _drift_variants(spark, d)
     summary = C.schema_drift(C.all_datasets_schema(spark, variants), C.contract_table(spark))
     samples = C.type_issue_samples(variants, order_by=["transaction_id", "product_id"])
-    return summary.join(samples, "dataset", "left")
+    return merge_rows([summary, samples], key="dataset").where(F.col("drift_detected").isNotNull())
 
 
 @register("range_violations", with_views("""
