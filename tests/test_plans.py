@@ -15,10 +15,11 @@ def plan(df):
     return buf.getvalue()
 
 
-def test_no_python_udf_in_any_query(spark):
+def test_no_python_udf_or_pairwise_join_in_any_query(spark):
     for name, q in E.queries().items():
         p = plan(q(spark, SF))
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name
+        assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
 
 
 def test_fx_conversion_needs_no_join(spark):
