@@ -127,3 +127,33 @@ def test_prior_counts_property(spark):
         assert got == _brute(data, lookback)
 
     check()
+
+
+def test_trend_filtered_by_failure_type(spark):
+    h = spark.createDataFrame([rec("a", "FAILED", ftype="schema_drift"), rec("b", "RESOLVED", ftype="data_quality"),
+                               rec("c", "FAILED", ftype="schema_drift")], SCHEMA)
+    t = {r["failure_type_filter"]: r for r in H.failure_trend(h, NOW).collect()}
+    assert (t["schema_drift"]["total_runs"], t["schema_drift"]["failed_count"]) == (2, 2)
+    assert (t["data_quality"]["total_runs"], t["data_quality"]["resolved_count"]) == (1, 1)
+
+
+def test_no_baseline_without_earlier_records(spark):
+    h = spark.createDataFrame([rec("cur", hours=1, nulls=50)], SCHEMA)
+    r = H.baseline_deviation(h, NOW).first()
+    assert not r["baseline_available"] and r["sample_size"] == 0 and not r["anomaly_detected"]
+    assert r["baseline_null_rate"] is None
+
+
+def test_old_failures_are_not_known(spark):
+    rows = [rec(f"o{i}", "FAILED", "s", "schema_drift", hours=40 + i) for i in range(3)] + \
+           [rec("now", "FAILED", "s", "schema_drift", hours=1)]
+    got = {r["run_id"]: r for r in H.known_failures(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got["now"]["recent_occurrences"] == 0 and not got["now"]["is_known_recurring"]
+
+
+def test_recent_runs_limit_and_scenario(spark):
+    h = spark.createDataFrame([rec(f"s{i}", scenario="s", hours=i) for i in range(5)] +
+                              [rec("t0", scenario="t", hours=0)], SCHEMA)
+    got = H.recent_runs(h, 2, scenario="s").orderBy("recency_rank").collect()
+    assert [r["run_id"] for r in got] == ["s0", "s1"]
+    assert H.recent_runs(h, 10).count() == 6

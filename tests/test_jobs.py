@@ -100,3 +100,16 @@ def test_duplicate_lookup_keys_fail_transform(sources):
     run = jobs.run_pipeline(sources.replace(customers=dup_c))
     assert statuses(run) == ["success", "failed", "skipped"]
     assert "not unique" in run.stage("transform")["error_message"]
+
+
+def test_healthy_produces_enriched_data(sources):
+    run = jobs.run_pipeline(sources)
+    cols = run.enriched.columns
+    assert {"unit_price_usd", "revenue_usd", "customer_name", "customer_tier"} <= set(cols)
+    assert run.enriched.count() == 40 and run.run_id
+
+
+def test_failed_run_without_repair_is_failed(small_sources):
+    from stagewatch.plans import scenarios as SC
+    run = SC.run_scenario(small_sources, "schema_drift_missing_column", remediate=False)
+    assert SC.history_outcome(run) == "FAILED" and run.remediations == []
