@@ -127,17 +127,13 @@ def record_runs(spark: SparkSession, runs: list[jobs.RunResult], base: str, buck
     """Append a batch of runs to the run tables under ``base`` (B8 included).
 
     The records are run metadata (a few rows per run) built in the driver;
-    every table is appended, never rewritten.  ``bucketed`` writes the
+    every table is appended, never rewritten.  The ``runs`` headers are
+    written last, so readers that start from ``runs`` never see a run whose
+    other records are still missing.  ``bucketed`` writes the
     run_id-keyed tables bucketed by run_id (co-located joins).
     """
     for r in runs:
         jobs.record_run(spark, r, base, bucketed)
-    header = [(r.run_id, "sales_etl", r.scenario_name, r.started_at, r.finished_at,
-               r.failure_type is not None, r.failure_type) for r in runs]
-    S.append_run_table(spark.createDataFrame(header, "run_id string, pipeline_name string, scenario_name string, "
-                                                     "started_at timestamp_ntz, finished_at timestamp_ntz, "
-                                                     "failure_injected boolean, failure_type string"),
-                       base, "runs", bucketed)
     metrics = [(r.run_id, int(r.metrics.get("sales_rows", 0)),
                 int(r.metrics.get("sales_null_cells", 0)) + int(r.metrics.get("email_nulls", 0)),
                 int(r.metrics.get("duplicate_count", 0)), 0, list(r.metrics.get("schema_violations", [])),
@@ -160,6 +156,14 @@ def record_runs(spark: SparkSession, runs: list[jobs.RunResult], base: str, buck
                       int(r.metrics.get("sales_null_cells", 0)) + int(r.metrics.get("email_nulls", 0)),
                       int(r.metrics.get("duplicate_count", 0)), list(r.metrics.get("schema_violations", [])))))
     S.append_history(spark.createDataFrame(hist, S.HISTORY_SCHEMA), f"{base}/run_history")
+    # the run headers go last: reports start from `runs`, so a run becomes visible
+    # only once all its other records are written
+    header = [(r.run_id, "sales_etl", r.scenario_name, r.started_at, r.finished_at,
+               r.failure_type is not None, r.failure_type) for r in runs]
+    S.append_run_table(spark.createDataFrame(header, "run_id string, pipeline_name string, scenario_name string, "
+                                                     "started_at timestamp_ntz, finished_at timestamp_ntz, "
+                                                     "failure_injected boolean, failure_type string"),
+                       base, "runs", bucketed)
 
 
 def read_run_tables(spark: SparkSession, base: str, bucketed: bool = False) -> dict[str, DataFrame]:
