@@ -82,3 +82,19 @@ def test_bucketed_run_tables_join_without_shuffle(spark, runs, tmp_path):
                K.run_outcome(t["runs"], t["stage_results"], t["log_entries"], t["remediations"],
                              t["quality_metrics"]).collect()}
     assert outcome == {n: SC.history_outcome(r) for n, r in runs.items()}
+
+
+def test_log_filter_pushes_down_on_recorded_tables(spark, runs, tmp_path):
+    import contextlib
+    import io
+
+    from stagewatch.operators import runlog as L
+    base = str(tmp_path / "plain")
+    SC.record_runs(spark, list(runs.values()), base)
+    logs = SC.read_run_tables(spark, base)["log_entries"]
+    q = L.log_filter(logs, level="error", stage="ingestion")
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        q.explain()
+    assert "EqualTo(level,error)" in buf.getvalue() and "EqualTo(stage,ingestion)" in buf.getvalue()
+    assert q.count() >= 1
