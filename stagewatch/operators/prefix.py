@@ -62,9 +62,11 @@ def prior_counts(df: DataFrame, id_col: str, keys: list[str], ts_col: str, match
     # local prefix: events strictly before each probe inside its (partition, key) slice
     w = (Window.partitionBy("_pid", *keys).orderBy("_p", "_kind")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = ranged.withColumn("_local", F.sum("_kind").over(w)).where(F.col("_kind") == 0)
-    # offsets: events of the same key in earlier partitions
-    tot = ranged.groupBy("_pid", *keys).agg(F.sum("_kind").alias("_cnt"))
+    windowed = ranged.withColumn("_local", F.sum("_kind").over(w))
+    local = windowed.where(F.col("_kind") == 0)
+    # offsets: events of the same key in earlier partitions; grouped on the
+    # window's own partitioning (pid, key), so no further shuffle
+    tot = windowed.groupBy("_pid", *keys).agg(F.sum("_kind").alias("_cnt"))
     wo = (Window.partitionBy(*keys).orderBy("_pid")
           .rowsBetween(Window.unboundedPreceding, -1))
     offs = tot.withColumn("_off", F.coalesce(F.sum("_cnt").over(wo), F.lit(0))).drop("_cnt")
@@ -96,10 +98,11 @@ def prior_sums(df: DataFrame, id_col: str, keys: list[str], ts_col: str, values:
         ranged = cut_lineage(ranged)
     w = (Window.partitionBy("_pid", *keys).orderBy("_p", "_kind", "_id")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = ranged.select("_id", "_pid", *keys, "_kind",
-                          F.sum("_kind").over(w).alias("_lc"),
-                          *[F.sum(v).over(w).alias(f"_l_{v}") for v in values]).where(F.col("_kind") == 0)
-    tot = ranged.groupBy("_pid", *keys).agg(F.sum("_kind").alias("_c"), *[F.sum(v).alias(f"_t_{v}") for v in values])
+    windowed = ranged.select("_id", "_pid", *keys, "_kind", *values,
+                             F.sum("_kind").over(w).alias("_lc"),
+                             *[F.sum(v).over(w).alias(f"_l_{v}") for v in values])
+    local = windowed.where(F.col("_kind") == 0)
+    tot = windowed.groupBy("_pid", *keys).agg(F.sum("_kind").alias("_c"), *[F.sum(v).alias(f"_t_{v}") for v in values])
     wo = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(F.col("_pid").alias("_o_pid"), *[F.col(k).alias(f"_o_{k}") for k in keys],
                       F.coalesce(F.sum("_c").over(wo), F.lit(0)).alias("_oc"),
