@@ -38,6 +38,11 @@ SCENARIO_FAILURE_TYPES = {
     "pk_constraint_violation": "data_quality",
 }
 MISSING_SOURCE_NAME = "product_catalog"
+# The scenarios run when none are named
+DEFAULT_SCENARIOS = [
+    "healthy", "schema_drift_type_change", "data_quality_nulls", "data_quality_duplicates",
+    "schema_drift_missing_column", "pk_constraint_violation",
+]
 
 
 def inject(name: str, src: jobs.Sources) -> jobs.Sources:
@@ -186,20 +191,25 @@ def read_run_tables(spark: SparkSession, base: str, bucketed: bool = False) -> d
 
 def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(description="Run scenarios end to end and record the run tables.")
+    ap.add_argument("scenario", nargs="*", help=f"scenario names (default: {' '.join(DEFAULT_SCENARIOS)})")
     ap.add_argument("--sf-dir", required=True)
     ap.add_argument("--out", required=True, help="folder for the run tables (shared storage on a cluster)")
-    ap.add_argument("--scenarios", default=",".join(SCENARIOS))
     ap.add_argument("--no-remediation", action="store_true")
+    ap.add_argument("--bucketed", action="store_true", help="write run tables bucketed by run_id")
     a = ap.parse_args(argv)
+    names = a.scenario or DEFAULT_SCENARIOS
+    unknown = [n for n in names if n not in SCENARIOS]
+    if unknown:
+        ap.error(f"unknown scenario(s) {unknown}; available: {SCENARIOS}")
     spark = SparkSession.builder.getOrCreate()
     src = jobs.Sources.from_views(spark, a.sf_dir)
     runs = []
-    for name in [n for n in a.scenarios.split(",") if n]:
+    for name in names:
         r = run_scenario(src, name, target=f"{a.out}/sales_fact", remediate=not a.no_remediation)
         print(f"{name:30s} {history_outcome(r):10s} "
               + " ".join(f"{s['stage_name']}#{s['attempt']}={s['status']}" for s in r.stages))
         runs.append(r)
-    record_runs(spark, runs, a.out)
+    record_runs(spark, runs, a.out, bucketed=a.bucketed)
     print(f"recorded {len(runs)} runs under {a.out} at {_dt.datetime.now(_dt.timezone.utc).isoformat()}")
 
 

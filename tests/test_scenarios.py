@@ -98,3 +98,8 @@ def test_log_filter_pushes_down_on_recorded_tables(spark, runs, tmp_path):
         q.explain()
     assert "EqualTo(level,error)" in buf.getvalue() and "EqualTo(stage,ingestion)" in buf.getvalue()
     assert q.count() >= 1
+
+
+def test_cli_rejects_unknown_scenarios():
+    with pytest.raises(SystemExit):
+        SC.main(["--sf-dir", "/nowhere", "--out", "/nowhere", "not_a_scenario"])
