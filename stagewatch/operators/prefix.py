@@ -32,10 +32,6 @@ from ..functions.exprs import micros_since_epoch
 from ..session import cut_lineage
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
-
-
 def prior_counts(df: DataFrame, id_col: str, keys: list[str], ts_col: str, match: Column,
                  lookback_us: int | None = None, num_partitions: int | None = None,
                  checkpoint: bool = True) -> DataFrame:
