@@ -64,3 +64,20 @@ def test_report_joins_reuse_run_id_partitioning(spark):
     # one exchange per input aggregate level; none added by the join chain
     assert p.count("SortMergeJoin") == 4
     assert p.count("Exchange hashpartitioning") == 7
+
+
+def test_broadcast_only_under_a_measured_bound(spark):
+    from stagewatch.operators.joins import lookup_join
+    big = spark.range(1000).withColumnRenamed("id", "k")
+    small = spark.range(10).withColumnRenamed("id", "k2")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")     # the planner would never broadcast
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        under = plan(lookup_join(big, small, big.k == small.k2, max_broadcast_rows=100))
+        over = plan(lookup_join(big, small, big.k == small.k2, max_broadcast_rows=5))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "BroadcastHashJoin" in under
+    assert "BroadcastHashJoin" not in over and "SortMergeJoin" in over
