@@ -221,12 +221,18 @@ def run_load(run: RunResult, target: str | None = None) -> None:
         run.set_stage("load", 3, "failed", n, 0, pk["message"], t0)
         run.log("error", "load", pk["message"])
         return
+    written = n
     if target:
+        from pyspark.sql import Observation
+
         from ..sources.files import write_partitioned
+        # rows written are counted by the write itself (an observed metric), not by a second pass
+        obs = Observation(f"load_{run.run_id}_{run.stage('load')['attempt'] + 1 if run.stage('load') else 1}")
         write_partitioned(run.enriched.withColumn("run_id", F.lit(run.run_id)), target,
-                          ["run_id", "transaction_date"], cluster_by=["transaction_id"])
-    run.set_stage("load", 3, "success", n, n, None, t0)
-    run.log("info", "load", MSG["load_done"].format(n))
+                          ["run_id", "transaction_date"], cluster_by=["transaction_id"], observation=obs)
+        written = int(obs.get["rows"])
+    run.set_stage("load", 3, "success", n, written, None, t0)
+    run.log("info", "load", MSG["load_done"].format(written))
 
 
 def run_pipeline(src: Sources, scenario_name: str = "healthy", failure_type: str | None = None,

@@ -132,7 +132,7 @@ def source_arrival(spark: SparkSession, expected: dict[str, str], fmt: str = "pa
 
 
 def write_partitioned(df: DataFrame, path: str, partition_by: list[str], cluster_by: list[str] | None = None,
-                      fmt: str = "parquet") -> None:
+                      fmt: str = "parquet", observation=None) -> None:
     """Publish a table, replacing only the partitions present in ``df``.
 
     Dynamic partition overwrite makes a re-run of one day idempotent and
@@ -141,10 +141,15 @@ def write_partitioned(df: DataFrame, path: str, partition_by: list[str], cluster
     writes few partition folders, and a hot partition value is split over
     several tasks by the cluster columns instead of landing in one.
     Without it the write keeps the input partitioning (no shuffle).
+    ``observation`` (a ``pyspark.sql.Observation``) receives the number of
+    rows written, counted by the write itself.
     """
     out = df
     if cluster_by:
         out = df.repartitionByRange(*[F.col(c) for c in partition_by + list(cluster_by)])
+    if observation is not None:
+        # observed after the repartition: the range sampling job does not count
+        out = out.observe(observation, F.count(F.lit(1)).alias("rows"))
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partition_by).format(fmt).save(path))
 

@@ -89,6 +89,8 @@ def test_type_change_repaired_then_rerun(sources, tmp_path):
         jobs.rerun_stage(fixed, run, s, target=str(tmp_path / "fact"))
     assert statuses(run) == ["success", "success", "success"]
     assert run.remediations == ["rerun_stage(ingestion)", "rerun_stage(transform)", "rerun_stage(load)"]
+    written = run.stage("load")["rows_out"]
+    assert written == 40 and run.stages[-1]["rows_out"] == written
     jobs.rollback_stage(run, "load")
     assert run.stage("load")["status"] == "skipped"
     with pytest.raises(ValueError):
