@@ -9,7 +9,6 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -20,21 +19,21 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-_SCHEMAS: dict[str, T.StructType] = {}
+_SCANS: dict[tuple[int, str], DataFrame] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Read one parquet table, optionally projecting ``columns`` at the scan.
 
-    The schema is inferred from the footers once per path and then passed
-    explicitly, so building a plan that reads the same table several times
-    does not repeat the footer reads in the driver.
+    The scan (file listing and footer schema) is created once per session and
+    path and reused, so building a plan that reads the same table several
+    times does not repeat that work in the driver.  Each use still gets its
+    own projection; Catalyst prunes and pushes filters per use.
     """
     path = table_path(sf_dir, name)
-    schema = _SCHEMAS.get(path)
-    if schema is None:
+    key = (id(spark), path)        # the cached scan keeps its session alive, so ids cannot be reused
+    df = _SCANS.get(key)
+    if df is None:
         df = spark.read.parquet(path)
-        _SCHEMAS[path] = df.schema
-    else:
-        df = spark.read.schema(schema).parquet(path)
+        _SCANS[key] = df
     return df.select(*columns) if columns else df
