@@ -201,3 +201,16 @@ def type_issue_samples(variants: dict[str, tuple[str, DataFrame]], order_by: lis
         spark = next(iter(variants.values()))[1].sparkSession
         return spark.createDataFrame([], "dataset string, sample_values string")
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def rules_from_contract(contract: DataFrame, dataset: str | None = None) -> list[tuple]:
+    """Rule tuples for ``rule_violations`` from contract rows (e.g. a contract
+    file read by ``sources.files.read_contract``).  Contract rows are metadata
+    — one per declared column — so they are brought to the driver to build
+    the single profiling aggregate."""
+    rows = contract if dataset is None else contract.where(F.col("dataset") == dataset)
+    out = []
+    for r in rows.orderBy("ordinal").collect():           # bounded: one row per declared column
+        out.append((r["column_name"], r["expected_type"], bool(r["required"]), bool(r["is_unique"]),
+                    r["min_value"], r["max_value"], list(r["allowed_values"]) if r["allowed_values"] else None))
+    return out

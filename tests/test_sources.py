@@ -105,3 +105,15 @@ def test_history_lookback_prunes_date_partitions(spark, tmp_path):
         win.explain()
     assert "PartitionFilters: [isnotnull(run_date" in buf.getvalue()
     assert [r["run_id"] for r in win.collect()] == ["r4"]
+
+
+def test_contract_file_drives_rule_evaluation(spark, tmp_path):
+    p = tmp_path / "c.json"
+    p.write_text(json.dumps({"name": "t", "columns": {
+        "qty": {"type": "integer", "required": True, "min": 1, "max": 5},
+        "cur": {"type": "string", "allowed_values": ["USD"]}}}))
+    rules = C.rules_from_contract(S.read_contract(spark, str(p), "t"))
+    assert [r[0] for r in rules] == ["qty", "cur"]
+    df = spark.createDataFrame([(0, "USD"), (3, "EUR"), (None, None)], "qty int, cur string")
+    got = {(r["column_name"], r["rule"]): r["violations"] for r in C.rule_violations(df, "t", rules).collect()}
+    assert got == {("qty", "required"): 1, ("qty", "range"): 1, ("cur", "allowed"): 1}
