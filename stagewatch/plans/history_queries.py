@@ -136,3 +136,15 @@ FROM run_history WHERE ts IS NOT NULL GROUP BY scenario_name""", "run_history"))
 def history_summary(spark, d):
     """Per-scenario history view (window counts, MTTR, latest run)."""
     return H.history_summary(V.run_history(spark, d), AS_OF)
+
+
+@register("history_filter", with_views(f"""
+SELECT run_id, scenario_name, failure_type, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, outcome,
+       duration_seconds, total_rows, total_nulls, duplicate_count
+FROM run_history
+WHERE scenario_name = 'data_quality_nulls' AND failure_type IS NOT DISTINCT FROM NULL
+  AND outcome IN ('HEALTHY', 'FAILED')""", "run_history"))
+def history_filter(spark, d):
+    """one scenario's runs without a failure type (null-safe), by outcome."""
+    return H.filter_history(V.run_history(spark, d), scenario="data_quality_nulls", failure_type=None,
+                            outcomes=["HEALTHY", "FAILED"])
