@@ -287,9 +287,11 @@ def record_run(spark: SparkSession, run: RunResult, base: str, bucketed: bool =
             "rows_in bigint, rows_out bigint, started_at timestamp_ntz, finished_at timestamp_ntz, "
             "error_message string")), base, "stage_results", bucketed)
     if run.logs:
+        # never bucketed: a run's log is unbounded, and a bucket cannot be split for
+        # skew; logs are aggregated per run (map-side combined) before any join anyway
         append_run_table(spark.createDataFrame(run.logs, schema=(
             "run_id string, seq bigint, ts timestamp_ntz, level string, stage string, message string, "
-            "details string")), base, "log_entries", bucketed)
+            "details string")), base, "log_entries", False)
     if run.remediations:
         append_run_table(spark.createDataFrame([(run.run_id, i, a) for i, a in enumerate(run.remediations)],
                                                "run_id string, seq bigint, action string"),

@@ -173,7 +173,7 @@ def record_runs(spark: SparkSession, runs: list[jobs.RunResult], base: str, buck
 
 def read_run_tables(spark: SparkSession, base: str, bucketed: bool = False) -> dict[str, DataFrame]:
     """The recorded run tables, in the shapes the analytics operators take."""
-    t = {n: S.read_run_table(spark, base, n, bucketed)
+    t = {n: S.read_run_table(spark, base, n, bucketed and n != "log_entries")
          for n in ("runs", "stage_results", "log_entries", "quality_metrics")}
     try:
         t["remediations"] = S.read_run_table(spark, base, "remediations", bucketed)
