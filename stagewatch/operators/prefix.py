@@ -8,7 +8,8 @@ key to one task; with few keys (scenarios, failure types) one key can hold a
 third of all rows.  Instead this computes a distributed prefix count:
 
 1. Events (matching rows) and probe points (each row's ``t`` and
-   ``t - lookback``) are unioned and range-partitioned on
+   ``t - lookback``) come from one scan (an explode per row) and are
+   range-partitioned on
    ``(key, t, kind)``; the range bounds split a hot key across partitions
    by time.
 2. Inside each (partition, key) slice a running count gives the local
@@ -42,15 +43,18 @@ def prior_counts(df: DataFrame, id_col: str, keys: list[str], ts_col: str, match
     base = df.select(F.col(id_col).alias("_id"), *[F.col(k) for k in keys],
                      micros_since_epoch(F.col(ts_col)).alias("_t"), match.alias("_m"))
     base = base.where(F.col("_t").isNotNull())
-    events = base.where(F.col("_m")).select(*keys, F.col("_t").alias("_p"), F.lit(1).alias("_kind"),
-                                            F.lit(None).cast(base.schema["_id"].dataType).alias("_id"),
-                                            F.lit(0).alias("_sign"))
-    probes = [base.select(*keys, F.col("_t").alias("_p"), F.lit(0).alias("_kind"), "_id",
-                          F.lit(1).alias("_sign"))]
+    id_type = base.schema["_id"].dataType
+
+    def point(p, kind, rid, sign):
+        return F.struct(p.alias("_p"), F.lit(kind).alias("_kind"), rid.cast(id_type).alias("_id"),
+                        F.lit(sign).alias("_sign"))
+    # one scan: each row becomes its probe(s) and, when it matches, an event
+    pts = [point(F.col("_t"), 0, F.col("_id"), 1),
+           F.when(F.col("_m"), point(F.col("_t"), 1, F.lit(None), 0))]
     if lookback_us is not None:
-        probes.append(base.select(*keys, (F.col("_t") - F.lit(lookback_us)).alias("_p"),
-                                  F.lit(0).alias("_kind"), "_id", F.lit(-1).alias("_sign")))
-    u = reduce(lambda a, b: a.unionByName(b), [events] + probes)
+        pts.append(point(F.col("_t") - F.lit(lookback_us), 0, F.col("_id"), -1))
+    u = base.select(*keys, F.explode(F.filter(F.array(*pts), lambda x: x.isNotNull())).alias("_x")) \
+        .select(*keys, "_x._p", "_x._kind", "_x._id", "_x._sign")
     ranged = (u.repartitionByRange(n, *[F.col(k).asc_nulls_first() for k in keys], "_p", "_kind")
               .withColumn("_pid", F.spark_partition_id()))
     if checkpoint:
@@ -84,10 +88,11 @@ def prior_sums(df: DataFrame, id_col: str, keys: list[str], ts_col: str, values:
     base = df.select(F.col(id_col).alias("_id"), *keys, micros_since_epoch(F.col(ts_col)).alias("_p"),
                      *[F.col(v).cast("bigint").alias(v) for v in values])
     base = base.where(F.col("_p").isNotNull())
-    # each row is both an event (kind 1, carries its values) and a probe (kind 0)
-    ev = base.select("_id", *keys, "_p", F.lit(1).alias("_kind"), *values)
-    pr = base.select("_id", *keys, "_p", F.lit(0).alias("_kind"), *[F.lit(0).cast("bigint").alias(v) for v in values])
-    u = ev.unionByName(pr)
+    # one scan: each row is both an event (kind 1, carries its values) and a probe (kind 0)
+    pair = F.array(F.struct(F.lit(1).alias("_kind"), *[F.col(v).alias(v) for v in values]),
+                   F.struct(F.lit(0).alias("_kind"), *[F.lit(0).cast("bigint").alias(v) for v in values]))
+    u = base.select("_id", *keys, "_p", F.explode(pair).alias("_x")) \
+        .select("_id", *keys, "_p", "_x._kind", *[f"_x.{v}" for v in values])
     ranged = (u.repartitionByRange(n, *[F.col(k).asc_nulls_first() for k in keys], "_p", "_kind")
               .withColumn("_pid", F.spark_partition_id()))
     if checkpoint:
