@@ -51,11 +51,14 @@ def inject_nulls(df: DataFrame, column: str = "email", selector: Column | None =
 def inject_duplicates(df: DataFrame, selector: Column | None = None, fraction: float = 0.15) -> DataFrame:
     """Append a deterministic ~``fraction`` of rows again (bag union).
 
-    The copy is chosen by ``selector`` (default: a content hash), so the
-    work is a filter plus a union: no global ranking, no single task.
+    The copy is chosen by ``selector`` (default: a content hash); each
+    selected row is emitted twice in the same scan (no union, so the input
+    is computed once), with no global ranking and no single task.
     """
     sel = selector if selector is not None else hash_fraction(df.columns, fraction)
-    return df.unionByName(df.where(sel))
+    # one scan: a selected row is emitted twice (explode of a 1- or 2-element array)
+    copies = F.explode(F.when(sel, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return df.select("*", copies.alias("_copy")).drop("_copy")
 
 
 def inject_pk_violation(df: DataFrame, key: str = "transaction_id", order_by: list[str] | None = None,

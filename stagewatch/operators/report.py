@@ -266,12 +266,14 @@ def incident_report_lines(runs, stages, logs, calls, metrics) -> DataFrame:
                         F.concat(F.lit(REPORT_ERR_PREFIX), F.col("error_message"))).otherwise(F.lit("")))
         .alias("line"))
     lv = F.col("level")
-    err = logs.where(is_error_level(lv)).select(
-        "run_id", F.lit(2).alias("section"), F.col("seq").cast("bigint").alias("item"),
-        F.concat(F.lit("  ["), F.upper(lv), F.lit("] ["), F.col("stage"), F.lit("] "), F.col("message")).alias("line"))
-    warn = logs.where(lv == "warning").select(
-        "run_id", F.lit(3).alias("section"), F.col("seq").cast("bigint").alias("item"),
-        F.concat(F.lit(f"  [{REPORT_WARN_TAG}] ["), F.col("stage"), F.lit("] "), F.col("message")).alias("line"))
+    is_err = is_error_level(lv)
+    # error and warning lines in one scan of the logs
+    log_lines = logs.where(is_err | (lv == "warning")).select(
+        "run_id", F.when(is_err, 2).otherwise(3).alias("section"), F.col("seq").cast("bigint").alias("item"),
+        F.when(is_err, F.concat(F.lit("  ["), F.upper(lv), F.lit("] [")))
+        .otherwise(F.lit(f"  [{REPORT_WARN_TAG}] [")).alias("_tag"), "stage", "message") \
+        .select("run_id", "section", "item",
+                F.concat(F.col("_tag"), F.col("stage"), F.lit("] "), F.col("message")).alias("line"))
     # section headers only where the section has lines (counts are map-side combined)
     present = logs.groupBy("run_id").agg(
         F.max(is_error_level(lv)).alias("_e"), F.max(lv == "warning").alias("_w"))
@@ -280,7 +282,7 @@ def incident_report_lines(runs, stages, logs, calls, metrics) -> DataFrame:
         lambda x: ((x["section"] == 2) & F.col("_e")) | ((x["section"] == 3) & F.col("_w")))).alias("l")) \
         .select("run_id", "l.section", "l.item", "l.line")
     # stage and log lines only for runs that have a report (a semi-join on the run ids)
-    other = stage_rows.unionByName(heads).unionByName(err).unionByName(warn) \
+    other = stage_rows.unionByName(heads).unionByName(log_lines) \
         .join(runs.select("run_id"), "run_id", "left_semi")
     out = rep_lines.unionByName(other)
     return out.withColumn("report_id", F.concat(F.lit("INC-"), F.col("run_id").cast("string")))
