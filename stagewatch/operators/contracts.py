@@ -148,16 +148,18 @@ def rule_violations(df: DataFrame, dataset: str, rules: list | None = None,
 def uniqueness_violations(df: DataFrame, columns: list[str], dataset: str) -> DataFrame:
     """C13 ``unique``: rows beyond the first per value, for each unique column.
 
-    One ``groupBy`` per column (each with map-side combine); nulls count as
+    One scan for all columns: every row is exploded into one
+    ``(column, value)`` pair per checked column and counted in a single
+    shuffle with map-side combine.  Values compare as text; nulls count as
     one value, matching a pandas duplicate test.
     """
-    parts = []
-    for col in columns:
-        kc = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-        parts.append(kc.agg(F.lit(dataset).alias("dataset"), F.lit(col).alias("column_name"),
-                            F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("violations"),
-                            F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total_rows")))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("string").alias("_v"))
+                                for c in columns]))
+    kc = (df.select(pairs.alias("_p")).groupBy("_p._c", "_p._v").agg(F.count(F.lit(1)).alias("n")))
+    return kc.groupBy(F.col("_c").alias("column_name")).agg(
+        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("violations"),
+        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total_rows")) \
+        .select(F.lit(dataset).alias("dataset"), "column_name", "violations", "total_rows")
 
 
 def unique_columns(dataset: str, df: DataFrame) -> list[str]:
