@@ -103,3 +103,78 @@ def _all():
 def drop_source(sources: dict[str, DataFrame], name: str) -> dict[str, DataFrame]:
     """A source map without ``name`` (the arrival check reports it)."""
     return {k: v for k, v in sources.items() if k != name}
+
+
+SMALL_TIE_SET = 1_000_000     # tie sets up to this size are ordered exactly; larger ones are copies
+
+
+def first_n(df: DataFrame, n: int, key: Column, tiebreak: list[str]) -> DataFrame:
+    """Exactly the ``n`` rows that come first by (``key``, ``tiebreak``...),
+    without a global sort or a single-task ranking.
+
+    ``key`` is a non-negative 63-bit integer (e.g. a content hash).  Radix
+    selection narrows the boundary 16 bits at a time: each level is one
+    filtered scan with a ``groupBy(bucket).count()`` of at most 65,536 rows
+    (bounded, brought to the driver); every bucket below the boundary is
+    taken whole.  What remains are rows with the boundary key itself:
+    ordered exactly by ``tiebreak`` when few, otherwise (copies of one row
+    under a content hash) taken by per-partition quotas — no shuffle, no
+    single task.
+    """
+    k = key.cast("bigint")
+    taken: list[Column] = []
+    prefix = F.lit(True)
+    remaining = n
+    for shift in (47, 31, 15, 0):
+        width = 16 if shift else 15
+        bucket = F.shiftright(k, shift).bitwiseAND((1 << width) - 1)
+        counts = (df.where(prefix).groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+                  .orderBy("_b").collect())                     # <= 65,536 rows
+        cum, boundary = 0, None
+        for row in counts:
+            if cum + row["_n"] >= remaining:
+                boundary = row["_b"]
+                break
+            cum += row["_n"]
+        if boundary is None:                                    # fewer rows than n: take all
+            taken.append(prefix)
+            remaining = 0
+            break
+        taken.append(prefix & (bucket < boundary))
+        remaining -= cum
+        prefix = prefix & (bucket == boundary)
+        if remaining == 0:
+            break
+    chosen = df.where(reduce_or(taken)) if taken else df.limit(0)
+    if remaining <= 0:
+        return chosen
+    ties = df.where(prefix)
+    n_ties = ties.count()
+    if n_ties <= SMALL_TIE_SET:
+        cols = [F.col(c).asc_nulls_first() for c in tiebreak]
+        return chosen.unionByName(ties.orderBy(*cols).limit(remaining))
+    # a huge tie set is copies of one row: take per-partition quotas
+    tagged = ties.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+    per = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).orderBy("_pid").collect()  # <= #partitions
+    quota, left = {}, remaining
+    for row in per:
+        quota[row["_pid"]] = min(left, row["_n"])
+        left -= quota[row["_pid"]]
+    q = F.create_map(*[x for p, v in quota.items() for x in (F.lit(p), F.lit(v))])
+    local = F.col("_mid").bitwiseAND((1 << 33) - 1)
+    extra = tagged.where(local < F.coalesce(F.element_at(q, F.col("_pid")), F.lit(0))).drop("_pid", "_mid")
+    return chosen.unionByName(extra)
+
+
+def reduce_or(conds: list[Column]) -> Column:
+    out = conds[0]
+    for c in conds[1:]:
+        out = out | c
+    return out
+
+
+def inject_duplicates_exact(df: DataFrame, key: Column, tiebreak: list[str], fraction: float = 0.15) -> DataFrame:
+    """I5, exact mode: append exactly ``max(1, int(fraction * rows))`` rows,
+    the first ones by a deterministic key (see ``first_n``)."""
+    n = max(1, df.count() * int(round(fraction * 10000)) // 10000)      # integer arithmetic: exact
+    return df.unionByName(first_n(df, n, key, tiebreak))

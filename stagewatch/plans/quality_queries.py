@@ -559,3 +559,21 @@ def dedup_conflicts(spark, d):
     """Removed rows split into exact copies (injected) and genuine conflicts (natural id clashes)."""
     s = V.sales(spark, d)
     return R.dedup_conflicts(I.inject_duplicates(s, selector=_sales_dup_selector()), "transaction_id", DEDUP_ORDER)
+
+
+_EXACT_KEY_SQL = "(product_id * 1000003 + quantity * 7919 + cast(unit_price * 100 AS bigint)) % 2147483647"
+
+
+@register("inject_duplicates_exact", with_views(f"""
+WITH s AS (SELECT *, {_EXACT_KEY_SQL} AS h FROM sales_nr),
+pick AS (SELECT * FROM s ORDER BY h, {", ".join(c + " ASC NULLS FIRST" for c in SALES_NR_COLS)}
+         LIMIT (SELECT greatest(1, count(*) * 1500 // 10000) FROM sales_nr))
+SELECT {_sales_sql_cols(region=False)} FROM (SELECT * EXCLUDE (h) FROM s UNION ALL SELECT * EXCLUDE (h) FROM pick) u""",
+    "sales_nr"))
+def inject_duplicates_exact(spark, d):
+    """I5 exact mode: exactly 15% of rows appended again, chosen by a
+    deterministic key through distributed radix selection (no global sort)."""
+    s = V.sales(spark, d, with_region=False)
+    key = F.pmod(F.col("product_id") * 1000003 + F.col("quantity") * 7919
+                 + (F.col("unit_price") * 100).cast("bigint"), F.lit(2147483647))
+    return I.inject_duplicates_exact(s, key, SALES_NR_COLS, 0.15)

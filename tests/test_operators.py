@@ -164,3 +164,15 @@ def test_repair_dispatchers(spark):
     assert R.deduplicate(no_key.unionByName(no_key), "sales").count() == 2      # whole-row fallback
     with pytest.raises(R.RepairError):
         R.deduplicate(df, "orders")
+
+
+def test_first_n_is_exact_without_a_global_sort(spark):
+    import random
+    rnd = random.Random(3)
+    rows = [(i, rnd.choice([rnd.randint(0, 2 ** 62), rnd.randint(0, 20), 7])) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, h long")
+    for n in (1, 37, 150, 205):
+        got = sorted(r["id"] for r in I.first_n(df, n, F.col("h"), ["h", "id"]).collect())
+        assert got == sorted(i for i, _ in sorted(rows, key=lambda r: (r[1], r[0]))[:n])
+    exact = I.inject_duplicates_exact(df, F.col("h"), ["h", "id"], 0.15)
+    assert exact.count() == 200 + 30
