@@ -56,7 +56,10 @@ def inject(name: str, src: jobs.Sources) -> jobs.Sources:
     if name == "data_quality_nulls":
         return src.replace(customers=I.inject_nulls(src.customers, "email"))
     if name == "data_quality_duplicates":
-        return src.replace(sales=I.inject_duplicates(src.sales))
+        # exactly max(1, int(0.15 n)) rows, chosen by a content hash (exact mode, no global sort)
+        cols = src.sales.columns
+        key = F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(1 << 62))
+        return src.replace(sales=I.inject_duplicates_exact(src.sales, key, cols, 0.15))
     if name == "missing_source_file":
         return src.replace(products=None, missing=[MISSING_SOURCE_NAME])
     if name == "pk_constraint_violation":

@@ -27,7 +27,8 @@ def test_first_pass_statuses(runs):
     assert first_pass(runs["schema_drift_missing_column"]) == ["failed", "skipped", "skipped"]
     assert first_pass(runs["missing_source_file"]) == ["failed", "skipped", "skipped"]
     assert first_pass(runs["pk_constraint_violation"]) == ["success", "success", "failed"]
-    assert first_pass(runs["data_quality_duplicates"])[:2] == ["success", "success"]
+    assert first_pass(runs["data_quality_duplicates"]) == ["success", "success", "failed"]
+    assert runs["data_quality_duplicates"].metrics["duplicate_count"] == 6      # exactly 15% of 40 rows
 
 
 def test_outcomes_after_playbook(runs):
