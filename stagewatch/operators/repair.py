@@ -110,7 +110,7 @@ def fill_nulls_effect(df: DataFrame, column: str, default=FILL_DEFAULT) -> DataF
                       .alias("rows_fixed"))
 
 
-def dedup_first(df: DataFrame, key: str, order_by: list[str] | None = None) -> DataFrame:
+def dedup_first(df: DataFrame, key: str | list[str], order_by: list[str] | None = None) -> DataFrame:
     """Keep the first row per key under an explicit total order.
 
     ``order_by`` names the columns that define "first"; the remaining
@@ -118,10 +118,15 @@ def dedup_first(df: DataFrame, key: str, order_by: list[str] | None = None) -> D
     ``row_number() = 1``, which Spark executes with a partial
     ``WindowGroupLimit`` before the shuffle: each map task forwards at most
     one row per key, so a hot key cannot flood one reducer.
+
+    ``key`` may be several columns.  Keying by the columns the input is
+    already hash-partitioned on (e.g. the parts of an id that a sort-merge
+    join produced) lets the window reuse that partitioning: no new shuffle.
     """
-    order_by = list(order_by or [])
-    rest = [c for c in df.columns if c != key and c not in order_by]
-    w = Window.partitionBy(key).orderBy(*[F.col(c).asc_nulls_first() for c in order_by + rest])
+    keys = [key] if isinstance(key, str) else list(key)
+    order_by = [c for c in (order_by or []) if c not in keys]
+    rest = [c for c in df.columns if c not in keys and c not in order_by]
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in order_by + rest])
     return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")
 
 

@@ -81,3 +81,19 @@ def test_broadcast_only_under_a_measured_bound(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert "BroadcastHashJoin" in under
     assert "BroadcastHashJoin" not in over and "SortMergeJoin" in over
+
+
+def test_dedup_on_join_key_parts_reuses_the_join_partitioning(spark):
+    from stagewatch.operators import repair as R
+    from stagewatch.sources import views as V
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        s = V.sales(spark, SF, with_region=False, with_keys=True)
+        p = plan(R.dedup_first(s, ["order_key", "line_no"], ["product_id"]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # only the two join inputs are shuffled; the de-dup window adds no exchange
+    assert p.count("Exchange hashpartitioning") == 2 and "WindowGroupLimit" in p
