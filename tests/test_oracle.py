@@ -52,3 +52,7 @@ def test_entry_runs(spark):
 def test_every_query_builds(spark):
     for name, q in E.queries().items():
         assert q(spark, SF).columns, name
+
+
+def test_every_query_has_an_oracle():
+    assert set(E.queries()) == set(E.oracle_sql())
