@@ -93,7 +93,7 @@ def pk_violations(df: DataFrame, key: str = "transaction_id", samples: int = 3)
         F.lit(key).alias("key_column"),
         "duplicate_count",
         (F.col("duplicate_count") > 0).alias("violated"),
-        F.concat_ws(", ", F.col("ids")).alias("sample_ids"),
+        F.when(F.size("ids") > 0, F.concat_ws(", ", F.col("ids"))).alias("sample_ids"),
         F.when(F.col("duplicate_count") > 0, F.concat(
             F.lit("PK constraint violation: "), F.col("duplicate_count").cast("string"),
             F.lit(f" duplicate {key}s (e.g. "), ids_text, F.lit(")"))).alias("message"))

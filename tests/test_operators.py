@@ -35,7 +35,9 @@ def test_pk_violation_samples_repeat_non_first_occurrences(spark):
     assert r["sample_ids"] == "a, a, b"
     assert r["message"] == "PK constraint violation: 3 duplicate transaction_ids (e.g. ['a', 'a', 'b'])"
     clean = spark.createDataFrame([("a",), ("b",)], "transaction_id string")
-    assert Q.pk_violations(clean).first()["violated"] is False
+    c = Q.pk_violations(clean).first()
+    assert c["violated"] is False and c["sample_ids"] is None and c["message"] is None
+    assert c["duplicate_count"] == 0
 
 
 def test_fix_type_cast_extracts_first_number(spark):
