@@ -199,7 +199,7 @@ def type_mismatch_counts(spark, d):
 WITH {_TYPED_SQL}
 SELECT transaction_id, product_id, unit_price AS bad_value FROM typed
 WHERE unit_price IS NOT NULL AND try_cast(unit_price AS double) IS NULL
-ORDER BY transaction_id, product_id, bad_value LIMIT 3""", "sales_nr"))
+ORDER BY transaction_id NULLS FIRST, product_id NULLS FIRST, bad_value NULLS FIRST LIMIT 3""", "sales_nr"))
 def bad_value_samples(spark, d):
     """L1: first three bad prices in transaction order (top-k, not head)."""
     s = I.inject_type_change(V.sales(spark, d, with_region=False))
@@ -336,9 +336,9 @@ WITH summary(dataset, missing_columns, extra_columns, type_issue_columns, n_miss
          ('products', '', '', '', 0, 0, 0)),
 samples AS (
   SELECT 'sales_type_change' AS dataset,
-         string_agg(v, ', ' ORDER BY transaction_id, product_id, v) AS sample_values
+         string_agg(v, ', ' ORDER BY transaction_id NULLS FIRST, product_id NULLS FIRST, v NULLS FIRST) AS sample_values
   FROM (SELECT transaction_id, product_id, cast(unit_price AS varchar) || '_USD' AS v
-        FROM sales ORDER BY transaction_id, product_id, v LIMIT 3) t)
+        FROM sales ORDER BY transaction_id NULLS FIRST, product_id NULLS FIRST, v NULLS FIRST LIMIT 3) t)
 SELECT s.dataset, s.missing_columns, s.extra_columns, s.type_issue_columns,
        cast(s.n_missing AS bigint) AS n_missing, cast(s.n_extra AS bigint) AS n_extra,
        cast(s.n_type_issues AS bigint) AS n_type_issues,
