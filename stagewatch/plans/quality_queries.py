@@ -74,8 +74,8 @@ def _cust_dupes(spark, d):
 @register("dedup_customers", with_views("""
 SELECT customer_id, name, email, tier, country, strftime(signup_date, '%Y-%m-%d') AS signup_date,
        lifetime_value
-FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY name, email, tier, country,
-        signup_date, lifetime_value) AS rn
+FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY name NULLS FIRST, email NULLS FIRST,
+        tier NULLS FIRST, country NULLS FIRST, signup_date NULLS FIRST, lifetime_value NULLS FIRST) AS rn
       FROM (SELECT * FROM customers UNION ALL SELECT * FROM customers WHERE customer_id % 100 < 15) u) t
 WHERE rn = 1""", "customers"))
 def dedup_customers(spark, d):
@@ -116,9 +116,9 @@ def duplicate_count(spark, d):
 
 @register("pk_violations", with_views("""
 WITH k AS (SELECT transaction_id, count(*) AS n FROM sales_nr GROUP BY transaction_id HAVING count(*) > 1),
-top AS (SELECT transaction_id, n FROM k ORDER BY transaction_id LIMIT 3),
+top AS (SELECT transaction_id, n FROM k ORDER BY transaction_id NULLS FIRST LIMIT 3),
 rep AS (SELECT t.transaction_id, g.i FROM top t, generate_series(1, 3) g(i) WHERE g.i <= least(t.n - 1, 3)),
-ids AS (SELECT list(transaction_id ORDER BY transaction_id, i)[1:3] AS l FROM rep),
+ids AS (SELECT list(transaction_id ORDER BY transaction_id NULLS FIRST, i)[1:3] AS l FROM rep),
 tot AS (SELECT coalesce(cast(sum(n - 1) AS bigint), 0) AS duplicate_count FROM k)
 SELECT 'transaction_id' AS key_column, duplicate_count, duplicate_count > 0 AS violated,
        array_to_string(l, ', ') AS sample_ids,
@@ -501,8 +501,9 @@ def source_target_reconcile(spark, d):
 
 @register("sample_rows", with_views(f"""
 SELECT {_sales_sql_cols()} FROM sales
-ORDER BY transaction_id, customer_id, product_id, quantity, unit_price, currency, transaction_date,
-         region NULLS FIRST, status LIMIT 5""", "sales"))
+ORDER BY transaction_id NULLS FIRST, customer_id NULLS FIRST, product_id NULLS FIRST, quantity NULLS FIRST,
+         unit_price NULLS FIRST, currency NULLS FIRST, transaction_date NULLS FIRST, region NULLS FIRST,
+         status NULLS FIRST LIMIT 5""", "sales"))
 def sample_rows(spark, d):
     """L2: the first five rows in an explicit total order (top-k)."""
     s = V.sales(spark, d)
@@ -526,7 +527,7 @@ e AS (SELECT d.transaction_id, d.customer_id, cast(d.unit_price AS double) AS un
                * cast(d.quantity AS decimal(10,0)) AS double) AS revenue_usd,
              CASE WHEN c.customer_id IS NULL THEN 'unknown' ELSE c.tier END AS customer_tier
       FROM d LEFT JOIN customers c ON d.customer_id = c.customer_id)
-SELECT * FROM e ORDER BY transaction_id LIMIT 5""", "sales", "customers"))
+SELECT * FROM e ORDER BY transaction_id NULLS FIRST LIMIT 5""", "sales", "customers"))
 def processed_sample(spark, d):
     """The first five processed rows, projected to the columns present."""
     from ..operators import transform as tr
