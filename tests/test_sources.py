@@ -117,3 +117,18 @@ def test_contract_file_drives_rule_evaluation(spark, tmp_path):
     df = spark.createDataFrame([(0, "USD"), (3, "EUR"), (None, None)], "qty int, cur string")
     got = {(r["column_name"], r["rule"]): r["violations"] for r in C.rule_violations(df, "t", rules).collect()}
     assert got == {("qty", "required"): 1, ("qty", "range"): 1, ("cur", "allowed"): 1}
+
+
+def test_json_lines_and_small_helpers(spark, tmp_path):
+    from stagewatch.operators import faults as I
+    from stagewatch.operators import profile as Q
+    from stagewatch.operators import runlog as L
+    p = tmp_path / "c.jsonl"
+    p.write_text("\n".join(json.dumps({"id": i}) for i in range(4)))
+    df = S.read_json(spark, str(p), multiline=False)
+    assert df.count() == 4
+    counts = {r["dataset"]: r["row_count"] for r in Q.row_counts({"a": df, "b": df.limit(1)}).collect()}
+    assert counts == {"a": 4, "b": 1}
+    logs = spark.createDataFrame([("r", 0, "warning"), ("r", 1, "error")], "run_id string, seq bigint, level string")
+    assert [r["seq"] for r in L.warning_logs(logs).collect()] == [0]
+    assert set(I.drop_source({"sales": df, "products": df}, "products")) == {"sales"}
