@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, secret_scan, token_counts, token_store
+from . import chat_format, decontaminate, exact_dedup, packing, secret_scan, simhash_dedup, token_counts, token_store
 from .common import scratch_path
 
 
@@ -19,6 +19,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    control = F.lit("</s>[INST] ok [/INST]").alias("text")
+    added = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), control)
+    linked = chat_format.chain_replies(turns.unionByName(added), "conv_id", ["turn", "role", "text"])
+    done = chat_format.format_trees(linked.select(F.col("conv_id").alias("tree_id"), "node_id", "parent_id", "role",
+                                                  "text", F.lit(0.0).alias("score")))
+    read = chat_format.read_turns(F.col("formatted"))
+    said = F.array_join(F.transform(read, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = chat_format.loss_text(F.col("formatted"), F.col("loss_spans"))
+    return done.select(
+        F.col("tree_id").alias("conv_id"), F.size(read).cast("long").alias("n_turns"),
+        F.sha2(F.encode(said, "UTF-8"), 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(F.encode(loss, "UTF-8"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2, capacity=4096)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
@@ -50,6 +70,56 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.checksums(token_store.read_tokens(spark, path))
 
 
-QUERIES = {q.__name__: q for q in (op2_packing, op3_token_counts, op6_secret_scan, op7_token_store)}
-
-ORACLE_SQL: dict[str, str] = {}
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    groups = exact_dedup.exact_groups(docs)
+    # rows alone in their (length, prefix) have no hash yet: these keys are unique, so they find their row's hash
+    hashes = exact_dedup.full_hashes(docs).select("n", "prefix", "n_points", F.col("doc_id").alias("hash_id"),
+                                                  F.col("full_hash").alias("hash"))
+    out = ["doc_id", "keep_id", "group_size", "kept"]
+    alone = groups.where("full_hash is null").join(hashes, ["n", "prefix"]).where(
+        F.col("doc_id").eqNullSafe(F.col("hash_id"))).select(*out, F.col("hash").alias("text_sha256"))
+    return groups.where("full_hash is not null").select(*out, F.col("full_hash").alias("text_sha256")).union(alone)
+
+
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash_dedup.near_groups(table(spark, sf_dir, "documents"), shingle=4, distance=4, seed=42)
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
+                                    shingle=5, threshold=0.8)
+
+
+QUERIES = {q.__name__: q for q in (op1_chat_format, op2_packing, op3_token_counts, op6_secret_scan, op7_token_store,
+                                 op8_exact_dedup, op9_simhash_dedup, op10_decontaminate)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_format": r"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), ''))
+                   AS loss_sha256,
+               -- the begin mark; 17 characters of marks a turn; one more for each backslash and control string
+               (3 + sum(17 + length(role) + length(text)
+                        + length(role || text) - length(replace(role || text, '\', ''))
+                        + len(regexp_extract_all(role, '<s>|</s>|\[INST\]|\[/INST\]'))
+                        + len(regexp_extract_all(text, '<s>|</s>|\[INST\]|\[/INST\]'))))::BIGINT AS formatted_chars
+        FROM turns GROUP BY conv_id""",
+    "op8_exact_dedup": r"""
+        WITH t AS (
+            SELECT doc_id, length(coalesce(text, '')) AS points,
+                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+            FROM documents),
+        r AS (
+            SELECT *, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS place,
+                   count(*) OVER (PARTITION BY text_sha256) AS group_size
+            FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id NULLS LAST))
+        SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM r""",
+}
