@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, packing, secret_scan, simhash_dedup, token_counts, token_store
+from . import chat_format, decontaminate, exact_dedup, packing, secret_scan, simhash_dedup, suffix_dedup, token_counts, token_store
 from .common import scratch_path
 
 
@@ -50,6 +50,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"), length=50)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -92,7 +99,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     shingle=5, threshold=0.8)
 
 
-QUERIES = {q.__name__: q for q in (op1_chat_format, op2_packing, op3_token_counts, op6_secret_scan, op7_token_store,
+QUERIES = {q.__name__: q for q in (op1_chat_format, op2_packing, op3_token_counts, op5_suffix_dedup, op6_secret_scan, op7_token_store,
                                  op8_exact_dedup, op9_simhash_dedup, op10_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {
