@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, packing, secret_scan, simhash_dedup, suffix_dedup, token_counts, token_store
+from . import chat_format, decontaminate, exact_dedup, packing, quality, secret_scan, simhash_dedup, suffix_dedup, token_counts, token_store
 from .common import scratch_path
 
 
@@ -50,6 +50,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"), length=50)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
@@ -99,7 +104,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     shingle=5, threshold=0.8)
 
 
-QUERIES = {q.__name__: q for q in (op1_chat_format, op2_packing, op3_token_counts, op5_suffix_dedup, op6_secret_scan, op7_token_store,
+QUERIES = {q.__name__: q for q in (op1_chat_format, op2_packing, op3_token_counts, op4_quality, op5_suffix_dedup, op6_secret_scan, op7_token_store,
                                  op8_exact_dedup, op9_simhash_dedup, op10_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {

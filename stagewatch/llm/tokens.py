@@ -51,6 +51,25 @@ def _byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+def split_spaces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The texts' words between single spaces, and where each text's words begin."""
+    lists = pc.split_pattern(texts, " ")
+    bounds = lists.offsets.to_numpy().astype(np.int64)
+    return lists.values.slice(bounds[0], bounds[-1] - bounds[0]), bounds - bounds[0]
+
+
+def expand(blobs: list[bytes], index: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers (little-endian, 32 bits) of the blobs at ``index``, and how many each text has."""
+    sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+    table = np.frombuffer(b"".join(blobs), "<u4")
+    begins = np.cumsum(sizes) - sizes
+    taken = sizes[index]
+    ends = np.cumsum(taken)
+    at = np.repeat(begins[index] - (ends - taken), taken) + np.arange(ends[-1] if len(ends) else 0)
+    before = np.concatenate([[0], ends])
+    return table[at], before[bounds[1:]] - before[bounds[:-1]]
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -129,10 +148,7 @@ class Encoder:
 
     def chunks_of(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Distinct chunks of texts that need not go whole; each word's chunk; where each text's words begin."""
-        lists = pc.split_pattern(texts, " ")
-        bounds = lists.offsets.to_numpy().astype(np.int64)
-        words = lists.values.slice(bounds[0], bounds[-1] - bounds[0])
-        bounds = bounds - bounds[0]
+        words, bounds = split_spaces(texts)
         coded = words.dictionary_encode()
         index, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
         if self.kind == "byte":       # all but the first word of a text have a space before them
@@ -145,12 +161,4 @@ class Encoder:
 
     def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         distinct, index, bounds = self.chunks_of(texts)
-        blobs = list(map(self.chunk_ids, distinct))
-        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
-        table = np.frombuffer(b"".join(blobs), "<u4")
-        begins = np.cumsum(sizes) - sizes
-        taken = sizes[index]
-        ends = np.cumsum(taken)
-        at = np.repeat(begins[index] - (ends - taken), taken) + np.arange(ends[-1] if len(ends) else 0)
-        before = np.concatenate([[0], ends])
-        return table[at], before[bounds[1:]] - before[bounds[:-1]]
+        return expand(list(map(self.chunk_ids, distinct)), index, bounds)
