@@ -64,7 +64,6 @@ PRODUCT_RULES = [
 # ---------------------------------------------------------------------------
 STAGES = ["ingestion", "transform", "load"]
 STAGE_STATUSES = ["pending", "running", "success", "failed", "skipped", "remediated"]
-LOG_LEVELS = ["info", "warning", "error", "critical"]
 ERROR_LEVELS = ["error", "critical"]
 STATUS_ICONS = {"success": "✓", "failed": "✗", "skipped": "↷",
                 "remediated": "⟳", "pending": "?", "running": "►"}
@@ -105,7 +104,6 @@ MISSING_SOURCE_MSG = "Source file for '{}' not found in data lake."
 MISSING_COLUMN_MSG = "Missing required column: '{}'"
 SCHEMA_FAIL_MSG = "Schema validation errors — see logs for details"
 REVENUE_FAIL_MSG = "Revenue computation failed — unit_price type invalid"
-PK_FAIL_MSG = "PK constraint violation: {} duplicate transaction_ids (e.g. {})"
 
 # ---------------------------------------------------------------------------
 # Log message texts, in stage order ({} = run-specific value)

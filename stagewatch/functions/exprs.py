@@ -16,9 +16,14 @@ FLOATING_TYPES = (T.FloatType, T.DoubleType)
 RATE_TYPE = "decimal(8,4)"
 
 
+def quoted(name: str) -> Column:
+    """The top-level column ``name``, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def is_null(df: DataFrame, name: str) -> Column:
     """Null test that also counts NaN on floating columns (pandas ``isna``)."""
-    c = F.col(name)
+    c = quoted(name)
     if isinstance(df.schema[name].dataType, FLOATING_TYPES):
         return c.isNull() | F.isnan(c)
     return c.isNull()

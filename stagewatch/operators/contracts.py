@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.constants import DRIFT_TYPES, RULES_BY_DATASET
+from ..functions.exprs import quoted
 
 CONTRACT_SCHEMA = T.StructType([
     T.StructField("dataset", T.StringType()),
@@ -105,32 +106,49 @@ def schema_drift(actual: DataFrame, contract: DataFrame) -> DataFrame:
         .otherwise(F.lit("Schema matches expected definition")))
 
 
+def range_test(df: DataFrame, name: str, lo: float | None, hi: float | None) -> Column:
+    """True for a non-null value of ``name`` outside ``[lo, hi]`` (text values are read as numbers)."""
+    c = quoted(name)
+    v = c.try_cast("double") if isinstance(df.schema[name].dataType, T.StringType) else c.cast("double")
+    bad = F.lit(False)
+    if lo is not None:
+        bad = bad | (v < F.lit(lo))
+    if hi is not None:
+        bad = bad | (v > F.lit(hi))
+    return v.isNotNull() & bad
+
+
+def range_tests(df: DataFrame, dataset: str) -> list[Column]:
+    """The range tests that the contract of ``dataset`` declares for the columns of ``df``."""
+    return [range_test(df, name, lo, hi) for name, _t, _r, _u, lo, hi, _a in RULES[dataset]
+            if name in df.columns and (lo is not None or hi is not None)]
+
+
 def rule_violations(df: DataFrame, dataset: str, rules: list | None = None,
-                    kinds: tuple[str, ...] = ("required", "range", "allowed")) -> DataFrame:
+                    kinds: tuple[str, ...] = ("required", "type", "range", "allowed")) -> DataFrame:
     """Evaluate declared row rules in ONE aggregate over ``df``.
 
     Returns ``(dataset, column_name, rule, violations, total_rows)`` for
     every rule that applies to a column present in ``df``.  Range tests
     count non-null values outside ``[min, max]``; allowed-value tests count
-    non-null values outside the set; required tests count nulls.
+    non-null values outside the set; required tests count nulls; type tests
+    count the non-null values of text columns that do not read as the
+    declared type (columns of another type than text fit or fail as a whole,
+    which ``schema_drift`` reports).
     """
     rules = RULES[dataset] if rules is None else rules
     checks = []
     for name, _typ, required, _uniq, lo, hi, allowed in rules:
         if name not in df.columns:
             continue
-        c = F.col(name)
+        c = quoted(name)
         if "required" in kinds and required:
             checks.append((name, "required", c.isNull()))
+        cast = {"integer": "bigint", "float": "double", "date": "date", "boolean": "boolean"}.get(_typ)
+        if "type" in kinds and cast and isinstance(df.schema[name].dataType, T.StringType):
+            checks.append((name, "type", c.isNotNull() & c.try_cast(cast).isNull()))
         if "range" in kinds and (lo is not None or hi is not None):
-            v = (c.cast("string")).try_cast("double") if isinstance(
-                df.schema[name].dataType, T.StringType) else c.cast("double")
-            bad = F.lit(False)
-            if lo is not None:
-                bad = bad | (v < F.lit(lo))
-            if hi is not None:
-                bad = bad | (v > F.lit(hi))
-            checks.append((name, "range", v.isNotNull() & bad))
+            checks.append((name, "range", range_test(df, name, lo, hi)))
         if "allowed" in kinds and allowed:
             checks.append((name, "allowed", c.isNotNull() & ~c.cast("string").isin(*allowed)))
     if not checks:
@@ -153,7 +171,7 @@ def uniqueness_violations(df: DataFrame, columns: list[str], dataset: str) -> Da
     shuffle with map-side combine.  Values compare as text; nulls count as
     one value, matching a pandas duplicate test.
     """
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("string").alias("_v"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), quoted(c).cast("string").alias("_v"))
                                 for c in columns]))
     kc = (df.select(pairs.alias("_p")).groupBy("_p._c", "_p._v").agg(F.count(F.lit(1)).alias("n")))
     return kc.groupBy(F.col("_c").alias("column_name")).agg(

@@ -1,15 +1,17 @@
-"""Fault injectors (I1-I7): deterministic corrupted copies of any table.
+"""Input builders (I1-I6): deterministic corrupted copies of any table.
 
-Used to test quality rules at scale.  Every selection is a pure function of
+Used by tests, queries and scenarios as inputs of the quality rules.  Every selection is a pure function of
 row content (a hash or a key modulus), never ``rand()``, so a recomputed
 partition after an executor loss selects exactly the same rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def inject_new_column(df: DataFrame) -> DataFrame:
     """Unexpected ``loyalty_points = trunc(unit_price * quantity * 10)``."""
@@ -65,116 +67,34 @@ def inject_pk_violation(df: DataFrame, key: str = "transaction_id", order_by: li
                         n: int = 5) -> DataFrame:
     """The last ``n`` rows take the keys of the first ``n`` rows.
 
-    "First/last" follow an explicit total order (``order_by`` then all
-    other columns).  Both ends are bounded top-``n`` selections (each a
-    per-partition top-n merged in one small step), and the ``n``-row key
-    map is broadcast back onto the table: three scans, no global sort.  The ``k``-th of
-    the last ``n`` rows receives the ``k``-th first key.  Needs more than
-    ``n`` rows, otherwise the input is returned unchanged.
+    "First/last" follow an explicit total order (``order_by``, then all other
+    columns, then a row id given once and checkpointed, so equal rows stay
+    apart).  Both ends are bounded top-``n`` selections; the ``n``-row key map
+    is broadcast back onto the table.  The ``k``-th of the last ``n`` rows
+    receives the ``k``-th first key.  Needs more than ``n`` rows, otherwise
+    the input is returned unchanged.
     """
     order_by = list(order_by or [key])
-    cols = order_by + [c for c in df.columns if c not in order_by]
+    cols = order_by + [c for c in df.columns if c not in order_by] + ["_row"]
+    rows = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
     asc = [F.col(c).asc_nulls_first() for c in cols]
     desc = [F.col(c).desc_nulls_last() for c in cols]
-    ident = F.struct(*[F.col(c) for c in cols])
     # n+1 first rows: their count also tells whether the table has more than n rows
-    head = df.orderBy(*asc).limit(n + 1).select(F.col(key).alias("_new_key"),
-                                                F.row_number().over(_w(asc)).alias("_pos"),
-                                                F.count(F.lit(1)).over(_all()).alias("_head_rows"))
+    head = rows.orderBy(*asc).limit(n + 1).select(F.col(key).alias("_new_key"),
+                                                  F.row_number().over(_w(asc)).alias("_pos"),
+                                                  F.count(F.lit(1)).over(_all()).alias("_head_rows"))
     first = head.where((F.col("_pos") <= n) & (F.col("_head_rows") > n))
-    last = (df.orderBy(*desc).limit(n).select(ident.alias("_ident"),
-                                              (F.lit(n + 1) - F.row_number().over(_w(desc))).alias("_pos")))
-    remap = last.join(first, "_pos").select("_ident", "_new_key")
-    j = df.join(F.broadcast(remap), ident.eqNullSafe(F.col("_ident")), "left")
-    return j.select(*[F.coalesce(F.col("_new_key"), F.col(key)).alias(key) if c == key else F.col(c)
-                      for c in df.columns])
+    last = (rows.orderBy(*desc).limit(n).select(F.col("_row").alias("_last_row"),
+                                                (F.lit(n + 1) - F.row_number().over(_w(desc))).alias("_pos")))
+    remap = last.join(first, "_pos").select("_last_row", "_new_key")
+    j = rows.join(F.broadcast(remap), F.col("_row") == F.col("_last_row"), "left")
+    return j.select(*[F.when(F.col("_last_row").isNotNull(), F.col("_new_key")).otherwise(F.col(key)).alias(key)
+                      if c == key else F.col(c) for c in df.columns])
 
 
 def _w(order):
-    from pyspark.sql import Window
     return Window.orderBy(*order)          # over at most n+1 rows (after a limit)
 
 
 def _all():
-    from pyspark.sql import Window
     return Window.partitionBy()            # the whole (n+1)-row head
-
-
-def drop_source(sources: dict[str, DataFrame], name: str) -> dict[str, DataFrame]:
-    """A source map without ``name`` (the arrival check reports it)."""
-    return {k: v for k, v in sources.items() if k != name}
-
-
-SMALL_TIE_SET = 1_000_000     # tie sets up to this size are ordered exactly; larger ones are copies
-
-
-def first_n(df: DataFrame, n: int, key: Column, tiebreak: list[str]) -> DataFrame:
-    """Exactly the ``n`` rows that come first by (``key``, ``tiebreak``...),
-    without a global sort or a single-task ranking.
-
-    ``key`` is a non-negative 63-bit integer (e.g. a content hash).  Radix
-    selection narrows the boundary 16 bits at a time: each level is one
-    filtered scan with a ``groupBy(bucket).count()`` of at most 65,536 rows
-    (bounded, brought to the driver); every bucket below the boundary is
-    taken whole.  What remains are rows with the boundary key itself:
-    ordered exactly by ``tiebreak`` when few, otherwise (copies of one row
-    under a content hash) taken by per-partition quotas — no shuffle, no
-    single task.
-    """
-    k = key.cast("bigint")
-    taken: list[Column] = []
-    prefix = F.lit(True)
-    remaining = n
-    for shift in (47, 31, 15, 0):
-        width = 16 if shift else 15
-        bucket = F.shiftright(k, shift).bitwiseAND((1 << width) - 1)
-        counts = (df.where(prefix).groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
-                  .orderBy("_b").collect())                     # <= 65,536 rows
-        cum, boundary = 0, None
-        for row in counts:
-            if cum + row["_n"] >= remaining:
-                boundary = row["_b"]
-                break
-            cum += row["_n"]
-        if boundary is None:                                    # fewer rows than n: take all
-            taken.append(prefix)
-            remaining = 0
-            break
-        taken.append(prefix & (bucket < boundary))
-        remaining -= cum
-        prefix = prefix & (bucket == boundary)
-        if remaining == 0:
-            break
-    chosen = df.where(reduce_or(taken)) if taken else df.limit(0)
-    if remaining <= 0:
-        return chosen
-    ties = df.where(prefix)
-    n_ties = ties.count()
-    if n_ties <= SMALL_TIE_SET:
-        cols = [F.col(c).asc_nulls_first() for c in tiebreak]
-        return chosen.unionByName(ties.orderBy(*cols).limit(remaining))
-    # a huge tie set is copies of one row: take per-partition quotas
-    tagged = ties.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    per = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).orderBy("_pid").collect()  # <= #partitions
-    quota, left = {}, remaining
-    for row in per:
-        quota[row["_pid"]] = min(left, row["_n"])
-        left -= quota[row["_pid"]]
-    q = F.create_map(*[x for p, v in quota.items() for x in (F.lit(p), F.lit(v))])
-    local = F.col("_mid").bitwiseAND((1 << 33) - 1)
-    extra = tagged.where(local < F.coalesce(F.element_at(q, F.col("_pid")), F.lit(0))).drop("_pid", "_mid")
-    return chosen.unionByName(extra)
-
-
-def reduce_or(conds: list[Column]) -> Column:
-    out = conds[0]
-    for c in conds[1:]:
-        out = out | c
-    return out
-
-
-def inject_duplicates_exact(df: DataFrame, key: Column, tiebreak: list[str], fraction: float = 0.15) -> DataFrame:
-    """I5, exact mode: append exactly ``max(1, int(fraction * rows))`` rows,
-    the first ones by a deterministic key (see ``first_n``)."""
-    n = max(1, df.count() * int(round(fraction * 10000)) // 10000)      # integer arithmetic: exact
-    return df.unionByName(first_n(df, n, key, tiebreak))

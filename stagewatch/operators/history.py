@@ -159,6 +159,15 @@ def known_failures(history: DataFrame, hours: int = LOOKBACK_HOURS,
         F.lit(hours).cast("bigint").alias("window_hours"))
 
 
+def latest_runs(history: DataFrame, limit: int = 10, scenario: str | None = None) -> DataFrame:
+    """The last ``limit`` runs over all scenarios, or of one (newest
+    first, ties by id): a bounded top-n, no window."""
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
+    h = history if scenario is None else history.where(F.col("scenario_name") == scenario)
+    return h.orderBy(F.col("ts").desc_nulls_last(), F.col("run_id").desc()).limit(limit)
+
+
 def recent_runs(history: DataFrame, limit: int = 10, scenario: str | None = None) -> DataFrame:
     """The last ``limit`` runs per scenario (newest first, ties by id).
 

@@ -1,39 +1,18 @@
-"""Join helpers with an explicit broadcast policy.
-
-Policy: a side is broadcast only when its size is bounded.  Two kinds of
-bound are used:
-
-* by construction — literal tables (exchange rates, contracts, playbooks,
-  the 25-row nation table) are broadcast unconditionally;
-* by measurement — ``broadcast_if_bounded`` counts the candidate side
-  (a metadata-only count for a bare Parquet scan) and broadcasts it only
-  under a row bound; above the bound the join is left to the planner, which
-  picks a sort-merge join, or a broadcast when its own size estimate is under
-  ``spark.sql.autoBroadcastJoinThreshold`` (AQE re-checks actual sizes at
-  runtime and splits skewed partitions).
+"""Lookup joins.
+
+Literal tables (exchange rates, contracts, playbooks, the 25-row nation
+table) are broadcast where they are joined: their size is bounded by
+construction.  Every other lookup is left to the planner, which broadcasts
+only under its own size estimate (``spark.sql.autoBroadcastJoinThreshold``;
+AQE checks actual sizes) and otherwise sorts, merges and splits skewed
+partitions.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
-
-
-def broadcast_if_bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Return ``broadcast(df)`` when ``df`` has at most ``max_rows`` rows."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
 
-def lookup_join(left: DataFrame, right: DataFrame, on: Column,
-                max_broadcast_rows: int | None = None) -> DataFrame:
-    """Left outer lookup join.
 
-    With ``max_broadcast_rows`` the right side is measured and broadcast
-    under the bound; otherwise the planner's size-checked strategy applies.
-    """
-    if max_broadcast_rows is not None:
-        right = broadcast_if_bounded(right, max_broadcast_rows)
+def lookup_join(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
+    """Left outer lookup join; the planner picks the strategy from sizes."""
     return left.join(right, on, "left")

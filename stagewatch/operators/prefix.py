@@ -3,23 +3,18 @@
 Question: for every row, how many rows with the same key and a matching
 predicate fall in ``[t - lookback, t)`` (or in all of ``(-inf, t)``)?
 
-A plain window ``partitionBy(key).orderBy(t).rangeBetween(...)`` sends each
-key to one task; with few keys (scenarios, failure types) one key can hold a
-third of all rows.  Instead this computes a distributed prefix count:
+The answer depends on (key, t) alone, so rows are first reduced to one point
+per key and distinct time, with map-side combine: any number of rows at one
+time cost one point.  Counts before a point are the sum of
 
-1. Events (matching rows) and probe points (each row's ``t`` and
-   ``t - lookback``) come from one scan (an explode per row) and are
-   range-partitioned on
-   ``(key, t, kind)``; the range bounds split a hot key across partitions
-   by time.
-2. Inside each (partition, key) slice a running count gives the local
-   prefix.  Slices are bounded by the partition size.
-3. Per (partition, key) totals (at most #partitions + #keys rows) are summed
-   over earlier partitions to give each slice its offset.
-4. count(window) = prefix(t) - prefix(t - lookback), pivoted per row id.
+1. the earlier points of its time bucket (a window over one bucket of one
+   key: at most as many points as a bucket has distinct times), and
+2. the earlier buckets of its key (a window over one row per bucket).
 
-No pairs are ever formed, and the partitioned union is checkpointed so the
-partition ids stay fixed if an executor is lost.
+count(window) = before(t) - before(t - lookback).  The answers go back to the
+rows by an equi-join whose answer side is unique, so a hot time is split like
+any skewed join.  No pairs are formed, no job runs while the plan is built,
+and nothing depends on how rows lie in partitions.
 """
 
 from __future__ import annotations
@@ -29,89 +24,48 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import micros_since_epoch
-from ..session import cut_lineage
+from ..functions.exprs import micros_since_epoch, quoted
+
+BUCKET_US = 3_600_000_000           # an hour
 
 
 def prior_counts(df: DataFrame, id_col: str, keys: list[str], ts_col: str, match: Column,
-                 lookback_us: int | None = None, num_partitions: int | None = None,
-                 checkpoint: bool = True) -> DataFrame:
+                 lookback_us: int | None = None, bucket_us: int = BUCKET_US) -> DataFrame:
     """``(id_col, prior_count)``: rows with equal ``keys`` (null-safe), ``match``
-    true and time in ``[t - lookback, t)`` (all earlier rows without lookback)."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = df.select(F.col(id_col).alias("_id"), *[F.col(k) for k in keys],
-                     micros_since_epoch(F.col(ts_col)).alias("_t"), match.alias("_m"))
-    base = base.where(F.col("_t").isNotNull())
-    id_type = base.schema["_id"].dataType
+    true and time in ``[t - lookback, t)`` (all earlier rows without lookback).
+    Rows without a time are left out."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    base = df.select(quoted(id_col).alias("_id"), *[quoted(k).alias(n) for k, n in zip(keys, names)],
+                     micros_since_epoch(quoted(ts_col)).alias("_t"), match.alias("_m")).where("_t is not null")
+    times = base.groupBy(*names, "_t").agg(F.sum(F.when(F.col("_m"), 1).otherwise(0)).cast("bigint").alias("_c"))
+    here = F.struct(F.col("_t").alias("_p"), F.col("_c").alias("_c"))
+    back = None if lookback_us is None else F.struct((F.col("_t") - F.lit(lookback_us)).alias("_p"),
+                                                     F.lit(0).cast("bigint").alias("_c"))
+    points = (times.select(*names, F.explode(F.array(here) if back is None else F.array(here, back)).alias("_x"))
+              .groupBy(*names, F.col("_x._p").alias("_p")).agg(F.sum("_x._c").alias("_c"))
+              .withColumn("_b", F.floor(F.col("_p") / F.lit(bucket_us))))
+
+    def earlier(*group: str, by: str) -> Column:
+        window = Window.partitionBy(*group).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_c").over(window), F.lit(0))
 
-    def point(p, kind, rid, sign):
-        return F.struct(p.alias("_p"), F.lit(kind).alias("_kind"), rid.cast(id_type).alias("_id"),
-                        F.lit(sign).alias("_sign"))
-    # one scan: each row becomes its probe(s) and, when it matches, an event
-    pts = [point(F.col("_t"), 0, F.col("_id"), 1),
-           F.when(F.col("_m"), point(F.col("_t"), 1, F.lit(None), 0))]
+    inside = points.withColumn("_in", earlier(*names, "_b", by="_p"))
+    buckets = points.groupBy(*names, "_b").agg(F.sum("_c").alias("_c"))
+    before = buckets.select(*[F.col(n).alias("_o" + n) for n in names], F.col("_b").alias("_ob"),
+                            earlier(*names, by="_b").alias("_before"))
+    total = inside.join(before, _same(names, "_o") & (F.col("_b") == F.col("_ob"))).select(
+        *[F.col(n).alias("_q" + n) for n in names], F.col("_p").alias("_qp"),
+        (F.col("_in") + F.col("_before")).alias("_total"))
+    probe = [F.struct(F.col("_t").alias("_p"), F.lit(1).alias("_sign"))]
     if lookback_us is not None:
-        pts.append(point(F.col("_t") - F.lit(lookback_us), 0, F.col("_id"), -1))
-    u = base.select(*keys, F.explode(F.filter(F.array(*pts), lambda x: x.isNotNull())).alias("_x")) \
-        .select(*keys, "_x._p", "_x._kind", "_x._id", "_x._sign")
-    ranged = (u.repartitionByRange(n, *[F.col(k).asc_nulls_first() for k in keys], "_p", "_kind")
-              .withColumn("_pid", F.spark_partition_id()))
-    if checkpoint:
-        ranged = cut_lineage(ranged)
-    # local prefix: events strictly before each probe inside its (partition, key) slice
-    w = (Window.partitionBy("_pid", *keys).orderBy("_p", "_kind")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    windowed = ranged.withColumn("_local", F.sum("_kind").over(w))
-    local = windowed.where(F.col("_kind") == 0)
-    # offsets: events of the same key in earlier partitions; grouped on the
-    # window's own partitioning (pid, key), so no further shuffle
-    tot = windowed.groupBy("_pid", *keys).agg(F.sum("_kind").alias("_cnt"))
-    wo = (Window.partitionBy(*keys).orderBy("_pid")
-          .rowsBetween(Window.unboundedPreceding, -1))
-    offs = tot.withColumn("_off", F.coalesce(F.sum("_cnt").over(wo), F.lit(0))).drop("_cnt")
-    o = offs.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_pid").alias("_o_pid"), "_off")
-    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys],
-                  F.col("_pid") == F.col("_o_pid"))
-    probed = local.join(o, cond, "left").select(
-        "_id", (F.col("_sign") * (F.col("_local") + F.coalesce(F.col("_off"), F.lit(0)))).alias("_v"))
-    return probed.groupBy("_id").agg(F.sum("_v").cast("bigint").alias("prior_count")) \
-        .withColumnRenamed("_id", id_col)
+        probe.append(F.struct((F.col("_t") - F.lit(lookback_us)).alias("_p"), F.lit(-1).alias("_sign")))
+    answers = (times.select(*names, "_t", F.explode(F.array(*probe)).alias("_x"))
+               .join(total, _same(names, "_q") & (F.col("_x._p") == F.col("_qp")))
+               .groupBy(*names, "_t").agg(F.sum(F.col("_x._sign") * F.col("_total")).cast("bigint").alias("prior_count"))
+               .select(*[F.col(n).alias("_a" + n) for n in names], F.col("_t").alias("_at"), "prior_count"))
+    return base.join(answers, _same(names, "_a") & (F.col("_t") == F.col("_at"))).select(
+        F.col("_id").alias(id_col), "prior_count")
 
 
-def prior_sums(df: DataFrame, id_col: str, keys: list[str], ts_col: str, values: list[str],
-               num_partitions: int | None = None, checkpoint: bool = True) -> DataFrame:
-    """``(id_col, prior_rows, sum_<v>...)`` over all strictly earlier rows with
-    equal ``keys`` — the same range-partitioned prefix scheme, summing values."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = df.select(F.col(id_col).alias("_id"), *keys, micros_since_epoch(F.col(ts_col)).alias("_p"),
-                     *[F.col(v).cast("bigint").alias(v) for v in values])
-    base = base.where(F.col("_p").isNotNull())
-    # one scan: each row is both an event (kind 1, carries its values) and a probe (kind 0)
-    pair = F.array(F.struct(F.lit(1).alias("_kind"), *[F.col(v).alias(v) for v in values]),
-                   F.struct(F.lit(0).alias("_kind"), *[F.lit(0).cast("bigint").alias(v) for v in values]))
-    u = base.select("_id", *keys, "_p", F.explode(pair).alias("_x")) \
-        .select("_id", *keys, "_p", "_x._kind", *[f"_x.{v}" for v in values])
-    ranged = (u.repartitionByRange(n, *[F.col(k).asc_nulls_first() for k in keys], "_p", "_kind")
-              .withColumn("_pid", F.spark_partition_id()))
-    if checkpoint:
-        ranged = cut_lineage(ranged)
-    w = (Window.partitionBy("_pid", *keys).orderBy("_p", "_kind", "_id")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    windowed = ranged.select("_id", "_pid", *keys, "_kind", *values,
-                             F.sum("_kind").over(w).alias("_lc"),
-                             *[F.sum(v).over(w).alias(f"_l_{v}") for v in values])
-    local = windowed.where(F.col("_kind") == 0)
-    tot = windowed.groupBy("_pid", *keys).agg(F.sum("_kind").alias("_c"), *[F.sum(v).alias(f"_t_{v}") for v in values])
-    wo = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select(F.col("_pid").alias("_o_pid"), *[F.col(k).alias(f"_o_{k}") for k in keys],
-                      F.coalesce(F.sum("_c").over(wo), F.lit(0)).alias("_oc"),
-                      *[F.coalesce(F.sum(f"_t_{v}").over(wo), F.lit(0)).alias(f"_o_{v}") for v in values])
-    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys],
-                  F.col("_pid") == F.col("_o_pid"))
-    j = local.join(offs, cond, "left")
-    return j.select(F.col("_id").alias(id_col),
-                    (F.col("_lc") + F.coalesce("_oc", F.lit(0))).cast("bigint").alias("prior_rows"),
-                    *[(F.col(f"_l_{v}") + F.coalesce(f"_o_{v}", F.lit(0))).cast("bigint").alias(f"sum_{v}")
-                      for v in values])
+def _same(names: list[str], prefix: str) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(prefix + n)) for n in names], F.lit(True))

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import is_null, merge_rows, pct
+from ..functions.exprs import is_null, merge_rows, pct, quoted
 
 
 def null_profile(df: DataFrame, dataset: str, prefix: str = "", nonzero_only: bool = True) -> DataFrame:
@@ -54,7 +54,7 @@ def null_concentration(frames: dict[str, DataFrame]) -> DataFrame:
 
 def key_counts(df: DataFrame, key: str) -> DataFrame:
     """Rows per key (null keys form one group, as in a pandas duplicate test)."""
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return df.groupBy(quoted(key)).agg(F.count(F.lit(1)).alias("n"))
 
 
 def duplicate_count(df: DataFrame, key: str, dataset: str = "sales") -> DataFrame:
@@ -115,7 +115,7 @@ def type_mismatch_counts(df: DataFrame, expected_numeric: list[str], dataset: st
         return df.sparkSession.createDataFrame(
             [], "dataset string, column_name string, actual_type string, bad_count bigint, total_rows bigint")
     aggs = [F.count(F.lit(1)).alias("__rows")]
-    aggs += [F.sum(F.when(not_numeric(F.col(c).cast("string")), 1).otherwise(0)).cast("bigint").alias(f"b{i}")
+    aggs += [F.sum(F.when(not_numeric(quoted(c).cast("string")), 1).otherwise(0)).cast("bigint").alias(f"b{i}")
              for i, c in enumerate(present)]
     wide = df.agg(*aggs)
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
@@ -128,18 +128,11 @@ def type_mismatch_counts(df: DataFrame, expected_numeric: list[str], dataset: st
 
 def bad_value_samples(df: DataFrame, column: str, order_by: list[str], n: int = 3) -> DataFrame:
     """L1: the first ``n`` non-numeric values of ``column`` in an explicit order."""
-    c = F.col(column).cast("string")
+    c = quoted(column).cast("string")
     return (df.where(not_numeric(c)).select(*order_by, c.alias("bad_value"))
             .orderBy(*order_by, "bad_value").limit(n))
 
 
-def row_counts(frames: dict[str, DataFrame]) -> DataFrame:
-    """A1: rows per dataset (metadata-only counts for bare Parquet scans)."""
-    parts = [df.agg(F.lit(name).alias("dataset"), F.count(F.lit(1)).alias("row_count"))
-             for name, df in frames.items()]
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
 def quality_flags(metrics: DataFrame) -> DataFrame:
     """Any nulls, duplicates, schema violations, type mismatches or
     out-of-range values flag a run.  Extra columns alone do not."""
@@ -149,7 +142,7 @@ def quality_flags(metrics: DataFrame) -> DataFrame:
     return metrics.select("run_id", flag.alias("has_quality_issues"), "null_count", "duplicate_count",
                           nv.cast("bigint").alias("n_schema_violations"),
                           nt.cast("bigint").alias("n_type_mismatches"),
-                          F.size("extra_columns").cast("bigint").alias("n_extra_columns"))
+                          F.size("extra_columns").cast("bigint").alias("n_extra_columns"), "out_of_range_count")
 
 
 def reconcile(source: DataFrame, target: DataFrame, key: str) -> DataFrame:
@@ -174,10 +167,10 @@ def reconcile(source: DataFrame, target: DataFrame, key: str) -> DataFrame:
 
 def select_present(df: DataFrame, wanted: list[str]) -> DataFrame:
     """Project the wanted columns that exist, in the wanted order."""
-    return df.select(*[c for c in wanted if c in df.columns])
+    return df.select(*[quoted(c) for c in wanted if c in df.columns])
 
 
 def first_rows(df: DataFrame, n: int = 5, order_by: list[str] | None = None) -> DataFrame:
     """L2: the first ``n`` rows under an explicit total order (bounded top-n)."""
     cols = list(order_by or []) + [c for c in df.columns if c not in (order_by or [])]
-    return df.orderBy(*[F.col(c).asc_nulls_first() for c in cols]).limit(n)
+    return df.orderBy(*[quoted(c).asc_nulls_first() for c in cols]).limit(n)

@@ -130,37 +130,40 @@ def triage_route(history: DataFrame, known: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def run_facts(runs: DataFrame, stages: DataFrame, logs: DataFrame, calls: DataFrame,
-              metrics: DataFrame) -> DataFrame:
-    """One row per run with everything the rules need (all joins 1:1 on run_id)."""
+              metrics: DataFrame | None) -> DataFrame:
+    """One row per run with everything the rules need (all joins 1:1 on run_id);
+    rules that use no metrics pass None for them."""
     st = L.stage_facts(stages).select(
         "run_id", F.when(F.col("first_failed"), "failed").otherwise("success").alias("overall_status"),
         F.when(F.col("current_failed"), "failed").otherwise("success").alias("current_status"),
         "failed_stages", "skipped_stages", "remediated_stages", "n_failed")
     lc = L.error_counts(logs)
     led = L.remediation_ledger(calls)
-    m = metrics.select("run_id", F.col("total_rows").alias("m_total_rows"),
+    m = None if metrics is None else metrics.select("run_id", F.col("total_rows").alias("m_total_rows"),
                        F.col("null_count").alias("m_null_count"),
                        F.col("duplicate_count").alias("m_duplicate_count"),
                        F.col("schema_violations").alias("m_schema_violations"),
                        F.col("type_mismatches").alias("m_type_mismatches"))
     j = (runs.join(st, "run_id", "left").join(lc, "run_id", "left")
-         .join(led, "run_id", "left").join(m, "run_id", "left"))
+         .join(led, "run_id", "left"))
+    if m is not None:
+        j = j.join(m, "run_id", "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     return j.select("*", z("n_failed").alias("_nf"), z("error_count").alias("_ne"),
                     z("remediation_count").alias("_nr"), z("warning_count").alias("_nw"))
 
 
-def run_outcome(runs, stages, logs, calls, metrics) -> DataFrame:
+def run_outcome(runs, stages, logs, calls, metrics=None) -> DataFrame:
     """Scenario and both outcome vocabularies per run."""
-    f = run_facts(runs, stages, logs, calls, metrics)
+    f = run_facts(runs, stages, logs, calls, None)
     return f.select("run_id", "scenario_name",
                     history_outcome(F.col("_nr"), F.col("_nf")).alias("history_outcome"),
                     report_outcome(F.col("_nr"), F.col("_nf")).alias("report_outcome"))
 
 
-def pipeline_health(runs, stages, logs, calls, metrics) -> DataFrame:
+def pipeline_health(runs, stages, logs, calls, metrics=None) -> DataFrame:
     """K2: monitor health per run, with failed/skipped stages and error count."""
-    f = run_facts(runs, stages, logs, calls, metrics)
+    f = run_facts(runs, stages, logs, calls, None)
     return f.select("run_id", health(F.col("overall_status"), F.col("_ne")).alias("health"),
                     "overall_status", F.coalesce("failed_stages", F.lit("")).alias("failed_stages"),
                     F.coalesce("skipped_stages", F.lit("")).alias("skipped_stages"),
@@ -259,8 +262,8 @@ def incident_report_lines(runs, stages, logs, calls, metrics) -> DataFrame:
     stage_rows = L.latest_attempt(stages).select(
         "run_id", F.lit(1).alias("section"), F.col("stage_ordinal").cast("bigint").alias("item"),
         F.concat(F.lit("  "), F.coalesce(F.try_element_at(icon, F.col("status")), F.lit("?")), F.lit(" "),
-                 F.rpad("stage_name", REPORT_STAGE_WIDTH, " "), F.lit(" | "),
-                 F.rpad("status", REPORT_STAGE_WIDTH, " "), F.lit(" | "),
+                 _padded("stage_name"), F.lit(" | "),
+                 _padded("status"), F.lit(" | "),
                  F.format_string(REPORT_COUNT_FORMAT, F.col("rows_in"), F.col("rows_out")),
                  F.when(F.col("error_message").isNotNull(),
                         F.concat(F.lit(REPORT_ERR_PREFIX), F.col("error_message"))).otherwise(F.lit("")))
@@ -288,6 +291,11 @@ def incident_report_lines(runs, stages, logs, calls, metrics) -> DataFrame:
     return out.withColumn("report_id", F.concat(F.lit("INC-"), F.col("run_id").cast("string")))
 
 
+def _padded(name: str) -> Column:
+    """Padded to the column width, never cut."""
+    return F.rpad(name, F.greatest(F.length(name), F.lit(REPORT_STAGE_WIDTH)), F.lit(" "))
+
+
 def incident_report_text(runs, stages, logs, calls, metrics) -> DataFrame:
     """The report as one text value per run, assembled from the lines.
 

@@ -10,9 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import UNKNOWN_NAME, UNKNOWN_TIER
 from ..functions.exprs import fx_rate, is_numeric
-from .joins import broadcast_if_bounded, lookup_join
-
-MAX_RATE_ROWS = 100_000          # rates tables are per currency (and perhaps per day)
+from .joins import lookup_join
 
 
 class TransformError(ValueError):
@@ -28,16 +26,26 @@ def check_price_type(sales: DataFrame) -> None:
 def fx_convert(sales: DataFrame, rates: dict[str, float] | DataFrame | None = None) -> DataFrame:
     """``unit_price_usd`` and ``revenue_usd``.
 
-    ``rates`` is a dict (inline CASE, no join) or a DataFrame
-    ``(currency, rate)``; it is broadcast after a row-count check
-    (``MAX_RATE_ROWS``), otherwise joined by the planner.  Unknown or null currency
-    uses rate 1.0; an absent currency column means USD.
+    ``rates`` is a dict (inline CASE, no join) or a DataFrame ``(currency,
+    rate)``, with one rate per currency, or ``(currency, transaction_date,
+    rate)``, with one per currency and day.  A rates table that repeats a
+    key is rejected: it would multiply sales.  An unknown or null currency
+    (or a day without a rate) uses rate 1.0; an absent currency column means
+    USD.
     """
     check_price_type(sales)
     cur = F.col("currency") if "currency" in sales.columns else F.lit("USD")
     if isinstance(rates, DataFrame):
-        r = rates.select(F.col("currency").alias("_fx_cur"), F.col("rate").cast("decimal(8,4)").alias("_fx_rate"))
-        df = sales.join(broadcast_if_bounded(r, MAX_RATE_ROWS), cur == F.col("_fx_cur"), "left")
+        keys = [c for c in ("currency", "transaction_date") if c in rates.columns]
+        repeated = rates.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+        if repeated:
+            raise TransformError(f"rates table is not unique on {', '.join(keys)}")
+        r = rates.select(F.col("currency").alias("_fx_cur"), F.col("rate").cast("decimal(8,4)").alias("_fx_rate"),
+                         *([F.col("transaction_date").alias("_fx_day")] if "transaction_date" in keys else []))
+        on = cur == F.col("_fx_cur")
+        if "transaction_date" in keys:
+            on = on & (F.col("transaction_date") == F.col("_fx_day"))
+        df = lookup_join(sales, r, on)
         rate = F.coalesce(F.col("_fx_rate"), F.lit(1).cast("decimal(8,4)"))
     else:
         df, rate = sales, fx_rate(cur, rates)
@@ -47,7 +55,7 @@ def fx_convert(sales: DataFrame, rates: dict[str, float] | DataFrame | None = No
     usd = (price * rate)
     out = df.withColumn("unit_price_usd", usd) \
         .withColumn("revenue_usd", F.col("unit_price_usd") * F.col("quantity").cast("decimal(10,0)"))
-    return out.drop("_fx_cur", "_fx_rate") if isinstance(rates, DataFrame) else out
+    return out.drop("_fx_cur", "_fx_rate", "_fx_day") if isinstance(rates, DataFrame) else out
 
 
 def enrich_customers(sales: DataFrame, customers: DataFrame) -> DataFrame:
@@ -55,7 +63,7 @@ def enrich_customers(sales: DataFrame, customers: DataFrame) -> DataFrame:
 
     Defaults apply only when no customer matches; a matched customer whose
     name is null keeps the null.  The lookup side must be unique on
-    ``customer_id`` (J2); see ``profile.duplicate_keys`` for the check.
+    ``customer_id`` (J2); ``profile.duplicate_count`` checks it.
     """
     lk = customers.select(F.col("customer_id").alias("_ck"), F.col("name").alias("_cn"),
                           F.col("tier").alias("_ct"), F.lit(True).alias("_cm"))

@@ -110,6 +110,15 @@ def recent_runs(spark, d):
     return H.recent_runs(V.run_history(spark, d), 10)
 
 
+@register("latest_runs", with_views("""
+SELECT run_id, scenario_name, failure_type, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, outcome,
+       duration_seconds, total_rows, total_nulls, duplicate_count
+FROM run_history ORDER BY run_history.ts DESC NULLS LAST, run_id DESC LIMIT 10""", "run_history"))
+def latest_runs(spark, d):
+    """The ten latest runs over all scenarios (the default call)."""
+    return H.latest_runs(V.run_history(spark, d), 10)
+
+
 @register("triage_route", with_views(f"""
 WITH {_KNOWN_SQL}
 SELECT h.run_id, h.scenario_name, h.outcome, cast(k.recent_occurrences AS bigint) AS recent_occurrences,

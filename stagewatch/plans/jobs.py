@@ -9,7 +9,9 @@ and appended to the run tables by ``record_run``.
 from __future__ import annotations
 
 import datetime as _dt
+import functools
 import uuid
+from decimal import ROUND_HALF_UP, Decimal
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,7 @@ from ..functions.constants import (LOG_MESSAGES as MSG, MISSING_COLUMN_MSG, MISS
                                    REVENUE_FAIL_MSG, SALES_COLUMNS, SCHEMA_FAIL_MSG)
 from ..functions.exprs import is_null, is_numeric, merge_rows
 from ..operators import profile as Q
+from ..operators.contracts import range_tests
 from ..operators import transform as tr
 from ..session import cut_lineage
 from ..sources import views as V
@@ -55,16 +58,19 @@ def ingestion_metrics(src: Sources) -> DataFrame:
     missing = [col for col in SALES_COLUMNS if col not in s.columns]
     mistyped = [] if is_numeric(s, "unit_price") or "unit_price" not in s.columns else ["unit_price"]
     null_cells = sum((F.when(is_null(s, col), 1).otherwise(0) for col in s.columns), F.lit(0))
+    outside = sum((F.when(bad, 1).otherwise(0) for bad in range_tests(s, "sales")), F.lit(0))
     if "transaction_id" in s.columns:
-        # one shuffle: per-key row and null-cell counts (map-side combined), then totals
+        # one shuffle: per-key row, null-cell and range counts (map-side combined), then totals
         per_key = s.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("n"),
-                                                  F.sum(null_cells).alias("nc"))
+                                                  F.sum(null_cells).alias("nc"), F.sum(outside).alias("oc"))
         sa = per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("sales_rows"),
                          F.coalesce(F.sum("nc"), F.lit(0)).cast("bigint").alias("sales_null_cells"),
+                         F.coalesce(F.sum("oc"), F.lit(0)).cast("bigint").alias("out_of_range_count"),
                          F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("duplicate_count"))
     else:
         sa = s.agg(F.count(F.lit(1)).alias("sales_rows"),
                    F.coalesce(F.sum(null_cells), F.lit(0)).cast("bigint").alias("sales_null_cells"),
+                   F.coalesce(F.sum(outside), F.lit(0)).cast("bigint").alias("out_of_range_count"),
                    F.lit(0).cast("bigint").alias("duplicate_count"))
     email = F.when(is_null(c, "email"), 1).otherwise(0) if "email" in c.columns else F.lit(0)
     if "customer_id" in c.columns:
@@ -84,11 +90,22 @@ def ingestion_metrics(src: Sources) -> DataFrame:
         "sales_rows", "customer_rows", "product_rows", total.alias("total_rows_in"),
         F.lit(len(missing)).cast("bigint").alias("n_missing_columns"),
         F.lit(len(mistyped)).cast("bigint").alias("n_type_mismatches"),
-        "sales_null_cells", "email_nulls", "duplicate_count", "customer_duplicates",
+        "sales_null_cells", "email_nulls", "duplicate_count", "out_of_range_count", "customer_duplicates",
         F.lit("failed" if failed else "success").alias("status"),
         (F.lit(0) if failed else total).cast("bigint").alias("rows_out"))
 
 
+def column_profile(src: Sources) -> DataFrame:
+    """B1: ``(dataset, column_name, null_count, total_rows, null_pct)`` of every column of the sources,
+    the percentage to one place (rounded as a decimal)."""
+    parts = [Q.null_profile(df, name, nonzero_only=False)
+             for name, df in (("sales", src.sales), ("customers", src.customers), ("products", src.products))
+             if df is not None]
+    out = functools.reduce(lambda a, b: a.unionByName(b), parts)
+    exact = F.col("null_count").cast("decimal(18,0)") * 100 / F.col("total_rows").cast("decimal(18,0)")
+    return out.withColumn("null_pct", F.round(exact, 1).cast("double"))
+
+
 # ---------------------------------------------------------------------------
 # one run, end to end
 # ---------------------------------------------------------------------------
@@ -140,6 +157,25 @@ class RunResult:
         return any(s["status"] == "failed" for s in latest.values())
 
 
+def _guarded(name: str, ordinal: int):
+    """A stage that ends in an error of any kind is FAILED, with the message, and the run goes on to its gates."""
+    def deco(stage):
+        @functools.wraps(stage)
+        def guarded(first, *args, **kw):
+            run = first if isinstance(first, RunResult) else args[0]
+            t0 = _now()
+            try:
+                return stage(first, *args, **kw)
+            except Exception as exc:  # noqa: BLE001  (recorded, not swallowed)
+                message = str(exc).strip().splitlines()[0] if str(exc).strip() else type(exc).__name__
+                run.set_stage(name, ordinal, "failed", run.metrics.get("sales_rows", 0), 0, message, t0)
+                run.log("error", name, message, error=type(exc).__name__)
+                return None
+        return guarded
+    return deco
+
+
+@_guarded("ingestion", 1)
 def run_ingestion(src: Sources, run: RunResult) -> Sources | None:
     """B1: arrival, schema, types, profile; FAILED on violations."""
     t0 = _now()
@@ -160,11 +196,13 @@ def run_ingestion(src: Sources, run: RunResult) -> Sources | None:
     if extra:
         run.log("warning", "ingestion", MSG["extra_columns"].format(set(extra)), extra_columns=extra)
     if m["n_type_mismatches"]:
-        run.log("error", "ingestion", MSG["price_type"],
-                column="unit_price")
+        samples = [r["bad_value"] for r in Q.bad_value_samples(      # three rows
+            src.sales, "unit_price", [c for c in ("transaction_id",) if c in src.sales.columns]).collect()]
+        run.log("error", "ingestion", MSG["price_type"], column="unit_price", sample_values=samples)
     if m["email_nulls"]:
+        share = Decimal(m["email_nulls"]) * 100 / Decimal(m["customer_rows"])
         run.log("warning", "ingestion", MSG["null_emails"].format(m["email_nulls"], m["customer_rows"]),
-                null_count=m["email_nulls"])
+                null_count=m["email_nulls"], null_pct=float(share.quantize(Decimal("0.1"), ROUND_HALF_UP)))
     if m["duplicate_count"]:
         run.log("warning", "ingestion", MSG["duplicates"].format(m["duplicate_count"]),
                 duplicate_count=m["duplicate_count"])
@@ -176,6 +214,7 @@ def run_ingestion(src: Sources, run: RunResult) -> Sources | None:
     return src
 
 
+@_guarded("transform", 2)
 def run_transform(src: Sources | None, run: RunResult) -> None:
     """B2: gate (J4), type guard (P3), conversion, enrichment, daily aggregate."""
     ing = run.stage("ingestion")
@@ -203,6 +242,7 @@ def run_transform(src: Sources | None, run: RunResult) -> None:
     run.log("info", "transform", MSG["transform_done"].format(n))
 
 
+@_guarded("load", 3)
 def run_load(run: RunResult, target: str | None = None) -> None:
     """Gate, PK check (C10), then a partitioned write."""
     tr_stage = run.stage("transform")
@@ -225,11 +265,12 @@ def run_load(run: RunResult, target: str | None = None) -> None:
     if target:
         from pyspark.sql import Observation
 
-        from ..sources.files import write_partitioned
+        from ..sources.files import run_partition, write_partitioned
         # rows written are counted by the write itself (an observed metric), not by a second pass
         obs = Observation(f"load_{run.run_id}_{run.stage('load')['attempt'] + 1 if run.stage('load') else 1}")
-        write_partitioned(run.enriched.withColumn("run_id", F.lit(run.run_id)), target,
-                          ["run_id", "transaction_date"], cluster_by=["transaction_id"], observation=obs)
+        # the run's folder is replaced as a whole: dates that this attempt lacks must not survive from the last one
+        write_partitioned(run.enriched, run_partition(target, run.run_id), ["transaction_date"],
+                          cluster_by=["transaction_id"], observation=obs, replace_all=True)
         written = int(obs.get["rows"])
     run.set_stage("load", 3, "success", n, written, None, t0)
     run.log("info", "load", MSG["load_done"].format(written))
@@ -263,12 +304,17 @@ def rerun_stage(src: Sources, run: RunResult, stage: str, target: str | None = N
     return run
 
 
-def rollback_stage(run: RunResult, stage: str) -> RunResult:
-    """Mark a transform/load stage skipped and drop its outputs."""
+def rollback_stage(run: RunResult, stage: str, target: str | None = None,
+                   spark: SparkSession | None = None) -> RunResult:
+    """Mark a transform/load stage skipped and drop its outputs (T6): for
+    load the rows that the run published below ``target``."""
     if stage not in ("transform", "load"):
         raise ValueError("Only transform and load can be rolled back")
     if stage == "transform":
         run.enriched, run.daily = None, None
+    elif target:
+        from ..sources.files import delete_path, run_partition
+        delete_path(spark or SparkSession.getActiveSession(), run_partition(target, run.run_id))
     ordinal = {"transform": 2, "load": 3}[stage]
     run.set_stage(stage, ordinal, "skipped")
     run.log("warning", "remediation", MSG["rolled_back"].format(stage))

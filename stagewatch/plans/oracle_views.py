@@ -137,7 +137,7 @@ stage_results AS (
   SELECT run_id, n_rows AS total_rows,
          CASE WHEN o_custkey % 5 = 0 THEN o_custkey % 17 ELSE 0 END AS null_count,
          CASE WHEN load_failed THEN cast(trunc(n_rows * 15 / 100) AS bigint) ELSE 0 END AS duplicate_count,
-         0 AS out_of_range_count,
+         CASE WHEN run_id % 97 = 0 THEN 2 ELSE 0 END AS out_of_range_count,
          CASE WHEN ing_failed AND run_id % 2 = 0 THEN 1 ELSE 0 END AS n_schema_violations,
          CASE WHEN ing_failed AND run_id % 2 = 0 THEN 'Missing required column: ''region''' ELSE '' END AS schema_violations_text,
          CASE WHEN ing_failed AND run_id % 2 = 1 THEN 1 ELSE 0 END AS n_type_mismatches,

@@ -1,4 +1,4 @@
-"""Registered quality, repair and fault-injection queries (C*, P4-P7, W*, I*)."""
+"""Registered quality and repair queries (C*, P4-P7, W*); corrupted inputs are built by ``faults``."""
 
 from __future__ import annotations
 
@@ -53,7 +53,8 @@ SELECT {_sales_sql_cols()} FROM (
   FROM sales) t WHERE rn = 1""", "sales"))
 def dedup_sales(spark, d):
     """First row per transaction_id (explicit order, deterministic survivor)."""
-    return R.dedup_first(V.sales(spark, d), "transaction_id", DEDUP_ORDER)
+    s = V.sales(spark, d, with_keys=True)        # the key's parts: the join's partitioning serves the window
+    return R.dedup_first(s, ["order_key", "line_no"], DEDUP_ORDER).drop("order_key", "line_no")
 
 
 @register("dedup_effect", with_views("""
@@ -248,7 +249,7 @@ def fill_nulls(spark, d):
 WITH {_CUST_NULL_SQL}
 SELECT 'email' AS column_name, 'UNKNOWN' AS default_value,
        cast(sum(CASE WHEN email IS NULL THEN 1 ELSE 0 END) AS bigint) AS nulls_before,
-       cast(0 AS bigint) AS nulls_after,
+       count(*) - count(coalesce(email, 'UNKNOWN')) AS nulls_after,
        cast(sum(CASE WHEN email IS NULL THEN 1 ELSE 0 END) AS bigint) AS rows_fixed
 FROM cust_nulls""", "customers"))
 def fill_nulls_effect(spark, d):
@@ -256,70 +257,17 @@ def fill_nulls_effect(spark, d):
     return R.fill_nulls_effect(customers_with_null_emails(spark, d), "email")
 
 
-# ---------------------------------------------------------------------------
-# fault injectors I1, I2, I4, I5, I6
-# ---------------------------------------------------------------------------
-
-
-@register("inject_new_column", with_views("""
-SELECT transaction_id, product_id,
-       cast(trunc(unit_price * quantity * 10) AS bigint) AS loyalty_points FROM sales_nr""", "sales_nr"))
-def inject_new_column(spark, d):
-    """Unexpected ``loyalty_points`` column (truncating)."""
-    return I.inject_new_column(V.sales(spark, d, with_region=False)) \
-        .select("transaction_id", "product_id", "loyalty_points")
-
-
-@register("inject_type_change", with_views(f"""
-WITH {_TYPED_SQL} SELECT transaction_id, product_id, unit_price FROM typed""", "sales_nr"))
-def inject_type_change(spark, d):
-    """Prices become text with a ``_USD`` suffix."""
-    return I.inject_type_change(V.sales(spark, d, with_region=False)) \
-        .select("transaction_id", "product_id", "unit_price")
-
-
-@register("inject_nulls", with_views(f"""
-WITH {_CUST_NULL_SQL} SELECT customer_id, email FROM cust_nulls""", "customers"))
-def inject_nulls(spark, d):
-    """I4: about 30% of emails become null (deterministic selection)."""
-    return customers_with_null_emails(spark, d).select("customer_id", "email")
-
-
-@register("inject_duplicates", with_views(f"""
-SELECT {_sales_sql_cols(region=False)}
-FROM (SELECT * FROM sales_nr UNION ALL SELECT * FROM sales_nr WHERE {_DUP_SEL_SQL}) u""", "sales_nr"))
-def inject_duplicates(spark, d):
-    """Append about 15% of rows again (content-based selection)."""
-    return I.inject_duplicates(V.sales(spark, d, with_region=False), selector=_sales_dup_selector())
-
-
-_PK_ORDER = ", ".join(f"{c} {{d}}" for c in SALES_NR_COLS)
-
-
-@register("inject_pk_violation", with_views(f"""
-WITH r AS (SELECT *, row_number() OVER (ORDER BY {_PK_ORDER.format(d='ASC NULLS FIRST')}) AS ra,
-                     row_number() OVER (ORDER BY {_PK_ORDER.format(d='DESC NULLS LAST')}) AS rd
-           FROM sales_nr)
-SELECT CASE WHEN r.rd <= 5 THEN f.transaction_id ELSE r.transaction_id END AS transaction_id,
-       r.customer_id, r.product_id, cast(r.quantity AS bigint) AS quantity,
-       cast(r.unit_price AS double) AS unit_price, r.currency,
-       strftime(r.transaction_date, '%Y-%m-%d') AS transaction_date, r.status
-FROM r LEFT JOIN r f ON r.rd <= 5 AND f.ra = 6 - r.rd""", "sales_nr"))
-def inject_pk_violation(spark, d):
-    """The last five rows take the keys of the first five."""
-    return I.inject_pk_violation(V.sales(spark, d, with_region=False), "transaction_id")
-
-
 # ---------------------------------------------------------------------------
 # contracts C1-C5, C11-C13; sources S4, J8, L2
 # ---------------------------------------------------------------------------
 
 def _drift_variants(spark, d):
-    s = V.sales(spark, d)
+    s, narrow = V.sales(spark, d), V.sales(spark, d, with_region=False)
     return {
         "sales": ("sales", s),
         "sales_new_column": ("sales", I.inject_new_column(s)),
-        "sales_type_change": ("sales", I.inject_type_change(s)),
+        # the one variant whose rows are read (for samples) gets its region without the customer join
+        "sales_type_change": ("sales", I.inject_type_change(narrow.withColumn("region", F.lit(None).cast("string")))),
         "sales_missing_column": ("sales", I.inject_missing_column(s)),
         "customers": ("customers", V.customers(spark, d)),
         "products": ("products", V.products(spark, d)),
@@ -327,13 +275,44 @@ def _drift_variants(spark, d):
 
 
 @register("schema_drift", with_views("""
-WITH summary(dataset, missing_columns, extra_columns, type_issue_columns, n_missing, n_extra, n_type_issues) AS (
-  VALUES ('sales', '', '', '', 0, 0, 0),
-         ('sales_new_column', '', 'loyalty_points', '', 0, 1, 0),
-         ('sales_type_change', '', '', 'unit_price', 0, 0, 1),
-         ('sales_missing_column', 'region', '', '', 1, 0, 0),
-         ('customers', '', '', '', 0, 0, 0),
-         ('products', '', '', '', 0, 0, 0)),
+WITH expected(contract, column_name) AS (
+  SELECT 'sales', unnest(['transaction_id', 'customer_id', 'product_id', 'quantity', 'unit_price', 'currency',
+                          'transaction_date', 'region', 'status'])
+  UNION ALL SELECT 'customers', unnest(['customer_id', 'name', 'email', 'tier', 'country', 'signup_date',
+                                        'lifetime_value'])
+  UNION ALL SELECT 'products', unnest(['product_id', 'name', 'category', 'unit_price', 'cost_price', 'supplier_id',
+                                       'stock_quantity', 'weight_kg', 'is_active'])),
+one AS (SELECT * FROM sales LIMIT 1),
+shown AS (   -- the columns and types that each variant really has, read off a row of it
+  SELECT 'sales' AS dataset, 'sales' AS contract, unnest(json_keys(to_json(one))) AS column_name,
+         typeof(one.quantity) AS q, typeof(one.unit_price) AS u FROM one
+  UNION ALL SELECT 'sales_new_column', 'sales', unnest(json_keys(to_json(v))), typeof(v.quantity), typeof(v.unit_price)
+  FROM (SELECT *, trunc(unit_price * quantity * 10) AS loyalty_points FROM one) v
+  UNION ALL SELECT 'sales_type_change', 'sales', unnest(json_keys(to_json(v))), typeof(v.quantity), typeof(v.unit_price)
+  FROM (SELECT * REPLACE (cast(unit_price AS varchar) || '_USD' AS unit_price) FROM one) v
+  UNION ALL SELECT 'sales_missing_column', 'sales', unnest(json_keys(to_json(v))), typeof(v.quantity), typeof(v.unit_price)
+  FROM (SELECT * EXCLUDE (region) FROM one) v
+  UNION ALL SELECT 'customers', 'customers', unnest(json_keys(to_json(c))), 'INTEGER', 'DOUBLE'
+  FROM (SELECT * FROM customers LIMIT 1) c
+  UNION ALL SELECT 'products', 'products', unnest(json_keys(to_json(p))), 'INTEGER', typeof(p.unit_price)
+  FROM (SELECT p_partkey AS product_id, p_name AS name, p_type AS category, p_retailprice AS unit_price,
+               p_retailprice AS cost_price, p_partkey AS supplier_id, p_size AS stock_quantity, p_size AS weight_kg,
+               true AS is_active FROM part LIMIT 1) p),
+kinds AS (SELECT DISTINCT dataset, contract FROM shown),
+wanted AS (SELECT k.dataset, e.column_name FROM kinds k JOIN expected e ON e.contract = k.contract),
+flags AS (
+  SELECT coalesce(w.dataset, h.dataset) AS dataset, coalesce(w.column_name, h.column_name) AS column_name,
+         h.column_name IS NULL AS missing, w.column_name IS NULL AS extra,
+         (h.column_name = 'quantity' AND h.q NOT LIKE '%INT%')
+         OR (h.column_name = 'unit_price' AND h.u NOT LIKE 'DECIMAL%' AND h.u NOT IN ('DOUBLE', 'FLOAT')) AS typed
+  FROM wanted w FULL JOIN shown h ON w.dataset = h.dataset AND w.column_name = h.column_name),
+summary AS (
+  SELECT dataset, coalesce(string_agg(column_name, ',' ORDER BY column_name) FILTER (missing), '') AS missing_columns,
+         coalesce(string_agg(column_name, ',' ORDER BY column_name) FILTER (extra), '') AS extra_columns,
+         coalesce(string_agg(column_name, ',' ORDER BY column_name) FILTER (typed), '') AS type_issue_columns,
+         count(*) FILTER (missing) AS n_missing, count(*) FILTER (extra) AS n_extra,
+         count(*) FILTER (typed) AS n_type_issues
+  FROM flags GROUP BY dataset),
 samples AS (
   SELECT 'sales_type_change' AS dataset,
          string_agg(v, ', ' ORDER BY transaction_id NULLS FIRST, product_id NULLS FIRST, v NULLS FIRST) AS sample_values
@@ -346,7 +325,7 @@ SELECT s.dataset, s.missing_columns, s.extra_columns, s.type_issue_columns,
        CASE WHEN (s.n_missing + s.n_extra + s.n_type_issues) > 0 THEN 'Apply schema fix to handle drift'
             ELSE 'Schema matches expected definition' END AS recommendation,
        p.sample_values
-FROM summary s LEFT JOIN samples p ON s.dataset = p.dataset""", "sales"))
+FROM summary s LEFT JOIN samples p ON s.dataset = p.dataset""", "sales", "customers"))
 def schema_drift(spark, d):
     """Drift of each dataset variant against its contract,
     with the first three values of each mistyped column."""
@@ -433,15 +412,17 @@ WITH s AS (SELECT count(*) AS sales_rows,
                      + (CASE WHEN transaction_date IS NULL THEN 1 ELSE 0 END) + (CASE WHEN region IS NULL THEN 1 ELSE 0 END)
                      + (CASE WHEN status IS NULL THEN 1 ELSE 0 END)) AS bigint) AS sales_null_cells
            FROM sales),
+oor AS (SELECT count(*) FILTER (quantity < 1 OR quantity > 10000)
+               + count(*) FILTER (unit_price < 0.01 OR unit_price > 100000) AS out_of_range_count FROM sales),
 k AS (SELECT cast(sum(n - 1) AS bigint) AS duplicate_count FROM (SELECT transaction_id, count(*) AS n FROM sales GROUP BY 1) t),
 c AS (SELECT count(*) AS customer_rows, cast(sum(CASE WHEN email IS NULL THEN 1 ELSE 0 END) AS bigint) AS email_nulls,
              count(*) - count(DISTINCT customer_id) AS customer_duplicates FROM customers),
 p AS (SELECT count(*) AS product_rows FROM part)
 SELECT sales_rows, customer_rows, product_rows, sales_rows + customer_rows + product_rows AS total_rows_in,
        cast(0 AS bigint) AS n_missing_columns, cast(0 AS bigint) AS n_type_mismatches,
-       sales_null_cells, email_nulls, duplicate_count, customer_duplicates, 'success' AS status,
+       sales_null_cells, email_nulls, duplicate_count, out_of_range_count, customer_duplicates, 'success' AS status,
        sales_rows + customer_rows + product_rows AS rows_out
-FROM s, k, c, p""", "sales", "customers"))
+FROM s, k, c, p, oor""", "sales", "customers"))
 def ingestion_metrics(spark, d):
     """A1/C11: the ingestion stage's metrics row and verdict for the sources."""
     from ..plans import jobs
@@ -455,7 +436,7 @@ SELECT run_id,
        cast(null_count AS bigint) AS null_count, cast(duplicate_count AS bigint) AS duplicate_count,
        cast(n_schema_violations AS bigint) AS n_schema_violations,
        cast(n_type_mismatches AS bigint) AS n_type_mismatches,
-       cast(n_extra_columns AS bigint) AS n_extra_columns
+       cast(n_extra_columns AS bigint) AS n_extra_columns, cast(out_of_range_count AS bigint) AS out_of_range_count
 FROM quality_metrics""", "quality_metrics"))
 def quality_flags(spark, d):
     """The has-issues flag per run (extra columns alone do not count)."""
@@ -481,8 +462,12 @@ def missing_sources(spark, d):
 
 
 @register("source_target_reconcile", with_views("""
-WITH src AS (SELECT transaction_id, count(*) AS n FROM sales GROUP BY 1),
-tgt AS (SELECT transaction_id, count(*) AS n FROM (SELECT DISTINCT transaction_id FROM sales) t GROUP BY 1),
+WITH src AS (SELECT transaction_id, count(*) AS n FROM sales_nr GROUP BY 1),
+tgt AS (SELECT transaction_id, count(*) AS n FROM (
+          SELECT DISTINCT transaction_id FROM sales_nr
+          EXCEPT SELECT transaction_id FROM sales_nr WHERE status = 'failed'
+          UNION ALL SELECT 'ORD' || cast(o_orderkey AS varchar) FROM orders WHERE o_orderpriority LIKE '1%') t
+        GROUP BY 1),
 j AS (SELECT coalesce(s.transaction_id, t.transaction_id) AS k, s.n AS sn, t.n AS tn
       FROM src s FULL OUTER JOIN tgt t ON s.transaction_id = t.transaction_id)
 SELECT cast(coalesce(sum(sn), 0) AS bigint) AS source_rows, cast(coalesce(sum(tn), 0) AS bigint) AS target_rows,
@@ -490,13 +475,21 @@ SELECT cast(coalesce(sum(sn), 0) AS bigint) AS source_rows, cast(coalesce(sum(tn
        cast(sum(CASE WHEN tn IS NULL THEN 1 ELSE 0 END) AS bigint) AS missing_in_target,
        cast(sum(CASE WHEN sn IS NULL THEN 1 ELSE 0 END) AS bigint) AS extra_in_target,
        cast(sum(CASE WHEN sn IS NOT NULL AND tn IS NOT NULL AND sn <> tn THEN 1 ELSE 0 END) AS bigint) AS count_mismatch_keys
-FROM j""", "sales"))
+FROM j""", "sales_nr"))
 def source_target_reconcile(spark, d):
-    """Source sales vs the de-duplicated, enriched target, by key."""
-    from ..operators import transform as tr
-    src = V.sales(spark, d)
-    tgt = tr.enrich_customers(R.dedup_first(src, "transaction_id", DEDUP_ORDER), V.customers(spark, d))
-    return Q.reconcile(src, tgt, "transaction_id")
+    """Source sales vs a processed table, by key.
+
+    The target is one row per key, lacks the keys that have a failed sale and
+    holds adjustment rows per urgent order, so every count can differ from 0.
+    """
+    from ..sources.tables import read_table
+    src = V.sales(spark, d, with_region=False)
+    keys = src.groupBy("transaction_id").agg(F.max(F.col("status") == "failed").alias("failed"))
+    extra = read_table(spark, d, "orders", "o_orderkey", "o_orderpriority").where(
+        F.col("o_orderpriority").startswith("1")).select(
+        F.concat(F.lit("ORD"), F.col("o_orderkey").cast("string")).alias("transaction_id"))
+    target = keys.where(~F.coalesce("failed", F.lit(False))).select("transaction_id").unionByName(extra)
+    return Q.reconcile(src, target, "transaction_id")
 
 
 @register("sample_rows", with_views(f"""
@@ -562,19 +555,38 @@ def dedup_conflicts(spark, d):
     return R.dedup_conflicts(I.inject_duplicates(s, selector=_sales_dup_selector()), "transaction_id", DEDUP_ORDER)
 
 
-_EXACT_KEY_SQL = "(product_id * 1000003 + quantity * 7919 + cast(unit_price * 100 AS bigint)) % 2147483647"
+@register("required_violations", with_views(" UNION ALL ".join(
+    [f"SELECT 'sales' AS dataset, '{c}' AS column_name, 'required' AS rule, count(*) - count({c}) AS violations, "
+     f"count(*) AS total_rows FROM sales" for c in _SALES_COLS]
+    + [f"SELECT 'customers', '{c}', 'required', count(*) - count({c}), count(*) FROM cust_nulls" for c in _CUST_COLS])
+    .join([f"WITH {_CUST_NULL_SQL} ", ""]), "sales", "customers"))
+def required_violations(spark, d):
+    """C13 required rules: nulls of required columns, one aggregate per dataset."""
+    return C.rule_violations(V.sales(spark, d), "sales", kinds=("required",)).unionByName(
+        C.rule_violations(customers_with_null_emails(spark, d), "customers", kinds=("required",)))
 
 
-@register("inject_duplicates_exact", with_views(f"""
-WITH s AS (SELECT *, {_EXACT_KEY_SQL} AS h FROM sales_nr),
-pick AS (SELECT * FROM s ORDER BY h, {", ".join(c + " ASC NULLS FIRST" for c in SALES_NR_COLS)}
-         LIMIT (SELECT greatest(1, count(*) * 1500 // 10000) FROM sales_nr))
-SELECT {_sales_sql_cols(region=False)} FROM (SELECT * EXCLUDE (h) FROM s UNION ALL SELECT * EXCLUDE (h) FROM pick) u""",
-    "sales_nr"))
-def inject_duplicates_exact(spark, d):
-    """I5 exact mode: exactly 15% of rows appended again, chosen by a
-    deterministic key through distributed radix selection (no global sort)."""
-    s = V.sales(spark, d, with_region=False)
-    key = F.pmod(F.col("product_id") * 1000003 + F.col("quantity") * 7919
-                 + (F.col("unit_price") * 100).cast("bigint"), F.lit(2147483647))
-    return I.inject_duplicates_exact(s, key, SALES_NR_COLS, 0.15)
+@register("type_violations", with_views("""
+SELECT 'sales' AS dataset, column_name, 'type' AS rule, violations, total_rows FROM (
+  SELECT 'quantity' AS column_name,
+         count(*) FILTER (quantity IS NOT NULL AND quantity % 7 = 0) AS violations, count(*) AS total_rows FROM sales_nr
+  UNION ALL SELECT 'unit_price', count(*) FILTER (unit_price IS NOT NULL), count(*) FROM sales_nr) t""", "sales_nr"))
+def type_violations(spark, d):
+    """C13 type rules on text columns: every price has a suffix, every seventh quantity a unit."""
+    s = I.inject_type_change(V.sales(spark, d, with_region=False)).withColumn(
+        "quantity", F.when(F.col("quantity") % 7 == 0, F.concat(F.col("quantity").cast("string"), F.lit(" pcs")))
+        .otherwise(F.col("quantity").cast("string")))
+    return C.rule_violations(s.select("quantity", "unit_price"), "sales", kinds=("type",))
+
+
+@register("column_profile", with_views(f"""
+WITH {_CUST_NULL_SQL},
+p AS ({_null_rows_sql('sales', 'sales', _SALES_COLS)} UNION ALL {_null_rows_sql('cust_nulls', 'customers', _CUST_COLS)})
+SELECT dataset, column_name, null_count, total_rows,
+       cast(round(cast(null_count AS decimal(18,0)) * 100 / total_rows, 1) AS double) AS null_pct
+FROM p""", "sales", "customers"))
+def column_profile(spark, d):
+    """B1: null counts of every column of a run's sources, percentages to one place."""
+    from ..plans import jobs
+    src = jobs.Sources(V.sales(spark, d), customers_with_null_emails(spark, d), None)
+    return jobs.column_profile(src)

@@ -15,6 +15,7 @@ from __future__ import annotations
 import argparse
 import datetime as _dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,10 +57,7 @@ def inject(name: str, src: jobs.Sources) -> jobs.Sources:
     if name == "data_quality_nulls":
         return src.replace(customers=I.inject_nulls(src.customers, "email"))
     if name == "data_quality_duplicates":
-        # exactly max(1, int(0.15 n)) rows, chosen by a content hash (exact mode, no global sort)
-        cols = src.sales.columns
-        key = F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(1 << 62))
-        return src.replace(sales=I.inject_duplicates_exact(src.sales, key, cols, 0.15))
+        return src.replace(sales=I.inject_duplicates(src.sales, fraction=0.15))     # by content hash
     if name == "missing_source_file":
         return src.replace(products=None, missing=[MISSING_SOURCE_NAME])
     if name == "pk_constraint_violation":
@@ -109,7 +107,7 @@ def auto_remediate(src: jobs.Sources, run: jobs.RunResult, target: str | None =
     for stage in order[order.index(rerun_from):]:
         jobs.rerun_stage(fixed, run, stage, target)
     if run.has_failures and run.stage("load") is not None and run.stage("load")["status"] == "failed":
-        jobs.rollback_stage(run, "load")
+        jobs.rollback_stage(run, "load", target)
     return fixed
 
 
@@ -144,7 +142,8 @@ def record_runs(spark: SparkSession, runs: list[jobs.RunResult], base: str, buck
         jobs.record_run(spark, r, base, bucketed)
     metrics = [(r.run_id, int(r.metrics.get("sales_rows", 0)),
                 int(r.metrics.get("sales_null_cells", 0)) + int(r.metrics.get("email_nulls", 0)),
-                int(r.metrics.get("duplicate_count", 0)), 0, list(r.metrics.get("schema_violations", [])),
+                int(r.metrics.get("duplicate_count", 0)),
+                int(r.metrics.get("out_of_range_count", 0)), list(r.metrics.get("schema_violations", [])),
                 {"unit_price": "expected float, got string"} if r.metrics.get("n_type_mismatches") else {},
                 list(r.metrics.get("extra_columns", []))) for r in runs]
     S.append_run_table(spark.createDataFrame(
@@ -180,7 +179,9 @@ def read_run_tables(spark: SparkSession, base: str, bucketed: bool = False) -> d
          for n in ("runs", "stage_results", "log_entries", "quality_metrics")}
     try:
         t["remediations"] = S.read_run_table(spark, base, "remediations", bucketed)
-    except Exception:  # noqa: BLE001  (no run needed a repair yet)
+    except AnalysisException as exc:                # no run needed a repair yet
+        if exc.getCondition() not in ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND"):
+            raise
         t["remediations"] = spark.createDataFrame([], "run_id string, seq bigint, action string")
     h = S.read_history(spark, f"{base}/run_history")
     cols = ["run_id", "scenario_name", "failure_type", "ts", "outcome", "duration_seconds"]

@@ -2,14 +2,13 @@
 
 The library never owns the cluster configuration: on a real cluster the
 session is built by whoever submits the job.  ``local_session`` exists for
-tests and the benchmark only; ``ensure_checkpoint_dir`` respects a
-``spark.checkpoint.dir`` that the cluster already names and only fills in a
-scratch folder when none is set (tests, local runs).
+tests and the benchmark only.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +28,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="stagewatch-warehouse-"))
         .getOrCreate()
@@ -39,25 +39,27 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder, creating a scratch one only if unset.
+    """The checkpoint folder that the session names.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only when nothing is configured (local tests) do we pick a fresh
-    scratch folder.
+    ``spark.checkpoint.dir`` (a shared folder on a cluster) is used as it is.
+    Where it is unset, a local session gets a scratch folder of its own; any
+    other session is an error, since executors would not see such a folder.
+    The session's configuration is never changed.
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
-    if conf_dir:
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
         if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(conf_dir)
-        return conf_dir
+            sc.setCheckpointDir(named)
+        return named
     existing = sc.getCheckpointDir()
     if existing:
         return existing
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     scratch = tempfile.mkdtemp(prefix="stagewatch-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", scratch)
     sc.setCheckpointDir(scratch)
-    return scratch
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:

@@ -35,16 +35,35 @@ def normalise_na(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+CORRUPT = "_corrupt_record"
+
+
+def _csv(spark: SparkSession):
+    """CSV as written by the usual tools: quotes doubled inside quotes, records that span lines."""
+    return spark.read.option("header", True).option("mode", "PERMISSIVE").option("multiLine", True).option(
+        "quote", '"').option("escape", '"')
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """CSV with a header.  With ``schema`` the read is typed (no inference
     pass); without it every column is text (for drift profiling).  Either
-    way the usual missing-value tokens in text columns become nulls."""
-    r = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    way the usual missing-value tokens in text columns become nulls.
+    ``corrupt_records`` counts what a typed read cannot parse."""
+    r = _csv(spark)
     if schema is not None:
         return normalise_na(r.schema(schema).csv(path))
     return normalise_na(r.option("inferSchema", False).csv(path))
 
 
+def corrupt_records(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
+    """Records of a typed CSV or JSON read that do not fit ``schema`` (their bad values read as null), as they are."""
+    wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    r = (_csv(spark) if fmt == "csv" else spark.read.option("multiLine", True)).option(
+        "columnNameOfCorruptRecord", CORRUPT).schema(wide)
+    rows = r.csv(path) if fmt == "csv" else r.json(path)
+    return rows.where(F.col(CORRUPT).isNotNull())
+
+
 def read_json(spark: SparkSession, path: str, multiline: bool = True,
               schema: T.StructType | str | None = None) -> DataFrame:
     """A JSON array file (``multiline``) or JSON Lines (splittable)."""
@@ -85,11 +104,16 @@ def contract_schema(rules: list) -> T.StructType:
 
 
 def try_read(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
-    """The table at ``path``, or None when the path does not exist."""
+    """The table at ``path``, or None when the path does not exist.
+
+    ``csv`` and ``json`` are read as ``read_csv`` and ``read_json`` read them
+    (``jsonl``: JSON Lines); other formats by Spark's reader of that name.
+    """
+    readers = {"csv": read_csv, "json": read_json, "jsonl": lambda s, p: read_json(s, p, multiline=False)}
     try:
-        return spark.read.format(fmt).load(path)
+        return readers[fmt](spark, path) if fmt in readers else spark.read.format(fmt).load(path)
     except AnalysisException as exc:
-        if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
+        if exc.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
 
@@ -132,8 +156,8 @@ def source_arrival(spark: SparkSession, expected: dict[str, str], fmt: str = "pa
 
 
 def write_partitioned(df: DataFrame, path: str, partition_by: list[str], cluster_by: list[str] | None = None,
-                      fmt: str = "parquet", observation=None) -> None:
-    """Publish a table, replacing only the partitions present in ``df``.
+                      fmt: str = "parquet", observation=None, replace_all: bool = False) -> None:
+    """Publish a table, replacing the partitions present in ``df``, or all below ``path`` with ``replace_all``.
 
     Dynamic partition overwrite makes a re-run of one day idempotent and
     leaves other days untouched.  With ``cluster_by`` the rows are
@@ -150,10 +174,21 @@ def write_partitioned(df: DataFrame, path: str, partition_by: list[str], cluster
     if observation is not None:
         # observed after the repartition: the range sampling job does not count
         out = out.observe(observation, F.count(F.lit(1)).alias("rows"))
-    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (out.write.mode("overwrite").option("partitionOverwriteMode", "static" if replace_all else "dynamic")
      .partitionBy(*partition_by).format(fmt).save(path))
 
 
+def run_partition(path: str, run_id: str) -> str:
+    """The folder of one run in a table partitioned by ``run_id``."""
+    return f"{path.rstrip('/')}/run_id={run_id}"
+
+
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Delete a folder in whatever store it is; False when there is none."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 RUN_TABLE_BUCKETS = 64
 
 
@@ -204,11 +239,13 @@ HISTORY_SCHEMA = T.StructType([
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """The run history; a missing store is an empty history and
-    unreadable files are skipped."""
+    """The run history.  A missing store is an empty history; a file that
+    cannot be read is an error when the history is used, never skipped."""
     try:
-        return spark.read.schema(HISTORY_SCHEMA).option("ignoreCorruptFiles", "true").parquet(path)
-    except AnalysisException:
+        return spark.read.schema(HISTORY_SCHEMA).parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], HISTORY_SCHEMA)
 
 

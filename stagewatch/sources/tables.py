@@ -19,21 +19,7 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-_SCANS: dict[tuple[int, str], DataFrame] = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """Read one parquet table, optionally projecting ``columns`` at the scan.
-
-    The scan (file listing and footer schema) is created once per session and
-    path and reused, so building a plan that reads the same table several
-    times does not repeat that work in the driver.  Each use still gets its
-    own projection; Catalyst prunes and pushes filters per use.
-    """
-    path = table_path(sf_dir, name)
-    key = (id(spark), path)        # the cached scan keeps its session alive, so ids cannot be reused
-    df = _SCANS.get(key)
-    if df is None:
-        df = spark.read.parquet(path)
-        _SCANS[key] = df
+    """Read one parquet table as it is now, optionally projecting ``columns`` at the scan."""
+    df = spark.read.parquet(table_path(sf_dir, name))
     return df.select(*columns) if columns else df

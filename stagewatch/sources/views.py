@@ -277,7 +277,7 @@ def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit(0).cast("bigint")).alias("null_count"),
         F.when(ld, (F.col("n_rows") * 15 / 100).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
         .alias("duplicate_count"),
-        F.lit(0).cast("bigint").alias("out_of_range_count"),
+        F.when(k % 97 == 0, 2).otherwise(0).cast("bigint").alias("out_of_range_count"),
         F.when(missing, F.array(F.lit("Missing required column: 'region'")))
         .otherwise(F.array().cast("array<string>")).alias("schema_violations"),
         F.when(typed, F.create_map(F.lit("unit_price"), F.lit("expected float, got object")))

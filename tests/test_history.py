@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stagewatch.operators import history as H
-from stagewatch.operators.prefix import prior_counts, prior_sums
+from stagewatch.operators.prefix import prior_counts
 
 NOW = dt.datetime(2024, 1, 31, 0, 0, 0)
 SCHEMA = ("run_id string, scenario_name string, failure_type string, ts timestamp_ntz, outcome string, "
@@ -84,12 +84,30 @@ def test_prior_counts_match_brute_force_with_a_hot_key(spark):
     df = spark.createDataFrame(rows, "id long, k string, t long, m boolean") \
         .withColumn("ts", F.timestamp_seconds("t").cast("timestamp_ntz"))
     got = {r["id"]: r["prior_count"] for r in
-           prior_counts(df, "id", ["k"], "ts", F.col("m"), lookback_us=700 * 1_000_000, num_partitions=8).collect()}
+           prior_counts(df, "id", ["k"], "ts", F.col("m"), lookback_us=700 * 1_000_000, bucket_us=60 * 1_000_000).collect()}
     assert got == _brute(rows, 700)
-    sums = {r["id"]: r["prior_rows"] for r in prior_sums(df.withColumn("one", F.lit(1)), "id", ["k"], "ts", ["one"],
-                                                         num_partitions=8).collect()}
-    brute_all = {rid: sum(1 for _, k2, t2, _m in rows if k2 == k and t2 < t) for rid, k, t, _ in rows}
-    assert sums == brute_all
+    got = {r["id"]: r["prior_count"] for r in prior_counts(df, "id", ["k"], "ts", F.lit(True)).collect()}
+    assert got == {rid: sum(1 for _, k2, t2, _m in rows if k2 == k and t2 < t) for rid, k, t, _ in rows}
+
+
+def test_prior_counts_when_all_runs_share_one_time(spark):
+    df = spark.range(50_000).selectExpr("id", "'s' as k", "cast('2024-01-01 00:00:00' as timestamp_ntz) as ts")
+    later = spark.range(50_000, 50_001).selectExpr("id", "'s' as k", "cast('2024-01-01 00:00:05' as timestamp_ntz) as ts")
+    out = prior_counts(df.union(later), "id", ["k"], "ts", F.lit(True), lookback_us=60_000_000)
+    assert {r["id"]: r["prior_count"] for r in out.where("id in (0, 49999, 50000)").collect()} == {
+        0: 0, 49999: 0, 50000: 50_000}
+    # what meets in one window is one point per distinct time, however many runs share it
+    points = df.union(later).groupBy("k", "ts").count()
+    assert points.count() == 2
+
+
+def test_latest_runs_over_all_scenarios(spark):
+    h = spark.createDataFrame([rec("a", scenario="s", hours=3), rec("b", scenario="t", hours=1),
+                               rec("c", scenario="s", hours=2)], SCHEMA)
+    assert [r["run_id"] for r in H.latest_runs(h, 2).collect()] == ["b", "c"]
+    assert [r["run_id"] for r in H.latest_runs(h, 5, "s").collect()] == ["c", "a"]
+    with pytest.raises(ValueError):
+        H.latest_runs(h, 0)
 
 
 def test_filter_history_null_safe_failure_type(spark):
@@ -123,7 +141,7 @@ def test_prior_counts_property(spark):
             .withColumn("ts", F.timestamp_seconds("t").cast("timestamp_ntz"))
         got = {r["id"]: r["prior_count"] for r in
                prior_counts(df, "id", ["k"], "ts", F.col("m"), lookback_us=lookback * 1_000_000,
-                            num_partitions=parts).collect()}
+                            bucket_us=parts * 7_000_000).collect()}
         assert got == _brute(data, lookback)
 
     check()

@@ -91,8 +91,13 @@ def test_type_change_repaired_then_rerun(sources, tmp_path):
     assert run.remediations == ["rerun_stage(ingestion)", "rerun_stage(transform)", "rerun_stage(load)"]
     written = run.stage("load")["rows_out"]
     assert written == 40 and run.stages[-1]["rows_out"] == written
-    jobs.rollback_stage(run, "load")
+    spark = sources.sales.sparkSession
+    assert spark.read.parquet(str(tmp_path / "fact")).where(f"run_id = '{run.run_id}'").count() == 40
+    other = jobs.run_pipeline(sources, target=str(tmp_path / "fact"))
+    jobs.rollback_stage(run, "load", str(tmp_path / "fact"))
     assert run.stage("load")["status"] == "skipped"
+    left = {r["run_id"] for r in spark.read.parquet(str(tmp_path / "fact")).select("run_id").distinct().collect()}
+    assert left == {other.run_id}
     with pytest.raises(ValueError):
         jobs.rollback_stage(run, "ingestion")
 
@@ -115,3 +120,47 @@ def test_failed_run_without_repair_is_failed(small_sources):
     from stagewatch.plans import scenarios as SC
     run = SC.run_scenario(small_sources, "schema_drift_missing_column", remediate=False)
     assert SC.history_outcome(run) == "FAILED" and run.remediations == []
+
+
+def test_rerun_replaces_all_partitions_of_the_run(sources, tmp_path):
+    target = str(tmp_path / "fact")
+    run = jobs.run_pipeline(sources, target=target)
+    fewer = sources.replace(sales=sources.sales.where("transaction_date = date '2024-01-03'"))
+    for s in ("ingestion", "transform", "load"):
+        jobs.rerun_stage(fewer, run, s, target=target)
+    table = sources.sales.sparkSession.read.parquet(target)
+    assert {str(r["transaction_date"]) for r in table.select("transaction_date").distinct().collect()} == {"2024-01-03"}
+    assert run.stage("load")["rows_out"] == table.count() == 4
+
+
+def test_any_error_makes_a_failed_stage(sources):
+    broken = sources.replace(customers=sources.customers.drop("tier"))
+    run = jobs.run_pipeline(broken)
+    assert statuses(run) == ["success", "failed", "skipped"]
+    assert "tier" in run.stage("transform")["error_message"] and run.has_failures
+    assert any(l["level"] == "error" and l["stage"] == "transform" for l in run.logs)
+
+
+def test_ingestion_log_has_samples_and_percentages(sources):
+    import json
+    bad = sources.replace(sales=I.inject_type_change(sources.sales),
+                          customers=I.inject_nulls(sources.customers, "email", selector=sources.customers.customer_id == "C1"))
+    run = jobs.run_pipeline(bad)
+    details = {l["message"][:10]: json.loads(l["details"]) for l in run.logs}
+    assert details["Type misma"]["sample_values"] == ["10.0_USD", "11.0_USD", "12.0_USD"]
+    assert details["Null email"]["null_pct"] == 10.0
+
+
+def test_out_of_range_values_are_counted(sources):
+    from pyspark.sql import functions as F
+    low = sources.replace(sales=sources.sales.withColumn("quantity", F.when(F.col("transaction_id") < "TXN003", 0)
+                                                         .otherwise(F.col("quantity"))))
+    run = jobs.run_pipeline(low)
+    assert run.metrics["out_of_range_count"] == 3
+
+
+def test_column_profile(sources):
+    got = {(r["dataset"], r["column_name"]): (r["null_count"], r["null_pct"]) for r in jobs.column_profile(
+        sources.replace(customers=I.inject_nulls(sources.customers, "email",
+                                                 selector=sources.customers.customer_id.isin("C1", "C2", "C3")))).collect()}
+    assert got["customers", "email"] == (3, 30.0) and got["sales", "region"] == (0, 0.0) and len(got) == 18

@@ -168,13 +168,37 @@ def test_repair_dispatchers(spark):
         R.deduplicate(df, "orders")
 
 
-def test_first_n_is_exact_without_a_global_sort(spark):
-    import random
-    rnd = random.Random(3)
-    rows = [(i, rnd.choice([rnd.randint(0, 2 ** 62), rnd.randint(0, 20), 7])) for i in range(200)]
-    df = spark.createDataFrame(rows, "id long, h long")
-    for n in (1, 37, 150, 205):
-        got = sorted(r["id"] for r in I.first_n(df, n, F.col("h"), ["h", "id"]).collect())
-        assert got == sorted(i for i, _ in sorted(rows, key=lambda r: (r[1], r[0]))[:n])
-    exact = I.inject_duplicates_exact(df, F.col("h"), ["h", "id"], 0.15)
-    assert exact.count() == 200 + 30
+def test_inject_pk_violation_keeps_equal_rows_apart(spark):
+    df = spark.createDataFrame([(f"T{i:03d}", i) for i in range(8)] + [("T900", 9)] * 5, "transaction_id string, v int")
+    out = I.inject_pk_violation(df).collect()
+    assert len(out) == 13 and sorted(r["transaction_id"] for r in out if r["v"] == 9) == [f"T{i:03d}" for i in range(5)]
+
+
+def test_rates_table_is_joined_on_a_unique_key(spark):
+    df = spark.createDataFrame([("t1", 10, 1, "EUR", dt.date(2024, 1, 1)), ("t2", 10, 1, "EUR", dt.date(2024, 1, 2)),
+                                ("t3", 10, 1, "EUR", dt.date(2024, 1, 3))],
+                               "transaction_id string, unit_price int, quantity int, currency string, transaction_date date")
+    rates = spark.createDataFrame([("EUR", dt.date(2024, 1, 1), 2.0), ("EUR", dt.date(2024, 1, 2), 3.0)],
+                                  "currency string, transaction_date date, rate double")
+    got = {r["transaction_id"]: float(r["unit_price_usd"]) for r in tr.fx_convert(df, rates).collect()}
+    assert got == {"t1": 20.0, "t2": 30.0, "t3": 10.0}
+    with pytest.raises(tr.TransformError, match="not unique"):
+        tr.fx_convert(df, rates.drop("transaction_date"))
+
+
+def test_column_names_with_dots(spark):
+    df = spark.createDataFrame([(1, None, "x"), (1, "a", "2")], "`a.b` int, `c.d` string, e string")
+    assert {r["column_name"]: r["null_count"] for r in Q.null_profile(df, "t").collect()} == {"c.d": 1}
+    assert Q.duplicate_count(df, "a.b").first()["duplicate_count"] == 1
+    assert Q.type_mismatch_counts(df, ["c.d", "e"]).count() == 2
+    rules = [("a.b", "integer", True, False, 2, None, None), ("e", "integer", False, False, None, None, None)]
+    got = {(r["column_name"], r["rule"]): r["violations"] for r in C.rule_violations(df, "t", rules).collect()}
+    assert got == {("a.b", "required"): 0, ("a.b", "range"): 2, ("e", "type"): 1}
+    assert {r["column_name"]: r["violations"] for r in C.uniqueness_violations(df, ["a.b", "c.d"], "t").collect()} == {
+        "a.b": 1, "c.d": 0}
+
+
+def test_long_names_are_never_cut(spark):
+    from stagewatch.operators import report as K
+    r = spark.createDataFrame([("reconciliation_stage",), ("load",)], "n string").select(K._padded("n").alias("p"))
+    assert [x["p"] for x in r.collect()] == ["reconciliation_stage", "load        "]

@@ -3,6 +3,8 @@
 import datetime as dt
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from stagewatch.functions.constants import SALES_RULES
@@ -86,7 +88,8 @@ def test_history_store(spark, tmp_path):
     bad = tmp_path / "broken"
     (bad / "run_date=2024-01-01").mkdir(parents=True)
     (bad / "run_date=2024-01-01" / "part-0.parquet").write_bytes(b"not a parquet file")
-    assert S.read_history(spark, str(bad)).count() == 0
+    with pytest.raises(Exception):                   # an unreadable file is an error, not an empty history
+        S.read_history(spark, str(bad)).count()
 
 
 def test_history_lookback_prunes_date_partitions(spark, tmp_path):
@@ -120,15 +123,69 @@ def test_contract_file_drives_rule_evaluation(spark, tmp_path):
 
 
 def test_json_lines_and_small_helpers(spark, tmp_path):
-    from stagewatch.operators import faults as I
-    from stagewatch.operators import profile as Q
     from stagewatch.operators import runlog as L
     p = tmp_path / "c.jsonl"
     p.write_text("\n".join(json.dumps({"id": i}) for i in range(4)))
     df = S.read_json(spark, str(p), multiline=False)
     assert df.count() == 4
-    counts = {r["dataset"]: r["row_count"] for r in Q.row_counts({"a": df, "b": df.limit(1)}).collect()}
-    assert counts == {"a": 4, "b": 1}
     logs = spark.createDataFrame([("r", 0, "warning"), ("r", 1, "error")], "run_id string, seq bigint, level string")
     assert [r["seq"] for r in L.warning_logs(logs).collect()] == [0]
-    assert set(I.drop_source({"sales": df, "products": df}, "products")) == {"sales"}
+
+
+def test_csv_quotes_newlines_and_corrupt_records(spark, tmp_path):
+    p = tmp_path / "q.csv"
+    p.write_text('id,say\n1,"he said ""hi"""\n2,"two\nlines"\nx,plain\n')
+    rows = [tuple(r) for r in S.read_csv(spark, str(p)).collect()]
+    assert rows == [("1", 'he said "hi"'), ("2", "two\nlines"), ("x", "plain")]
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("say", T.StringType())])
+    bad = S.corrupt_records(spark, str(p), schema).collect()
+    assert len(bad) == 1 and "plain" in bad[0]["_corrupt_record"]
+
+
+def test_arrival_counts_records_not_lines(spark, tmp_path):
+    c, j = tmp_path / "c.csv", tmp_path / "j.json"
+    c.write_text('id,say\n1,a\n2,"b\nb"\n3,c\n')
+    j.write_text(json.dumps([{"id": 1}, {"id": 2}], indent=2))
+    assert S.source_arrival(spark, {"c": str(c)}, "csv").first()["row_count"] == 3
+    assert S.source_arrival(spark, {"j": str(j)}, "json").first()["row_count"] == 2
+    found, _ = S.resolve_sources(spark, {}, {"c": (str(c), "csv")})
+    assert found["c"].columns == ["id", "say"]
+
+
+def test_a_table_is_read_as_it_is_now(spark, tmp_path):
+    from stagewatch.sources.tables import read_table
+    spark.range(5).write.parquet(str(tmp_path / "t.parquet"))
+    assert read_table(spark, str(tmp_path), "t").count() == 5
+    spark.range(5).write.mode("append").parquet(str(tmp_path / "t.parquet"))
+    assert read_table(spark, str(tmp_path), "t").count() == 10
+
+
+def test_checkpoint_folder_needs_a_shared_name_on_a_cluster(spark):
+    from stagewatch.session import ensure_checkpoint_dir
+
+    class Conf:
+        def __init__(self, named):
+            self.named = named
+
+        def get(self, key, default=None):
+            return self.named or default
+
+    class Context:
+        master = "spark://host:7077"
+        folder = None
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    class Session:
+        def __init__(self, named):
+            self.conf, self.sparkContext = Conf(named), Context()
+
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(Session(None))
+    named = Session("hdfs:///shared")
+    assert ensure_checkpoint_dir(named) == "hdfs:///shared" == named.sparkContext.folder
