@@ -194,7 +194,8 @@ def recommendations_by_run(runs: DataFrame, metrics: DataFrame) -> DataFrame:
 
 
 def incident_report(runs, stages, logs, calls, metrics) -> DataFrame:
-    """The structured incident report of every run."""
+    """The structured incident report of every run, with its data quality
+    summary and stage summary (latest attempts)."""
     f = run_facts(runs, stages, logs, calls, metrics)
     h, s = report_health(F.col("_nf"), F.col("_ne"))
     rec = F.filter(F.array(
@@ -210,6 +211,10 @@ def incident_report(runs, stages, logs, calls, metrics) -> DataFrame:
         F.col("_ne").alias("n_errors"), F.col("_nw").alias("n_warnings"),
         F.col("_nr").alias("remediation_count"),
         report_outcome(F.col("_nr"), F.col("_nf")).alias("final_outcome"),
+        *[F.coalesce(f"m_{c}", F.lit(0)).cast("bigint").alias(c) for c in ("total_rows", "null_count", "duplicate_count")],
+        F.coalesce(F.size("m_schema_violations"), F.lit(0)).cast("bigint").alias("n_schema_violations"),
+        F.coalesce(F.size("m_type_mismatches"), F.lit(0)).cast("bigint").alias("n_type_mismatches"),
+        *[F.coalesce(c, F.lit("")).alias(c) for c in ("failed_stages", "skipped_stages", "remediated_stages")],
         F.when(F.size(rec) > 0, F.concat_ws(" | ", rec)).otherwise(F.lit(REC_NONE)).alias("recommendations"))
 
 

@@ -38,6 +38,7 @@ LED = """led AS (SELECT run_id, string_agg(action, ' | ' ORDER BY seq, action) A
           count(*) AS remediation_count
         FROM (SELECT run_id, action, min(seq) AS seq FROM remediations GROUP BY run_id, action) t GROUP BY run_id)"""
 FACTS = """facts AS (SELECT r.*, st.overall_status, st.current_status, roll.failed_stages, roll.skipped_stages,
+          roll.remediated_stages,
           lc.total_logs, lc.error_count, led.remediation_applied,
           coalesce(roll.n_failed, 0) AS nf, coalesce(lc.error_count, 0) AS ne,
           coalesce(led.remediation_count, 0) AS nr, coalesce(lc.warning_count, 0) AS nw,
@@ -316,6 +317,12 @@ SELECT 'INC-' || cast(run_id AS varchar) AS report_id, run_id, pipeline_name, sc
        CASE WHEN nf = 0 AND ne = 0 THEN 'NONE' WHEN nf > 1 THEN 'HIGH' WHEN nf > 0 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
        overall_status, failure_type, {_t('started_at')}, {_t('finished_at')},
        ne AS n_errors, nw AS n_warnings, nr AS remediation_count, {_REP_OUT} AS final_outcome,
+       cast(coalesce(m_total_rows, 0) AS bigint) AS total_rows, cast(coalesce(m_null_count, 0) AS bigint) AS null_count,
+       cast(coalesce(m_duplicate_count, 0) AS bigint) AS duplicate_count,
+       cast(coalesce(n_schema_violations, 0) AS bigint) AS n_schema_violations,
+       cast(coalesce(n_type_mismatches, 0) AS bigint) AS n_type_mismatches,
+       coalesce(failed_stages, '') AS failed_stages, coalesce(skipped_stages, '') AS skipped_stages,
+       coalesce(remediated_stages, '') AS remediated_stages,
        {_recs_sql('coalesce(n_schema_violations, 0)', 'coalesce(n_type_mismatches, 0)', 'coalesce(m_duplicate_count, 0)', 'coalesce(m_null_count, 0)', 'failure_type')} AS recommendations
 FROM facts"""))
 def incident_report(spark, d):
