@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import cut, quoted, slices, text_or_empty
 
 SUFFIX_SHARD_BYTES = 2_000_000
-RUN_SLICE_BYTES = 4_000_000
+RUN_SLICE_BYTES = 2_000_000
 NO_ID = np.iinfo(np.int64).max
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _LOW48 = np.uint64((1 << 48) - 1)
@@ -120,8 +120,9 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("doc_id").fill_null(NO_ID).to_numpy()
 
 
-def _resolve(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], hot: int) -> Iterator[tuple]:
-    """Of a shard's runs (ids, anchors, keys): (id, joint keys) that are repeated, to be compared, to be dealt out."""
+def _resolve(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], hot: int) -> list[np.ndarray]:
+    """Of a shard's runs (ids, anchors, keys): id, joint key and kind of those repeated (0), to be compared (1) or
+    to be dealt out (2), each once."""
     ids, anchors, keys = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((ids, keys, anchors))
     ids, anchors, keys = ids[order], anchors[order], keys[order]
@@ -133,18 +134,11 @@ def _resolve(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], hot: int) -
     starts = np.flatnonzero(np.r_[True, group_of[1:] != group_of[:-1]])
     several = np.minimum.reduceat(first, starts) < np.maximum.reduceat(first, starts)
     number = np.diff(np.r_[starts, len(group_of)])
+    fresh = new_run | np.r_[True, ids[1:] != ids[:-1]]         # once per document
     repeated = first[run] < ids
-    fresh = ~repeated & np.r_[True, (run[1:] != run[:-1]) | (ids[1:] != ids[:-1])]
-    compare = fresh & several[group] & (number[group] <= hot)
-    deal = fresh & several[group] & (number[group] > hot)
-    joint = _joint(anchors, keys)
-    kind = np.where(repeated, 0, np.where(compare, 1, np.where(deal, 2, 3)))
-    use = np.flatnonzero(kind < 3)
-    use = use[np.lexsort((kind[use], ids[use]))]
-    i, k = ids[use], kind[use]
-    bounds = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (k[1:] != k[:-1])])
-    for b, e in zip(bounds.tolist(), np.r_[bounds[1:], len(use)].tolist()):
-        yield int(i[b]), int(k[b]), np.unique(joint[use[b:e]]).astype("<u8").tobytes()
+    kind = np.where(repeated, 0, np.where(number[group] <= hot, 1, 2))
+    use = np.flatnonzero(fresh & (repeated | several[group]))
+    return [ids[use], _joint(anchors[use], keys[use]).view(np.int64), kind[use].astype(np.int32)]
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -261,16 +255,16 @@ class Merger:
 
 
 def _per_document(shards: DataFrame) -> DataFrame:
-    kinds = [F.collect_list(F.when(F.col("kind") == k, F.col("runs"))).alias(n)
+    kinds = [F.collect_list(F.when(F.col("kind") == k, F.col("joint"))).alias(n)
              for k, n in enumerate(("repeated", "compare", "deal"))]
-    return shards.groupBy("run_id").agg(*kinds)
+    return shards.groupBy(F.nullif("run_id", F.lit(int(NO_ID))).alias("run_id")).agg(*kinds)
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 20, shard_bytes: int = 32_000_000,
+def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 20, shard_bytes: int = 16_000_000,
                    hot: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, spans, kept`` of every row: the removed byte spans (start, end) and the bytes that stay.
 
-    Ids are integers.  A null id is the largest; rows that share an id are one
+    Ids are integers.  A null id counts as the largest integer; rows that share an id are one
     document's, so a string they share is not repeated by that; a string that
     occurs twice in one document is not repeated by that either.  Null texts
     are empty; texts shorter than ``length`` keep all; an empty table gives no
@@ -302,12 +296,10 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 20, shard_byte
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(parts):
-            found = list(_resolve(parts, hot))
-            for at in range(0, len(found), 5000):
-                columns = zip(*found[at:at + 5000])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary()))],
-                    ["run_id", "kind", "runs"])
+            columns = _resolve(parts, hot)
+            for at in range(0, len(columns[0]), 500_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at:at + 500_000]) for c in columns],
+                                                 ["run_id", "joint", "kind"])
 
         shard, parts = None, []
         for batch in batches:
@@ -324,18 +316,16 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 20, shard_byte
 
     asked = rows.mapInArrow(ask, "shard long, ids binary, counts binary, anchors binary, keys binary")
     shards = asked.repartition("shard").sortWithinPartitions("shard").mapInArrow(
-        answer, "run_id long, kind int, runs binary")
+        answer, "run_id long, joint long, kind int")
     answers = cut(_per_document(shards), "repeated-runs")
-    # the texts are shuffled once: both uses below read the same exchange
-    known = rows.withColumn("key_id", F.coalesce("doc_id", F.lit(int(NO_ID)))).join(
-        answers.withColumnRenamed("run_id", "key_id"), "key_id", "left")
+    # the texts are shuffled once: the uses below have the same columns of the same exchange
+    known = rows.join(answers, F.col("doc_id").eqNullSafe(F.col("run_id")), "left").drop("run_id")
 
     def listed(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of a list of binaries, with their rows."""
+        """The keys that are listed in a column, with their rows."""
         lists = batch.column(column)
-        raws = [b"".join(x or ()) for x in lists.to_pylist()]
-        values = np.frombuffer(b"".join(raws), "<u8")
-        return np.repeat(np.arange(len(raws)), [len(r) // 8 for r in raws]), values
+        counts = pc.list_value_length(lists).fill_null(0).to_numpy()
+        return np.repeat(np.arange(len(counts)), counts), lists.flatten().to_numpy().view(np.uint64)
 
     def chosen(runs: Runs, of: np.ndarray, values: np.ndarray) -> np.ndarray:
         """Which runs are listed for their document."""
@@ -346,15 +336,17 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 20, shard_byte
 
     def fetch(column: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, limit=RUN_SLICE_BYTES):
+            wanted = (b.filter(pc.greater(pc.list_value_length(b.column(column)).fill_null(0), 0)) for b in batches)
+            for batch in slices(wanted, limit=RUN_SLICE_BYTES):
                 of, values = listed(batch, column)
-                if not len(values):
-                    continue
-                runs, ids = Runs(batch.column("text"), length, gram), batch.column("key_id").to_numpy()
+                runs, ids = Runs(batch.column("text"), length, gram), _ids(batch)
                 use = np.flatnonzero(chosen(runs, of, values))
+                joint = _joint(runs.anchor, runs.key)[use].view(np.int64)
+                _, once = np.unique(np.stack([ids[runs.doc[use]], joint], axis=1), axis=0, return_index=True)
+                use, joint = use[once], joint[once]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(runs.anchor[use].view(np.int64)), pa.array(ids[runs.doc[use]]),
-                     pa.array(_joint(runs.anchor, runs.key)[use].view(np.int64)),
+                     pa.array(joint),
                      pa.array([runs.raw[b:e + length - 1] for b, e in zip(runs.begin[use].tolist(),
                                                                           runs.end[use].tolist())], pa.binary())],
                     ["anchor", "run_id", "joint", "bytes"])
@@ -383,23 +375,23 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 20, shard_byte
             yield out()
 
     fetched = "anchor long, run_id long, joint long, bytes binary"
-    listed_runs = known.select("key_id", "text", "compare", "deal")
-    few = (listed_runs.mapInArrow(fetch("compare"), fetched).dropDuplicates(["anchor", "run_id", "joint"])
-           .repartition("anchor").sortWithinPartitions("anchor", "run_id")
-           .mapInArrow(compare, "run_id long, joint long, marks binary"))
-    # hot anchors: windows dealt by their bytes; the smallest id of each is a partial aggregate
-    windows = (cut(listed_runs.mapInArrow(fetch("deal"), fetched), "hot-runs")
-               .dropDuplicates(["anchor", "run_id", "joint"])
-               .select("run_id", "joint", "bytes", F.posexplode(F.sequence(F.lit(1), F.octet_length("bytes") - length + 1))
-                       .alias("at", "from"))
-               .select("run_id", "joint", "at", F.substring("bytes", F.col("from"), F.lit(length)).alias("w")))
-    least = windows.groupBy("w").agg(F.min("run_id").alias("least"))
-    many = (windows.join(least, "w").where("least < run_id").groupBy("run_id", "joint")
+    marks = (known.select("doc_id", "text", "compare").mapInArrow(fetch("compare"), fetched)
+             .repartition("anchor").sortWithinPartitions("anchor", "run_id")
+             .mapInArrow(compare, "run_id long, joint long, marks binary")
+             .withColumn("places", F.lit(None).cast("array<int>")))
+    if not answers.where(F.size("deal") > 0).isEmpty():
+        # hot anchors: windows dealt by their bytes; the smallest id of each is a partial aggregate
+        hot_runs = cut(known.select("doc_id", "text", "deal").mapInArrow(fetch("deal"), fetched), "hot-runs")
+        windows = (hot_runs.select("run_id", "joint", "bytes",
+                           F.posexplode(F.sequence(F.lit(1), F.octet_length("bytes") - length + 1)).alias("at", "from"))
+                   .select("run_id", "joint", "at", F.substring("bytes", F.col("from"), F.lit(length)).alias("w")))
+        least = windows.groupBy("w").agg(F.min("run_id").alias("least"))
+        marks = marks.unionByName(
+            windows.join(least, "w").where("least < run_id").groupBy("run_id", "joint")
             .agg(F.collect_list("at").alias("places"))
             .select("run_id", "joint", F.lit(None).cast("binary").alias("marks"), "places"))
-    marks = cut(few.withColumn("places", F.lit(None).cast("array<int>")).unionByName(many)
-                .groupBy("run_id").agg(F.collect_list(F.struct("joint", "marks", "places")).alias("marks")),
-                "repeated-windows")
+    marks = marks.groupBy(F.nullif("run_id", F.lit(int(NO_ID))).alias("mark_id")).agg(
+        F.collect_list(F.struct("joint", "marks", "places")).alias("marks"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -445,6 +437,6 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 20, shard_byte
                 [batch.column("doc_id"), pa.array(runs.sizes), pa.array(spans, span), kept],
                 ["doc_id", "n_bytes", "spans", "kept"])
 
-    final = known.join(marks.withColumnRenamed("run_id", "key_id"), "key_id", "left")
+    final = known.join(marks, F.col("doc_id").eqNullSafe(F.col("mark_id")), "left")
     return final.select("doc_id", "text", "repeated", "marks").mapInArrow(
         remove, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
