@@ -24,8 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, quoted, slices
-from .tokens import CHUNK_LIMIT, LONGEST_KEPT, expand, split_spaces
+from .tokens import LONGEST_KEPT, expand, split_spaces
 
+CHUNK_LIMIT = 250_000
 BUCKETS, DIMENSIONS, NONZERO, REACH = 1 << 14, 32, 6, 2
 FEATURES = 2 * DIMENSIONS + 2
 SLICE = 4_000_000

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_LIMIT, PIECE_LIMIT, LONGEST_KEPT = 300_000, 300_000, 64
+KNOWN_LIMIT, LONGEST_KEPT = 400_000, 64
 
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 _NUMBER = "0-9²³¹¼-¾"
@@ -84,8 +84,8 @@ class Encoder:
         self.kind = self._kind(spec)
         self.pieces_of = _BYTE_PIECES if self.kind == "byte" else _WORD_PIECES
         self.alphabet = _byte_alphabet()
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
+        self.known: dict[str, bytes] = {}
 
     def _kind(self, spec: dict) -> str:
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
@@ -104,23 +104,31 @@ class Encoder:
         return "whole"
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            shown = piece if piece.isascii() and piece.isalnum() else "".join(
-                [self.alphabet[b] for b in piece.encode("utf-8")])
-            found = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-            if len(self.pieces) < PIECE_LIMIT and len(piece) <= LONGEST_KEPT:
-                self.pieces[piece] = found
+        """Ids of one pre-token."""
+        shown = (piece.replace(" ", self.alphabet[32]) if piece.isascii() and piece.lstrip(" ").isalnum()
+                 else "".join([self.alphabet[b] for b in piece.encode("utf-8")]))
+        return b"".join([self.id_bytes[t.id] for t in self.model.tokenize(shown)])
+
+    def _learn(self, text: str, found: bytes) -> bytes:
+        if len(self.known) < KNOWN_LIMIT and len(text) <= LONGEST_KEPT:
+            self.known[text] = found
         return found
 
     def chunk_ids(self, chunk: str) -> bytes:
-        found = self.chunks.get(chunk)
-        if found is None:
-            text = chunk if self.kind == "byte" else chunk.lower()
-            found = b"".join(map(self._piece, self.pieces_of.findall(text)))
-            if len(self.chunks) < CHUNK_LIMIT and len(chunk) <= LONGEST_KEPT:
-                self.chunks[chunk] = found
-        return found
+        """Ids of one chunk as little-endian 32-bit numbers."""
+        found = self.known.get(chunk)
+        if found is not None:
+            return found
+        text = chunk if self.kind == "byte" else chunk.lower()
+        if (text[1:] if text[:1] == " " else text).isalpha():       # one word: one pre-token
+            return self._learn(chunk, self._piece(text))
+        # a pre-token is a chunk too, so that "word" and "word," share their work
+        parts = [self.known.get(p) or self._learn(p, self._piece(p)) for p in self.pieces_of.findall(text)]
+        return self._learn(chunk, b"".join(parts))
+
+    def all_ids(self, chunks: list[str]) -> list[bytes]:
+        found = list(map(self.known.get, chunks))
+        return [self.chunk_ids(c) if f is None else f for c, f in zip(chunks, found)]
 
     def goes_whole(self, texts: pa.Array) -> pa.Array:
         """Which texts the library must see whole."""
@@ -161,4 +169,4 @@ class Encoder:
 
     def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         distinct, index, bounds = self.chunks_of(texts)
-        return expand(list(map(self.chunk_ids, distinct)), index, bounds)
+        return expand(self.all_ids(distinct), index, bounds)
