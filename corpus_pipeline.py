@@ -29,7 +29,8 @@ def keep_different(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontaminate.drop_leaks(docs, queries.table(spark, sf_dir, "benchmark"), shingle=5, threshold=0.8)
+    return decontaminate.drop_leaks(docs, queries.table(spark, sf_dir, "benchmark"), whole_ids=False, shingle=5,
+                                    threshold=0.8)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

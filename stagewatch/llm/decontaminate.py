@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, quoted
+from .common import cut, quoted, text_or_empty
 
 BROADCAST_BYTES = 32 << 20
 
@@ -72,6 +72,22 @@ def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: f
     or empty texts hold no leak.  Repeated rows give one result row, a null id
     counts as an id; equal items each give a row; empty tables give no rows.
     """
+    best = F.min(F.struct((-F.col("similarity")).alias("s"), F.col("distance").alias("d"), F.col("start").alias("w")))
+    return _leaking_windows(docs, items, shingle, threshold, distance, id_col, text_col, item_id_col, item_text_col).groupBy(
+        "doc_id", "item_id").agg(best.alias("best")).select(
+        "doc_id", "item_id", F.col("best.w").alias("start_word"), F.col("best.d").alias("distance"),
+        (-F.col("best.s")).alias("similarity"))
+
+
+def _text_key(text: Column) -> Column:
+    """Tells the texts of one id apart; ``text`` has no nulls."""
+    return F.xxhash64(text)
+
+
+def _leaking_windows(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: float = 0.8, distance: int = 23,
+                     id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
+                     item_text_col: str = "text") -> DataFrame:
+    """``doc_id, text_key, item_id, start, distance, similarity`` of every window that reaches the threshold."""
     item = cut(_hashes(items, quoted(item_text_col), quoted(item_id_col).alias("item_id"))
                .where(F.size("h") > 0)
                .withColumn("k", F.least(F.size("h"), F.lit(shingle)))
@@ -82,8 +98,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: f
         "item_id", "item_words", "k", "sh").agg(F.count(F.lit(1)).alias("in_item"))
 
     # 1. the items' shingles in the documents
-    text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
-    hashed = _hashes(docs, text, quoted(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"))
+    text = text_or_empty(text_col)
+    hashed = _hashes(docs, text, quoted(id_col).alias("doc_id"), _text_key(text).alias("text_key"))
     wanted = _small(per_item.select("k", "sh").distinct(), 32)
     met = None
     for k in lengths:
@@ -96,7 +112,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: f
         id_type = docs.select(quoted(id_col)).schema[0].dataType.simpleString()
         item_type = items.select(quoted(item_id_col)).schema[0].dataType.simpleString()
         return docs.sparkSession.createDataFrame(
-            [], f"doc_id {id_type}, item_id {item_type}, start_word int, distance int, similarity double")
+            [], f"doc_id {id_type}, text_key long, item_id {item_type}, start int, distance int, similarity double")
     met = cut(met.distinct(), "met-shingles")
     hits = met.join(_small(per_item.select("item_id", "item_words", "k", "sh"), 64), ["k", "sh"]).select(
         "doc_id", "text_key", "n_words", "item_id", "item_words", "k", "pos")
@@ -156,12 +172,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: f
     shared = both.groupBy("doc_id", "text_key", "item_id", "start", "item_words", "n_s", "distance").agg(
         F.sum(F.least("in_window", "in_item")).alias("common"))
     total = F.col("n_s") + F.col("item_words") - F.least("item_words", F.lit(shingle)) + 1
-    found = shared.withColumn("similarity", F.col("common") / (total - F.col("common"))).where(
-        F.col("similarity") >= threshold - 1e-12)
-    best = F.min(F.struct((-F.col("similarity")).alias("s"), F.col("distance").alias("d"), F.col("start").alias("w")))
-    return found.groupBy("doc_id", "item_id").agg(best.alias("best")).select(
-        "doc_id", "item_id", F.col("best.w").alias("start_word"), F.col("best.d").alias("distance"),
-        (-F.col("best.s")).alias("similarity"))
+    return shared.withColumn("similarity", F.col("common") / (total - F.col("common"))).where(
+        F.col("similarity") >= threshold - 1e-12).select("doc_id", "text_key", "item_id", "start", "distance", "similarity")
 
 
 def _at(k: int) -> Column:
@@ -169,8 +181,19 @@ def _at(k: int) -> Column:
     return F.xxhash64(*[F.get("h", F.col("pos") + j) for j in range(k)])
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` in which no item leaks, with all their columns."""
-    id_col = options.get("id_col", "doc_id")
-    leaked = cut(find_leaks(docs, items, **options).select(F.col("doc_id").alias("leaked_id")).distinct(), "leaked")
-    return docs.join(_small(leaked, 16), quoted(id_col).eqNullSafe(F.col("leaked_id")), "left_anti")
+def drop_leaks(docs: DataFrame, items: DataFrame, whole_ids: bool = True, **options) -> DataFrame:
+    """The rows of ``docs`` in which no item leaks, with all their columns.
+
+    ``whole_ids``: the rows of one id are one document and go together if an
+    item leaks in any of them; otherwise each row goes or stays by its own
+    text.  A null is no id: rows without one are always taken by their text.
+    """
+    def key(doc_id: Column, text_key: Column) -> Column:
+        return F.when(doc_id.isNull(), text_key) if whole_ids else text_key
+
+    row_id, text = quoted(options.get("id_col", "doc_id")), text_or_empty(options.get("text_col", "text"))
+    leaked = cut(_leaking_windows(docs, items, **options).select(
+        F.col("doc_id").alias("leaked_id"), key(F.col("doc_id"), F.col("text_key")).alias("leaked_key")).distinct(),
+        "leaked")
+    return docs.join(_small(leaked, 32), row_id.eqNullSafe(F.col("leaked_id"))
+                     & key(row_id, _text_key(text)).eqNullSafe(F.col("leaked_key")), "left_anti")

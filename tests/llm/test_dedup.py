@@ -213,6 +213,23 @@ def test_leaks(spark):
     assert sorted(r.doc_id for r in clean.collect()) == sorted(d for d, _ in docs if d not in {k[0] for k in want})
 
 
+@pytest.mark.parametrize("broadcast_bytes", [32 << 20, -1])
+def test_only_leaking_rows_go(spark, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", broadcast_bytes)
+    _, benchmark, docs, items = leak_tables(spark)
+    docs = docs + [(None, "clean row without an id"), (None, "another one"), (None, None), (2, None), (2, "clean")]
+    table = spark.createDataFrame([(d, x, 1) for d, x in docs], "doc_id long, text string, h int")
+    leaking = {(d, x) for d, x in docs if brute_leaks([(d, x)], items)}
+    got = decontaminate.drop_leaks(table, benchmark, whole_ids=False)
+    assert got.columns == table.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(d for d in docs if d not in leaking)
+    # by whole ids, rows without an id are still taken one by one
+    ids = {d for d, _ in leaking} - {None}
+    got = decontaminate.drop_leaks(table, benchmark)
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(
+        d for d in docs if d not in leaking and d[0] not in ids)
+
+
 def test_leaks_with_shuffled_joins(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
     table, benchmark, docs, items = leak_tables(spark)
