@@ -24,7 +24,7 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def keep_different(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by near fingerprints."""
-    return simhash_dedup.drop_near_copies(docs, shingle=4, distance=4, seed=42)
+    return simhash_dedup.drop_near_copies(docs, shingle=4, distance=4, seed=42, unique_ids=False)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,10 +18,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, documents, quoted, slices
+from .common import cut, documents, quoted, slices, text_or_empty
 from .components import components
 
 BLOCK = 4096
@@ -46,18 +46,23 @@ def fingerprint(text: str, shingle: int, seed: int) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def text_key(name: str) -> Column:
+    """Tells the texts of one id apart."""
+    return F.xxhash64(text_or_empty(name))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
-    """``doc_id, fp`` (signed 64-bit) of every row; null texts count as empty."""
-    rows = documents(docs, id_col, text_col)
+    """``doc_id, text_key, fp`` (signed 64-bit) of every row; null texts count as empty."""
+    rows = documents(docs, id_col, text_col).select("doc_id", text_key("text").alias("text_key"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = np.array([fingerprint(t, shingle, seed) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))],
-                                             ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"),
+                                              pa.array(found.view(np.int64))], ["doc_id", "text_key", "fp"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key long, fp long")
 
 
 def position_sets(shared: int, size: int) -> list[tuple[int, ...]]:
@@ -170,28 +175,40 @@ def near_groups(docs: DataFrame, shingle: int = 4, distance: int = 4, seed: int
     its ids are).  Repeated rows stay; an empty table gives no rows; other
     columns are ignored.
     """
+    return _rooted(docs, shingle, distance, seed, id_col, text_col).select("doc_id", "fp", "component_id")
+
+
+def _rooted(docs: DataFrame, shingle: int, distance: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, text_key, fp, root, component_id`` of every row; ``root`` is the component's own name."""
     marked = cut(fingerprints(docs, shingle, seed, id_col, text_col), "fingerprints")
     firsts = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     found = components(near_links(firsts.select("fp"), distance))
     rooted = firsts.join(found, firsts["fp"] == found["node"], "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = rooted.join(least, "root").select("fp", "root", "component_id")
+    return marked.join(classes, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 4, distance: int = 4, seed: int = 42, id_col: str = "doc_id",
-                     text_col: str = "text") -> DataFrame:
-    """One row of each component, that of its smallest id, with all columns of ``docs``.
+                     text_col: str = "text", unique_ids: bool = True) -> DataFrame:
+    """One row of each component, one of its smallest id, with all columns of ``docs``.
 
-    Rows without an id cannot be told apart: where a component has no other
-    ids, all its rows stay.
+    The row is known by its id and text, so rows without an id and different
+    texts of one id are told apart.  ``unique_ids``: of components with the
+    same smallest id only one gives its row, so that no id (null aside) comes
+    twice; otherwise every component does.
     """
-    groups = cut(near_groups(docs, shingle, distance, seed, id_col, text_col), "near-groups")
-    stay = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("stay_copies")).withColumnRenamed("doc_id", "stay_id")
-    rows = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), quoted(id_col).alias("row_id"))
-    rows = rows.join(stay, F.col("row_id").eqNullSafe(F.col("stay_id")))
-    repeated = (F.col("stay_copies") > 1) & F.col("row_id").isNotNull()
+    groups = cut(_rooted(docs, shingle, distance, seed, id_col, text_col), "near-groups")
+    heads = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).groupBy("root", "doc_id", "text_key").agg(
+        F.count(F.lit(1)).alias("copies"))
+    by = F.when(F.col("doc_id").isNull(), F.col("root")) if unique_ids else F.col("root")
+    stay = heads.groupBy("doc_id", by.alias("by")).agg(F.min(F.struct("text_key", "copies")).alias("head")).select(
+        F.col("doc_id").alias("stay_id"), F.col("head.text_key").alias("stay_key"),
+        F.col("head.copies").alias("stay_copies"))
+    rows = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), quoted(id_col).alias("row_id"),
+                       text_key(text_col).alias("row_key"))
+    rows = rows.join(stay, F.col("row_id").eqNullSafe(F.col("stay_id")) & (F.col("row_key") == F.col("stay_key")))
+    repeated = F.col("stay_copies") > 1
     return (rows.where(~repeated).select("row.*")
-            .unionByName(rows.where(repeated).dropDuplicates(["row_id"]).select("row.*")))
+            .unionByName(rows.where(repeated).dropDuplicates(["row_id", "row_key"]).select("row.*")))

@@ -94,6 +94,28 @@ def test_near_groups(odd_documents):
     assert simhash_dedup.near_groups(odd_documents.limit(0)).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    copy = "one two three four five six seven eight"
+    rows = [(4, "a", 1), (4, "a", 1), (4, "same id", 1), (5, " a", 1), (None, "null id", 1), (None, "null  id", 1),
+            (1, copy, 1), (2, copy.upper(), 1), (2, "alone", 1), (None, None, 1), (None, "", 1), (None, copy, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_key int").repartition(3)
+    near = [brute_fingerprint(t) for _, t, _ in rows]
+    parts = {f: {f} for f in near}
+    for a, b in combinations(sorted(set(near)), 2):
+        if (a ^ b).bit_count() <= 4:
+            parts[a] |= parts[b]
+            for f in parts[a]:
+                parts[f] = parts[a]
+    want = [min((i for (i, _, _), f in zip(rows, near) if f in part), key=null_last)
+            for part in {id(p): p for p in parts.values()}.values()]
+    kept = simhash_dedup.drop_near_copies(docs, unique_ids=False)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert sorted((r.doc_id for r in got), key=null_last) == sorted(want, key=null_last) and want.count(4) == 2
+    assert len({id(parts[brute_fingerprint(r.text)]) for r in got}) == len(got)
+    assert {tuple(r) for r in got} <= set(rows)
+
+
 def test_near_query(spark):
     got = [(r.doc_id, int(r.fingerprint, 16), r.component_id) for r in queries.op9_simhash_dedup(spark, SF).collect()]
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
