@@ -8,7 +8,9 @@ over the whole corpus, so the work is first narrowed by content:
 1. Runs.  Each window's anchor is the smallest hash of its ``gram``-byte
    strings.  Equal windows have equal anchors, so windows are dealt into
    shards by anchor.  Consecutive windows with one anchor are a run, known by
-   (anchor, hash of the run's bytes); runs move as 12 bytes each.
+   (anchor, hash of the run's bytes).  Inside a slice of texts only a run's
+   smallest id need ask, as 12 bytes; the slice's other documents with the
+   run are known to repeat it, and say so without passing through its shard.
 2. A shard sorts its runs.  A run whose twin lies in a smaller document is
    repeated as a whole.  Of the others only the first of its kind remains, and
    only if its anchor has different runs: their bytes are fetched.
@@ -39,6 +41,7 @@ from .common import cut, quoted, slices, text_or_empty
 
 SUFFIX_SHARD_BYTES = 2_000_000
 RUN_SLICE_BYTES = 2_000_000
+FOLD_RUNS = 2_000_000
 NO_ID = np.iinfo(np.int64).max
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _LOW48 = np.uint64((1 << 48) - 1)
@@ -120,6 +123,15 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("doc_id").fill_null(NO_ID).to_numpy()
 
 
+def _firsts(ids: np.ndarray, anchors: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the smallest id of each distinct run, and of the greater ids, each once per run: those repeat it."""
+    order = np.lexsort((ids, keys, anchors))
+    ids, anchors, keys = ids[order], anchors[order], keys[order]
+    new_run = np.r_[True, (anchors[1:] != anchors[:-1]) | (keys[1:] != keys[:-1])]
+    fresh = new_run | np.r_[True, ids[1:] != ids[:-1]]
+    return order[new_run], order[fresh & (ids > ids[new_run][np.cumsum(new_run) - 1])]
+
+
 def _resolve(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], hot: int) -> list[np.ndarray]:
     """Of a shard's runs (ids, anchors, keys): id, joint key and kind of those repeated (0), to be compared (1) or
     to be dealt out (2), each once."""
@@ -281,38 +293,55 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 20, shard_byte
             runs, ids = Runs(batch.column("text"), length, gram), _ids(batch)
             if not len(runs.doc):
                 continue
-            shard = (runs.anchor >> np.uint64(40)) % np.uint64(n_shards)
-            order = np.lexsort((runs.doc, shard))
-            shard, doc = shard[order], runs.doc[order]
+            first, again = _firsts(ids[runs.doc], runs.anchor, runs.key)
+            shard = (runs.anchor[first] >> np.uint64(40)) % np.uint64(n_shards)
+            order = first[np.lexsort((runs.doc[first], shard))]
+            shard, doc = np.sort(shard), runs.doc[order]
             bounds = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
             out = []
             for b, e in zip(bounds.tolist(), np.r_[bounds[1:], len(order)].tolist()):
                 of, counts = np.unique(doc[b:e], return_counts=True)
                 out.append((int(shard[b]), ids[of].astype("<i8").tobytes(), counts.astype("<i4").tobytes(),
                             _pack48(runs.anchor[order[b:e]]), _pack48(runs.key[order[b:e]])))
+            if len(again):          # answered already: any task may pass them on, a negative shard spreads them
+                joint = _joint(runs.anchor[again], runs.key[again])
+                out.append((-1 - int(joint[0] >> np.uint64(2)), ids[runs.doc[again]].astype("<i8").tobytes(), b"", b"",
+                            joint.astype("<u8").tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] + [pa.binary()] * 4)],
                 ["shard", "ids", "counts", "anchors", "keys"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(parts):
-            columns = _resolve(parts, hot)
+        def out(columns):
             for at in range(0, len(columns[0]), 500_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[at:at + 500_000]) for c in columns],
                                                  ["run_id", "joint", "kind"])
 
-        shard, parts = None, []
+        def known(ids, joints):
+            return out([ids, joints.view(np.int64), np.zeros(len(ids), np.int32)])
+
+        shard, parts, held, most = None, [], 0, FOLD_RUNS
         for batch in batches:
             for row in zip(*(batch.column(c) for c in ("shard", "ids", "counts", "anchors", "keys"))):
                 number, ids, counts, anchors, keys = (x.as_py() for x in row)
+                if number < 0:
+                    yield from known(np.frombuffer(ids, "<i8"), np.frombuffer(keys, "<u8"))
+                    continue
                 if number != shard and parts:
-                    yield from out(parts)
-                    parts = []
+                    yield from out(_resolve(parts, hot))
+                    parts, held, most = [], 0, FOLD_RUNS
                 shard = number
                 parts.append((np.repeat(np.frombuffer(ids, "<i8"), np.frombuffer(counts, "<i4")),
                               _unpack48(anchors), _unpack48(keys)))
+                held += len(parts[-1][0])
+                if held >= most:            # only distinct runs are held on
+                    ids, anchors, keys = (np.concatenate(x) for x in zip(*parts))
+                    first, again = _firsts(ids, anchors, keys)
+                    yield from known(ids[again], _joint(anchors[again], keys[again]))
+                    parts, held = [(ids[first], anchors[first], keys[first])], len(first)
+                    most = max(FOLD_RUNS, 2 * held)
         if parts:
-            yield from out(parts)
+            yield from out(_resolve(parts, hot))
 
     asked = rows.mapInArrow(ask, "shard long, ids binary, counts binary, anchors binary, keys binary")
     shards = asked.repartition("shard").sortWithinPartitions("shard").mapInArrow(

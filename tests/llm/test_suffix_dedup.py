@@ -62,6 +62,26 @@ def test_against_brute_force(spark, monkeypatch, length, gram, hot, shard):
     assert digest(got) == brute(rows, length)
 
 
+@pytest.mark.parametrize("fold", [2_000_000, 50])
+def test_a_frequent_line_does_not_gather_in_its_shard(spark, monkeypatch, fold):
+    monkeypatch.setattr(suffix_dedup, "FOLD_RUNS", fold)
+    resolve = suffix_dedup._resolve
+
+    def watched(parts, hot):
+        anchors, keys = (np.concatenate(x) for x in list(zip(*parts))[1:])
+        assert np.unique(np.stack([anchors, keys]), axis=1, return_counts=True)[1].max() <= 8    # one a slice
+        return resolve(parts, hot)
+
+    monkeypatch.setattr(suffix_dedup, "_resolve", watched)
+    rnd = random.Random(5)
+    rule = "-" * 40 + " all rights reserved, see the licence " + "-" * 40
+    rows = [(i, "%032x\n" % rnd.getrandbits(128) + rule * (i % 3) + "\n%032x" % rnd.getrandbits(128))
+            for i in range(900)] + [(None, rule), (None, rule), (4, rule + "4")]
+    rnd.shuffle(rows)
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(4)
+    assert digest(suffix_dedup.repeated_spans(table, 50, 20, 100_000).collect()) == brute(rows)
+
+
 def test_shards_are_merged_by_binary_search():
     rnd = np.random.default_rng(2)
     ids = np.arange(60)
