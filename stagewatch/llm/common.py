@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -69,3 +69,27 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
             end = min(max(end, begin + 1), batch.num_rows)
             yield batch.slice(begin, end - begin)
             begin = end
+
+
+def numbered(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """``rows`` with ``group_no``, ``group_size`` and ``place`` (from 0, by ``order``, nulls first) within ``group``.
+
+    ``group_no`` ascends with ``group`` (a null group comes first).  Rows are
+    sorted by range, so a group of any size is spread over tasks; what is
+    summed up per group is one row per partition that holds some of it.
+    Rows equal in all of ``order`` follow each other in any order.
+    """
+    spread = rows.withColumn("row_no", F.monotonically_increasing_id())       # parts rows that are all alike
+    by = [F.col(c).asc_nulls_first() for c in (group, *order, "row_no")]
+    placed = cut(spread.repartitionByRange(*by).sortWithinPartitions(*by)
+                 .withColumn("row_no", F.monotonically_increasing_id()), name)
+    part = F.shiftright("row_no", 33)
+    own = Window.partitionBy("in_group")
+    parts = placed.groupBy(part.alias("part"), F.col(group).alias("in_group")).agg(
+        F.min("row_no").alias("first_no"), F.count(F.lit(1)).alias("n"))
+    parts = parts.select("part", "in_group", "first_no", F.min("first_no").over(own).alias("group_no"),
+                         F.sum("n").over(own).alias("group_size"),
+                         (F.sum("n").over(own.orderBy("part")) - F.col("n")).alias("before"))
+    joined = placed.join(parts, (part == F.col("part")) & F.col(group).eqNullSafe(F.col("in_group")))
+    return joined.withColumn("place", F.col("before") + F.col("row_no") - F.col("first_no")).drop(
+        "row_no", "part", "in_group", "first_no", "before")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, packing, quality, secret_scan, simhash_dedup, suffix_dedup, token_counts, token_store
+from . import chat_format, decontaminate, exact_dedup, merkle, packing, quality, secret_scan, simhash_dedup, suffix_dedup, token_counts, token_store
 from .common import scratch_path
 
 
@@ -104,8 +104,19 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     shingle=5, threshold=0.8)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    whole = F.replace("text", F.lit("\n"), F.lit(""))
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    tampered = F.when(chosen, merkle.leaf_digest([*map(F.col, fields[:-1]), whole]))
+    found = merkle.merkle_manifest(table(spark, sf_dir, "documents"), fields, keep={"tampered": tampered})
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof"))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+                        folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {q.__name__: q for q in (op1_chat_format, op2_packing, op3_token_counts, op4_quality, op5_suffix_dedup, op6_secret_scan, op7_token_store,
-                                 op8_exact_dedup, op9_simhash_dedup, op10_decontaminate)}
+                                 op8_exact_dedup, op9_simhash_dedup, op10_decontaminate, op13_merkle_manifest)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": r"""
