@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, merkle, packing, quality, secret_scan, simhash_dedup, suffix_dedup, token_counts, token_store
+from . import chat_format, decontaminate, exact_dedup, line_dedup, merkle, packing, quality, secret_scan, simhash_dedup, suffix_dedup, token_counts, token_store
 from .common import scratch_path
 
 
@@ -104,6 +104,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     shingle=5, threshold=0.8)
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.drop_lines(table(spark, sf_dir, "documents"), shortest=40, least=5)
+    return found.select("doc_id", "n_lines", "n_dropped",
+                        F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
     whole = F.replace("text", F.lit("\n"), F.lit(""))
@@ -116,7 +122,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (op1_chat_format, op2_packing, op3_token_counts, op4_quality, op5_suffix_dedup, op6_secret_scan, op7_token_store,
-                                 op8_exact_dedup, op9_simhash_dedup, op10_decontaminate, op13_merkle_manifest)}
+                                 op8_exact_dedup, op9_simhash_dedup, op10_decontaminate, op12_line_dedup, op13_merkle_manifest)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": r"""
@@ -145,4 +151,83 @@ ORACLE_SQL: dict[str, str] = {
                    count(*) OVER (PARTITION BY text_sha256) AS group_size
             FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id NULLS LAST))
         SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM r""",
+    "op12_line_dedup": r"""
+        WITH lines AS (
+            SELECT d.doc_id, l.line, l.place,
+                   translate(trim(l.line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM documents d, unnest(string_split(coalesce(d.text, ''), chr(10))) WITH ORDINALITY AS l(line, place)),
+        often AS (
+            SELECT key, max(doc_id) AS owner FROM lines
+            WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+        marked AS (
+            SELECT lines.*, coalesce(owner <> doc_id, false) AS dropped FROM lines LEFT JOIN often USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT dropped), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id""",
+    "op13_merkle_manifest": r"""
+        WITH RECURSIVE bits(b, k, v) AS (           -- the table of CRC-32
+            SELECT i, 0, i FROM range(256) t(i)
+            UNION ALL SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END
+            FROM bits WHERE k < 8),
+        crc AS (SELECT list(v ORDER BY b) AS t FROM bits WHERE k = 8),
+        docs AS (
+            SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT,
+                       list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                       lambda r, c: xor(r >> 8, t[(xor(r, c) & 255) + 1])), 4294967295::BIGINT) % 2 = 0 AS changed
+            FROM documents, crc),
+        fields AS (
+            SELECT doc_id, source, changed, text,
+                   coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-')
+                   || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+                   || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+                   CASE WHEN changed THEN replace(text, chr(10), '') ELSE text END AS other
+            FROM docs),
+        leaves AS (
+            SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                   sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS tampered FROM fields),
+        placed AS (
+            SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+                   count(*) OVER (PARTITION BY source) AS size,
+                   dense_rank() OVER (ORDER BY encode(source) NULLS FIRST) AS tree FROM leaves),
+        nodes(tree, level, place, size, digest) AS (
+            SELECT tree, 0, place, size, leaf FROM placed
+            UNION ALL
+            SELECT tree, level + 1, place // 3, (size + 2) // 3, sha256(string_agg(digest, '' ORDER BY place))
+            FROM nodes WHERE size > 1 GROUP BY tree, level, place // 3, size),
+        subroots AS (SELECT tree, digest FROM nodes WHERE size = 1),
+        tops(level, place, size, digest) AS (
+            SELECT 0, tree - 1, (SELECT count(*) FROM subroots), digest FROM subroots
+            UNION ALL
+            SELECT level + 1, place // 3, (size + 2) // 3, sha256(string_agg(digest, '' ORDER BY place))
+            FROM tops WHERE size > 1 GROUP BY level, place // 3, size),
+        steps AS (                                   -- each node's siblings on either side
+            SELECT n.tree, n.level, n.place,
+                   coalesce(string_agg(s.digest, '' ORDER BY s.place) FILTER (s.place < n.place), '') || '.'
+                   || coalesce(string_agg(s.digest, '' ORDER BY s.place) FILTER (s.place > n.place), '') AS step
+            FROM nodes n JOIN nodes s ON s.tree = n.tree AND s.level = n.level AND s.place // 3 = n.place // 3
+            WHERE n.size > 1 GROUP BY ALL),
+        top_steps AS (
+            SELECT n.level, n.place,
+                   coalesce(string_agg(s.digest, '' ORDER BY s.place) FILTER (s.place < n.place), '') || '.'
+                   || coalesce(string_agg(s.digest, '' ORDER BY s.place) FILTER (s.place > n.place), '') AS step
+            FROM tops n JOIN tops s ON s.level = n.level AND s.place // 3 = n.place // 3
+            WHERE n.size > 1 GROUP BY ALL),
+        proofs AS (
+            SELECT p.tree, p.place, list(s.step ORDER BY s.level) AS proof
+            FROM (SELECT tree, place FROM placed) p
+            JOIN steps s ON s.tree = p.tree AND s.place = p.place // (3 ** s.level)::BIGINT GROUP BY ALL),
+        top_proofs AS (
+            SELECT p.tree, list(s.step ORDER BY s.level) AS proof FROM subroots p
+            JOIN top_steps s ON s.place = (p.tree - 1) // (3 ** s.level)::BIGINT GROUP BY ALL),
+        whole AS (
+            SELECT d.doc_id, d.leaf, d.tampered, r.digest AS subroot, (SELECT digest FROM tops WHERE size = 1) AS root,
+                   list_concat(coalesce(p.proof, []), coalesce(t.proof, [])) AS proof
+            FROM placed d JOIN subroots r ON r.tree = d.tree
+            LEFT JOIN proofs p ON p.tree = d.tree AND p.place = d.place LEFT JOIN top_proofs t ON t.tree = d.tree)
+        SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(proof, ''), '.', '')) AS proof_sha256,
+               list_reduce(list_prepend(tampered, proof),
+                           lambda d, s: sha256(split_part(s, '.', 1) || d || split_part(s, '.', 2))) AS folded_root,
+               folded_root = root AS verified
+        FROM whole""",
 }
