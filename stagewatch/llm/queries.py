@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, line_dedup, merkle, packing, quality, secret_scan, simhash_dedup, suffix_dedup, token_counts, token_store
+from . import chat_format, conversation_repair, decontaminate, exact_dedup, line_dedup, merkle, packing, quality, secret_scan, simhash_dedup, suffix_dedup, token_counts, token_store
 from .common import scratch_path
 
 
@@ -104,6 +104,29 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     shingle=5, threshold=0.8)
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """``turns`` with the contract's faults: some dropped, emptied, cut, repeated or given another role."""
+    space = F.lit(" ")
+    named = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"),
+                     F.coalesce(F.col("turn").cast("string"), space))
+    fault, text = F.crc32(named) % 20, F.coalesce("text", space)
+    return turns.select(
+        "conv_id", "turn", F.when(fault == 4, "user").otherwise(F.coalesce("role", space)).alias("role"),
+        F.when(fault == 1, "").when(fault == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.array_repeat(F.lit(0), F.when(fault == 0, 0).when(fault == 3, 2).otherwise(1))).alias("copy")).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found, _ = conversation_repair.repair_conversations(damaged(turns))
+    every = turns.select(F.col("conv_id").alias("every_id")).distinct()
+    out = every.join(found, F.col("every_id").eqNullSafe(F.col("conv_id")), "left")
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return out.select(F.col("every_id").alias("conv_id"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers],
+                      F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.drop_lines(table(spark, sf_dir, "documents"), shortest=40, least=5)
     return found.select("doc_id", "n_lines", "n_dropped",
@@ -122,7 +145,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (op1_chat_format, op2_packing, op3_token_counts, op4_quality, op5_suffix_dedup, op6_secret_scan, op7_token_store,
-                                 op8_exact_dedup, op9_simhash_dedup, op10_decontaminate, op12_line_dedup, op13_merkle_manifest)}
+                                 op8_exact_dedup, op9_simhash_dedup, op10_decontaminate, op11_conversation_repair, op12_line_dedup, op13_merkle_manifest)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": r"""
