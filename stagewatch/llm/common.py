@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,6 +12,19 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 SLICE_BYTES = 8_000_000
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """The one object that this Python worker keeps from task to task; asking for another name lets it go.
+
+    Workers are used again by later stages: without this they would hold the
+    caches of every operator that ever ran in them.
+    """
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

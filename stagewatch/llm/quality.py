@@ -23,15 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, quoted, slices
-from .tokens import LONGEST_KEPT, expand, split_spaces
+from .common import documents, kept, quoted, slices
+from .tokens import PART, cut_chunks, gather, split_spaces, strings, sums
 
-CHUNK_LIMIT = 250_000
 BUCKETS, DIMENSIONS, NONZERO, REACH = 1 << 14, 32, 6, 2
 FEATURES = 2 * DIMENSIONS + 2
-SLICE = 4_000_000
+#: Bytes of text whose words are listed, and words whose vectors are held, at a time.
+SLICE, BLOCK = 4_000_000, 1 << 16
 _WORDS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
-_CHUNKS: dict[str, bytes] = {}
+_PARTED = re.compile(rf"{PART}|[^\W\d_]+|\d+|[^\w\s{PART}]+|_+")
 
 
 def index_vectors() -> np.ndarray:
@@ -43,21 +43,25 @@ def index_vectors() -> np.ndarray:
     return out
 
 
-def _entries(chunk: str) -> bytes:
-    found = _CHUNKS.get(chunk)
-    if found is None:
-        found = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in _WORDS.findall(chunk)],
-                         "<u4").tobytes()
-        if len(_CHUNKS) < CHUNK_LIMIT and len(chunk) <= LONGEST_KEPT:
-            _CHUNKS[chunk] = found
-    return found
+def _entry(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8")) % BUCKETS
 
 
 def word_entries(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The entries of all words of the texts, and each text's number of words."""
     words, bounds = split_spaces(texts)
     coded = words.dictionary_encode()
-    return expand(list(map(_entries, coded.dictionary.to_pylist())), coded.indices.to_numpy(), bounds)
+    chunks, index = strings(coded.dictionary), coded.indices.to_numpy()
+    joined = PART.join([*chunks, ""])
+    if joined.count(PART) == len(chunks):
+        pieces, places, begins = cut_chunks(joined, _PARTED)
+        entries = np.fromiter(map(_entry, pieces), np.int32, len(pieces))[places]
+    else:                                                       # a text holds the parting sign itself
+        found = [_WORDS.findall(c) for c in chunks]
+        entries = np.array([_entry(w) for f in found for w in f], np.int32)
+        begins = np.concatenate([[0], np.cumsum([len(f) for f in found], dtype=np.int64)])
+    lengths = np.diff(begins)
+    return gather(entries, lengths, index), sums(lengths[index], bounds)
 
 
 def word_vectors(rows: DataFrame) -> np.ndarray:
@@ -65,25 +69,27 @@ def word_vectors(rows: DataFrame) -> np.ndarray:
     names = [f"v{d}" for d in range(DIMENSIONS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = index_vectors()
-        sums = np.zeros((BUCKETS, DIMENSIONS), np.int64)
+        index = kept("word vectors", index_vectors)
+        total = np.zeros((BUCKETS, DIMENSIONS), np.int64)
         for batch in slices(batches, limit=SLICE):
             entries, counts = word_entries(batch.column("text"))
-            n = len(entries)
-            if not n:
-                continue
-            own = index[entries]
-            around = own.copy()
-            text = np.repeat(np.arange(len(counts)), counts)
-            for step in range(1, REACH + 1):
-                together = (text[step:] == text[:-step])[:, None]
-                around[step:] += own[:-step] * together
-                around[:-step] += own[step:] * together
-            order = np.argsort(entries, kind="stable")
-            met, begins = np.unique(entries[order], return_index=True)
-            sums[met] += np.add.reduceat(around[order], begins, axis=0, dtype=np.int32)
-        met = np.flatnonzero(sums.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(met), *(pa.array(sums[met, d]) for d in range(DIMENSIONS))],
+            text = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+            for begin in range(0, len(entries), BLOCK):
+                # a block's words with their neighbours on both sides
+                low, high = max(0, begin - REACH), min(len(entries), begin + BLOCK + REACH)
+                own, of = index[entries[low:high]], text[low:high]
+                around = own.copy()
+                for step in range(1, REACH + 1):
+                    together = (of[step:] == of[:-step])[:, None]
+                    around[step:] += own[:-step] * together
+                    around[:-step] += own[step:] * together
+                inside = slice(begin - low, min(begin + BLOCK, len(entries)) - low)
+                words = entries[low:high][inside]
+                order = np.argsort(words, kind="stable")
+                met, begins = np.unique(words[order], return_index=True)
+                total[met] += np.add.reduceat(around[inside][order], begins, axis=0, dtype=np.int32)
+        met = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(met), *(pa.array(total[met, d]) for d in range(DIMENSIONS))],
                                          ["entry", *names])
 
     summed = (rows.select("text").mapInArrow(run, "entry long, " + ", ".join(f"{n} long" for n in names))
@@ -95,23 +101,49 @@ def word_vectors(rows: DataFrame) -> np.ndarray:
     return (vectors / np.where(norms > 0, norms, 1)).astype(np.float32)
 
 
+def _word_blocks(counts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of words: whole texts up to ``BLOCK`` words together, a longer text in pieces of its own.
+
+    A text's sums are then added up in the same order whatever stands beside it.
+    """
+    ends = np.cumsum(counts)
+    text, at = 0, 0
+    while text < len(counts):
+        last = int(np.searchsorted(ends, at + BLOCK, "right"))
+        if last > text:
+            yield at, int(ends[last - 1])
+            text, at = last, int(ends[last - 1])
+        else:
+            for begin in range(at, int(ends[text]), BLOCK):
+                yield begin, min(begin + BLOCK, int(ends[text]))
+            text, at = text + 1, int(ends[text])
+
+
 def features(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
     """Of each text: mean and spread of its word vectors, mean square step from word to word, log of its words."""
     entries, counts = word_entries(texts)
+    text = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    total = np.zeros((len(counts), 2 * DIMENSIONS + 1))
+    for begin, end in _word_blocks(counts):
+        if begin == end:
+            continue
+        low = max(begin - 1, 0)                                   # the step to a block's first word
+        values, of = vectors[entries[low:end]], text[low:end]
+        step = values[1:] - values[:-1]
+        np.multiply(step, step, out=step)
+        steps = np.zeros(end - low, np.float32)
+        steps[1:] = step.sum(axis=1) * (of[1:] == of[:-1])
+        values, of, steps = values[begin - low:], of[begin - low:], steps[begin - low:]
+        met, begins = np.unique(of, return_index=True)
+        total[met, :DIMENSIONS] += np.add.reduceat(values, begins, axis=0)
+        total[met, -1] += np.add.reduceat(steps, begins)
+        np.multiply(values, values, out=values)
+        total[met, DIMENSIONS:-1] += np.add.reduceat(values, begins, axis=0)
+    n = np.maximum(counts, 1)[:, None]
     out = np.zeros((len(counts), FEATURES), np.float32)
-    some = np.flatnonzero(counts)
-    if len(some):
-        begins = (np.cumsum(counts) - counts)[some]
-        values = vectors[entries]
-        n = counts[some][:, None].astype(np.float32)
-        mean = np.add.reduceat(values, begins, axis=0) / n
-        step = np.zeros(len(entries), np.float32)
-        step[1:] = ((values[1:] - values[:-1]) ** 2).sum(axis=1)
-        step[begins] = 0
-        values *= values
-        out[some, :DIMENSIONS] = mean
-        out[some, DIMENSIONS:-2] = np.sqrt(np.maximum(np.add.reduceat(values, begins, axis=0) / n - mean**2, 0))
-        out[some, -2] = np.add.reduceat(step, begins) / np.maximum(n[:, 0] - 1, 1)
+    out[:, :DIMENSIONS] = total[:, :DIMENSIONS] / n
+    out[:, DIMENSIONS:-2] = np.sqrt(np.maximum(total[:, DIMENSIONS:-1] / n - out[:, :DIMENSIONS].astype(float) ** 2, 0))
+    out[:, -2] = total[:, -1] / np.maximum(n[:, 0] - 1, 1)
     out[:, -1] = np.log1p(counts)
     return out
 
@@ -177,6 +209,7 @@ class Classifier:
 
     def score(self, texts: pa.Array) -> np.ndarray:
         """Scores of a batch, a few megabytes of text at a time; null texts count as empty."""
+        kept("scores", lambda: None)                              # lets other operators' caches go
         batch = pa.RecordBatch.from_arrays([texts.cast(pa.string()).fill_null("")], ["text"])
         return np.concatenate([np.empty(0), *(self.network.score(features(part.column("text"), self.vectors)
                                                                  .astype(np.float64))

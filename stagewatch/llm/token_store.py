@@ -29,13 +29,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, row_gr
 
     Columns: ``doc_id, n_tokens, start_in_file, ids``.  A null text counts as
     empty (its end id alone is written); null ids come last; rows with equal
-    ids follow each other in the order of their text's checksum; an empty
-    table gives files without rows; other columns are ignored.
+    ids follow each other in the order in which they are read; an empty table
+    gives files without rows; other columns are ignored.
     """
     rows = documents(docs, id_col, text_col)
-    order = [F.col("doc_id").asc_nulls_last(), F.crc32(F.col("text")).asc()]
-    # texts are dealt by range before tokenising, so that the sampling of the ranges tokenises nothing
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the number of the row parts rows with equal ids; the ranges are found without reading a text
+    order = [F.col("doc_id").asc_nulls_last(), F.col("row_no").asc()]
+    ranged = (rows.withColumn("row_no", F.monotonically_increasing_id()).repartitionByRange(*order)
+              .sortWithinPartitions(*order).drop("row_no"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, at = encoder(tokenizer), 0
@@ -94,7 +95,7 @@ def checksums(tokens: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             lists = batch.column("ids")
-            raw = lists.values.to_numpy().astype("<u4").tobytes()
+            raw = memoryview(lists.values.to_numpy().astype("<i4", copy=False)).cast("B")
             bounds = lists.offsets.to_numpy().astype(np.int64) * 4
             crc = [zlib.crc32(raw[b:e]) for b, e in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             yield pa.RecordBatch.from_arrays(

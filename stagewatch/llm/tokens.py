@@ -1,9 +1,10 @@
 """Exact token ids of the tokenizers library, computed once per distinct chunk of a batch.
 
-A text is split at single spaces by Arrow, the chunks are dictionary-encoded,
-and only chunks not met before go through the library's model.  This gives the
-library's own ids because a space is always a token boundary for the two
-pre-tokenizers handled here:
+A text is split at single spaces by Arrow and the chunks are dictionary-encoded;
+one pattern cuts all distinct chunks into pre-tokens, and only pre-tokens not
+met before go through the library's model.  This gives the library's own ids
+because a space is always a token boundary for the two pre-tokenizers handled
+here:
 
 * byte-level BPE with the usual contraction/letter/number/other pattern: a
   single space belongs to the chunk after it;
@@ -12,7 +13,8 @@ pre-tokenizers handled here:
 Texts with other characters than line feeds, printable ASCII and Latin
 letters, with runs of white space that cross a chunk, or with ``<|`` (special
 strings) go to the library whole; so does every text of any other tokenizer.
-The caches stop growing at a fixed number of entries.
+The cache stops growing at a fixed number of entries, and a worker keeps the
+cache of one tokenizer only.
 """
 
 from __future__ import annotations
@@ -24,24 +26,24 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import kept
+
 KNOWN_LIMIT, LONGEST_KEPT = 400_000, 64
+#: Parts chunks that are searched together; texts that hold it go to the library whole.
+PART = "\x00"
 
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 _NUMBER = "0-9²³¹¼-¾"
-_BYTE_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+"
-                          r"|\s+(?!\S)|\s+")
-_WORD_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
+_BYTE_PIECES = re.compile(rf"{PART}|'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+"
+                          rf"| ?[^\s{_LETTER}{_NUMBER}{PART}]+|\s+(?![^\s{PART}])|\s+")
+_WORD_PIECES = re.compile(rf"{PART}|'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}{PART}]+")
 #: U+0130 lower-cases to two characters and so goes to the library.
 _WHOLE = r"\s \s|\s $|<\||[^\n -~\x{a1}-\x{12f}\x{131}-\x{17f}]"
 
-_ENCODERS: dict[str, "Encoder"] = {}
-
 
 def encoder(path: str) -> "Encoder":
     """The encoder of this Python worker for a tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return kept(f"encoder {path}", lambda: Encoder(path))
 
 
 def _byte_alphabet() -> list[str]:
@@ -58,16 +60,33 @@ def split_spaces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return lists.values.slice(bounds[0], bounds[-1] - bounds[0]), bounds - bounds[0]
 
 
-def expand(blobs: list[bytes], index: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers (little-endian, 32 bits) of the blobs at ``index``, and how many each text has."""
-    sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
-    table = np.frombuffer(b"".join(blobs), "<u4")
+def gather(table: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """The entries at ``index``, one after the other; ``table`` holds entries of ``sizes`` numbers each."""
     begins = np.cumsum(sizes) - sizes
     taken = sizes[index]
     ends = np.cumsum(taken)
-    at = np.repeat(begins[index] - (ends - taken), taken) + np.arange(ends[-1] if len(ends) else 0)
-    before = np.concatenate([[0], ends])
-    return table[at], before[bounds[1:]] - before[bounds[:-1]]
+    at = np.repeat(begins[index] - (ends - taken), taken)
+    at += np.arange(len(at))
+    return table[at]
+
+
+def sums(sizes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The sum of ``sizes`` between each two neighbours of ``bounds``."""
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    return before[bounds[1:]] - before[bounds[:-1]]
+
+
+def strings(texts: pa.Array) -> list[str]:
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
+def cut_chunks(joined: str, pieces_of: re.Pattern) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Of chunks that each end with ``PART``: distinct pieces, the chunks' pieces in order, where each chunk's begin."""
+    coded = pa.array(pieces_of.findall(joined), pa.string()).dictionary_encode()
+    distinct, index = strings(coded.dictionary), coded.indices.to_numpy()
+    part = distinct.index(PART) if distinct else -1
+    ends = np.flatnonzero(index == part)
+    return distinct, index[index != part], np.concatenate([[0], ends - np.arange(len(ends))])
 
 
 class Encoder:
@@ -83,7 +102,7 @@ class Encoder:
         self.model = self.library.model
         self.kind = self._kind(spec)
         self.pieces_of = _BYTE_PIECES if self.kind == "byte" else _WORD_PIECES
-        self.alphabet = _byte_alphabet()
+        self.alphabet = dict(enumerate(_byte_alphabet()))
         self.id_bytes = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
         self.known: dict[str, bytes] = {}
 
@@ -105,8 +124,10 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         """Ids of one pre-token."""
-        shown = (piece.replace(" ", self.alphabet[32]) if piece.isascii() and piece.lstrip(" ").isalnum()
-                 else "".join([self.alphabet[b] for b in piece.encode("utf-8")]))
+        if piece.isascii() and piece[-1:] > " ":                    # at most one space, at the front
+            shown = self.alphabet[32] + piece[1:] if piece[0] == " " else piece
+        else:
+            shown = piece.encode("utf-8").decode("latin-1").translate(self.alphabet)
         return b"".join([self.id_bytes[t.id] for t in self.model.tokenize(shown)])
 
     def _learn(self, text: str, found: bytes) -> bytes:
@@ -126,10 +147,6 @@ class Encoder:
         parts = [self.known.get(p) or self._learn(p, self._piece(p)) for p in self.pieces_of.findall(text)]
         return self._learn(chunk, b"".join(parts))
 
-    def all_ids(self, chunks: list[str]) -> list[bytes]:
-        found = list(map(self.known.get, chunks))
-        return [self.chunk_ids(c) if f is None else f for c, f in zip(chunks, found)]
-
     def goes_whole(self, texts: pa.Array) -> pa.Array:
         """Which texts the library must see whole."""
         return pc.match_substring_regex(texts, "" if self.kind == "whole" else _WHOLE)
@@ -158,15 +175,23 @@ class Encoder:
         """Distinct chunks of texts that need not go whole; each word's chunk; where each text's words begin."""
         words, bounds = split_spaces(texts)
         coded = words.dictionary_encode()
-        index, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        index, distinct = coded.indices.to_numpy(), strings(coded.dictionary)
         if self.kind == "byte":       # all but the first word of a text have a space before them
             first = words.take(pa.array(bounds[:-1])).dictionary_encode()
             distinct = [" " + w for w in distinct]
             index = index.copy()
             index[bounds[:-1]] = first.indices.to_numpy() + len(distinct)
-            distinct += first.dictionary.to_pylist()
+            distinct += strings(first.dictionary)
         return distinct, index, bounds
 
     def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        distinct, index, bounds = self.chunks_of(texts)
-        return expand(self.all_ids(distinct), index, bounds)
+        chunks, index, bounds = self.chunks_of(texts)
+        joined = PART.join([*chunks, ""])
+        pieces, places, begins = cut_chunks(joined if self.kind == "byte" else joined.lower(), self.pieces_of)
+        blobs = list(map(self.known.get, pieces))
+        for i in [i for i, blob in enumerate(blobs) if blob is None]:
+            blobs[i] = self._learn(pieces[i], b"" if pieces[i] == PART else self._piece(pieces[i]))
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        ids = gather(np.frombuffer(b"".join(blobs), "<u4"), sizes, places)
+        lengths = sums(sizes[places], begins)
+        return gather(ids, lengths, index), sums(lengths[index], bounds)
