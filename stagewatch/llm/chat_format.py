@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, quoted
 
 # The template's control strings.  A conversation is BEGIN, then for each turn
 # ROLE_OPEN role ROLE_CLOSE text END.
@@ -42,11 +42,16 @@ def chain_replies(turns: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Linear conversations as reply trees: ``turns`` with ``node_id`` and ``parent_id`` (the turn before).
 
     Turns follow ``order`` within ``key``; ties follow each other, repeated
-    rows are turns of their own, a null key is a key.  Sorted by range, so a
-    conversation of any length is spread over tasks.
+    rows are turns of their own, a null key is a key; columns of ``turns`` that
+    are called ``node_id`` or ``parent_id`` give way to the new ones.  Sorted by
+    range, so a conversation of any length is spread over tasks.
     """
-    sort = [F.col(key), *map(F.col, order)]
-    rows = cut(turns.repartitionByRange(*sort).sortWithinPartitions(*sort)
+    names = [c for c in turns.columns if c not in ("node_id", "parent_id")]
+    # the row as one struct: its columns may have any names
+    packed = turns.select(F.struct(*[quoted(c) for c in names]).alias("row"), quoted(key).alias("key"),
+                          *[quoted(c).alias(f"by{i}") for i, c in enumerate(order)])
+    sort = [F.col("key"), *[F.col(f"by{i}") for i in range(len(order))]]
+    rows = cut(packed.repartitionByRange(*sort).sortWithinPartitions(*sort).select("row", "key")
                .withColumn("node_id", F.monotonically_increasing_id()), "turns")
     # one row per partition: the turn before a partition's first is the last of the partition before
     edges = rows.groupBy(F.shiftright("node_id", 33).alias("p")).agg(F.min("node_id").alias("first"),
@@ -55,9 +60,9 @@ def chain_replies(turns: DataFrame, key: str, order: list[str]) -> DataFrame:
     placed = rows.join(F.broadcast(edges), F.col("node_id") == F.col("first"), "left").withColumn(
         "guess", F.when(F.col("first").isNotNull(), F.col("before")).otherwise(F.col("node_id") - 1)).drop(
         "first", "before")
-    other = rows.select(F.col("node_id").alias("parent_id"), F.col(key).alias("other_key"))
-    return placed.join(other, (F.col("guess") == F.col("parent_id")) & F.col(key).eqNullSafe(F.col("other_key")),
-                       "left").drop("guess", "other_key")
+    other = rows.select(F.col("node_id").alias("parent_id"), F.col("key").alias("other_key"))
+    return placed.join(other, (F.col("guess") == F.col("parent_id")) & F.col("key").eqNullSafe(F.col("other_key")),
+                       "left").select("row.*", "node_id", "parent_id")
 
 
 def _same(left: str, right: str) -> Column:

@@ -11,7 +11,8 @@ least the threshold.  All steps are DataFrame operations.
 2. Each window gets a SimHash; the items' fingerprints are indexed by their
    eight byte blocks with every value within ``distance // 8`` bits, so that
    every item within ``distance`` bits meets the window in some block.
-3. Pairs within the distance are verified by exact similarity.
+3. Pairs within the distance are verified by exact similarity, and so are
+   the pairs of step 1 that lie further apart: no leak is lost to a radius.
 """
 
 from __future__ import annotations
@@ -128,9 +129,10 @@ def _leaking_windows(docs: DataFrame, items: DataFrame, shingle: int = 5, thresh
                          & F.col("item_id").eqNullSafe(F.col("i2")) & (F.col("rank") + F.col("need") - 1 == F.col("r2")),
                          "left")
     clipped = F.greatest(F.lit(0), F.col("n_words") - F.col("item_words"))
-    starts = (enough.where((F.col("p2") - F.col("pos") < window_shingles) | (F.col("pos") > clipped))
-              .select("doc_id", "text_key", F.least("pos", clipped).alias("start"), "item_words", "k").distinct())
-    starts = cut(starts, "windows")
+    known = (enough.where((F.col("p2") - F.col("pos") < window_shingles) | (F.col("pos") > clipped))
+             .select("doc_id", "text_key", F.least("pos", clipped).alias("start"), "item_words", "k", "item_id").distinct())
+    known = cut(known, "windows")
+    starts = known.drop("item_id").distinct()
 
     # 3. their words, shingles and fingerprints
     some = _small(starts.select(F.col("doc_id").alias("d2"), F.col("text_key").alias("t2")).distinct(), 64)
@@ -143,7 +145,7 @@ def _leaking_windows(docs: DataFrame, items: DataFrame, shingle: int = 5, thresh
                .withColumn("s", _shingles("h", F.col("k"))).drop("h"))
     windows = cut(windows, "window-shingles")
     key = ["doc_id", "text_key", "start", "item_words", "k", "window"]
-    marked = windows.select(*key, F.explode("s").alias("sh")).groupBy(*key).agg(*_fingerprint(F.col("sh")))
+    marked = cut(windows.select(*key, F.explode("s").alias("sh")).groupBy(*key).agg(*_fingerprint(F.col("sh"))), "marked")
     item_marked = item.select("item_id", "item_words", F.explode("s").alias("sh")).groupBy(
         "item_id", "item_words").agg(*_fingerprint(F.col("sh")))
 
@@ -156,8 +158,16 @@ def _leaking_windows(docs: DataFrame, items: DataFrame, shingle: int = 5, thresh
     near = (marked.select("*", F.explode(_blocks()).alias("b")).withColumn("block", F.col("b.block"))
             .withColumn("value", F.col("b.value")).join(_small(index, 128), ["item_words", "block", "value"]))
     differ = sum((F.bit_count(F.col(f"b{b}").bitwiseXOR(F.col(f"i{b}"))) for b in range(8)), F.lit(0))
-    pairs = cut(near.select(*key, "item_id", differ.cast("int").alias("distance"))
-                .where(F.col("distance") <= distance).distinct(), "near-windows")
+    near = near.select(*key, "item_id", differ.cast("int").alias("distance")).where(F.col("distance") <= distance).distinct()
+    # a window may reach the threshold from further away (repeated shingles weigh heavily in a fingerprint):
+    # where step 2 knows the item already, the pair is verified whatever its distance
+    sought = known.select(F.xxhash64("doc_id", "text_key", "start", "item_words").alias("known_window"),
+                          F.col("item_id").alias("known_item")).distinct()
+    own = item_marked.select("item_id", *[F.col(f"b{b}").alias(f"i{b}") for b in range(8)])
+    far = (marked.join(sought, F.col("window") == F.col("known_window"))
+           .join(_small(own, 96), F.col("item_id").eqNullSafe(F.col("known_item")))
+           .select(*key, "item_id", differ.cast("int").alias("distance")).where(F.col("distance") > distance))
+    pairs = cut(near.unionByName(far), "near-windows")
 
     # 5. exact similarity
     counts = windows.select("window", "doc_id", "text_key", "start", "item_words",
@@ -195,5 +205,8 @@ def drop_leaks(docs: DataFrame, items: DataFrame, whole_ids: bool = True, **opti
     leaked = cut(_leaking_windows(docs, items, **options).select(
         F.col("doc_id").alias("leaked_id"), key(F.col("doc_id"), F.col("text_key")).alias("leaked_key")).distinct(),
         "leaked")
-    return docs.join(_small(leaked, 32), row_id.eqNullSafe(F.col("leaked_id"))
-                     & key(row_id, _text_key(text)).eqNullSafe(F.col("leaked_key")), "left_anti")
+    # the row as one struct: its columns may have any names
+    rows = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), row_id.alias("row_id"),
+                       key(row_id, _text_key(text)).alias("row_key"))
+    return rows.join(_small(leaked, 32), F.col("row_id").eqNullSafe(F.col("leaked_id"))
+                     & F.col("row_key").eqNullSafe(F.col("leaked_key")), "left_anti").select("row.*")

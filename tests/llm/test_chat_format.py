@@ -105,3 +105,17 @@ def test_query(spark):
     minus7 = dict(zip(names, rows[-7]))
     assert minus7["loss_chars"] == len(text) and minus7["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()
     assert minus7["turns_sha256"] == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
+
+
+def test_chain_keeps_clashing_columns(spark):
+    names = ["first", "before", "guess", "other_key", "key", "row", "by0", "p"]
+    turns = spark.createDataFrame([(c, t, f"{c} {t}") for c in range(5) for t in range(7)], "c long, t long, text string")
+    wide = turns.select("c", "t", "text", *[F.col("t").alias(n) for n in names], F.lit(9).alias("node_id")).repartition(3)
+    got = chat_format.chain_replies(wide, "c", ["t", "text"])
+    assert got.columns == [*wide.columns[:-1], "node_id", "parent_id"]
+    rows = {r.node_id: r for r in got.collect()}
+    assert len(rows) == 35
+    for r in rows.values():
+        assert all(r[n] == r.t for n in names)
+        above = rows.get(r.parent_id)
+        assert (above is None) == (r.t == 0) and (above is None or (above.c, above.t) == (r.c, r.t - 1))

@@ -259,6 +259,34 @@ def test_leaks_with_shuffled_joins(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == set(brute_leaks(docs, items))
 
 
+def test_leaks_beyond_the_radius(spark):
+    """Few distinct shingles: a window of similarity 0.8 differs in more bits than the index looks through."""
+    rnd = random.Random(3)
+    items = [(1, "a b a b a b a b a b a b a"), (2, "c c c c c c d d d d d d"), (3, "e f g e f g e f g e f g e f")]
+    docs = [(1, "b " + items[0][1]), (2, "b a b a b a b a b a b a b"), (3, "c c c c c d d d d d d d")]
+    for n in range(4, 60):
+        i, item = items[n % 3]
+        w = item.split()
+        for _ in range(rnd.randrange(3)):
+            w.insert(rnd.randrange(len(w)), rnd.choice(w))
+        docs.append((n, " ".join(w[rnd.randrange(2):])))
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                                   spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute_leaks(docs, items)
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == {k: round(v[0], 9) for k, v in want.items()}
+    assert max(r.distance for r in got) > 23
+
+
+def test_clashing_columns_stay(spark):
+    frame, items, _, _ = leak_tables(spark)
+    names = ["leaked_id", "leaked_key", "row_id", "row", "item_id"]
+    wide = frame.select("doc_id", "text", *[F.col("doc_id").alias(n) for n in names])
+    kept = decontaminate.drop_leaks(wide, items)
+    assert kept.columns == wide.columns
+    want = {tuple(r) for r in decontaminate.drop_leaks(frame.select("doc_id", "text"), items).collect()}
+    assert {(r.doc_id, r.text) for r in kept.collect()} == want
+
+
 def test_leaks_of_empty_tables(spark):
     table, benchmark, _, _ = leak_tables(spark)
     assert decontaminate.find_leaks(table.limit(0), benchmark).count() == 0
