@@ -2,7 +2,7 @@
 
 * CSV with a header and a declared schema, plus an all-text read used for
   drift detection (a typed read would silently null bad values).
-* JSON arrays (multi-line) and JSON Lines.
+* JSON arrays and JSON Lines; one large file of either kind is read by many tasks.
 * Source arrival: which expected sources are present, and their row counts.
 * Partitioned Parquet writes with dynamic partition overwrite, and the
   append-only run history.
@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.constants import MISSING_SOURCE_MSG
+from . import ranges
 
 # pandas' default missing-value tokens that Spark's CSV reader does not treat as null
 NA_TOKENS = ["", "NA", "N/A", "n/a", "NaN", "nan", "null", "NULL", "None", "<NA>", "-NaN", "-nan",
@@ -36,41 +38,106 @@ def normalise_na(df: DataFrame) -> DataFrame:
 
 
 CORRUPT = "_corrupt_record"
-
-
-def _csv(spark: SparkSession):
-    """CSV as written by the usual tools: quotes doubled inside quotes, records that span lines."""
-    return spark.read.option("header", True).option("mode", "PERMISSIVE").option("multiLine", True).option(
-        "quote", '"').option("escape", '"')
-
-
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+_CSV_OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": "true"}
+
+
+def _header(head: str) -> list[str]:
+    """The column names of a header; a repeated or empty name gets its position."""
+    names = next(csv.reader([head.lstrip("\ufeff").rstrip("\r\n")]), [])
+    return [n if n and names.count(n) == 1 else f"{n or '_c'}{i}" for i, n in enumerate(names)]
+
+
+def _parsed_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | None,
+                corrupt: bool = False) -> DataFrame:
+    """The records below ``path``, read by the names in each file's own header."""
+    records, heads = ranges.csv_records(spark, path)
+    out = None
+    for head in heads:
+        names = _header(head)
+        declared = {f.name: f.dataType for f in schema.fields} if schema is not None else {}
+        fields = [T.StructField(n, declared.get(n, T.StringType())) for n in names]
+        options = dict(_CSV_OPTIONS)
+        if corrupt:
+            fields.append(T.StructField(CORRUPT, T.StringType()))
+            options["columnNameOfCorruptRecord"] = CORRUPT
+        shape = T.StructType(fields)
+        row = F.from_csv("value", F.lit(shape.toDDL()), options).alias("row")
+        part = (records.where(F.col("head") == head) if len(heads) > 1 else records).select(row)
+        wanted = [*(f.name for f in schema.fields), *([CORRUPT] if corrupt else [])] if schema is not None else names
+        types = {**declared, CORRUPT: T.StringType()}
+        part = part.select(*[(F.col("row")[n] if n in shape.names else F.lit(None).cast(types[n])).alias(n)
+                             for n in wanted])
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        return spark.createDataFrame([], schema or T.StructType([]))
+    return out
+
+
+def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None,
+             parallel: bool = True) -> DataFrame:
     """CSV with a header.  With ``schema`` the read is typed (no inference
-    pass); without it every column is text (for drift profiling).  Either
-    way the usual missing-value tokens in text columns become nulls.
-    ``corrupt_records`` counts what a typed read cannot parse."""
-    r = _csv(spark)
-    if schema is not None:
-        return normalise_na(r.schema(schema).csv(path))
-    return normalise_na(r.option("inferSchema", False).csv(path))
+    pass); without it every column is text (for drift profiling).  Columns are
+    matched by the names in each file's header: a declared column that a file
+    lacks is null there, one that is not declared is left out (``header_drift``
+    tells).  Either way the usual missing-value tokens in text columns become
+    nulls.  ``corrupt_records`` counts what a typed read cannot parse.
+
+    Fields may hold line feeds.  Files are cut into ranges (``sources.ranges``),
+    which takes one more scan when the table is made; ``parallel=False`` reads
+    each file in one task, which also takes quotes inside bare fields.
+    """
+    schema = _struct(schema)
+    if parallel:
+        return normalise_na(_parsed_csv(spark, path, schema))
+    text = spark.read.options(**_CSV_OPTIONS).option("header", True).option("inferSchema", False)
+    if schema is None:
+        return normalise_na(text.csv(path))
+    found = text.csv(path)                                  # all text, so that names decide, then cast
+    out = [(F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in found.columns
+            else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields]
+    return normalise_na(found.select(*out))
+
+
+def _struct(schema: T.StructType | str | None) -> T.StructType | None:
+    return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+
+def header_drift(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
+    """``file, missing, extra, reordered`` of every CSV file whose header is not the declared column list."""
+    names = [f.name for f in _struct(schema).fields]
+    first = ranges.range_states(ranges.segments(spark, path, ranges.CSV), ranges.CSV).where("block = 0")
+    plain = F.regexp_replace("head", "^\ufeff|[\r\n]+$", "")
+    found = F.transform(F.split(plain, ","), lambda n: F.regexp_replace(F.trim(n), '^"|"$', ""))
+    want = F.array(*map(F.lit, names))
+    both = F.array_intersect("found", want)
+    return first.select("file", found.alias("found")).select(
+        "file", F.array_except(want, "found").alias("missing"), F.array_except("found", want).alias("extra"),
+        (both != F.array_intersect(want, "found")).alias("reordered")).where(
+        (F.size("missing") > 0) | (F.size("extra") > 0) | F.col("reordered"))
 
 
 def corrupt_records(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
     """Records of a typed CSV or JSON read that do not fit ``schema`` (their bad values read as null), as they are."""
-    wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    r = (_csv(spark) if fmt == "csv" else spark.read.option("multiLine", True)).option(
-        "columnNameOfCorruptRecord", CORRUPT).schema(wide)
-    rows = r.csv(path) if fmt == "csv" else r.json(path)
+    if fmt == "csv":
+        rows = _parsed_csv(spark, path, schema, corrupt=True)
+    else:
+        wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+        rows = ranges.json_records(spark, path).select(
+            F.from_json("value", wide, {"columnNameOfCorruptRecord": CORRUPT}).alias("row")).select("row.*")
     return rows.where(F.col(CORRUPT).isNotNull())
 
 
-def read_json(spark: SparkSession, path: str, multiline: bool = True,
+def read_json(spark: SparkSession, path: str | list[str], multiline: bool = True,
               schema: T.StructType | str | None = None) -> DataFrame:
-    """A JSON array file (``multiline``) or JSON Lines (splittable)."""
-    r = spark.read.option("multiLine", multiline)
+    """JSON array files (``multiline``; cut into ranges, so one file is read by many tasks) or JSON Lines."""
+    if not multiline:
+        return (spark.read.schema(schema) if schema is not None else spark.read).json(path)
+    found = ranges.json_records(spark, path)
     if schema is not None:
-        r = r.schema(schema)
-    return r.json(path)
+        return found.select(F.from_json("value", _struct(schema)).alias("row")).select("row.*")
+    # Spark infers the columns from the records, as from lines
+    texts = getattr(found._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    return DataFrame(spark._jsparkSession.read().json(texts), spark)
 
 
 _CONTRACT_RULE = ("struct<type:string, required:boolean, unique:boolean, min:double, max:double, "
