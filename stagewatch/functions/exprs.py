@@ -37,14 +37,28 @@ def fx_rate(currency: Column, rates: dict[str, float] | None = None) -> Column:
     """Exchange rate for a currency code as an inline CASE (no join, codegen'd).
 
     Unknown or null codes get the default rate.  Rates are decimals so money
-    sums are exact and independent of partitioning.
+    sums are exact and independent of partitioning; all of them have the scale
+    of the one with most places (``RATE_TYPE`` at least), so no rate is cut.
     """
-    rates = FX_RATES if rates is None else rates
+    rates = {c: Decimal(str(r)) for c, r in (FX_RATES if rates is None else rates).items()}
+    default = Decimal(str(FX_DEFAULT_RATE))
+    places = max([4, *(-r.normalize().as_tuple().exponent for r in rates.values())])
+    digits = max([4, *(r.adjusted() + 1 for r in rates.values())])
+    kind = f"decimal({digits + places},{places})"
     expr = None
     for code, rate in rates.items():
-        lit = F.lit(Decimal(str(rate))).cast(RATE_TYPE)
+        lit = F.lit(str(rate)).cast(kind)
         expr = F.when(currency == code, lit) if expr is None else expr.when(currency == code, lit)
-    return expr.otherwise(F.lit(Decimal(str(FX_DEFAULT_RATE))).cast(RATE_TYPE))
+    default = F.lit(str(default)).cast(kind)
+    return default if expr is None else expr.otherwise(default)
+
+
+def rate_type(table_type: T.DataType) -> str:
+    """The type that rates of a table are used in: their own decimal scale; 12 places for floats and texts."""
+    if isinstance(table_type, T.DecimalType):
+        places = max(4, table_type.scale)
+        return f"decimal({min(38, max(table_type.precision - table_type.scale, 4) + places)},{places})"
+    return RATE_TYPE if isinstance(table_type, T.IntegralType) else "decimal(18,12)"
 
 
 def pct(part: Column, whole: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.constants import (REC_ARRIVAL, REC_DUPES, REC_NONE, REC_NULLS, REC_SCHEMA, REC_TYPES,
                                    REPORT_BULLET, REPORT_COUNT_FORMAT, REPORT_ERR_PREFIX, REPORT_LABELS,
@@ -112,12 +113,37 @@ def remediation_plan(metrics: DataFrame, stages: DataFrame) -> DataFrame:
     return need.join(F.broadcast(book), "issue").select("run_id", "issue", "step", "action")
 
 
-def triage_route(history: DataFrame, known: DataFrame) -> DataFrame:
+def quality_route(stages: DataFrame, metrics: DataFrame) -> DataFrame:
+    """K8: runs whose latest attempts hold a failed stage, or with any quality
+    issue (nulls, duplicates, schema violations, type mismatches, values out of
+    range), are diagnosed; the rest is reported.  ``reasons`` lists why."""
+    failed = L.stage_facts(stages).select("run_id", F.col("current_failed").alias("stage_failed"))
+    m = metrics.select("run_id", "null_count", "duplicate_count", F.size("schema_violations").alias("violations"),
+                       F.size("type_mismatches").alias("mismatches"), "out_of_range_count")
+    j = failed.join(m, "run_id", "full_outer")
+    reasons = F.concat_ws(",", F.when(F.col("stage_failed"), "stage"), *[
+        F.when(F.col(c) > 0, name) for c, name in (("violations", "schema"), ("mismatches", "type"), ("null_count", "nulls"),
+                                                   ("duplicate_count", "duplicates"), ("out_of_range_count", "range"))])
+    return j.select("run_id", F.when(reasons != "", "diagnose").otherwise("report").alias("route"),
+                    reasons.alias("reasons"))
+
+
+def triage_route(history: DataFrame, known: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
     """K7/K8: a known recurring failure goes straight to repair; otherwise a
-    failed run or a quality issue is diagnosed, and the rest reported."""
+    failed run or a quality issue is diagnosed, and the rest reported.  With
+    ``metrics`` (of the same runs) schema violations, type mismatches and values
+    out of range are issues too, as are schema violations in the history itself."""
     j = history.join(known.select("run_id", "recent_occurrences", "is_known_recurring"), "run_id", "left")
     issue_ = (F.col("outcome").isin("FAILED", "UNRESOLVED") | (F.col("total_nulls") > 0)
               | (F.col("duplicate_count") > 0))
+    if "schema_violations" in history.columns:
+        listed = F.col("schema_violations")
+        issue_ = issue_ | F.coalesce(F.size(listed) > 0 if isinstance(history.schema["schema_violations"].dataType, ArrayType)
+                                     else listed != "", F.lit(False))
+    if metrics is not None:
+        found = (F.size("schema_violations") > 0) | (F.size("type_mismatches") > 0) | (F.col("out_of_range_count") > 0)
+        j = j.join(metrics.select("run_id", found.alias("_found")), "run_id", "left")
+        issue_ = issue_ | F.coalesce("_found", F.lit(False))
     route = (F.when(F.coalesce("is_known_recurring", F.lit(False)), "repair")
              .when(issue_, "diagnose").otherwise("report"))
     return j.select("run_id", "scenario_name", "outcome",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import UNKNOWN_NAME, UNKNOWN_TIER
-from ..functions.exprs import fx_rate, is_numeric
+from ..functions.exprs import fx_rate, is_numeric, rate_type
 from .joins import lookup_join
 
 
@@ -31,7 +31,7 @@ def fx_convert(sales: DataFrame, rates: dict[str, float] | DataFrame | None = No
     rate)``, with one per currency and day.  A rates table that repeats a
     key is rejected: it would multiply sales.  An unknown or null currency
     (or a day without a rate) uses rate 1.0; an absent currency column means
-    USD.
+    USD.  Rates keep their own scale: small ones do not become zero.
     """
     check_price_type(sales)
     cur = F.col("currency") if "currency" in sales.columns else F.lit("USD")
@@ -40,13 +40,14 @@ def fx_convert(sales: DataFrame, rates: dict[str, float] | DataFrame | None = No
         repeated = rates.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
         if repeated:
             raise TransformError(f"rates table is not unique on {', '.join(keys)}")
-        r = rates.select(F.col("currency").alias("_fx_cur"), F.col("rate").cast("decimal(8,4)").alias("_fx_rate"),
+        kind = rate_type(rates.schema["rate"].dataType)
+        r = rates.select(F.col("currency").alias("_fx_cur"), F.col("rate").cast(kind).alias("_fx_rate"),
                          *([F.col("transaction_date").alias("_fx_day")] if "transaction_date" in keys else []))
         on = cur == F.col("_fx_cur")
         if "transaction_date" in keys:
             on = on & (F.col("transaction_date") == F.col("_fx_day"))
         df = lookup_join(sales, r, on)
-        rate = F.coalesce(F.col("_fx_rate"), F.lit(1).cast("decimal(8,4)"))
+        rate = F.coalesce(F.col("_fx_rate"), F.lit(1).cast(kind))
     else:
         df, rate = sales, fx_rate(cur, rates)
     price = F.col("unit_price")

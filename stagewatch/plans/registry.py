@@ -4,3 +4,4 @@ from . import transform_queries  # noqa: F401
 from . import quality_queries  # noqa: F401
 from . import run_queries  # noqa: F401
 from . import history_queries  # noqa: F401
+from . import source_queries  # noqa: F401

@@ -437,3 +437,19 @@ FROM lines JOIN rep ON lines.run_id = rep.run_id""".replace("ICONS", "CASE la.st
 def incident_report_lines(spark, d):
     """The readable report of every run as ordered lines (distributed form)."""
     return K.incident_report_lines(*_run_tables(spark, d))
+
+
+@register("quality_route", with_views("""
+WITH last AS (SELECT run_id, stage_name, status, row_number() OVER (PARTITION BY run_id, stage_name ORDER BY attempt DESC) AS n
+              FROM stage_results),
+failed AS (SELECT run_id, bool_or(status = 'failed') AS f FROM last WHERE n = 1 GROUP BY run_id),
+why AS (SELECT m.run_id, concat_ws(',', CASE WHEN f THEN 'stage' END, CASE WHEN n_schema_violations > 0 THEN 'schema' END,
+               CASE WHEN n_type_mismatches > 0 THEN 'type' END, CASE WHEN null_count > 0 THEN 'nulls' END,
+               CASE WHEN duplicate_count > 0 THEN 'duplicates' END,
+               CASE WHEN out_of_range_count > 0 THEN 'range' END) AS reasons
+        FROM quality_metrics m LEFT JOIN failed USING (run_id))
+SELECT run_id, CASE WHEN reasons = '' THEN 'report' ELSE 'diagnose' END AS route, reasons FROM why""",
+    "stage_results", "quality_metrics"))
+def quality_route(spark, d):
+    """K8: any failed stage or quality issue of any kind sends a run to diagnosis."""
+    return K.quality_route(V.stage_results(spark, d), V.quality_metrics(spark, d))

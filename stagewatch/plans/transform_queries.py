@@ -60,3 +60,36 @@ def enrich_customers(spark, d):
     """Customer name and tier, defaults only for unmatched ids."""
     s = V.sales(spark, d, with_region=False).select("transaction_id", "customer_id")
     return tr.enrich_customers(s, V.customers(spark, d))
+
+
+#: A day's rates, computed from the orders of the day before: from 0.00003 to about 1.3, ten places.
+_DAILY_RATES_SQL = """
+days AS (SELECT DISTINCT transaction_date AS day FROM sales_nr WHERE transaction_date IS NOT NULL),
+rates AS (SELECT c AS currency, day, cast(CASE c WHEN 'EUR' THEN 1.05 + (date_diff('day', DATE '1990-01-01', day) % 250) / 1000.0
+                 ELSE 0.0000301234 + (date_diff('day', DATE '1990-01-01', day) % 97) / 10000000.0 END AS decimal(14,10)) AS rate
+          FROM days, (VALUES ('EUR'), ('GBP')) t(c) WHERE date_diff('day', DATE '1990-01-01', day) % 11 <> 0)"""
+
+
+@register("fx_daily_rates", with_views(f"""
+WITH {_DAILY_RATES_SQL}
+SELECT s.currency, count(*) AS n_sales, count(r.rate) AS n_rated,
+       cast(sum(unit_price * coalesce(r.rate, 1)) AS double) AS price_usd,
+       cast(sum(unit_price * coalesce(r.rate, 1) * cast(quantity AS decimal(10,0))) AS double) AS revenue_usd
+FROM sales_nr s LEFT JOIN rates r ON r.currency = s.currency AND r.day = s.transaction_date
+GROUP BY s.currency""", "sales_nr"))
+def fx_daily_rates(spark, d):
+    """J3 with a rates table by currency and day: small rates keep their scale, days without a rate use 1."""
+    s = V.sales(spark, d, with_region=False)
+    n = F.datediff("transaction_date", F.lit("1990-01-01").cast("date"))
+    days = s.select("transaction_date").where("transaction_date is not null").distinct().withColumn("n", n)
+    euro = F.lit("1.05").cast("decimal(14,10)") + (F.col("n") % 250) / F.lit(1000).cast("decimal(14,0)")
+    small = F.lit("0.0000301234").cast("decimal(14,10)") + (F.col("n") % 97) / F.lit(10_000_000).cast("decimal(14,0)")
+    rates = days.where(F.col("n") % 11 != 0).select("transaction_date", F.explode(F.array(
+        F.struct(F.lit("EUR").alias("currency"), euro.cast("decimal(14,10)").alias("rate")),
+        F.struct(F.lit("GBP").alias("currency"), small.cast("decimal(14,10)").alias("rate")))).alias("r")).select(
+        "r.currency", "transaction_date", "r.rate")
+    out = tr.fx_convert(s, rates)
+    return out.groupBy("currency").agg(
+        F.count(F.lit(1)).alias("n_sales"),
+        F.count_if((F.col("currency").isin("EUR", "GBP")) & (n % 11 != 0)).alias("n_rated"),
+        F.sum("unit_price_usd").alias("price_usd"), F.sum("revenue_usd").alias("revenue_usd"))
