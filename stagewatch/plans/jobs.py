@@ -243,8 +243,11 @@ def run_transform(src: Sources | None, run: RunResult) -> None:
 
 
 @_guarded("load", 3)
-def run_load(run: RunResult, target: str | None = None) -> None:
-    """Gate, PK check (C10), then a partitioned write."""
+def run_load(run: RunResult, target: str | None = None, retain: bool = False) -> None:
+    """Gate, PK check (C10), then a publication of a new attempt.
+
+    With ``retain`` earlier attempts are kept, for reads as of a time and roll-backs to them.
+    """
     tr_stage = run.stage("transform")
     if tr_stage is None or tr_stage["status"] in ("failed", "skipped") or run.enriched is None:
         run.set_stage("load", 3, "skipped")
@@ -263,15 +266,10 @@ def run_load(run: RunResult, target: str | None = None) -> None:
         return
     written = n
     if target:
-        from pyspark.sql import Observation
-
-        from ..sources.files import run_partition, write_partitioned
-        # rows written are counted by the write itself (an observed metric), not by a second pass
-        obs = Observation(f"load_{run.run_id}_{run.stage('load')['attempt'] + 1 if run.stage('load') else 1}")
-        # the run's folder is replaced as a whole: dates that this attempt lacks must not survive from the last one
-        write_partitioned(run.enriched, run_partition(target, run.run_id), ["transaction_date"],
-                          cluster_by=["transaction_id"], observation=obs, replace_all=True)
-        written = int(obs.get["rows"])
+        from ..sources.published import publish
+        # an attempt of its own: the rows of the last one stay readable until these are complete
+        _, written = publish(run.enriched, target, run.run_id, ["transaction_date"], cluster_by=["transaction_id"],
+                             retain=retain)
     run.set_stage("load", 3, "success", n, written, None, t0)
     run.log("info", "load", MSG["load_done"].format(written))
 
@@ -287,7 +285,8 @@ def run_pipeline(src: Sources, scenario_name: str = "healthy", failure_type: str
     return run
 
 
-def rerun_stage(src: Sources, run: RunResult, stage: str, target: str | None = None) -> RunResult:
+def rerun_stage(src: Sources, run: RunResult, stage: str, target: str | None = None,
+                retain: bool = False) -> RunResult:
     """Re-execute one stage on repaired inputs; appends a new attempt."""
     if stage not in ("ingestion", "transform", "load"):
         raise ValueError(f"Invalid stage '{stage}'. Must be one of: ingestion, transform, load")
@@ -297,7 +296,7 @@ def rerun_stage(src: Sources, run: RunResult, stage: str, target: str | None = N
     elif stage == "transform":
         run_transform(src, run)
     else:
-        run_load(run, target)
+        run_load(run, target, retain)
     action = f"rerun_stage({stage})"
     if action not in run.remediations:
         run.remediations.append(action)
@@ -305,16 +304,17 @@ def rerun_stage(src: Sources, run: RunResult, stage: str, target: str | None = N
 
 
 def rollback_stage(run: RunResult, stage: str, target: str | None = None,
-                   spark: SparkSession | None = None) -> RunResult:
+                   spark: SparkSession | None = None, retain: bool = False) -> RunResult:
     """Mark a transform/load stage skipped and drop its outputs (T6): for
-    load the rows that the run published below ``target``."""
+    load the rows that the run published below ``target`` (with ``retain`` they
+    are kept, but no longer published)."""
     if stage not in ("transform", "load"):
         raise ValueError("Only transform and load can be rolled back")
     if stage == "transform":
         run.enriched, run.daily = None, None
     elif target:
-        from ..sources.files import delete_path, run_partition
-        delete_path(spark or SparkSession.getActiveSession(), run_partition(target, run.run_id))
+        from ..sources.published import roll_back
+        roll_back(spark or SparkSession.getActiveSession(), target, run.run_id, retain=retain)
     ordinal = {"transform": 2, "load": 3}[stage]
     run.set_stage(stage, ordinal, "skipped")
     run.log("warning", "remediation", MSG["rolled_back"].format(stage))

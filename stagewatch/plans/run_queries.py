@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import history as H
 from ..operators import report as K
 from ..operators import runlog as L
+from ..sources import published as P
 from ..sources import views as V
 from .catalog import register
 from .oracle_views import with_views
@@ -453,3 +454,35 @@ SELECT run_id, CASE WHEN reasons = '' THEN 'report' ELSE 'diagnose' END AS route
 def quality_route(spark, d):
     """K8: any failed stage or quality issue of any kind sends a run to diagnosis."""
     return K.quality_route(V.stage_results(spark, d), V.quality_metrics(spark, d))
+
+
+MOMENTS = ["1994-06-01 00:00:30", "1996-02-29 12:00:00", "1997-12-31 23:59:59", "2030-01-01 00:00:00"]
+
+
+@register("published_as_of", with_views(f"""
+WITH loads AS (SELECT run_id, attempt, 'publish' AS action, finished_at AS t, rows_out AS n_rows FROM stage_results
+               WHERE stage_name = 'load' AND status = 'success'),
+events AS (SELECT * FROM loads
+           UNION ALL SELECT run_id, max(attempt), 'rollback', max(t) + INTERVAL 40 DAY, 0 FROM loads
+                     WHERE run_id % 13 = 0 GROUP BY run_id
+           UNION ALL SELECT run_id, min(attempt), 'publish', max(t) + INTERVAL 300 DAY, min_by(n_rows, attempt) FROM loads
+                     WHERE run_id % 26 = 0 GROUP BY run_id),
+ordered AS (SELECT m.as_of, e.*, row_number() OVER (PARTITION BY m.as_of, run_id ORDER BY t DESC, attempt DESC, action DESC) AS n
+            FROM events e JOIN (SELECT unnest([{", ".join(f"TIMESTAMP '{m}'" for m in MOMENTS)}]) AS as_of) m ON e.t <= m.as_of)
+SELECT strftime(as_of, '%Y-%m-%d %H:%M:%S.%f') AS as_of, cast(run_id AS varchar) AS run_id, cast(attempt AS bigint) AS attempt,
+       cast(n_rows AS bigint) AS n_rows
+FROM ordered WHERE n = 1 AND action = 'publish'""", "stage_results"))
+def published_as_of(spark, d):
+    """What every run had published at several moments, before and after roll-backs and returns to an attempt."""
+    loads = V.stage_results(spark, d).where("stage_name = 'load' and status = 'success'").select(
+        "run_id", F.col("attempt").cast("int").alias("attempt"), F.lit("publish").alias("action"),
+        F.col("finished_at").alias("at"), F.col("rows_out").alias("n_rows"))
+    days = lambda n: F.max("at") + F.make_dt_interval(days=F.lit(n))
+    back = loads.where(F.col("run_id") % 13 == 0).groupBy("run_id").agg(
+        F.max("attempt").alias("attempt"), F.lit("rollback").alias("action"), days(40).alias("at"),
+        F.lit(0).cast("bigint").alias("n_rows"))
+    again = loads.where(F.col("run_id") % 26 == 0).groupBy("run_id").agg(
+        F.min("attempt").alias("attempt"), F.lit("publish").alias("action"), days(300).alias("at"),
+        F.min_by("n_rows", "attempt").alias("n_rows"))
+    events = loads.unionByName(back).unionByName(again).withColumn("run_id", F.col("run_id").cast("string"))
+    return P.published_as_of(events, MOMENTS)
