@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import contracts as C
 from ..operators import profile as Q
+from ..operators.key_index import KeyIndex
 
 METRIC_SCHEMA = "dataset string, column_name string, metric string, value bigint, total_rows bigint"
 
@@ -43,9 +44,14 @@ def batch_metrics(batch: DataFrame, dataset: str, key: str | None) -> DataFrame:
 def start_quality_stream(spark: SparkSession, source_dir: str, schema: T.StructType | str,
                          metrics_path: str, checkpoint: str, dataset: str = "sales",
                          key: str | None = "transaction_id", fmt: str = "parquet",
-                         available_now: bool = True, max_files_per_trigger: int = 1000) -> StreamingQuery:
+                         available_now: bool = True, max_files_per_trigger: int = 1000,
+                         key_index: KeyIndex | None = None) -> StreamingQuery:
     """Profile every micro-batch of files landing in ``source_dir``.
 
+    With ``key_index`` a batch also reports the rows whose key an earlier batch
+    (or load) has published, metric ``repeated_keys``, and adds its own keys;
+    a batch that is replayed replaces its keys and does not meet them.
+
     ``max_files_per_trigger`` bounds each micro-batch; the batch is persisted
     while its three profiles run (one read of the files instead of three)
     and released afterwards.
@@ -56,7 +62,15 @@ def start_quality_stream(spark: SparkSession, source_dir: str, schema: T.StructT
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            (batch_metrics(batch, dataset, key).withColumn("batch_id", F.lit(batch_id))
+            metrics = batch_metrics(batch, dataset, key)
+            if key_index is not None and key:
+                load = f"{dataset}-{batch_id:012d}"
+                again = key_index.repeated(batch, key, load).agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("value"))
+                metrics = metrics.unionByName(again.select(
+                    F.lit(dataset).alias("dataset"), F.lit(key).alias("column_name"), F.lit("repeated_keys").alias("metric"),
+                    "value", F.lit(batch.count()).cast("bigint").alias("total_rows")))
+                key_index.add(batch, key, load)
+            (metrics.withColumn("batch_id", F.lit(batch_id))
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("batch_id").parquet(metrics_path))
         finally:
