@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..functions.constants import LOOKBACK_HOURS
 from ..operators import history as H
 from ..operators import report as K
+from ..operators import rollups as U
 from ..sources import views as V
 from .catalog import register
 from .oracle_views import with_views
@@ -157,3 +158,23 @@ def history_filter(spark, d):
     """one scenario's runs without a failure type (null-safe), by outcome."""
     return H.filter_history(V.run_history(spark, d), scenario="data_quality_nulls", failure_type=None,
                             outcomes=["HEALTHY", "FAILED"])
+
+
+MOMENTS = ["2024-01-02 00:00:00", "2024-01-05 13:27:45.5", "2024-01-09 23:59:59", "2024-01-10 00:00:00", "2024-01-17 06:30:00",
+           "2024-01-24 18:00:00.000001", "2024-01-30 11:11:11", "2024-01-31 00:00:00", "2024-02-15 00:00:00"]
+
+
+@register("trend_at_moments", with_views(f"""
+SELECT strftime(as_of, '%Y-%m-%d %H:%M:%S.%f') AS as_of,
+       CASE WHEN grouping(failure_type) = 1 THEN 'all' ELSE failure_type END AS failure_type_filter,
+       cast({LOOKBACK_HOURS} AS bigint) AS window_hours, count(*) AS total_runs,
+       cast(sum(CASE WHEN outcome IN ('FAILED', 'UNRESOLVED') THEN 1 ELSE 0 END) AS bigint) AS failed_count,
+       cast(sum(CASE WHEN outcome = 'RESOLVED' THEN 1 ELSE 0 END) AS bigint) AS resolved_count, {_MTTR} AS mttr_seconds
+FROM run_history JOIN (SELECT unnest([{", ".join(f"TIMESTAMP '{m}'" for m in MOMENTS)}]) AS as_of) m
+  ON ts >= as_of - INTERVAL {LOOKBACK_HOURS} HOUR AND ts <= as_of
+GROUP BY GROUPING SETS ((as_of), (as_of, failure_type))
+HAVING grouping(failure_type) = 1 OR failure_type IS NOT NULL""", "run_history"))
+def trend_at_moments(spark, d):
+    """A5 at many moments from hourly roll-ups: prefix sums over whole hours, records for the edge hours only."""
+    history = V.run_history(spark, d)
+    return U.trend_at(U.hourly_rollup(history), history, MOMENTS)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import history as H
 from ..operators import report as K
 from ..operators import runlog as L
+from ..operators import stage_graph as G
 from ..sources import published as P
 from ..sources import views as V
 from .catalog import register
@@ -486,3 +487,58 @@ def published_as_of(spark, d):
         F.min_by("n_rows", "attempt").alias("n_rows"))
     events = loads.unionByName(back).unionByName(again).withColumn("run_id", F.col("run_id").cast("string"))
     return P.published_as_of(events, MOMENTS)
+
+
+#: A pipeline with branches: two sources, two checks, a join of both, two outputs.
+GRAPH = [("clean_orders", "read_orders"), ("clean_customers", "read_customers"), ("enrich", "clean_orders"),
+         ("enrich", "clean_customers"), ("daily_totals", "enrich"), ("publish", "enrich"), ("notify", "publish"),
+         ("notify", "daily_totals")]
+_OWN = {"read_orders": "run_id % 11 = 0", "read_customers": "o_custkey % 13 = 0", "clean_orders": "run_id % 17 = 0",
+        "clean_customers": "o_custkey % 7 = 0", "enrich": "run_id % 5 = 0", "daily_totals": "run_id % 9 = 0",
+        "publish": "run_id % 4 = 0", "notify": "run_id % 3 = 0"}
+_GRAPH_SQL = "WITH RECURSIVE " + ("""
+edges(stage, up) AS (VALUES {edges}),
+reach AS (SELECT up, stage FROM edges UNION SELECT r.up, e.stage FROM reach r JOIN edges e ON e.up = r.stage),
+graph_stages AS ({own})""".format(
+    edges=", ".join(f"('{a}', '{b}')" for a, b in GRAPH),
+    own=" UNION ALL ".join(f"SELECT o_orderkey AS run_id, '{s}' AS stage, "
+                           f"({c.replace('run_id', 'o_orderkey')}) AS bad FROM orders" for s, c in _OWN.items())))
+
+
+def _graph_stages(spark, d):
+    from ..sources.tables import read_table
+    o = read_table(spark, d, "orders", "o_orderkey", "o_custkey").withColumn("run_id", F.col("o_orderkey"))
+    states = F.array(*[F.struct(F.lit(s).alias("stage_name"), F.when(F.expr(c), "failed").otherwise("success").alias("status"))
+                       for s, c in _OWN.items()])
+    return o.select("run_id", F.explode(states).alias("s")).select("run_id", "s.*")
+
+
+def _reach(spark):
+    return G.closure(spark.createDataFrame(GRAPH, "stage string, depends_on string"))
+
+
+@register("graph_gate", _GRAPH_SQL + """
+SELECT g.run_id, g.stage AS stage_name, CASE WHEN any_value(g.bad) THEN 'failed' ELSE 'success' END AS status,
+       coalesce(string_agg(u.stage, ',' ORDER BY u.stage), '') AS blocked_by,
+       CASE WHEN count(u.stage) > 0 THEN 'skipped' WHEN any_value(g.bad) THEN 'failed' ELSE 'success' END AS effective_status,
+       count(u.stage) = 0 AS gate_ok
+FROM graph_stages g LEFT JOIN reach r ON r.stage = g.stage
+LEFT JOIN graph_stages u ON u.run_id = g.run_id AND u.stage = r.up AND u.bad
+GROUP BY g.run_id, g.stage""")
+def graph_gate(spark, d):
+    """J4 over a graph with branches: what blocks each stage of every run."""
+    return G.gate(_graph_stages(spark, d), _reach(spark))
+
+
+@register("graph_root_cause", _GRAPH_SQL + """,
+failed AS (SELECT run_id, stage FROM graph_stages WHERE bad),
+roots AS (SELECT run_id, stage FROM failed f WHERE NOT EXISTS (
+            SELECT 1 FROM reach r JOIN failed u ON u.stage = r.up WHERE r.stage = f.stage AND u.run_id = f.run_id)),
+down AS (SELECT DISTINCT t.run_id, r.stage FROM roots t JOIN reach r ON r.up = t.stage
+         EXCEPT SELECT run_id, stage FROM roots)
+SELECT t.run_id, t.s AS root_stages, coalesce(d.s, '') AS downstream_impact
+FROM (SELECT run_id, string_agg(stage, ',' ORDER BY stage) AS s FROM roots GROUP BY run_id) t
+LEFT JOIN (SELECT run_id, string_agg(stage, ',' ORDER BY stage) AS s FROM down GROUP BY run_id) d ON d.run_id = t.run_id""")
+def graph_root_cause(spark, d):
+    """J7 over a graph with branches: the failed stages that no failed stage explains, and what they reach."""
+    return G.root_causes(_graph_stages(spark, d), _reach(spark))

@@ -316,7 +316,11 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], HISTORY_SCHEMA)
 
 
-def append_history(records: DataFrame, path: str) -> None:
-    """Append records (a true append; nothing is rewritten)."""
+def append_history(records: DataFrame, path: str, rollup_path: str | None = None) -> None:
+    """Append records (a true append; nothing is rewritten).  With
+    ``rollup_path`` their hourly roll-up (``operators.rollups``) is appended there."""
     (records.withColumn("run_date", F.to_date("ts")).write.mode("append")
      .partitionBy("run_date").parquet(path))
+    if rollup_path is not None:
+        from ..operators.rollups import hourly_rollup
+        hourly_rollup(records).coalesce(1).write.mode("append").parquet(rollup_path)
