@@ -112,7 +112,7 @@ LOG_MESSAGES = {
     "missing_columns": "Schema validation failed: missing columns {}",
     "extra_columns": "Unexpected columns detected: {}",
     "price_type": "Type mismatch: 'unit_price' expected float, got string",
-    "null_emails": "Null emails in customer_profiles: {}/{}",
+    "null_emails": "Null emails in customer_profiles: {}/{} ({:.1f}%)",
     "duplicates": "Duplicate transaction_ids detected: {} rows",
     "ingestion_done": "Ingestion complete: {} rows loaded",
     "transform_skipped": "Transform skipped — ingestion stage failed",

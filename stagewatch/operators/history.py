@@ -111,13 +111,19 @@ def baseline_metrics(history: DataFrame, before=None) -> DataFrame:
                       safe_ratio(F.col("_d"), F.col("_r")).alias("avg_duplicate_rate"))
 
 
+def _places(rate: Column) -> Column:
+    """A rate to four places, rounded as a decimal."""
+    return F.round(rate.cast("decimal(28,10)"), 4).cast("double")
+
+
 def baseline_deviation(history: DataFrame, as_of, hours: int = LOOKBACK_HOURS) -> DataFrame:
     """Each run of the current period (the look-back before ``as_of``)
     against its scenario's baseline from all earlier records.
 
     The baseline is one aggregate per scenario (map-side combined); the
     join back has one baseline row per scenario.  Anomaly: either absolute
-    delta strictly above the threshold, tested on unrounded rates.
+    delta strictly above the threshold, tested on unrounded rates; the rates
+    are then shown to four places (P12).
     """
     period_start = _ts(as_of) - F.make_dt_interval(hours=F.lit(hours))
     current = history.where(F.col("ts") >= period_start)
@@ -133,10 +139,12 @@ def baseline_deviation(history: DataFrame, as_of, hours: int = LOOKBACK_HOURS) -
     return j.select(
         "run_id", "scenario_name", avail.alias("baseline_available"),
         F.coalesce(F.col("sample_size"), F.lit(0)).alias("sample_size"),
-        "current_null_rate", F.when(avail, F.col("avg_null_rate")).alias("baseline_null_rate"),
-        F.when(avail, nd).alias("null_rate_delta"),
-        "current_duplicate_rate", F.when(avail, F.col("avg_duplicate_rate")).alias("baseline_duplicate_rate"),
-        F.when(avail, dd).alias("duplicate_rate_delta"),
+        _places(F.col("current_null_rate")).alias("current_null_rate"),
+        _places(F.when(avail, F.col("avg_null_rate"))).alias("baseline_null_rate"),
+        _places(F.when(avail, nd)).alias("null_rate_delta"),
+        _places(F.col("current_duplicate_rate")).alias("current_duplicate_rate"),
+        _places(F.when(avail, F.col("avg_duplicate_rate"))).alias("baseline_duplicate_rate"),
+        _places(F.when(avail, dd)).alias("duplicate_rate_delta"),
         F.when(avail, (F.abs(nd) > ANOMALY_THRESHOLD) | (F.abs(dd) > ANOMALY_THRESHOLD))
         .otherwise(F.lit(False)).alias("anomaly_detected"))
 

@@ -61,6 +61,10 @@ def baseline_metrics(spark, d):
     return H.baseline_metrics(V.run_history(spark, d))
 
 
+def _places(rate: str) -> str:
+    return f"cast(round(cast({rate} AS decimal(28,10)), 4) AS double)"
+
+
 @register("baseline_deviation", with_views(f"""
 WITH base AS (
   SELECT scenario_name, count(*) AS sample_size,
@@ -74,8 +78,10 @@ cur AS (
   FROM run_history WHERE ts >= {CUTOFF})
 SELECT c.run_id, c.scenario_name, coalesce(b.sample_size, 0) > 0 AS baseline_available,
        coalesce(b.sample_size, 0) AS sample_size,
-       c.cn AS current_null_rate, b.bn AS baseline_null_rate, c.cn - b.bn AS null_rate_delta,
-       c.cd AS current_duplicate_rate, b.bd AS baseline_duplicate_rate, c.cd - b.bd AS duplicate_rate_delta,
+       {_places("c.cn")} AS current_null_rate, {_places("b.bn")} AS baseline_null_rate,
+       {_places("c.cn - b.bn")} AS null_rate_delta,
+       {_places("c.cd")} AS current_duplicate_rate, {_places("b.bd")} AS baseline_duplicate_rate,
+       {_places("c.cd - b.bd")} AS duplicate_rate_delta,
        coalesce(abs(c.cn - b.bn) > 0.05 OR abs(c.cd - b.bd) > 0.05, false) AS anomaly_detected
 FROM cur c LEFT JOIN base b ON c.scenario_name = b.scenario_name""", "run_history"))
 def baseline_deviation(spark, d):

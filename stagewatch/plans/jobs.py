@@ -201,7 +201,7 @@ def run_ingestion(src: Sources, run: RunResult) -> Sources | None:
         run.log("error", "ingestion", MSG["price_type"], column="unit_price", sample_values=samples)
     if m["email_nulls"]:
         share = Decimal(m["email_nulls"]) * 100 / Decimal(m["customer_rows"])
-        run.log("warning", "ingestion", MSG["null_emails"].format(m["email_nulls"], m["customer_rows"]),
+        run.log("warning", "ingestion", MSG["null_emails"].format(m["email_nulls"], m["customer_rows"], share),
                 null_count=m["email_nulls"], null_pct=float(share.quantize(Decimal("0.1"), ROUND_HALF_UP)))
     if m["duplicate_count"]:
         run.log("warning", "ingestion", MSG["duplicates"].format(m["duplicate_count"]),

@@ -590,3 +590,39 @@ def column_profile(spark, d):
     from ..plans import jobs
     src = jobs.Sources(V.sales(spark, d), customers_with_null_emails(spark, d), None)
     return jobs.column_profile(src)
+
+
+#: Runs of fifty orders each; every run but one in four is damaged: text prices, no region, or repeated rows.
+_RUNS_SQL = """
+placed AS (SELECT cast(split_part(transaction_id, '-', 1) AS bigint) // 50 AS run_id,
+                  cast(split_part(transaction_id, '-', 2) AS bigint) AS line, * FROM sales),
+"""
+
+
+@register("repair_all_runs", with_views(f"""
+WITH {_RUNS_SQL}
+kept AS (SELECT * FROM placed WHERE run_id % 4 <> 2
+         UNION ALL BY NAME SELECT * EXCLUDE (n) FROM (
+           SELECT *, row_number() OVER (PARTITION BY run_id, transaction_id ORDER BY customer_id, product_id, quantity,
+                    unit_price, currency NULLS FIRST, transaction_date, region NULLS FIRST, status) AS n
+           FROM placed WHERE run_id % 4 = 2) t WHERE n = 1)
+SELECT run_id, transaction_id, cast(quantity AS bigint) AS quantity, cast(unit_price AS double) AS unit_price,
+       CASE WHEN run_id % 4 = 1 THEN 'UNKNOWN' ELSE region END AS region, status FROM kept""", "sales"))
+def repair_all_runs(spark, d):
+    """A table of many damaged runs, repaired by the playbook's steps in one plan."""
+    from ..operators import repair_runs as RR
+    sales = V.sales(spark, d, with_keys=True)
+    run, turn = F.expr("order_key div 50"), F.expr("(order_key div 50) % 4")
+    price = F.col("unit_price").cast("string")
+    twice = F.explode(F.array_repeat(F.lit(0), F.when((turn == 2) & (F.col("line_no") % 2 == 1), 2).otherwise(1)))
+    landed = sales.select(
+        run.alias("run_id"), "transaction_id", "customer_id", "product_id", "quantity",
+        F.when(turn == 0, F.concat(price, F.lit("_USD"))).otherwise(price).alias("unit_price"), "currency",
+        "transaction_date", F.when(turn != 1, F.col("region")).alias("region"), "status", twice.alias("copy")).drop("copy")
+    step = F.when(turn == 0, F.struct(F.lit(RR.CAST).alias("action"), F.array(F.lit("unit_price")).alias("columns"))).when(
+        turn == 1, F.struct(F.lit(RR.ADD).alias("action"), F.array(F.lit("region")).alias("columns"))).when(
+        turn == 2, F.struct(F.lit("deduplicate_records(sales)").alias("action"), F.array().cast("array<string>").alias("columns")))
+    plan = sales.select(run.alias("run_id"), step.alias("s")).where("s is not null").select("run_id", "s.*").distinct()
+    fixed = RR.repair_runs(landed, plan, order_by=["customer_id", "product_id", "quantity", "unit_price", "currency",
+                                                   "transaction_date", "region", "status"])
+    return fixed.select("run_id", "transaction_id", "quantity", "unit_price", "region", "status")
