@@ -150,18 +150,19 @@ def baseline_deviation(history: DataFrame, as_of, hours: int = LOOKBACK_HOURS) -
 
 
 def known_failures(history: DataFrame, hours: int = LOOKBACK_HOURS,
-                   min_occurrences: int = KNOWN_FAILURE_MIN) -> DataFrame:
+                   min_occurrences: int = KNOWN_FAILURE_MIN, carry: list[str] | None = None) -> DataFrame:
     """For every run, earlier runs of the same scenario and (null-safe)
     failure type with a failure-like outcome within ``hours`` before it.
 
-    Uses the skew-safe prefix count (no per-key task, no pairs).
+    Uses the skew-safe prefix count (no per-key task, no pairs).  ``carry``
+    names further columns of the history to keep.
     """
     match = F.col("outcome").isin(*KNOWN_FAILURE_OUTCOMES)
-    cnt = prior_counts(history, "run_id", ["scenario_name", "failure_type"], "ts", match,
-                       lookback_us=hours * 3600 * 1_000_000)
-    h = history.select("run_id", "scenario_name", "failure_type")
-    return h.join(cnt, "run_id", "left").select(
-        "run_id", "scenario_name", "failure_type",
+    kept = ["scenario_name", "failure_type"] + list(carry or [])
+    counted = prior_counts(history, "run_id", ["scenario_name", "failure_type"], "ts", match,
+                           lookback_us=hours * 3600 * 1_000_000, carry=kept)
+    return counted.select(
+        "run_id", *kept,
         F.coalesce(F.col("prior_count"), F.lit(0)).alias("recent_occurrences"),
         (F.coalesce(F.col("prior_count"), F.lit(0)) >= min_occurrences).alias("is_known_recurring"),
         F.lit(hours).cast("bigint").alias("window_hours"))

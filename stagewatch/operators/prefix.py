@@ -5,22 +5,25 @@ predicate fall in ``[t - lookback, t)`` (or in all of ``(-inf, t)``)?
 
 The answer depends on (key, t) alone, so rows are first reduced to one point
 per key and distinct time, with map-side combine: any number of rows at one
-time cost one point.  Counts before a point are the sum of
+time cost one point.  Each point asks for the count before t, and before
+t - lookback; points and questions lie in one line per key, cut into time
+buckets.  A count is the sum of
 
 1. the earlier points of its time bucket (a window over one bucket of one
-   key: at most as many points as a bucket has distinct times), and
+   key: at most as many rows as a bucket has distinct times and questions), and
 2. the earlier buckets of its key (a window over one row per bucket).
 
 count(window) = before(t) - before(t - lookback).  The answers go back to the
 rows by an equi-join whose answer side is unique, so a hot time is split like
 any skewed join.  No pairs are formed, no job runs while the plan is built,
 and nothing depends on how rows lie in partitions.
+
+A key is one struct, which is never null and whose null fields are equal, so
+joins are plain equalities and reuse the partitioning of the windows.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,42 +33,33 @@ BUCKET_US = 3_600_000_000           # an hour
 
 
 def prior_counts(df: DataFrame, id_col: str, keys: list[str], ts_col: str, match: Column,
-                 lookback_us: int | None = None, bucket_us: int = BUCKET_US) -> DataFrame:
+                 lookback_us: int | None = None, bucket_us: int = BUCKET_US, carry: list[str] | None = None) -> DataFrame:
     """``(id_col, prior_count)``: rows with equal ``keys`` (null-safe), ``match``
     true and time in ``[t - lookback, t)`` (all earlier rows without lookback).
-    Rows without a time are left out."""
-    names = [f"_k{i}" for i in range(len(keys))]
-    base = df.select(quoted(id_col).alias("_id"), *[quoted(k).alias(n) for k, n in zip(keys, names)],
-                     micros_since_epoch(quoted(ts_col)).alias("_t"), match.alias("_m")).where("_t is not null")
-    times = base.groupBy(*names, "_t").agg(F.sum(F.when(F.col("_m"), 1).otherwise(0)).cast("bigint").alias("_c"))
-    here = F.struct(F.col("_t").alias("_p"), F.col("_c").alias("_c"))
-    back = None if lookback_us is None else F.struct((F.col("_t") - F.lit(lookback_us)).alias("_p"),
-                                                     F.lit(0).cast("bigint").alias("_c"))
-    points = (times.select(*names, F.explode(F.array(here) if back is None else F.array(here, back)).alias("_x"))
-              .groupBy(*names, F.col("_x._p").alias("_p")).agg(F.sum("_x._c").alias("_c"))
-              .withColumn("_b", F.floor(F.col("_p") / F.lit(bucket_us))))
-
-    def earlier(*group: str, by: str) -> Column:
-        window = Window.partitionBy(*group).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum("_c").over(window), F.lit(0))
+    Rows without a time are left out.
 
-    inside = points.withColumn("_in", earlier(*names, "_b", by="_p"))
-    buckets = points.groupBy(*names, "_b").agg(F.sum("_c").alias("_c"))
-    before = buckets.select(*[F.col(n).alias("_o" + n) for n in names], F.col("_b").alias("_ob"),
-                            earlier(*names, by="_b").alias("_before"))
-    total = inside.join(before, _same(names, "_o") & (F.col("_b") == F.col("_ob"))).select(
-        *[F.col(n).alias("_q" + n) for n in names], F.col("_p").alias("_qp"),
-        (F.col("_in") + F.col("_before")).alias("_total"))
-    probe = [F.struct(F.col("_t").alias("_p"), F.lit(1).alias("_sign"))]
+    With ``carry`` those columns stand between the two, and rows without a time
+    stay, with a null count: the caller needs no join back to ``df``.
+    """
+    carried = [f"_c{i}" for i in range(len(carry or []))]
+    base = df.select(quoted(id_col).alias("_id"), *[quoted(c).alias(n) for c, n in zip(carry or [], carried)],
+                     F.struct(*[quoted(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("_k"),
+                     micros_since_epoch(quoted(ts_col)).alias("_t"), match.alias("_m"))
+    times = base.where("_t is not null").groupBy("_k", "_t").agg(F.count_if("_m").alias("_n"))
+    asked = [F.struct(F.col("_t").alias("p"), F.col("_n").alias("n"), F.lit(1).alias("sign"))]
     if lookback_us is not None:
-        probe.append(F.struct((F.col("_t") - F.lit(lookback_us)).alias("_p"), F.lit(-1).alias("_sign")))
-    answers = (times.select(*names, "_t", F.explode(F.array(*probe)).alias("_x"))
-               .join(total, _same(names, "_q") & (F.col("_x._p") == F.col("_qp")))
-               .groupBy(*names, "_t").agg(F.sum(F.col("_x._sign") * F.col("_total")).cast("bigint").alias("prior_count"))
-               .select(*[F.col(n).alias("_a" + n) for n in names], F.col("_t").alias("_at"), "prior_count"))
-    return base.join(answers, _same(names, "_a") & (F.col("_t") == F.col("_at"))).select(
-        F.col("_id").alias(id_col), "prior_count")
-
-
-def _same(names: list[str], prefix: str) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(prefix + n)) for n in names], F.lit(True))
+        asked.append(F.struct((F.col("_t") - F.lit(lookback_us)).alias("p"), F.lit(0).cast("bigint").alias("n"),
+                              F.lit(-1).alias("sign")))
+    line = times.select("_k", "_t", F.explode(F.array(*asked)).alias("_x")).select(
+        "_k", "_t", "_x.*").withColumn("_b", F.floor(F.col("p") / F.lit(bucket_us)))
+    earlier_here = Window.partitionBy("_k", "_b").orderBy("p").rangeBetween(Window.unboundedPreceding, -1)
+    inside = line.withColumn("_in", F.coalesce(F.sum("n").over(earlier_here), F.lit(0)))
+    earlier_buckets = Window.partitionBy("_bk").orderBy("_bb").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = line.groupBy(F.col("_k").alias("_bk"), F.col("_b").alias("_bb")).agg(F.sum("n").alias("_n")).select(
+        "_bk", "_bb", F.coalesce(F.sum("_n").over(earlier_buckets), F.lit(0)).alias("_before"))
+    answers = (inside.join(buckets, (F.col("_k") == F.col("_bk")) & (F.col("_b") == F.col("_bb")))
+               .groupBy(F.col("_k").alias("_ak"), F.col("_t").alias("_at"))
+               .agg(F.sum(F.col("sign") * (F.col("_in") + F.col("_before"))).cast("bigint").alias("prior_count")))
+    out = base.join(answers, (F.col("_k") == F.col("_ak")) & (F.col("_t") == F.col("_at")),
+                    "inner" if carry is None else "left")
+    return out.select(F.col("_id").alias(id_col), *[F.col(n).alias(c) for c, n in zip(carry or [], carried)], "prior_count")

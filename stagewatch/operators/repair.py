@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.constants import FILL_DEFAULT, NUMBER_PATTERN, RULES_BY_DATASET
-from ..functions.exprs import is_null
+from ..functions.exprs import is_null, quoted
 
 _SPARK_TYPE = {"string": "string", "integer": "bigint", "float": "double", "date": "date",
                "boolean": "boolean"}
@@ -153,16 +153,16 @@ def dedup_conflicts(df: DataFrame, key: str, order_by: list[str] | None = None,
 
     Splits the removed rows into exact copies of their key's survivor and
     rows that differ from it (genuine data lost, e.g. after key overwrites).
-    Every row is joined to its key's single survivor (no fan-out), then
-    counted per key with map-side combine.
+    Equal rows are counted first (map-side combine), so a key meets its distinct
+    rows only; the least of them in the order of ``dedup_first`` is the survivor.
+    One read of the input and no join.
     """
-    cols = df.columns
-    surv = dedup_first(df, key, order_by).select(
-        F.col(key).alias("_sk"), F.struct(*[F.col(c) for c in cols]).alias("_s"))
-    j = df.join(surv, F.col(key).eqNullSafe(F.col("_sk")), "inner")
-    same = F.struct(*[F.col(c) for c in cols]).eqNullSafe(F.col("_s"))
-    per_key = j.groupBy(key).agg(F.count(F.lit(1)).alias("n"),
-                                 F.sum(F.when(same, 1).otherwise(0)).alias("eq"))
+    first = [c for c in (order_by or []) if c != key]
+    order = first + [c for c in df.columns if c != key and c not in first]
+    counted = df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
+    row = F.struct(*[quoted(c).alias(f"o{i}") for i, c in enumerate(order)], F.col("_copies").alias("copies"))
+    per_key = counted.groupBy(quoted(key).alias("_key")).agg(
+        F.sum("_copies").alias("n"), F.min(row)["copies"].alias("eq"))
     return per_key.agg(
         F.lit(dataset).alias("dataset"),
         F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("rows_before"),

@@ -128,12 +128,17 @@ def quality_route(stages: DataFrame, metrics: DataFrame) -> DataFrame:
                     reasons.alias("reasons"))
 
 
-def triage_route(history: DataFrame, known: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
+def triage_route(history: DataFrame, known: DataFrame | None = None, metrics: DataFrame | None = None) -> DataFrame:
     """K7/K8: a known recurring failure goes straight to repair; otherwise a
     failed run or a quality issue is diagnosed, and the rest reported.  With
     ``metrics`` (of the same runs) schema violations, type mismatches and values
-    out of range are issues too, as are schema violations in the history itself."""
-    j = history.join(known.select("run_id", "recent_occurrences", "is_known_recurring"), "run_id", "left")
+    out of range are issues too, as are schema violations in the history itself.
+    ``known`` (``history.known_failures``) is counted from the history where it is not given."""
+    if known is None:
+        listed = [c for c in ("schema_violations",) if c in history.columns]
+        j = H.known_failures(history, carry=["outcome", "total_nulls", "duplicate_count", *listed])
+    else:
+        j = history.join(known.select("run_id", "recent_occurrences", "is_known_recurring"), "run_id", "left")
     issue_ = (F.col("outcome").isin("FAILED", "UNRESOLVED") | (F.col("total_nulls") > 0)
               | (F.col("duplicate_count") > 0))
     if "schema_violations" in history.columns:
@@ -164,7 +169,9 @@ def run_facts(runs: DataFrame, stages: DataFrame, logs: DataFrame, calls: DataFr
         F.when(F.col("current_failed"), "failed").otherwise("success").alias("current_status"),
         "failed_stages", "skipped_stages", "remediated_stages", "n_failed")
     lc = L.error_counts(logs)
-    led = L.remediation_ledger(calls)
+    led = L.remediation_actions(calls).select(
+        "run_id", "actions", F.concat_ws(" | ", "actions").alias("remediation_applied"),
+        F.size("actions").cast("bigint").alias("remediation_count"))
     m = None if metrics is None else metrics.select("run_id", F.col("total_rows").alias("m_total_rows"),
                        F.col("null_count").alias("m_null_count"),
                        F.col("duplicate_count").alias("m_duplicate_count"),
@@ -222,6 +229,11 @@ def recommendations_by_run(runs: DataFrame, metrics: DataFrame) -> DataFrame:
 def incident_report(runs, stages, logs, calls, metrics) -> DataFrame:
     """The structured incident report of every run, with its data quality
     summary and stage summary (latest attempts)."""
+    return _report_rows(runs, stages, logs, calls, metrics).drop("actions")
+
+
+def _report_rows(runs, stages, logs, calls, metrics) -> DataFrame:
+    """The rows of ``incident_report`` and the list of each run's actions."""
     f = run_facts(runs, stages, logs, calls, metrics)
     h, s = report_health(F.col("_nf"), F.col("_ne"))
     rec = F.filter(F.array(
@@ -241,7 +253,7 @@ def incident_report(runs, stages, logs, calls, metrics) -> DataFrame:
         F.coalesce(F.size("m_schema_violations"), F.lit(0)).cast("bigint").alias("n_schema_violations"),
         F.coalesce(F.size("m_type_mismatches"), F.lit(0)).cast("bigint").alias("n_type_mismatches"),
         *[F.coalesce(c, F.lit("")).alias(c) for c in ("failed_stages", "skipped_stages", "remediated_stages")],
-        F.when(F.size(rec) > 0, F.concat_ws(" | ", rec)).otherwise(F.lit(REC_NONE)).alias("recommendations"))
+        F.when(F.size(rec) > 0, F.concat_ws(" | ", rec)).otherwise(F.lit(REC_NONE)).alias("recommendations"), "actions")
 
 
 def incident_report_lines(runs, stages, logs, calls, metrics) -> DataFrame:
@@ -252,7 +264,7 @@ def incident_report_lines(runs, stages, logs, calls, metrics) -> DataFrame:
     sequence number), so no run's log is gathered into one task; only the
     bounded parts (distinct repair actions, recommendations) are collected.
     """
-    rep = incident_report(runs, stages, logs, calls, metrics)
+    rep = _report_rows(runs, stages, logs, calls, metrics)
     lab, sec = REPORT_LABELS, REPORT_SECTIONS
 
     def line(section: int, item, text) -> Column:
@@ -263,9 +275,6 @@ def incident_report_lines(runs, stages, logs, calls, metrics) -> DataFrame:
     def labelled(key: str, value) -> Column:
         return F.concat(F.lit(lab[key]), value)
 
-    first_calls = calls.groupBy("run_id", "action").agg(F.min("seq").alias("seq"))
-    acts = first_calls.groupBy("run_id").agg(                      # distinct actions: bounded
-        F.transform(F.array_sort(F.collect_list(F.struct("seq", "action"))), lambda a: a["action"]).alias("_a"))
     header = [F.lit(REPORT_RULE), F.lit(REPORT_TITLE), labelled("report_id", F.col("report_id")),
               labelled("generated", ts_text(F.col("finished_at"))), F.lit(REPORT_RULE), F.lit(""),
               labelled("pipeline", F.col("pipeline_name")), labelled("run_id", F.col("run_id").cast("string")),
@@ -275,20 +284,25 @@ def incident_report_lines(runs, stages, logs, calls, metrics) -> DataFrame:
               labelled("outcome", F.col("final_outcome")), F.lit(""), F.lit(sec["timeline"]),
               labelled("started", ts_text(F.col("started_at"))), labelled("finished", ts_text(F.col("finished_at"))),
               F.lit(""), F.lit(sec["stages"])]
-    actions = F.coalesce("_a", F.array().cast("array<string>"))
+    actions = F.coalesce("actions", F.array().cast("array<string>"))
     numbered = F.transform(actions, lambda a, i: line(4, i + 2, F.concat(
         F.lit("  "), (i + 1).cast("string"), F.lit(". "), a)))
     bullets = F.transform(F.split("recommendations", r" \| "),
                           lambda r, i: line(5, i + 2, F.concat(F.lit(REPORT_BULLET), r)))
+
+    def head(section: int, name: str, count: str) -> Column:
+        lines = F.array(line(section, -2, ""), line(section, -1, sec[name]))
+        return F.when(F.col(count) > 0, lines).otherwise(F.filter(lines, lambda x: F.lit(False)))
+
     # every line that depends only on the run's report row, built as ONE array and exploded once
     per_run = F.concat(
         F.array(*[line(0, i, h) for i, h in enumerate(header)]),
+        head(2, "errors", "n_errors"), head(3, "warnings", "n_warnings"),    # only where the section has lines
         F.array(line(4, 0, ""), line(4, 1, sec["remediation"])),
         F.when(F.size(actions) > 0, numbered).otherwise(F.array(line(4, 2, REPORT_NO_REMEDIATION))),
         F.array(line(5, 0, ""), line(5, 1, sec["recommendations"])), bullets,
         F.array(line(6, 0, ""), line(6, 1, REPORT_RULE)))
-    rep_lines = rep.join(acts, "run_id", "left").select("run_id", F.explode(per_run).alias("l")) \
-        .select("run_id", "l.section", "l.item", "l.line")
+    rep_lines = rep.select("run_id", F.explode(per_run).alias("l")).select("run_id", "l.section", "l.item", "l.line")
     icon = F.create_map(*[x for k, v in STATUS_ICONS.items() for x in (F.lit(k), F.lit(v))])
     stage_rows = L.latest_attempt(stages).select(
         "run_id", F.lit(1).alias("section"), F.col("stage_ordinal").cast("bigint").alias("item"),
@@ -308,15 +322,8 @@ def incident_report_lines(runs, stages, logs, calls, metrics) -> DataFrame:
         .otherwise(F.lit(f"  [{REPORT_WARN_TAG}] [")).alias("_tag"), "stage", "message") \
         .select("run_id", "section", "item",
                 F.concat(F.col("_tag"), F.col("stage"), F.lit("] "), F.col("message")).alias("line"))
-    # section headers only where the section has lines (counts are map-side combined)
-    present = logs.groupBy("run_id").agg(
-        F.max(is_error_level(lv)).alias("_e"), F.max(lv == "warning").alias("_w"))
-    heads = present.select("run_id", F.explode(F.filter(
-        F.array(line(2, -2, ""), line(2, -1, sec["errors"]), line(3, -2, ""), line(3, -1, sec["warnings"])),
-        lambda x: ((x["section"] == 2) & F.col("_e")) | ((x["section"] == 3) & F.col("_w")))).alias("l")) \
-        .select("run_id", "l.section", "l.item", "l.line")
     # stage and log lines only for runs that have a report (a semi-join on the run ids)
-    other = stage_rows.unionByName(heads).unionByName(log_lines) \
+    other = stage_rows.unionByName(log_lines) \
         .join(runs.select("run_id"), "run_id", "left_semi")
     out = rep_lines.unionByName(other)
     return out.withColumn("report_id", F.concat(F.lit("INC-"), F.col("run_id").cast("string")))

@@ -234,9 +234,15 @@ def root_cause(stages: DataFrame, logs: DataFrame) -> DataFrame:
         F.coalesce("total_errors", F.lit(0)).alias("total_errors"))
 
 
-def remediation_ledger(calls: DataFrame) -> DataFrame:
-    """Each distinct action once per run, in first-call order."""
+def remediation_actions(calls: DataFrame) -> DataFrame:
+    """``run_id, actions``: the distinct actions of a run (a bounded list) in first-call order, ties by name."""
     first = calls.groupBy("run_id", "action").agg(F.min("seq").alias("seq"))
-    return first.groupBy("run_id").agg(
-        ordered_text(F.col("action"), F.col("seq"), sep=" | ").alias("remediation_applied"),
-        F.count(F.lit(1)).alias("remediation_count"))
+    return first.groupBy("run_id").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("seq", "action"))), lambda a: a["action"]).alias("actions"))
+
+
+def remediation_ledger(calls: DataFrame) -> DataFrame:
+    """Each distinct action once per run, in first-call order, as text, and their number."""
+    return remediation_actions(calls).select(
+        "run_id", F.concat_ws(" | ", "actions").alias("remediation_applied"),
+        F.size("actions").cast("bigint").alias("remediation_count"))

@@ -135,8 +135,7 @@ SELECT h.run_id, h.scenario_name, h.outcome, cast(k.recent_occurrences AS bigint
 FROM run_history h JOIN known k ON h.run_id = k.run_id""", "run_history"))
 def triage_route(spark, d):
     """K7/K8: repair known recurring failures, diagnose other issues, report the rest."""
-    h = V.run_history(spark, d)
-    return K.triage_route(h, H.known_failures(h))
+    return K.triage_route(V.run_history(spark, d))
 
 
 @register("history_summary", with_views(f"""

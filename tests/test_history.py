@@ -101,6 +101,23 @@ def test_prior_counts_when_all_runs_share_one_time(spark):
     assert points.count() == 2
 
 
+def test_prior_counts_carry_columns_and_rows_without_a_time(spark):
+    rows = [(1, "a", None, "x"), (2, "a", None, "y"), (3, None, "2024-01-01 00:00:00", "z"),
+            (4, None, "2024-01-01 00:00:01", None), (5, "a", "2024-01-01 00:00:02", "w")]
+    df = spark.createDataFrame(rows, "id long, k string, at string, _t string").selectExpr(
+        "id", "k", "cast(at as timestamp_ntz) as ts", "_t")
+    got = sorted(map(tuple, prior_counts(df, "id", ["k"], "ts", F.lit(True), lookback_us=10_000_000,
+                                         carry=["_t", "k"]).collect()))
+    assert got == [(1, "x", "a", None), (2, "y", "a", None), (3, "z", None, 0), (4, None, None, 1), (5, "w", "a", 0)]
+
+
+def test_triage_counts_known_failures_itself(spark):
+    from stagewatch.operators import report as K
+    h = spark.createDataFrame([rec(f"o{i}", "FAILED", "s", "schema_drift", hours=2 + i) for i in range(3)]
+                              + [rec("now", "HEALTHY", "s", "schema_drift", hours=1), rec("t", "HEALTHY", "u", None)], SCHEMA)
+    assert sorted(K.triage_route(h).collect()) == sorted(K.triage_route(h, H.known_failures(h)).collect())
+
+
 def test_latest_runs_over_all_scenarios(spark):
     h = spark.createDataFrame([rec("a", scenario="s", hours=3), rec("b", scenario="t", hours=1),
                                rec("c", scenario="s", hours=2)], SCHEMA)

@@ -153,6 +153,22 @@ def test_dedup_conflicts_separates_copies_from_lost_rows(spark):
     assert (r["removed_identical"], r["removed_conflicting"], r["conflicting_keys"]) == (1, 1, 1)
 
 
+def test_dedup_conflicts_equal_the_row_by_row_count(spark):
+    import random
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["a", "b", "c", None]) if i % 3 else "hot", rnd.choice([None, 1, 2]),
+             rnd.choice([None, float("nan"), 0.0, -0.0, 2.5]), rnd.choice([None, "", "x"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, v int, w double, t string")
+    kept = {r["k"]: r for r in R.dedup_first(df, "k", ["v"]).collect()}
+    text = lambda r: tuple("nan" if c != c else c for c in r)
+    same = [text(r) == text(kept[r["k"]]) for r in df.collect()]
+    lost = {r["k"] for r, s in zip(df.collect(), same) if not s}
+    got = R.dedup_conflicts(df, "k", ["v"], "t").first()
+    assert (got["rows_before"], got["rows_after"], got["removed_identical"], got["removed_conflicting"],
+            got["conflicting_keys"]) == (300, len(kept), sum(same) - len(kept), 300 - sum(same), len(lost))
+    assert tuple(R.dedup_conflicts(df.limit(0), "k").first())[1:] == (0, 0, 0, 0, 0)
+
+
 def test_repair_dispatchers(spark):
     df = spark.createDataFrame([("t1", "1.5_USD", 9), ("t1", "2.0_USD", 9)],
                                "transaction_id string, unit_price string, loyalty_points int")

@@ -107,3 +107,19 @@ def test_dedup_on_join_key_parts_reuses_the_join_partitioning(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     # only the two join inputs are shuffled; the de-dup window adds no exchange
     assert p.count("Exchange hashpartitioning") == 2 and "WindowGroupLimit" in p
+
+
+@pytest.mark.parametrize("name,exchanges,joins", [("known_failures", 7, 2), ("triage_route", 7, 2),
+                                                  ("incident_report_lines", 11, 6), ("dedup_conflicts", 6, 2)])
+def test_exchanges_and_joins_of_the_larger_reports(spark, name, exchanges, joins):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        p = plan(E.queries()[name](spark, SF))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    found = (p.count("Exchange hashpartitioning") - p.count("ReusedExchange"),
+             p.count("SortMergeJoin") + p.count("ShuffledHashJoin"))
+    assert found[0] <= exchanges and found[1] <= joins, found
