@@ -12,6 +12,8 @@ from ..operators.contracts import contract_table
 from ..operators.key_index import KeyIndex, blocks_for
 from ..session import ensure_checkpoint_dir
 from ..sources import views as V
+from ..sources.compaction import compact_history
+from ..sources.files import append_history, read_history
 from .catalog import register
 from .oracle_views import with_views
 
@@ -83,3 +85,24 @@ def cross_load_keys(spark, d):
     for third, load in ((0, "load-1"), (1, "load-2")):
         index.add(sales.where(F.col("third") == third), "transaction_id", load)
     return index.repeated(sales.where(F.col("third") == 2), "transaction_id", "load-3")
+
+
+@register("compacted_history", with_views("""
+SELECT strftime(run_history.ts, '%Y-%m-%d') AS run_date, scenario_name, count(*) AS n_runs,
+       count(*) FILTER (outcome = 'FAILED') AS n_failed, cast(sum(total_rows) AS bigint) AS total_rows
+FROM run_history WHERE run_history.ts IS NOT NULL GROUP BY ALL""", "run_history"))
+def compacted_history(spark, d):
+    """The history of three loads, its closed dates compacted, read back: runs per date and scenario."""
+    h = V.run_history(spark, d).where("ts is not null")
+    none = F.array().cast("array<string>")
+    records = h.select(
+        F.col("run_id").cast("string").alias("run_id"), "scenario_name", "failure_type", "ts", "outcome",
+        "duration_seconds", none.alias("remediation_applied"), none.alias("failed_stages"),
+        F.struct("total_rows", F.col("total_nulls"), "duplicate_count", none.alias("schema_violations")).alias("data_quality"))
+    store = f"{ensure_checkpoint_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}"
+    for load in range(3):
+        append_history(records.where(F.col("run_id").cast("bigint") % 3 == load), store)
+    compact_history(spark, store, before="2024-01-30")
+    return read_history(spark, store).groupBy(F.date_format("run_date", "yyyy-MM-dd").alias("run_date"), "scenario_name").agg(
+        F.count(F.lit(1)).alias("n_runs"), F.count_if(F.col("outcome") == "FAILED").alias("n_failed"),
+        F.sum("data_quality.total_rows").cast("bigint").alias("total_rows"))

@@ -306,14 +306,12 @@ HISTORY_SCHEMA = T.StructType([
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """The run history.  A missing store is an empty history; a file that
-    cannot be read is an error when the history is used, never skipped."""
-    try:
-        return spark.read.schema(HISTORY_SCHEMA).parquet(path)
-    except AnalysisException as exc:
-        if exc.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], HISTORY_SCHEMA)
+    """The run history, compacted dates included (``sources.compaction``).  A
+    missing store is an empty history; a file that cannot be read is an error
+    when the history is used, never skipped."""
+    from .compaction import visible_history
+    found = visible_history(spark, path)
+    return spark.createDataFrame([], HISTORY_SCHEMA) if found is None else found
 
 
 def append_history(records: DataFrame, path: str, rollup_path: str | None = None) -> None:
