@@ -292,7 +292,7 @@ def incident_report_lines(runs, stages, logs, calls, metrics) -> DataFrame:
 
     def head(section: int, name: str, count: str) -> Column:
         lines = F.array(line(section, -2, ""), line(section, -1, sec[name]))
-        return F.when(F.col(count) > 0, lines).otherwise(F.filter(lines, lambda x: F.lit(False)))
+        return F.slice(lines, F.lit(1), F.when(F.col(count) > 0, 2).otherwise(0))
 
     # every line that depends only on the run's report row, built as ONE array and exploded once
     per_run = F.concat(
