@@ -1,7 +1,9 @@
 """Token counts without materialised ids: pieces counted once per distinct pre-token.
 
-A pre-token here is a space-delimited chunk of a text (see ``tokens``): no
-token crosses its borders, so a text's count is the sum of its chunks' counts.
+A pre-token here is a chunk of a text (see ``tokens``): plain characters
+between two spaces, or one of the library's own pre-tokens where a text has
+other characters.  No token crosses its borders, so a text's count is the sum
+of its chunks' counts.
 
 1. Frequent chunks: each slice of a task reports chunks it meets at least
    ``LOCAL_MIN`` times; summed over the corpus, the most frequent (at most
@@ -11,6 +13,8 @@ token crosses its borders, so a text's count is the sum of its chunks' counts.
 2. Every document is read as chunk frequencies.  The head's part is summed in
    place; the other (document, chunk, frequency) rows are shuffled by chunk,
    where each distinct chunk is counted once and joined to its frequencies.
+   Chunks too long for the head may be frequent as well; each is dealt to
+   ``SPREAD`` tasks by row.
 3. Sum per row.
 """
 
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import cut, documents, slices
 from .tokens import LONGEST_KEPT, encoder
 
-LOCAL_MIN = 4
+LOCAL_MIN, SPREAD = 4, 32
 
 
 def frequent_chunks(rows: DataFrame, tokenizer: str, head_limit: int) -> dict[str, int]:
@@ -35,11 +39,9 @@ def frequent_chunks(rows: DataFrame, tokenizer: str, head_limit: int) -> dict[st
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = encoder(tokenizer)
         for batch in slices(batches):
-            texts = batch.column("text")
-            texts = texts.filter(pc.invert(codes.goes_whole(texts)))
-            if not len(texts):
+            if codes.kind == "whole":
                 continue
-            distinct, index, _ = codes.chunks_of(texts)
+            distinct, index, _ = codes.chunks_of(batch.column("text"))
             n = np.bincount(index, minlength=len(distinct))
             often = [i for i in np.flatnonzero(n >= LOCAL_MIN).tolist() if len(distinct[i]) <= LONGEST_KEPT]
             yield pa.RecordBatch.from_arrays([pa.array([distinct[i] for i in often], pa.string()),
@@ -91,12 +93,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, head_limit: int = 1 << 17,
             n, texts = batch.num_rows, batch.column("text")
             row_ids = np.arange(row, row + n)
             row += n
-            whole = codes.goes_whole(texts)
             tokens = np.zeros(n, np.int64)
-            at_once = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
-            if len(at_once):
-                tokens[at_once] = [len(x) for x in codes.whole(texts.filter(whole).to_pylist())]
-                texts = pc.if_else(whole, "", texts)
+            if codes.kind == "whole":
+                tokens[:] = [len(x) for x in codes.whole(texts.to_pylist())]
+                texts = pa.array([""] * n, pa.string())
             distinct, index, bounds = codes.chunks_of(texts)
             of = np.repeat(np.arange(n), np.diff(bounds))
             pieces = np.fromiter((known.get(c, -1) for c in distinct), np.int64, len(distinct))
@@ -135,7 +135,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, head_limit: int = 1 << 17,
 
     parts = rows.mapInArrow(frequencies, f"row_id long, doc_id {id_type}, n_bytes long, tokens long, "
                                          "chunk string, freq int")
-    by_chunk = parts.repartition(F.coalesce("chunk", F.col("row_id").cast("string"))).sortWithinPartitions("chunk")
+    spread = F.when(F.length("chunk") > LONGEST_KEPT, F.col("row_id") % SPREAD)
+    by_chunk = (parts.repartition(F.coalesce("chunk", F.col("row_id").cast("string")), spread)
+                .sortWithinPartitions("chunk"))
     return (by_chunk.mapInArrow(joined, f"row_id long, doc_id {id_type}, n_bytes long, tokens long")
             .groupBy("row_id").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"),
                                    F.sum("tokens").alias("n_tokens")).drop("row_id"))

@@ -10,11 +10,16 @@ here:
   single space belongs to the chunk after it;
 * the lower-casing word BPE, which drops white space.
 
-Texts with other characters than line feeds, printable ASCII and Latin
-letters, with runs of white space that cross a chunk, or with ``<|`` (special
-strings) go to the library whole; so does every text of any other tokenizer.
-The cache stops growing at a fixed number of entries, and a worker keeps the
-cache of one tokenizer only.
+A text with other characters than line feeds, printable ASCII and Latin
+letters, with runs of white space that cross a chunk, or with ``<|`` is cut
+only at spaces between two characters that are certainly no white space.  Its
+chunks of plain characters go the same way as all others.  The remaining ones
+are cut by the library's own normalizer and pre-tokenizer, once per distinct
+chunk, into pre-tokens (and special strings), each of which is encoded once.
+
+Only the texts of tokenizers of any other kind go to the library whole.  The
+cache stops growing at a fixed number of entries, and a worker keeps the cache
+of one tokenizer only.
 """
 
 from __future__ import annotations
@@ -29,7 +34,8 @@ import pyarrow.compute as pc
 from .common import kept
 
 KNOWN_LIMIT, LONGEST_KEPT = 400_000, 64
-#: Parts chunks that are searched together; texts that hold it go to the library whole.
+#: Parts chunks that are searched together.  No chunk of plain characters holds it; a pre-token in the
+#: library's own spelling has it once in front, a special string twice.
 PART = "\x00"
 
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ſ"
@@ -37,8 +43,12 @@ _NUMBER = "0-9²³¹¼-¾"
 _BYTE_PIECES = re.compile(rf"{PART}|'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+"
                           rf"| ?[^\s{_LETTER}{_NUMBER}{PART}]+|\s+(?![^\s{PART}])|\s+")
 _WORD_PIECES = re.compile(rf"{PART}|'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}{PART}]+")
-#: U+0130 lower-cases to two characters and so goes to the library.
-_WHOLE = r"\s \s|\s $|<\||[^\n -~\x{a1}-\x{12f}\x{131}-\x{17f}]"
+#: Texts that cannot be cut at every space.  U+0130 lower-cases to two characters and so is not plain.
+_MIXED = r"\s \s|\s $|<\||[^\n -~\x{a1}-\x{12f}\x{131}-\x{17f}]"
+_WIDE = re.compile("<\\||[^\n -~\u00a1-\u012f\u0131-\u017f]")
+#: No white space, control or format character by any table.
+_SOLID = "[^\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]"
+_CUT = re.compile(f"(?<={_SOLID}) (?={_SOLID})")
 
 
 def encoder(path: str) -> "Encoder":
@@ -105,10 +115,14 @@ class Encoder:
         self.alphabet = dict(enumerate(_byte_alphabet()))
         self.id_bytes = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
         self.known: dict[str, bytes] = {}
+        self.normalizer, self.pre_tokenizer = self.library.normalizer, self.library.pre_tokenizer
+        special = sorted((t["content"] for t in spec.get("added_tokens") or []), key=len, reverse=True)
+        self.special = re.compile("(" + ("|".join(map(re.escape, special)) or "(?!)") + ")")
 
     def _kind(self, spec: dict) -> str:
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
-        special = all(t["content"].startswith("<|") and not (t["normalized"] or t["lstrip"] or t["rstrip"])
+        special = all(t["content"].startswith("<|") and " " not in t["content"]
+                      and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"])
                       for t in spec.get("added_tokens") or [])
         if not special or spec["model"].get("type") != "BPE" or spec.get("truncation") or spec.get("padding"):
             return "whole"
@@ -140,6 +154,8 @@ class Encoder:
         found = self.known.get(chunk)
         if found is not None:
             return found
+        if chunk[:1] == PART:
+            return self._learn(chunk, self._wide_ids(chunk))
         text = chunk if self.kind == "byte" else chunk.lower()
         if (text[1:] if text[:1] == " " else text).isalpha():       # one word: one pre-token
             return self._learn(chunk, self._piece(text))
@@ -147,9 +163,22 @@ class Encoder:
         parts = [self.known.get(p) or self._learn(p, self._piece(p)) for p in self.pieces_of.findall(text)]
         return self._learn(chunk, b"".join(parts))
 
-    def goes_whole(self, texts: pa.Array) -> pa.Array:
-        """Which texts the library must see whole."""
-        return pc.match_substring_regex(texts, "" if self.kind == "whole" else _WHOLE)
+    def _wide_ids(self, key: str) -> bytes:
+        """Ids of a special string or of a pre-token in the library's own spelling."""
+        if key[1] == PART:
+            return self.id_bytes[self.library.token_to_id(key[2:])]
+        return b"".join([self.id_bytes[t.id] for t in self.model.tokenize(key[1:])])
+
+    def _wide_keys(self, chunk: str) -> list[str]:
+        """A chunk's special strings and pre-tokens, as the library cuts them."""
+        keys = []
+        for i, part in enumerate(self.special.split(chunk)):
+            if i % 2:
+                keys.append(PART + PART + part)
+            elif part:
+                part = part if self.normalizer is None else self.normalizer.normalize_str(part)
+                keys += [PART + shown for shown, _ in self.pre_tokenizer.pre_tokenize_str(part)]
+        return keys
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         """The library's ids, a few texts at a time."""
@@ -161,18 +190,36 @@ class Encoder:
         if self.kind == "whole":
             found = self.whole(texts.to_pylist())
             return np.concatenate([np.empty(0, "<u4"), *found]), np.array([len(x) for x in found], np.int64)
-        whole = self.goes_whole(texts)
-        if not pc.any(whole).as_py():
-            return self._split(texts)
-        ids, counts = self._split(pc.if_else(whole, "", texts))
-        found = iter(self.whole(texts.filter(whole).to_pylist()))
-        begins = np.cumsum(counts) - counts
-        parts = [next(found) if w else ids[b:b + n]
-                 for w, b, n in zip(whole.to_pylist(), begins.tolist(), counts.tolist())]
-        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        return self._split(texts)
 
     def chunks_of(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Distinct chunks of texts that need not go whole; each word's chunk; where each text's words begin."""
+        """Distinct chunks of the texts, those with ``PART`` last; the texts' chunks in order; where each text's begin."""
+        mixed = pc.match_substring_regex(texts, _MIXED)
+        if not pc.any(mixed).as_py():
+            return self._single_spaced(texts)
+        chunks, index, bounds = self._single_spaced(pc.if_else(mixed, "", texts))
+        plain, wide, met, parts = {c: i for i, c in enumerate(chunks)}, {}, {}, []
+        for text in texts.filter(mixed).to_pylist():
+            part = []
+            for i, chunk in enumerate(_CUT.split(text)):
+                if i and self.kind == "byte":
+                    chunk = " " + chunk
+                if chunk not in met:
+                    met[chunk] = ([-1 - wide.setdefault(key, len(wide)) for key in self._wide_keys(chunk)]
+                                  if _WIDE.search(chunk) else [plain.setdefault(chunk, len(plain))])
+                part += met[chunk]
+            parts.append(np.array(part, np.int64))
+        rows, counts = mixed.to_numpy(zero_copy_only=False), np.diff(bounds)
+        rest = index[np.repeat(~rows, counts)]
+        counts[rows] = list(map(len, parts))
+        here = np.repeat(rows, counts)
+        index = np.empty(len(here), np.int64)
+        index[~here], index[here] = rest, np.concatenate(parts)
+        index[index < 0] = len(plain) - 1 - index[index < 0]
+        return [*plain, *wide], index, np.concatenate([[0], np.cumsum(counts)])
+
+    def _single_spaced(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """``chunks_of`` texts of plain characters in which every space parts two chunks."""
         words, bounds = split_spaces(texts)
         coded = words.dictionary_encode()
         index, distinct = coded.indices.to_numpy(), strings(coded.dictionary)
@@ -186,7 +233,10 @@ class Encoder:
 
     def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         chunks, index, bounds = self.chunks_of(texts)
-        joined = PART.join([*chunks, ""])
+        plain = len(chunks)
+        while plain and chunks[plain - 1][:1] == PART:
+            plain -= 1
+        joined = PART.join([*chunks[:plain], ""])
         pieces, places, begins = cut_chunks(joined if self.kind == "byte" else joined.lower(), self.pieces_of)
         blobs = list(map(self.known.get, pieces))
         for i in [i for i, blob in enumerate(blobs) if blob is None]:
@@ -194,4 +244,8 @@ class Encoder:
         sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
         ids = gather(np.frombuffer(b"".join(blobs), "<u4"), sizes, places)
         lengths = sums(sizes[places], begins)
+        if plain < len(chunks):
+            blobs = list(map(self.chunk_ids, chunks[plain:]))
+            ids = np.concatenate([ids, np.frombuffer(b"".join(blobs), "<u4")])
+            lengths = np.concatenate([lengths, np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4])
         return gather(ids, lengths, index), sums(lengths[index], bounds)

@@ -36,6 +36,36 @@ def test_encoder_gives_the_librarys_ids(path, texts):
             assert mine.tolist() == theirs, x
 
 
+def mixed_texts():
+    """Texts of many scripts, white space of every kind, combining marks and special strings, put together at random."""
+    rng = np.random.default_rng(11)
+    parts = ["the", "Word", "it's", "’s", "“quoted”", "—", "€5", "12", "½", "Привет", "мир,", "日本語。", "テキスト", "한국어", "नमस्ते",
+             "العربية", "J\u030c", "e\u0301", "\u0301", "İ", "ΣΑΣ", "ǅ", "🙂🏽", "\u200b", "\u00ad", "x\u00a0y", "<|", "|>",
+             "<|endoftext|>", "<|startoftext|>", "a<|endoftext|>b", "<|end", "!!'s", "''", "\x00", "\x1f", "\ufeff", "ﬁ"]
+    gaps = [" ", " ", " ", " ", "  ", "   ", "\t", "\r\n", "\n", " \n", "\n ", "\u3000", "\u2009", "\u00a0", "\u2028", "\x85",
+            "\x1c", "", ""]
+    texts = ["".join(str(x) for pair in zip(rng.choice(parts, n), rng.choice(gaps, n)) for x in pair)
+             for n in rng.integers(1, 40, 1500)]
+    return texts + [a + g + b for a in parts for g in gaps for b in parts[::5]]
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_mixed_texts_are_counted_by_pre_token(path, monkeypatch):
+    texts = mixed_texts()
+    want = library_ids(path, texts)
+    encoder = Encoder(path)
+    monkeypatch.setattr(encoder, "whole", None)                        # no text goes to the library whole
+    for batch in (range(0, len(texts)), range(3), range(700, 760)):
+        ids, counts = encoder.encode(pa.array([texts[i] for i in batch], pa.string()))
+        for i, mine in zip(batch, np.split(ids, np.cumsum(counts)[:-1])):
+            assert mine.tolist() == want[i], repr(texts[i])
+    chunks, index, bounds = encoder.chunks_of(pa.array(texts, pa.string()))
+    assert len(set(chunks)) == len(chunks)
+    sizes = np.array([len(encoder.chunk_ids(c)) // 4 for c in chunks])
+    for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+        assert sizes[index[a:b]].sum() == len(want[i])
+
+
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_encoder_on_documents(spark, path):
     docs = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
@@ -125,6 +155,18 @@ def test_counts(odd_documents, texts):
         assert got == want
 
 
+def test_counts_of_mixed_texts(spark, tmp_path):
+    texts = mixed_texts()[::7] + ["-" * 300 + " x", None] * 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    other = Tokenizer.from_file(BYTE)
+    other.pre_tokenizer = __import__("tokenizers").pre_tokenizers.ByteLevel(add_prefix_space=True)
+    other.save(str(tmp_path / "t.json"))
+    for path, head in ((BYTE, 30), (BYTE, 1 << 17), (WORD, 30), (str(tmp_path / "t.json"), 30)):
+        got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(docs, path, head).collect()}
+        assert got == {i: (len((x or "").encode()), len(ids))
+                       for i, (x, ids) in enumerate(zip(texts, library_ids(path, texts)))}
+
+
 def test_count_query(spark):
     got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in queries.op3_token_counts(spark, SF).collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
