@@ -1,14 +1,15 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network.
 
 1. Words (runs of letters, of digits, of other signs; case kept) are hashed
-   into ``BUCKETS`` entries, each with a fixed sparse random index vector.  An
+   into ``buckets`` entries, each with a fixed sparse random index vector; words
+   of one entry share a vector (README has the cost for several sizes).  An
    entry's word vector is the sum of the index vectors around and at its
    occurrences in all documents, with unit length.  Tasks sum their own
    occurrences; the sums meet in a partial aggregate of a fixed size.
 2. A document's features are the mean and the spread of its word vectors, the
    mean square step from one to the next and the logarithm of their number.
 3. A two-layer network is fitted in numpy to labelled rows (at most
-   ``fit_rows``, by hash of their id); a temperature fitted to the part that
+   ``fit_rows``, by hash of their id, one text an id); a temperature fitted to the part that
    the network has not seen makes its outputs probabilities.
 """
 
@@ -34,20 +35,20 @@ _WORDS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 _PARTED = re.compile(rf"{PART}|[^\W\d_]+|\d+|[^\w\s{PART}]+|_+")
 
 
-def index_vectors() -> np.ndarray:
+def index_vectors(buckets: int = BUCKETS) -> np.ndarray:
     """The fixed random index vector of every entry: ``NONZERO`` entries of plus or minus one."""
     rng = np.random.default_rng(20)
-    out = np.zeros((BUCKETS, DIMENSIONS), np.int16)
-    places = rng.random((BUCKETS, DIMENSIONS)).argsort(axis=1)[:, :NONZERO]
+    out = np.zeros((buckets, DIMENSIONS), np.int16)
+    places = rng.random((buckets, DIMENSIONS)).argsort(axis=1)[:, :NONZERO]
     np.put_along_axis(out, places, rng.choice([-1, 1], places.shape).astype(np.int16), axis=1)
     return out
 
 
-def _entry(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8")) % BUCKETS
+def _hash(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8"))
 
 
-def word_entries(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_entries(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """The entries of all words of the texts, and each text's number of words."""
     words, bounds = split_spaces(texts)
     coded = words.dictionary_encode()
@@ -55,24 +56,24 @@ def word_entries(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     joined = PART.join([*chunks, ""])
     if joined.count(PART) == len(chunks):
         pieces, places, begins = cut_chunks(joined, _PARTED)
-        entries = np.fromiter(map(_entry, pieces), np.int32, len(pieces))[places]
+        entries = (np.fromiter(map(_hash, pieces), np.int64, len(pieces)) % buckets).astype(np.int32)[places]
     else:                                                       # a text holds the parting sign itself
         found = [_WORDS.findall(c) for c in chunks]
-        entries = np.array([_entry(w) for f in found for w in f], np.int32)
+        entries = np.array([_hash(w) % buckets for f in found for w in f], np.int32)
         begins = np.concatenate([[0], np.cumsum([len(f) for f in found], dtype=np.int64)])
     lengths = np.diff(begins)
     return gather(entries, lengths, index), sums(lengths[index], bounds)
 
 
-def word_vectors(rows: DataFrame) -> np.ndarray:
+def word_vectors(rows: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """The unit word vectors learned from all texts of ``rows`` (column ``text``); zero for entries never met."""
     names = [f"v{d}" for d in range(DIMENSIONS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = kept("word vectors", index_vectors)
-        total = np.zeros((BUCKETS, DIMENSIONS), np.int64)
+        index = kept(f"word vectors {buckets}", lambda: index_vectors(buckets))
+        total = np.zeros((buckets, DIMENSIONS), np.int64)
         for batch in slices(batches, limit=SLICE):
-            entries, counts = word_entries(batch.column("text"))
+            entries, counts = word_entries(batch.column("text"), buckets)
             text = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
             for begin in range(0, len(entries), BLOCK):
                 # a block's words with their neighbours on both sides
@@ -93,8 +94,8 @@ def word_vectors(rows: DataFrame) -> np.ndarray:
                                          ["entry", *names])
 
     summed = (rows.select("text").mapInArrow(run, "entry long, " + ", ".join(f"{n} long" for n in names))
-              .groupBy("entry").agg(*[F.sum(n).alias(n) for n in names]).collect())      # BUCKETS rows at most
-    vectors = np.zeros((BUCKETS, DIMENSIONS))
+              .groupBy("entry").agg(*[F.sum(n).alias(n) for n in names]).collect())      # buckets rows at most
+    vectors = np.zeros((buckets, DIMENSIONS))
     for row in summed:
         vectors[row[0]] = row[1:]
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -121,7 +122,7 @@ def _word_blocks(counts: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def features(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
     """Of each text: mean and spread of its word vectors, mean square step from word to word, log of its words."""
-    entries, counts = word_entries(texts)
+    entries, counts = word_entries(texts, len(vectors))
     text = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
     total = np.zeros((len(counts), 2 * DIMENSIONS + 1))
     for begin, end in _word_blocks(counts):
@@ -217,11 +218,11 @@ class Classifier:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, id_col: str = "doc_id",
-                text_col: str = "text", label_col: str = "quality") -> Classifier:
+                text_col: str = "text", label_col: str = "quality", buckets: int = BUCKETS) -> Classifier:
     """Learn word vectors from all texts, and labels from at most ``fit_rows`` rows that are not held out.
 
-    An id with several labels has their largest; null labels and ids label
-    nothing; with fewer than 20 labels, or one class only, every score will be
+    An id with several labels has their largest, an id with several rows gives
+    its least text; null labels and ids label nothing; with fewer than 20 labels, or one class only, every score will be
     the labels' mean (0.5 without labels).
     """
     rows = documents(docs, id_col, text_col)
@@ -230,8 +231,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, id_c
     # ids first: at most fit_rows of them are broadcast to fetch their texts
     some = (known.join(rows.select("doc_id"), "doc_id", "left_semi").where(~held_out(F.col("doc_id")))
             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows))
-    chosen = rows.join(F.broadcast(some), "doc_id").select("label", "text")
-    vectors = word_vectors(rows)
+    chosen = (rows.join(F.broadcast(some), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+              .select("label", "text"))
+    vectors = word_vectors(rows, buckets)
     shared = rows.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,13 +242,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, id_c
             lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), FEATURES).cast(pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([batch.column("label"), lists], ["label", "x"])
 
-    fit = sorted(chosen.mapInArrow(run, "label int, x array<float>").collect())      # repeated ids: a row each
+    fit = sorted(chosen.mapInArrow(run, "label int, x array<float>").collect())      # fit_rows rows at most
     x = np.array([r.x for r in fit], np.float64).reshape(len(fit), FEATURES)
     return Classifier(vectors, Network(x, np.array([r.label for r in fit], np.float64)))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, id_col: str = "doc_id",
-                  text_col: str = "text", label_col: str = "quality") -> DataFrame:
+                  text_col: str = "text", label_col: str = "quality", buckets: int = BUCKETS) -> DataFrame:
     """``doc_id, held_out, score`` of every row: the calibrated probability that its label is 1.
 
     Ids, labels and other columns take no part in a score.  Null texts count
@@ -254,7 +256,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, id
     an empty table gives no rows; see ``fit_quality`` for odd labels.
     """
     rows = documents(docs, id_col, text_col)
-    model = rows.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, fit_rows, id_col, text_col, label_col))
+    model = rows.sparkSession.sparkContext.broadcast(
+        fit_quality(docs, labels, fit_rows, id_col, text_col, label_col, buckets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,9 +269,16 @@ def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, id
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_rows: int = 20_000,
-                 id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, with all their columns; no shuffle of texts."""
-    model = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, fit_rows, id_col, text_col, label_col))
+                 id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+                 buckets: int = BUCKETS) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns.
+
+    Null texts count as empty; null and repeated ids and repeated rows stay or
+    go by their own text; an empty table gives no rows; columns may have any
+    names.  Only the texts that the fit reads are shuffled.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(
+        fit_quality(docs, labels, fit_rows, id_col, text_col, label_col, buckets))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
