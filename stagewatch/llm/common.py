@@ -28,8 +28,9 @@ def kept(name: str, make: Callable[[], object]) -> object:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    """A new path below the shared checkpoint folder, marked as this application's."""
+    return (f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{spark.sparkContext.applicationId}"
+            f"-{name}-{uuid.uuid4().hex}")
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -44,11 +45,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Delete every scratch table of this subpackage; results that still read them become invalid."""
+    """Delete this application's scratch tables; results that still read them become invalid.
+
+    For the job that is done with all its results: other jobs' tables in the folder stay.
+    """
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark))
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "llm-*")) or []:
+    for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, f"llm-{spark.sparkContext.applicationId}-*")) or []:
         fs.delete(status.getPath(), True)
 
 

@@ -73,7 +73,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 256) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of repeated rows one."""
+    """The rows of ``docs`` that stay, with all their columns; of repeated rows one.
+
+    Null texts count as empty, so one of all null, empty and white-space-only
+    texts stays; null ids are an id like any other (the largest); an empty
+    table gives no rows; columns may have any names.
+    """
     groups = cut(exact_groups(docs, id_col, text_col, prefix), "exact-groups")
     kept = groups.where("kept").select(F.col("doc_id").alias("keep_id"), "n_points", "n", "prefix")
     twice = (groups.groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("twice")).where("twice")

@@ -166,7 +166,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, max
 
 
 def sequences(pieces: DataFrame, capacity: int = 4096, pad_id: int = 0) -> DataFrame:
-    """Whole sequences of ``pack``: ``sequence_id, n_tokens, ids`` padded to ``capacity`` unless a power of two."""
+    """Whole sequences of ``pack``: ``sequence_id, n_tokens, ids`` padded to ``capacity`` unless a power of two.
+
+    No pieces give no sequences; null document ids and empty texts (a piece of
+    the end id alone) are pieces like any other.
+    """
     pad = F.lit(int(pad_id).to_bytes(4, "little"))
     whole = pieces.groupBy("sequence_id").agg(
         F.sum("length").alias("n_tokens"),

@@ -61,13 +61,20 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, row_gr
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, n_tokens, start`` (ids of all documents before it); the ids column is not read."""
+    """``doc_id, n_tokens, start`` (ids of all documents before it); the ids column is not read.
+
+    A row for every row written: null ids come last, repeated ids and rows each have theirs, an empty text has
+    the end id alone, an empty store gives no rows.
+    """
     rows = spark.read.parquet(path).select("doc_id", "n_tokens", "start_in_file", *_file())
     return _with_start(spark, path, rows)
 
 
 def read_tokens(spark: SparkSession, path: str, first_id=None, last_id=None) -> DataFrame:
-    """``doc_id, start, n_tokens, ids``, of the ids from ``first_id`` to ``last_id`` only where these are given."""
+    """``doc_id, start, n_tokens, ids``, of the ids from ``first_id`` to ``last_id`` only where these are given.
+
+    Rows as in ``read_metadata``; a range leaves null ids out.
+    """
     rows = spark.read.parquet(path)
     if first_id is not None:
         rows = rows.where(F.col("doc_id") >= first_id)

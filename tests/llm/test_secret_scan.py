@@ -48,8 +48,14 @@ def test_checksums():
 
 
 def test_operator(odd_documents, texts):
-    got = secret_scan.scan_secrets(odd_documents).collect()
-    assert len(got) == odd_documents.count()
+    secret = odd_documents.limit(1).selectExpr(
+        "1000L doc_id", "concat('é ', repeat('x ', 200000), 'token=abcdefghijklmnop') text", "lang", "source", "n_chars",
+        "row_id", "`a.b`")
+    rows = odd_documents.unionByName(secret).unionByName(secret)
+    got = [(r.doc_id, [(s.start, s.kind, s.end) for s in r.spans]) for r in secret_scan.scan_secrets(rows).collect()]
+    want = [(r.doc_id, [(s, KINDS[k], e) for s, k, e in brute(r.text)]) for r in rows.collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert sum(1 for d, spans in got if d == 1000 and spans == [(400002, "assign", 400024)]) == 2
     empty = odd_documents.limit(0)
     assert secret_scan.scan_secrets(empty).count() == 0
 
