@@ -66,4 +66,15 @@ def test_stages_take_odd_tables(spark, odd_documents, tmp_path):
         out = stage(spark, odd_documents, SF)
         assert out.columns == odd_documents.columns and out.count() > 0
         assert stage(spark, odd_documents.limit(0), SF).count() == 0
-    assert corpus_pipeline.STAGES[0][1](spark, odd_documents, SF).columns == odd_documents.columns
+    first, last = corpus_pipeline.STAGES[0][1], corpus_pipeline.STAGES[4][1]
+    good = first(spark, odd_documents, SF)
+    assert good.columns == odd_documents.columns
+    scores = quality.fit_quality(odd_documents, queries.table(spark, SF, "labels")).score(
+        odd_documents.select("text").toArrow()["text"].combine_chunks())
+    assert good.count() == int((scores >= 0.7).sum())
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    sizes = check_packing(last(spark, odd_documents, SF).collect(),
+                          [(r.doc_id, library_ids(path, [r.text])[0]) for r in odd_documents.collect()], 4096)
+    assert all(n == 4096 or n & (n - 1) == 0 for n in sizes)
+    for stage in (first, last):
+        assert stage(spark, odd_documents.limit(0), SF).count() == 0
