@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import (ANOMALY_THRESHOLD, FAILED_OUTCOMES, KNOWN_FAILURE_MIN,
                                    KNOWN_FAILURE_OUTCOMES, LOOKBACK_HOURS)
 from ..functions.exprs import safe_ratio
-from .prefix import prior_counts
+from .prefix import prior_counts, prior_sums
 
 DURATION_TYPE = "decimal(38,9)"   # exact, order-independent sums of durations
 
@@ -128,22 +128,42 @@ def baseline_deviation(history: DataFrame, as_of, hours: int = LOOKBACK_HOURS) -
     period_start = _ts(as_of) - F.make_dt_interval(hours=F.lit(hours))
     current = history.where(F.col("ts") >= period_start)
     base = baseline_metrics(history.where(F.col("ts") < period_start))
-    rows = F.coalesce(F.nullif(F.col("total_rows"), F.lit(0)), F.lit(1))
-    cur = current.select("run_id", "scenario_name",
-                         (F.coalesce(F.col("total_nulls"), F.lit(0)).cast("double") / rows.cast("double")).alias("current_null_rate"),
-                         (F.coalesce(F.col("duplicate_count"), F.lit(0)).cast("double") / rows.cast("double")).alias("current_duplicate_rate"))
-    j = cur.join(base, "scenario_name", "left")
+    j = current.join(base, "scenario_name", "left")
+    return _deviation(j, F.col("avg_null_rate"), F.col("avg_duplicate_rate"))
+
+
+def own_baseline_deviation(history: DataFrame) -> DataFrame:
+    """J5 for every run of the history at once: each against all records of its
+    scenario that are strictly earlier than the run itself.
+
+    Sums before each run come from ``prefix.prior_sums``: no window spans a
+    scenario's runs, so a scenario may hold any share of them.  Runs without a
+    time have no baseline and are in none; null scenarios are one of their own.
+    """
+    metrics = ["total_rows", "total_nulls", "duplicate_count"]
+    measured = F.coalesce(*[F.col(c) for c in metrics]).isNotNull()
+    sums = {"sample_size": measured.cast("bigint"),
+            **{f"prior_{c}": F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in metrics}}
+    j = prior_sums(history, "run_id", ["scenario_name"], "ts", sums, ["scenario_name", *metrics])
+    rows = F.col("prior_total_rows")
+    return _deviation(j, safe_ratio(F.col("prior_total_nulls"), rows), safe_ratio(F.col("prior_duplicate_count"), rows))
+
+
+def _deviation(j: DataFrame, null_rate: Column, duplicate_rate: Column) -> DataFrame:
+    """Runs beside their baseline (``sample_size`` and its rates): rates, deltas and the anomaly flag."""
+    rows = F.coalesce(F.nullif(F.col("total_rows"), F.lit(0)), F.lit(1)).cast("double")
+    cn = F.coalesce(F.col("total_nulls"), F.lit(0)).cast("double") / rows
+    cd = F.coalesce(F.col("duplicate_count"), F.lit(0)).cast("double") / rows
     avail = F.coalesce(F.col("sample_size"), F.lit(0)) > 0
-    nd = F.col("current_null_rate") - F.col("avg_null_rate")
-    dd = F.col("current_duplicate_rate") - F.col("avg_duplicate_rate")
+    nd, dd = cn - null_rate, cd - duplicate_rate
     return j.select(
         "run_id", "scenario_name", avail.alias("baseline_available"),
         F.coalesce(F.col("sample_size"), F.lit(0)).alias("sample_size"),
-        _places(F.col("current_null_rate")).alias("current_null_rate"),
-        _places(F.when(avail, F.col("avg_null_rate"))).alias("baseline_null_rate"),
+        _places(cn).alias("current_null_rate"),
+        _places(F.when(avail, null_rate)).alias("baseline_null_rate"),
         _places(F.when(avail, nd)).alias("null_rate_delta"),
-        _places(F.col("current_duplicate_rate")).alias("current_duplicate_rate"),
-        _places(F.when(avail, F.col("avg_duplicate_rate"))).alias("baseline_duplicate_rate"),
+        _places(cd).alias("current_duplicate_rate"),
+        _places(F.when(avail, duplicate_rate)).alias("baseline_duplicate_rate"),
         _places(F.when(avail, dd)).alias("duplicate_rate_delta"),
         F.when(avail, (F.abs(nd) > ANOMALY_THRESHOLD) | (F.abs(dd) > ANOMALY_THRESHOLD))
         .otherwise(F.lit(False)).alias("anomaly_detected"))

@@ -63,3 +63,30 @@ def prior_counts(df: DataFrame, id_col: str, keys: list[str], ts_col: str, match
     out = base.join(answers, (F.col("_k") == F.col("_ak")) & (F.col("_t") == F.col("_at")),
                     "inner" if carry is None else "left")
     return out.select(F.col("_id").alias(id_col), *[F.col(n).alias(c) for c, n in zip(carry or [], carried)], "prior_count")
+
+
+def prior_sums(df: DataFrame, id_col: str, keys: list[str], ts_col: str, sums: dict[str, Column],
+               carry: list[str], bucket_us: int = BUCKET_US) -> DataFrame:
+    """``(id_col, *carry, *sums)``: each sum over all rows with equal ``keys`` (null-safe) and a strictly
+    earlier time; 0 where there are none, null for rows without a time (which add nothing either).
+
+    The same steps as ``prior_counts`` without a look-back: a point per key
+    and distinct time, a window inside each time bucket, a window over buckets.
+    """
+    names, carried = [f"_s{i}" for i in range(len(sums))], [f"_c{i}" for i in range(len(carry))]
+    base = df.select(quoted(id_col).alias("_id"), *[quoted(c).alias(n) for c, n in zip(carry, carried)],
+                     F.struct(*[quoted(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("_k"),
+                     micros_since_epoch(quoted(ts_col)).alias("_t"),
+                     *[c.alias(n) for c, n in zip(sums.values(), names)])
+    points = (base.where("_t is not null").groupBy("_k", "_t").agg(*[F.sum(n).alias(n) for n in names])
+              .withColumn("_b", F.floor(F.col("_t") / F.lit(bucket_us))))
+    here = Window.partitionBy("_k", "_b").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("_bk").orderBy("_bb").rowsBetween(Window.unboundedPreceding, -1)
+    inside = points.select("_k", "_t", "_b", *[F.coalesce(F.sum(n).over(here), F.lit(0)).alias(f"_in{n}") for n in names])
+    buckets = (points.groupBy(F.col("_k").alias("_bk"), F.col("_b").alias("_bb")).agg(*[F.sum(n).alias(n) for n in names])
+               .select("_bk", "_bb", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_before{n}") for n in names]))
+    answers = inside.join(buckets, (F.col("_k") == F.col("_bk")) & (F.col("_b") == F.col("_bb"))).select(
+        F.col("_k").alias("_ak"), F.col("_t").alias("_at"),
+        *[(F.col(f"_in{n}") + F.col(f"_before{n}")).cast("bigint").alias(o) for n, o in zip(names, sums)])
+    out = base.join(answers, (F.col("_k") == F.col("_ak")) & (F.col("_t") == F.col("_at")), "left")
+    return out.select(F.col("_id").alias(id_col), *[F.col(n).alias(c) for c, n in zip(carry, carried)], *sums)

@@ -89,6 +89,32 @@ def baseline_deviation(spark, d):
     return H.baseline_deviation(V.run_history(spark, d), AS_OF)
 
 
+@register("own_baseline_deviation", with_views(f"""
+WITH prior AS (
+  SELECT run_id, scenario_name,
+         cast(total_nulls AS double) / cast(coalesce(nullif(total_rows, 0), 1) AS double) AS cn,
+         cast(duplicate_count AS double) / cast(coalesce(nullif(total_rows, 0), 1) AS double) AS cd,
+         count(*) OVER earlier AS sample_size, sum(total_rows) OVER earlier AS r,
+         sum(total_nulls) OVER earlier AS n, sum(duplicate_count) OVER earlier AS d
+  FROM run_history
+  WINDOW earlier AS (PARTITION BY scenario_name ORDER BY epoch_us(ts)
+                     RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+rates AS (
+  SELECT *, CASE WHEN sample_size > 0 THEN coalesce(cast(n AS double) / nullif(cast(r AS double), 0), 0.0) END AS bn,
+         CASE WHEN sample_size > 0 THEN coalesce(cast(d AS double) / nullif(cast(r AS double), 0), 0.0) END AS bd
+  FROM prior)
+SELECT run_id, scenario_name, sample_size > 0 AS baseline_available, cast(sample_size AS bigint) AS sample_size,
+       {_places("cn")} AS current_null_rate, {_places("bn")} AS baseline_null_rate,
+       {_places("cn - bn")} AS null_rate_delta,
+       {_places("cd")} AS current_duplicate_rate, {_places("bd")} AS baseline_duplicate_rate,
+       {_places("cd - bd")} AS duplicate_rate_delta,
+       coalesce(abs(cn - bn) > 0.05 OR abs(cd - bd) > 0.05, false) AS anomaly_detected
+FROM rates""", "run_history"))
+def own_baseline_deviation(spark, d):
+    """Every run against its scenario's records before it."""
+    return H.own_baseline_deviation(V.run_history(spark, d))
+
+
 _KNOWN_SQL = f"""known AS (
   SELECT run_id, scenario_name, failure_type,
          coalesce(sum(CASE WHEN outcome IN ('FAILED', 'UNRESOLVED', 'RESOLVED') THEN 1 ELSE 0 END) OVER (

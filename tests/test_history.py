@@ -192,3 +192,36 @@ def test_recent_runs_limit_and_scenario(spark):
     got = H.recent_runs(h, 2, scenario="s").orderBy("recency_rank").collect()
     assert [r["run_id"] for r in got] == ["s0", "s1"]
     assert H.recent_runs(h, 10).count() == 6
+
+
+def test_own_baseline_against_brute_force(spark):
+    """Ties in time, a scenario with most runs, null metrics, times and scenarios, runs on both sides of an hour."""
+    rng = random.Random(7)
+    rows = [rec(f"r{i}", scenario=rng.choice(["hot", "hot", "hot", "a", None]), hours=rng.choice([0, 1, 1.5, 2, 30, 31.25]),
+                rows=rng.choice([0, 100, 200]), nulls=rng.randrange(30), dups=rng.randrange(9)) for i in range(120)]
+    h = spark.createDataFrame(rows, SCHEMA)
+    gone = F.col("run_id").isin("r3", "r4")
+    for c in ("total_rows", "total_nulls", "duplicate_count"):
+        h = h.withColumn(c, F.when(~gone, F.col(c)))
+    h = h.withColumn("ts", F.when(~F.col("run_id").isin("r5", "r6"), F.col("ts"))).cache()
+    got = {r.run_id: r for r in H.own_baseline_deviation(h).collect()}
+    runs = h.collect()
+    assert len(got) == len(runs)
+    seen = set()
+    for r in runs:
+        before = [b for b in runs if r.ts and b.ts and b.ts < r.ts and b.scenario_name == r.scenario_name]
+        n = sum(b.total_rows is not None for b in before)
+        total, nulls, dups = (sum(getattr(b, c) or 0 for b in before) for c in ("total_rows", "total_nulls", "duplicate_count"))
+        mine = got[r.run_id]
+        assert (mine.sample_size, mine.baseline_available) == (n, n > 0)
+        cn, cd = (r.total_nulls or 0) / (r.total_rows or 1), (r.duplicate_count or 0) / (r.total_rows or 1)
+        assert mine.current_null_rate == pytest.approx(cn, abs=6e-5)
+        if not n:
+            assert mine.baseline_null_rate is None and not mine.anomaly_detected
+            continue
+        bn, bd = (nulls / total, dups / total) if total else (0, 0)
+        assert mine.baseline_null_rate == pytest.approx(bn, abs=6e-5)
+        assert mine.duplicate_rate_delta == pytest.approx(cd - bd, abs=6e-5)
+        assert mine.anomaly_detected == (abs(cn - bn) > 0.05 or abs(cd - bd) > 0.05)
+        seen.add(mine.anomaly_detected)
+    assert seen == {True, False}
