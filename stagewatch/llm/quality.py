@@ -2,7 +2,7 @@
 
 1. Words (runs of letters, of digits, of other signs; case kept) are hashed
    into ``buckets`` entries, each with a fixed sparse random index vector; words
-   of one entry share a vector (README has the cost for several sizes).  An
+   of one entry share a vector.  An
    entry's word vector is the sum of the index vectors around and at its
    occurrences in all documents, with unit length.  Tasks sum their own
    occurrences; the sums meet in a partial aggregate of a fixed size.
