@@ -2,8 +2,9 @@
 
 The graph's closure is found by joining it with itself until it no longer
 grows (twice as far each round; a cycle ends it like any path).  It has a row
-per pair of stages, whatever the number of runs; every run's stages then meet
-it in one join.
+per pair of stages, whatever the number of runs.  Few stages would make few and
+huge groups of runs, so a closure of up to ``MOST_PAIRS`` pairs goes to where
+the runs are; a larger one is joined by stage.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 FAILED, SKIPPED = "failed", "skipped"
+#: Pairs of a closure that is sent to every task.
+MOST_PAIRS = 100_000
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -38,7 +41,11 @@ def closure(edges: DataFrame) -> DataFrame:
         "upstream", "stage", F.coalesce("back", F.lit(False)).alias("cyclic")))
 
 
-def gate(stages: DataFrame, reach: DataFrame) -> DataFrame:
+def _few(reach: DataFrame, most_pairs: int) -> bool:
+    return reach.limit(most_pairs + 1).count() <= most_pairs
+
+
+def gate(stages: DataFrame, reach: DataFrame, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """``run_id, stage_name, status, blocked_by, effective_status, gate_ok`` of every stage of every run.
 
     ``stages``: ``run_id, stage_name, status``, one row per run and stage.  A
@@ -47,7 +54,9 @@ def gate(stages: DataFrame, reach: DataFrame) -> DataFrame:
     status says so.  Stages of a cycle do not block each other.
     """
     failed = stages.where(F.col("status") == FAILED).select("run_id", F.col("stage_name").alias("upstream"))
-    blocks = failed.join(reach.where("not cyclic"), "upstream").groupBy("run_id", F.col("stage").alias("stage_name")).agg(
+    strict = reach.where("not cyclic")
+    blocked = failed.join(F.broadcast(strict) if _few(reach, most_pairs) else strict, "upstream")
+    blocks = blocked.groupBy("run_id", F.col("stage").alias("stage_name")).agg(
         F.array_join(F.sort_array(F.collect_set("upstream")), ",").alias("blocked_by"))     # stages of one graph
     j = stages.join(blocks, ["run_id", "stage_name"], "left")
     blocked = F.col("blocked_by").isNotNull()
@@ -56,14 +65,38 @@ def gate(stages: DataFrame, reach: DataFrame) -> DataFrame:
                     (~blocked | (F.col("status") == SKIPPED)).alias("gate_ok"))
 
 
-def root_causes(stages: DataFrame, reach: DataFrame) -> DataFrame:
+def _by_stage(pairs: DataFrame, stage: str, other: str) -> Column:
+    """A map from each ``stage`` of the pairs to its ``other`` stages, sent to every task as one value."""
+    each = pairs.groupBy(F.col(stage).alias("k")).agg(F.collect_set(other).alias("v"))
+    return each.agg(F.map_from_entries(F.collect_list(F.struct("k", "v")))).scalar()
+
+
+def root_causes(stages: DataFrame, reach: DataFrame, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """``run_id, root_stages, downstream_impact`` of every run with a failed stage.
 
     A root is a failed stage with no failed stage strictly upstream; the impact
     is every stage that a root reaches and that is no root itself.  Failed
     stages of one cycle are roots together.
     """
-    failed = stages.where(F.col("status") == FAILED).select("run_id", F.col("stage_name").alias("stage")).distinct()
+    failed = stages.where(F.col("status") == FAILED)
+    if not _few(reach, most_pairs):
+        return _root_causes_by_join(failed, reach)
+    runs = failed.groupBy("run_id").agg(F.collect_set("stage_name").alias("failed")).select(      # stages of one graph
+        "*", _by_stage(reach.where("not cyclic"), "stage", "upstream").alias("above"),
+        _by_stage(reach, "upstream", "stage").alias("below"))
+    explained = lambda s: F.coalesce(F.arrays_overlap("failed", F.try_element_at("above", s)), F.lit(False))
+    found = runs.select("run_id", "below", F.when(F.col("run_id").isNull(), F.col("failed")).otherwise(   # as in a join
+        F.filter("failed", lambda s: ~explained(s))).alias("roots"))
+    reached = F.flatten(F.transform("roots", lambda s: F.coalesce(
+        F.try_element_at("below", s), F.array().cast("array<string>"))))
+    listed = lambda a: F.array_join(F.sort_array(a), ",")
+    return found.select("run_id", listed(F.col("roots")).alias("root_stages"),
+                        listed(F.array_except(reached, F.col("roots"))).alias("downstream_impact"))
+
+
+def _root_causes_by_join(failed: DataFrame, reach: DataFrame) -> DataFrame:
+    """``root_causes`` for a closure too large to be sent around."""
+    failed = failed.select("run_id", F.col("stage_name").alias("stage")).distinct()
     above = failed.select("run_id", F.col("stage").alias("upstream")).join(reach.where("not cyclic"), "upstream").select(
         "run_id", "stage")
     roots = failed.join(above, ["run_id", "stage"], "left_anti")

@@ -102,6 +102,27 @@ def test_gates_and_roots(spark):
     assert got == want
 
 
+def test_few_stages_are_met_where_the_runs_are(spark):
+    rnd = random.Random(9)
+    names = sorted({x for e in EDGES for x in e if x})
+    rows = [(r, s, rnd.choice(["failed", "success", None])) for r in [*range(40), None, 3] for s in [*names, "apart", None]]
+    rows += [(50, None, "failed"), (51, "apart", "failed"), (51, "apart", "failed"), (52, "a", "success")]
+    table = spark.createDataFrame(rows, "run_id int, stage_name string, status string")
+    for edges in (EDGES, []):
+        reach = G.closure(spark.createDataFrame(edges, "stage string, depends_on string"))
+        for f in (G.root_causes, G.gate):
+            both = [sorted(map(tuple, f(table, reach, most_pairs=n).collect()), key=str) for n in (10_000, 0 if edges else -1)]
+            assert both[0] == both[1]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")       # as for runs that are many
+    try:
+        reach = G.closure(spark.createDataFrame(EDGES, "stage string, depends_on string"))
+        plans = [f(table, reach)._jdf.queryExecution().executedPlan().toString() for f in (G.root_causes, G.gate)]
+        assert "Join" not in plans[0]
+        assert plans[1].count("SortMergeJoin") == 1 and "BroadcastHashJoin" in plans[1]        # by run, not by stage
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_the_three_stage_chain_stays_equal(spark):
     chain = G.closure(spark.createDataFrame([("transform", "ingestion"), ("load", "transform")], "stage string, depends_on string"))
     rows = []
