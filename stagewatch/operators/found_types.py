@@ -37,15 +37,15 @@ def type_counts(df: DataFrame, dataset: str) -> DataFrame:
     All columns in one aggregate over one scan, no row where the table is empty.  Values are taken as text
     without white space at their ends; empty texts count as null.
     """
-    texts = [F.struct(F.lit(name).alias("column_name"), F.trim(quoted(name).cast("string")).alias("text"))
-             for name in df.columns]
-    # a row per value, so that each is looked at once; added up per column before anything is shuffled
-    cells = df.select(F.explode(F.array(*texts)).alias("cell")).select(
-        "cell.column_name", F.when(F.col("cell.text") != "", F.col("cell.text")).alias("value"))
-    marked = cells.select("column_name", "value", *[_is(k, F.col("value")).alias(k) for k in KINDS])
-    return marked.groupBy("column_name").agg(F.count("value").alias("n_values"), *[a for k in KINDS for a in (
-        F.count_if(k).alias(f"n_{k}"), F.min(F.when(~F.col(k), F.col("value"))).alias(f"not_{k}"))]).select(
-        F.lit(dataset).alias("dataset"), "*")
+    # no key to group by: the least texts would have a grouped aggregate sort every value of every column
+    texts = df.select(*[F.trim(quoted(name).cast("string")).alias(f"t{i}") for i, name in enumerate(df.columns)])
+    values = texts.select(*[F.when(F.col(t) != "", F.col(t)).alias(t) for t in texts.columns])
+    marked = values.select("*", *[_is(k, F.col(t)).alias(f"{t}_{k}") for t in texts.columns for k in KINDS])
+    added = marked.agg(F.count(F.lit(1)).alias("n_rows"), *[F.struct(
+        F.lit(name).alias("column_name"), F.count(t).alias("n_values"), *[a for k in KINDS for a in (
+            F.count_if(f"{t}_{k}").alias(f"n_{k}"), F.min(F.when(~F.col(f"{t}_{k}"), F.col(t))).alias(f"not_{k}"))]).alias(t)
+        for t, name in zip(texts.columns, df.columns)]).where("n_rows > 0")
+    return added.select(F.inline(F.array(*texts.columns))).select(F.lit(dataset).alias("dataset"), "*")
 
 
 def merge_type_counts(profiles: list[DataFrame]) -> DataFrame:

@@ -27,6 +27,18 @@ def test_lattice(spark):
                    "none": (True, 0, None), "bad day": (False, 1, "2024-02-30"), "b": (False, 3, "FALSE")}
 
 
+def test_values_are_not_sorted(spark):
+    frame = spark.range(1000).select(F.col("id").alias("a.b"), F.when(F.col("id") > 5, F.col("id") / 4).alias("f"))
+    found = D.type_counts(frame, "t")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [" not in plan and "Generate explode" not in plan
+    assert {r.column_name: (r.n_values, r.n_integer, r.not_integer, r.n_float) for r in found.collect()} == {
+        "a.b": (1000, 1000, None, 1000), "f": (994, 0, "1.5", 994)}
+    assert D.type_counts(frame.limit(0), "t").count() == 0
+    nulls = D.type_counts(spark.createDataFrame([(None, " ")] * 3, "x int, y string"), "t")
+    assert [(r.column_name, r.n_values, r.n_date, r.not_date) for r in nulls.collect()] == [("x", 0, 0, None), ("y", 0, 0, None)]
+
+
 def test_profiles_of_loads_merge(spark):
     frame = spark.range(100).select(F.when(F.col("id") == 77, "x").otherwise(F.col("id").cast("string")).alias("a"),
                                     F.col("id").alias("b"))
