@@ -3,9 +3,10 @@
 Rows are dealt by a hash of their key into the leaves of a tree; a leaf's
 digest adds up the hashes of its rows, so it does not depend on their order and
 is summed where the rows are read.  Only rows below leaves that differ are
-looked at again: first by key, then by column.  Two tables that agree cost one
-scan each and a shuffle of one row per leaf and task; a difference costs the
-rows of its leaf.
+looked at again, by key and column: both sides are shuffled by key as they are
+(their hashes would not compress) and compared where they meet.  Two tables
+that agree cost one scan each and a shuffle of one row per leaf and task; a
+difference costs the rows of its leaf, once.
 """
 
 from __future__ import annotations
@@ -34,6 +35,11 @@ def _added(h: Column) -> Column:
     return F.sum(h.cast("decimal(20,0)"))
 
 
+def _halves(h: Column) -> list[Column]:
+    """The upper and lower 32 bits of a hash, whose sums need no decimals: two sums of hashes differ if these do not agree."""
+    return [F.shiftright(h, 32), h.bitwiseAND(0xFFFFFFFF)]
+
+
 def _leaf(key: str, leaves: int) -> Column:
     return F.pmod(F.xxhash64(F.lit("leaf"), quoted(key).cast("string")), F.lit(leaves)).cast("int")
 
@@ -75,27 +81,33 @@ def content_differences(source: DataFrame, target: DataFrame, key: str, columns:
     nulls equal nulls; values are compared as text, so a column may have
     another type in the target.
     """
-    trees = [cut_lineage(hash_tree(t, key, columns, leaves)) for t in (source, target)]
-    opened = cut_lineage(differing_leaves(*trees, leaves))     # at most ``leaves`` numbers
-
-    def by_key(table: DataFrame, side: str) -> DataFrame:
-        rows = table.join(F.broadcast(opened), _leaf(key, leaves) == F.col("leaf"), "left_semi")
-        return rows.groupBy(quoted(key).cast("string").alias(f"{side}_key")).agg(
-            F.count(F.lit(1)).alias(f"{side}_rows"), _added(F.xxhash64(F.struct(*[_value(c) for c in columns]))).alias(
-                f"{side}_all"), *[_added(_value(c)).alias(f"{side}_{i}") for i, c in enumerate(columns)])
-
-    both = by_key(source, "source").join(by_key(target, "target"), F.col("source_key").eqNullSafe(F.col("target_key")),
-                                         "full_outer")
-    changed = F.concat_ws(",", *[F.when(F.col(f"source_{i}") != F.col(f"target_{i}"), F.lit(c))
-                                 for i, c in enumerate(columns)])
-    status = (F.when(F.col("target_rows").isNull(), MISSING).when(F.col("source_rows").isNull(), EXTRA)
-              .when(F.col("source_rows") != F.col("target_rows"), ROWS)
-              .when(F.col("source_all") != F.col("target_all"), CHANGED))
-    return both.select(
-        F.when(F.col("source_rows").isNull(), F.col("target_key")).otherwise(F.col("source_key")).alias("key"),
-        status.alias("status"), F.coalesce("source_rows", F.lit(0)).alias("source_rows"),
-        F.coalesce("target_rows", F.lit(0)).alias("target_rows"),
-        F.when(status == CHANGED, changed).otherwise("").alias("changed_columns")).where("status is not null")
+    # both in one plan: what the two sides have in common is read and shuffled once
+    trees = cut_lineage(reduce(DataFrame.unionByName, [
+        hash_tree(t, key, columns, leaves).withColumn("side", F.lit(i)) for i, t in enumerate((source, target))]))
+    opened = cut_lineage(differing_leaves(*[trees.where(F.col("side") == i).drop("side") for i in (0, 1)]))  # ``leaves`` at most
+    names = [f"v{i}" for i in range(len(columns))]
+    sides = [t.join(F.broadcast(opened), _leaf(key, leaves) == F.col("leaf"), "left_semi").select(
+        quoted(key).cast("string").alias("key"), *[quoted(c).alias(n) for n, c in zip(names, columns)])
+        for t in (source, target)]
+    kinds = [[f.dataType for f in t.schema.fields] for t in sides]
+    as_text = {n for n, a, b in zip(names, kinds[0][1:], kinds[1][1:]) if a != b}
+    rows = reduce(DataFrame.unionByName, [t.select("key", F.lit(sign).cast("tinyint").alias("sign"), *[
+        F.col(n).cast("string").alias(n) if n in as_text else F.col(n) for n in names]) for t, sign in zip(sides, (1, -1))])
+    # hashes of the source less those of the target: all of a row first, then of each column
+    hashed = rows.repartition("key").select("key", "sign", F.xxhash64(F.struct(*[_value(n) for n in names])).alias("h"),
+                                            *[_value(n).alias(n) for n in names])
+    both = hashed.groupBy("key").agg(
+        F.count_if(F.col("sign") > 0).alias("source_rows"), F.count_if(F.col("sign") < 0).alias("target_rows"),
+        *[F.sum(F.col("sign") * half).alias(f"{n}_{i}") for n in ["h", *names] for i, half in enumerate(_halves(F.col(n)))])
+
+    def differs(n: str) -> Column:
+        return (F.col(f"{n}_0") != 0) | (F.col(f"{n}_1") != 0)
+
+    changed = F.concat_ws(",", *[F.when(differs(n), F.lit(c)) for n, c in zip(names, columns)])
+    status = (F.when(F.col("target_rows") == 0, MISSING).when(F.col("source_rows") == 0, EXTRA)
+              .when(F.col("source_rows") != F.col("target_rows"), ROWS).when(differs("h"), CHANGED))
+    return both.select("key", status.alias("status"), "source_rows", "target_rows",
+                       F.when(status == CHANGED, changed).otherwise("").alias("changed_columns")).where("status is not null")
 
 
 def difference_summary(differences: DataFrame) -> DataFrame:

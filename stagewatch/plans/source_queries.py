@@ -91,13 +91,18 @@ def _two_sides(spark, d):
     src = V.sales(spark, d, with_region=False, with_keys=True)
     k = F.col("order_key")
     price = F.when(k % 103 == 0, F.col("unit_price") + 1).otherwise(F.col("unit_price")).cast("decimal(12,2)")
-    moved = src.where(k % 97 != 0).withColumn("unit_price", price).withColumn(
-        "currency", F.when(k % 109 != 0, F.col("currency"))).withColumn(
-        "status", F.when((k % 103 == 0) | (k % 89 == 0), "fixed").otherwise(F.col("status")))
-    new = src.where(k % 101 == 0).withColumn("transaction_id", F.concat("transaction_id", F.lit("+")))
-    twice = src.where((k % 107 == 0) & (k % 97 != 0))
-    keep = ["transaction_id", *COLUMNS]
-    return src.select(*keep), moved.select(*keep).unionByName(new.select(*keep)).unionByName(twice.select(*keep))
+    # every booking of an order's line from one pass over the sales, which both sides then share: moved, new, twice
+    booked = src.withColumn("booking", F.explode(F.array(F.lit("moved"), F.lit("new"), F.lit("twice"))))
+    kind = F.col("booking")
+    booked = booked.where(((kind == "moved") & (k % 97 != 0)) | ((kind == "new") & (k % 101 == 0)) | (
+        (kind == "twice") & (k % 107 == 0) & (k % 97 != 0)))
+    moved = lambda to, c: F.when(kind == "moved", to).otherwise(F.col(c)).alias(c)
+    changes = {"unit_price": price, "currency": F.when(k % 109 != 0, F.col("currency")),
+               "status": F.when((k % 103 == 0) | (k % 89 == 0), "fixed").otherwise(F.col("status"))}
+    target = booked.select(
+        F.when(kind == "new", F.concat("transaction_id", F.lit("+"))).otherwise(F.col("transaction_id")).alias("transaction_id"),
+        *[moved(changes[c], c) if c in changes else F.col(c) for c in COLUMNS])
+    return src.select("transaction_id", *COLUMNS), target
 
 
 @register("content_differences", with_views(f"""

@@ -1,5 +1,8 @@
 """Contents reconciled by a hash tree, and the routes of quality issues."""
 
+import datetime as dt
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +58,35 @@ def test_only_rows_of_differing_leaves_are_opened(spark):
     assert "LeftSemi" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
 
 
+def test_both_sides_are_shuffled_once_and_as_they_are(spark, tmp_path):
+    from stagewatch.plans import catalog
+    keys = [1, 2, 89, 97, 101, 103, 107, 109, 89 * 103, 97 * 101, 97 * 107, 101 * 103, 101 * 107, 103 * 107, 107 * 109]
+    lines = [(k, n, k % 7, 1.0 + n, 10.25 * k, None if n == 4 else "NRA"[k % 3]) for k in [*keys, 107, 55] for n in (1, 2, 2, 4)]
+    orders = [(k, k % 5, None if k == 2 else "FOP"[k % 3], dt.date(1995, 1, 1 + k % 28)) for k in keys]
+    for name, rows, schema in (
+            ("lineitem", lines, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, "
+                                "l_extendedprice double, l_returnflag string"),
+            ("orders", orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate date")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    con = duckdb.connect()
+    for name in ("lineitem", "orders"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")       # as for tables that are large
+    try:
+        for name in ("content_differences", "content_summary", "content_samples"):
+            found = catalog.queries()[name](spark, str(tmp_path))
+            got = sorted(map(tuple, found.collect()), key=str)
+            sql = con.execute(catalog.oracle_sql()[name])
+            at = [[c[0] for c in sql.description].index(c) for c in found.columns]
+            assert got == sorted((tuple(r[i] for i in at) for r in sql.fetchall()), key=str) and got
+            plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            assert "ReusedExchange" in plan and "FullOuter" not in plan, name
+            if name != "content_samples":                             # its keys are kept before
+                assert plan.count("hashpartitioning(key") == 1, name
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 STAGES = "run_id long, stage_name string, stage_ordinal int, attempt int, status string, error_message string"
 METRICS = ("run_id long, total_rows long, null_count long, duplicate_count long, out_of_range_count long, "
            "schema_violations array<string>, type_mismatches map<string,string>, extra_columns array<string>")
